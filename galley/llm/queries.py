@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.llm import caps
+from galley.llm import caps, tokens
 
-MODULES = (caps,)
+MODULES = (caps, tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
