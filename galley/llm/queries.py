@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.llm import caps, tokens
+from galley.llm import caps, encodings, tokens, unify
 
-MODULES = (caps, tokens)
+MODULES = (caps, encodings, tokens, unify)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
