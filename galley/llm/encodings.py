@@ -52,8 +52,8 @@ _HAN = re.compile("[一-鿿]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 #: Characters that make a text worth a look beside Chinese ones.
 DOUBTFUL = "[^\\x00-\\x7f -ÿŒœ‐-…€　-〿一-鿿＀-￯]|[ÂÃâ¡-ÿ][\u0080-¿Ā-˿‐-™]|[\u0080-ÿ]{3}|\\?\\?|[A-Za-z]\\?[A-Za-z]|[\u0080-\u009f]"
-_LOST = re.compile("[�-]|[\u0080-\u009f]|[0-9A-Za-zÀ-ɏ一-鿿]\\?[A-Za-zÀ-ɏ一-鿿]|\\?{4,}|\\?{2,}[0-9一-鿿]|[一-鿿]\\?{2,}[0-9一-鿿]")
-_BROKEN = re.compile("[^\x00-\x7f一-鿿]*(?:[�-]|[\u0080-\u009f])[^\x00-\x7f]*")
+_LOST = re.compile("[\ufffd\ue000-\uf8ff]|[\u0080-\u009f]|[0-9A-Za-zÀ-ɏ一-鿿]\\?[A-Za-zÀ-ɏ一-鿿]|\\?{4,}|\\?{2,}[0-9一-鿿]|[一-鿿]\\?{2,}[0-9一-鿿]")
+_BROKEN = re.compile("[^\\x00-\\x7f\\u4e00-\\u9fff]*[\\ufffd\\ue000-\\uf8ff\\x80-\\x9f][^\\x00-\\x7f]*")
 
 
 @lru_cache(maxsize=32)
