@@ -43,7 +43,7 @@ KEY_LENGTH = 16
 
 # UTF-8 sequences of characters that such texts hold: Latin letters and signs, typographic
 # marks, currency, Chinese characters and punctuation.
-_TWO = rb"\xc2[\xa0-\xbf]|\xc3[\x80-\xbf]|\xce[\x94\xb1-\xbf]|\xc5[\x92\x93\xa0\xa1\xb8\xbd\xbe]"
+_TWO = rb"\xc2[\xa0-\xbf]|\xc6\x92|\xcb[\x86\x9c]|\xc3[\x80-\xbf]|\xce[\x94\xb1-\xbf]|\xc5[\x92\x93\xa0\xa1\xb8\xbd\xbe]"
 _THREE = rb"\xe2\x80[\x8b-\xaf\xb0-\xba]|\xe2\x82\xac|\xe2\x84[\x80-\xbf]|\xe2[\x91\x96\x97][\x80-\xbf]|\xe3\x80[\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xef[\xbc\xbd][\x80-\xbf]"
 _UTF8 = re.compile(rb"(?:" + _TWO + rb"|" + _THREE + rb")+")
 _UTF8_HAN = re.compile(rb"(?:(?:" + _THREE + rb")[0-9]*){3,}")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.llm import caps, encodings, pages, tokens, unify
+from galley.llm import caps, encodings, languages, pages, tokens, unify
 
-MODULES = (caps, encodings, pages, tokens, unify)
+MODULES = (caps, encodings, languages, pages, tokens, unify)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
