@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.llm.common import spread
+from galley.session import materialize
 from galley.sources.tables import table
 
 #: Lines of a path, and of a leaf, from which on its own ratios weigh as much as those above it.
@@ -166,7 +167,11 @@ def path_scores(lines: DataFrame) -> DataFrame:
 
 def boilerplate(pages: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
     """(key, line_no, score): the lines that aren't main body."""
+    # the paths as numbers, written once, as the lines are read for each level of the paths
+    hashed = [F.xxhash64(c).alias(c) for c in ("top", "middle", "leaf")]
     lines = lines_of(pages, key, body)
+    rest = [c for c in lines.columns if c not in ("top", "middle", "leaf")]
+    lines = materialize(lines.select(*rest, *hashed), "page-lines")
     scores = path_scores(lines)
     return lines.select("key", "line_no", "leaf").join(scores, "leaf").filter(F.col("score") < THRESHOLD).select("key", "line_no", "score")
 
