@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.llm import caps, conduct, encodings, languages, pages, tokens, unify
+from galley.llm import caps, conduct, encodings, languages, pages, tokens, truncation, unify
 
-MODULES = (caps, conduct, encodings, languages, pages, tokens, unify)
+MODULES = (truncation, caps, languages, pages, encodings, unify, tokens, conduct)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
