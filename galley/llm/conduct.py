@@ -45,6 +45,8 @@ THRESHOLD = 0.5
 FOUND, SURE = 0.25, 0.6
 #: A unit of more words (Chinese: more characters) is also scored in stretches of so many.
 LONG, STRETCH = (16, 24), (10, 14)
+#: Documents scored at once in a task.
+AT_ONCE = 200
 #: Log odds that the median feature of an offending unit must have in labelled documents.
 MARKED = 2.0
 
@@ -270,6 +272,29 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> list[tuple[str, li
     return rows + [(r["text"], []) for r in few.orderBy(F.xxhash64("doc_id")).limit(BACKGROUND).select("text").collect()]
 
 
+def _worst(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the highest score of its units and stretches, and the label of that one."""
+    flat, owner, part = [], [], []
+    for k, t in enumerate(texts):
+        for u in units(t) if model else ():
+            for n, x in enumerate([u, *stretches(u)]):
+                if w := words(x):
+                    flat.append(w)
+                    owner.append(k)
+                    part.append(n > 0)
+    best, kind = np.zeros(len(texts)), np.zeros(len(texts), int)
+    if flat:
+        p = model.score(flat)
+        own = np.array(owner)
+        worst = 1 - p[:, 0]
+        worst = np.where(np.array(part) & (worst < SURE), 0, worst)
+        order = np.lexsort((worst, own))
+        at = order[np.flatnonzero(np.r_[own[order][1:] != own[order][:-1], True])]
+        best[own[at]] = worst[at]
+        kind[own[at]] = p[at, 1:].argmax(1) + 1
+    return best, kind
+
+
 def score(documents: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, label): the highest probability of an offence in any unit, and its kind."""
     shared = documents.sparkSession.sparkContext.broadcast((model.table, model.out, model.bias) if model else None)
@@ -277,25 +302,11 @@ def score(documents: DataFrame, model: Model | None, key: str = "doc_id", text:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*shared.value) if shared.value else None
         for b in batches:
-            flat, owner, part = [], [], []
-            for k, t in enumerate(b["text"]):
-                for u in units(t) if m else ():
-                    for n, x in enumerate([u, *stretches(u)]):
-                        if w := words(x):
-                            flat.append(w)
-                            owner.append(k)
-                            part.append(n > 0)
-            best, kind = np.zeros(len(b)), np.zeros(len(b), int)
-            if flat:
-                p = m.score(flat)
-                own = np.array(owner)
-                worst = 1 - p[:, 0]
-                worst = np.where(np.array(part) & (worst < SURE), 0, worst)
-                order = np.lexsort((worst, own))
-                last = np.flatnonzero(np.r_[own[order][1:] != own[order][:-1], True])
-                at = order[last]
-                best[own[at]] = worst[at]
-                kind[own[at]] = p[at, 1:].argmax(1) + 1
+            # few documents at a time: their n-grams take many times the room of the text
+            if not len(b):
+                continue
+            parts = [_worst(m, list(b["text"].iloc[k : k + AT_ONCE])) for k in range(0, len(b), AT_ONCE)]
+            best, kind = (np.concatenate(x) for x in zip(*parts))
             label = [LABELS[k] if s >= FOUND else "ok" for k, s in zip(kind, best)]
             yield pd.DataFrame({"key": b["key"], "score": best, "label": label})
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galley.llm import caps, conduct, encodings, languages, neardup, pages, tokens, truncation, unify
+from galley.llm import caps, conduct, encodings, languages, mixing, neardup, pages, tokens, truncation, unify
 
-MODULES = (truncation, neardup, caps, languages, pages, encodings, unify, tokens, conduct)
+MODULES = (truncation, neardup, caps, languages, pages, encodings, unify, tokens, mixing, conduct)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
