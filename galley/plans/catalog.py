@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
+#: Modules that register queries when imported.
+MODULES = ("galley.operators.relational", "galley.operators.aggregates", "galley.operators.windows")
 
 
 def query(name: str, sql: str | None = None):
@@ -22,9 +25,16 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(m)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
