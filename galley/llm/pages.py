@@ -79,7 +79,7 @@ def bare(line: str) -> str:
 def features(line: str) -> tuple[str, str, str, int, int, int, int, str]:
     """(upper path, middle path, leaf path, letters, letters in sentences, separators, cue, kind) of a bare line."""
     han = len(_HAN.findall(line)) * 4 > len(line)
-    size = len(line) * (3 if han else 1)  # a Chinese character says as much as three letters
+    size = max(1, len(line)) * (3 if han else 1)  # a Chinese character says as much as three letters
     mark = _MARK.match(line)
     body = line[mark.end() :] if mark else line
     closed = bool(_END.search(body))
