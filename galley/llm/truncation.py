@@ -32,6 +32,7 @@ from pyspark.sql.window import Window
 
 from galley.llm.common import source_key, spread
 from galley.llm.encodings import DOUBTFUL, restore
+from galley.session import materialize
 from galley.sources.tables import table
 
 #: Words of the long and of the short ending; characters of the two for Chinese.
@@ -154,8 +155,9 @@ def truncated(texts: DataFrame, complete: DataFrame | None = None) -> DataFrame:
     if complete is not None:
         corpus = corpus.unionByName(complete.select("text", F.lit(True).alias("whole")).filter(F.length(F.trim("text")) > 0))
     counts = spread(corpus).mapInPandas(_count, "kind string, key string, n long, n_end long")
-    counts = counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
-    endings = spread(base).mapInPandas(_endings, _ENDING)
+    # both are read several times; written once, the texts are read once for each
+    counts = materialize(counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")), "cut-counts")
+    endings = materialize(spread(base).mapInPandas(_endings, _ENDING), "cut-endings")
 
     stats = counts.filter(F.col("kind") == "e").select(F.xxhash64("key").alias("k"), "n", "n_end")
     words = counts.filter(F.col("kind") == "w").select(F.col("key").alias("word"), "n")
