@@ -48,13 +48,13 @@ def cluster_b_cubed(spark: SparkSession, folder: str) -> DataFrame:
     return b_cubed(labels(spark, folder)).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("A24_agreement", "WITH p AS (SELECT a.label AS x, b.label AS y FROM doc_labels a JOIN doc_labels b ON a.doc_id = b.doc_id AND a.annotator < b.annotator), n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE x = y) AS same FROM p), e AS (SELECT sum(cx * cy) AS e FROM (SELECT x, count(*)::DOUBLE AS cx FROM p GROUP BY 1) JOIN (SELECT y, count(*)::DOUBLE AS cy FROM p GROUP BY 1) ON x = y) SELECT n::BIGINT AS pairs, round(same / n, 6) AS agreement, round((same / n - e / (n * n)) / nullif(1 - e / (n * n), 0), 6) AS kappa FROM n, e")
+@query("A24_agreement", "WITH p AS (SELECT a.label AS x, b.label AS y FROM doc_labels a JOIN doc_labels b ON a.doc_id = b.doc_id AND a.annotator < b.annotator), n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE x = y) AS same FROM p), e AS (SELECT coalesce(sum(cx * cy), 0) AS e FROM (SELECT x, count(*)::DOUBLE AS cx FROM p GROUP BY 1) JOIN (SELECT y, count(*)::DOUBLE AS cy FROM p GROUP BY 1) ON x = y) SELECT n::BIGINT AS pairs, round(same / nullif(n, 0), 6) AS agreement, round((same / nullif(n, 0) - e / nullif(n * n, 0)) / nullif(1 - e / nullif(n * n, 0), 0), 6) AS kappa FROM n, e")
 def agreement(spark: SparkSession, folder: str) -> DataFrame:
     """Agreement of annotators of the same document, and Cohen's kappa."""
     d = table(spark, folder, "doc_labels")
     a, b = d.select("doc_id", F.col("annotator").alias("a"), F.col("label").alias("x")), d.select("doc_id", F.col("annotator").alias("b"), F.col("label").alias("y"))
     m = a.join(b, "doc_id").filter("a < b").groupBy("x", "y").agg(F.count("*").alias("c"))
-    n = m.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("x") == F.col("y"), F.col("c")).otherwise(0)).alias("same"))
+    n = m.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("x") == F.col("y"), F.col("c")).otherwise(0)), F.lit(0)).alias("same"))
     cx, cy = m.groupBy(F.col("x").alias("k")).agg(F.sum("c").alias("cx")), m.groupBy(F.col("y").alias("k")).agg(F.sum("c").alias("cy"))
     e = cx.join(cy, "k").agg(F.coalesce(F.sum(F.col("cx").cast("double") * F.col("cy")), F.lit(0.0)).alias("e"))
     po, pe = F.try_divide("same", "n"), F.try_divide(F.col("e"), F.col("n").cast("double") * F.col("n"))

@@ -5,6 +5,9 @@ All parsing is in column expressions over a table of raw responses, one row a re
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,12 +21,31 @@ from galley.sources.snapshots import IT_SQL, items
 SUMMARY_CHARS, LIST_LIMIT = 600, 40
 
 
-def decoded(raw: Column) -> Column:
-    """Bytes to text: the declared encoding, else UTF-8, else GB18030; what fits in none stays Latin-1."""
-    head = F.decode(F.substring(raw, 1, 300), "ISO-8859-1")
-    named = F.upper(F.regexp_extract(head, "(?i)encoding=[\"']([\\w-]+)[\"']", 1))
-    utf8 = F.when(F.is_valid_utf8(F.decode(raw, "ISO-8859-1").cast("binary").cast("string")) & F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    return F.when(named.isin("GB2312", "GBK", "GB18030"), F.decode(raw, "GB18030")).when(named.isin("ISO-8859-1", "LATIN-1", "LATIN1"), F.decode(raw, "ISO-8859-1")).otherwise(F.coalesce(utf8, F.decode(raw, "GB18030")))
+_DECLARED = re.compile(rb"encoding=[\"']([\w-]+)[\"']", re.I)
+
+
+def _decode(raw: bytes | None) -> str | None:
+    if raw is None:
+        return None
+    if named := _DECLARED.search(raw[:300]):
+        try:
+            return raw.decode(named[1].decode("ascii"), "replace")
+        except LookupError:
+            pass
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        pass
+    try:
+        return raw.decode("gb18030")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+@F.pandas_udf("string")
+def decoded(raw: pd.Series) -> pd.Series:
+    """Bytes to text: the declared encoding, else UTF-8, else GB18030, else Latin-1. Spark itself decodes no GB18030."""
+    return raw.map(_decode)
 
 
 def tag(block: Column, *names: str) -> Column:
