@@ -42,7 +42,7 @@ def _decode(raw: bytes | None) -> str | None:
         return raw.decode("latin-1")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(raw: pd.Series) -> pd.Series:
     """Bytes to text: the declared encoding, else UTF-8, else GB18030, else Latin-1. Spark itself decodes no GB18030."""
     return raw.map(_decode)
