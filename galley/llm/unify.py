@@ -111,7 +111,10 @@ def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """(code point, form, look-alike, class) and (apart, composed); fixed by Unicode."""
     forms = mapping()
     marks = [c for n in range(0x300, 0x20F1) if unicodedata.combining(c := chr(n))]
-    rows = [(c, forms.get(c), LOOKALIKES.get(c), unicodedata.combining(c)) for c in sorted(set(forms) | set(LOOKALIKES) | set(marks))]
+    # composed letters are taken apart, so that their marks take part in the ordering
+    apart = {c: unicodedata.normalize("NFD", c) for c in compositions().values()}
+    known = sorted(set(forms) | set(LOOKALIKES) | set(marks) | set(apart))
+    rows = [(c, unicodedata.normalize("NFD", forms[c]) if c in forms else apart.get(c), LOOKALIKES.get(c), unicodedata.combining(c)) for c in known]
     codes = spark.createDataFrame(pd.DataFrame(rows, columns=["ch", "form", "alike", "ccc"]), "ch string, form string, alike string, ccc int")
     pairs = spark.createDataFrame(pd.DataFrame(list(compositions().items()), columns=["apart", "composed"]), "apart string, composed string")
     return codes, pairs
@@ -142,14 +145,18 @@ def uniform(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     chars = chars.withColumn("swap", F.col("letter") & F.col("alike").isNotNull() & (latin | (~strange & (size > 1))))
     form = F.when(F.col("swap"), F.col("alike")).otherwise(F.coalesce("form", "ch"))
     # several characters of one form share its place; a form that vanishes has none
-    chars = chars.select(*keys, "text", "pos", F.posexplode(F.split(form, "")).alias("sub", "c"), "ccc").filter(F.col("c") != "")
+    chars = chars.select(*keys, "text", "pos", F.posexplode(F.split(form, "")).alias("sub", "c")).filter(F.col("c") != "")
+    chars = chars.join(F.broadcast(codes.filter("ccc > 0").select(F.col("ch").alias("c"), "ccc")), "c", "left")
     mark = F.coalesce(F.col("ccc"), F.lit(0)) > 0
     seat = Window.partitionBy(*keys).orderBy("pos", "sub")
     chars = chars.withColumn("base", F.sum(F.when(mark, 0).otherwise(1)).over(seat))
     ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("ccc", F.lit(0)).alias("ccc"), "pos", "sub", "c")))
     seats = chars.groupBy(*keys, "text", "base").agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("apart"))
-    # only what has marks can compose
-    seats = seats.join(F.broadcast(pairs), "apart", "left").withColumn("c", F.coalesce("composed", "apart"))
+    # composed as a whole, else the base with its first mark
+    seats = seats.join(F.broadcast(pairs), "apart", "left")
+    front = pairs.select(F.col("apart").alias("front"), F.col("composed").alias("first"))
+    seats = seats.withColumn("front", F.substring("apart", 1, 2)).join(F.broadcast(front), "front", "left")
+    seats = seats.withColumn("c", F.coalesce("composed", F.concat("first", F.substring("apart", 3, 1_000_000)), "apart"))
     built = seats.groupBy(*keys, "text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("base", "c"))), lambda x: x["c"]), "").alias("uniform"))
     # a text of invisible characters alone has no place left
     gone = base.filter(odd).dropDuplicates(keys).join(built.select(*keys), keys, "left_anti").select(*keys, "text", F.lit("").alias("uniform"))
