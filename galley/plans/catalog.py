@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules that register queries when imported.
-MODULES = ("galley.operators.relational", "galley.operators.aggregates", "galley.operators.windows", "galley.operators.textops", "galley.operators.clustering", "galley.operators.evaluation", "galley.operators.evidence", "galley.sources.feeds", "galley.plans.products", "galley.streaming.jobs")
+MODULES = ("galley.operators.relational", "galley.operators.aggregates", "galley.operators.windows", "galley.operators.textops", "galley.operators.clustering", "galley.operators.evaluation", "galley.operators.evidence", "galley.operators.content", "galley.sources.feeds", "galley.plans.products", "galley.streaming.jobs")
 
 
 def query(name: str, sql: str | None = None):
