@@ -65,6 +65,37 @@ def connected(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFrame
             return labels.select(F.col("v").alias(node), "root")
 
 
+def conflicting(a: Column, b: Column) -> Column:
+    """Two gram sets that both name figures but share none of them."""
+    fa, fb = (F.filter(x, lambda g: g.rlike("^[0-9]")) for x in (a, b))
+    return (F.size(fa) > 0) & (F.size(fb) > 0) & ~F.arrays_overlap(fa, fb)
+
+
+def seeded(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFrame:
+    """(node, seed): groups around seeds, so that no chain of similar pairs drifts away.
+
+    The nodes are taken in order: one linked to an earlier seed belongs to the first such
+    seed, any other becomes a seed. The seeds are found in rounds: every open node without a
+    smaller open neighbour is one, and closes its neighbours; this gives the same seeds as
+    taking the nodes one by one. Each round is written to the shared folder.
+    """
+    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "seed-links")
+    open_ = materialize(nodes.select(F.col(node).alias("v")), "seed-open")
+    seeds: DataFrame | None = None
+    while not open_.isEmpty():
+        among = both.join(open_.select(F.col("v").alias("a")), "a", "left_semi").join(open_.select(F.col("v").alias("b")), "b", "left_semi")
+        later = among.filter("b < a").select(F.col("a").alias("v")).distinct()
+        new = materialize(open_.join(later, "v", "left_anti"), "seeds")
+        closed = both.join(new.select(F.col("v").alias("b")), "b", "left_semi").select(F.col("a").alias("v")).unionByName(new)
+        open_ = materialize(open_.join(closed.distinct(), "v", "left_anti"), "seed-open")
+        seeds = new if seeds is None else seeds.unionByName(new)
+    if seeds is None:
+        return nodes.select(F.col(node), F.col(node).alias("seed"))
+    first = both.filter("b < a").join(seeds.select(F.col("v").alias("b")), "b", "left_semi").groupBy(F.col("a").alias("v")).agg(F.min("b").alias("seed"))
+    rest = first.join(seeds, "v", "left_anti")
+    return rest.unionByName(seeds.select("v", F.col("v").alias("seed"))).select(F.col("v").alias(node), "seed")
+
+
 def gram_classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """((id, class) of each item, (id, grams) of one item for each different set of grams)."""
     sets = titled(spark, folder).select("id", text.grams("t").alias("grams")).filter(F.size("grams") > 0)
@@ -124,3 +155,22 @@ def clusters_of_titles(spark: SparkSession, folder: str) -> DataFrame:
     sets = materialize(sets, "gram-sets")
     groups = connected(sets, similar_sets(sets, JACCARD))
     return members.join(groups.select(F.col("id").alias("class"), "root"), "class").select("id", "root")
+
+
+@query("C04_conflicts", f"WITH {_SETS}, p AS (SELECT a.id AS a, b.id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard FROM e a JOIN e b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2), n AS (SELECT id, [x FOR x IN grams IF regexp_matches(x, '^[0-9]')] AS n FROM s) SELECT p.a, p.b FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b WHERE jaccard >= 0.42 AND len(x.n) > 0 AND len(y.n) > 0 AND len(list_intersect(x.n, y.n)) = 0")
+def conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Similar titles whose figures contradict each other."""
+    sets = materialize(gram_classes(spark, folder)[1], "gram-sets")
+    ga, gb = (sets.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
+    return similar_sets(sets, JACCARD).join(ga, "a").join(gb, "b").filter(conflicting("ga", "gb")).select("a", "b")
+
+
+@query("C06_seeded_clusters")
+def seeded_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Each item with the seed of its group: similar to it and not in conflict with it."""
+    members, sets = gram_classes(spark, folder)
+    sets = materialize(sets, "gram-sets")
+    ga, gb = (sets.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
+    links = similar_sets(sets, JACCARD).join(ga, "a").join(gb, "b").filter(~conflicting("ga", "gb"))
+    groups = seeded(sets, links)
+    return members.join(groups.select(F.col("id").alias("class"), "seed"), "class").select("id", "seed")

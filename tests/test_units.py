@@ -117,6 +117,20 @@ def test_connected(spark):
     assert all(got[i] == 0 for i in range(41)) and got[102] == 100 and got[200] == 200
 
 
+def test_seeded_is_as_one_by_one(spark):
+    rng = random.Random(8)
+    nodes = list(range(60))
+    links = sorted({tuple(sorted(rng.sample(nodes, 2))) for _ in range(90)})
+    near = {v: {a if b == v else b for a, b in links if v in (a, b)} for v in nodes}
+    want: dict[int, int] = {}
+    for v in nodes:
+        seeds = [s for s in sorted(near[v]) if s < v and want.get(s) == s]
+        want[v] = seeds[0] if seeds else v
+    got = clustering.seeded(spark.createDataFrame([(v,) for v in nodes], "id long"), spark.createDataFrame(links, "a long, b long"))
+    assert {r["id"]: r["seed"] for r in got.collect()} == want
+    assert clustering.seeded(spark.createDataFrame([], "id long"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_b_cubed_and_pairs(spark):
     rows = [("x", 1), ("x", 1), ("x", 2), ("y", 2)]
     df = spark.createDataFrame(rows, "predicted string, gold int")
