@@ -120,21 +120,30 @@ def rare_grams(spark: SparkSession, folder: str) -> DataFrame:
     return gram_frequency(spark, folder).join(cap, F.col("df") <= F.col("cap")).select("gram", "df")
 
 
-@query("J13_similarity_join", f"WITH {_PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM p WHERE jaccard >= 0.42")
+def links_of(pairs: DataFrame, value: Column) -> DataFrame:
+    """(id, n_links, best) of (a, b) pairs: one row per set that has a partner."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), value.alias("v"))
+    return ends.groupBy("id").agg(F.count("*").alias("n_links"), F.max("v").alias("best"))
+
+
+@query("J13_similarity_join", f"WITH {_PAIRS}, d AS (SELECT a AS id, jaccard FROM p WHERE jaccard >= 0.42 UNION ALL SELECT b, jaccard FROM p WHERE jaccard >= 0.42), l AS (SELECT id, count(*) AS n_links, round(max(jaccard), 6) AS best FROM d GROUP BY 1) SELECT g.id, s.id AS class_id, coalesce(l.n_links, 0) AS n_links, l.best FROM g JOIN s ON s.grams = g.grams LEFT JOIN l ON l.id = s.id")
 def similarity_join(spark: SparkSession, folder: str) -> DataFrame:
-    """All pairs of different titles that the first rule merges."""
-    return similar_sets(gram_classes(spark, folder)[1], JACCARD).withColumn("jaccard", F.round("jaccard", 6))
+    """Each item with its class of equal titles, and the links of the class to similar ones."""
+    members, sets = gram_classes(spark, folder)
+    links = links_of(similar_sets(sets, JACCARD), F.col("jaccard"))
+    return members.join(links.withColumnRenamed("id", "class"), "class", "left").select("id", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.round("best", 6).alias("best"))
 
 
-@query("C03_pair_rules", f"WITH {_PAIRS}, x AS (SELECT p.*, a.simhash AS ha, b.simhash AS hb FROM p JOIN it a ON a.id = p.a JOIN it b ON b.id = p.b WHERE jaccard >= 0.25) SELECT a, b, round(CASE WHEN jaccard >= 0.42 THEN greatest(jaccard, 0.6) WHEN bit_count(xor(ha, hb)) <= 6 THEN greatest(0.5, 1 - bit_count(xor(ha, hb)) / 12) ELSE jaccard END, 6) AS similarity FROM x")
+@query("C03_pair_rules", f"WITH {_PAIRS}, x AS (SELECT p.*, a.simhash AS ha, b.simhash AS hb FROM p JOIN it a ON a.id = p.a JOIN it b ON b.id = p.b WHERE jaccard >= 0.25), v AS (SELECT a, b, CASE WHEN jaccard >= 0.42 THEN greatest(jaccard, 0.6) WHEN bit_count(xor(ha, hb)) <= 6 THEN greatest(0.5, 1 - bit_count(xor(ha, hb)) / 12) ELSE jaccard END AS s FROM x), d AS (SELECT a AS id, s FROM v WHERE s >= 0.5 UNION ALL SELECT b, s FROM v WHERE s >= 0.5) SELECT id, count(*) AS n_links, round(max(s), 6) AS best FROM d GROUP BY 1")
 def pair_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of similar sets with the similarity that the rules on sets and fingerprints give them."""
+    """How many partners the rules on sets and fingerprints give each title, and the best similarity."""
     pairs = similar_sets(gram_classes(spark, folder)[1], NEAR_JACCARD)
     prints = items(spark, folder, "simhash")
     a, b = (prints.select(F.col("id").alias(k), F.col("simhash").alias(f"h{k}")) for k in "ab")
     both = pairs.join(a, "a").join(b, "b")
     none = F.lit(0.0)
-    return both.select("a", "b", F.round(similarity(F.col("jaccard"), none, none, text.hamming("ha", "hb")), 6).alias("similarity"))
+    ruled = both.withColumn("s", similarity(F.col("jaccard"), none, none, text.hamming("ha", "hb"))).filter("s >= 0.5")
+    return links_of(ruled, F.col("s")).withColumn("best", F.round("best", 6))
 
 
 @query("C05_best_candidates", f"WITH {_PAIRS}, q AS (SELECT a, b, jaccard FROM p WHERE jaccard >= 0.42), d AS (SELECT a AS id, b AS other, jaccard FROM q UNION ALL SELECT b, a, jaccard FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(jaccard, 9) DESC, other DESC) AS place FROM d) SELECT id, other, place FROM r WHERE place <= 6")
@@ -157,12 +166,13 @@ def clusters_of_titles(spark: SparkSession, folder: str) -> DataFrame:
     return members.join(groups.select(F.col("id").alias("class"), "root"), "class").select("id", "root")
 
 
-@query("C04_conflicts", f"WITH {_SETS}, p AS (SELECT a.id AS a, b.id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard FROM e a JOIN e b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2), n AS (SELECT id, [x FOR x IN grams IF regexp_matches(x, '^[0-9]')] AS n FROM s) SELECT p.a, p.b FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b WHERE jaccard >= 0.42 AND len(x.n) > 0 AND len(y.n) > 0 AND len(list_intersect(x.n, y.n)) = 0")
+@query("C04_conflicts", f"WITH {_PAIRS}, n AS (SELECT id, [x FOR x IN grams IF regexp_matches(x, '^[0-9]')] AS n FROM s), c AS (SELECT p.a, p.b FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b WHERE jaccard >= 0.42 AND len(x.n) > 0 AND len(y.n) > 0 AND len(list_intersect(x.n, y.n)) = 0) SELECT id, count(*) AS n_conflicts FROM (SELECT a AS id FROM c UNION ALL SELECT b FROM c) GROUP BY 1")
 def conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    """Similar titles whose figures contradict each other."""
+    """For each title the similar ones whose figures contradict it."""
     sets = materialize(gram_classes(spark, folder)[1], "gram-sets")
     ga, gb = (sets.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
-    return similar_sets(sets, JACCARD).join(ga, "a").join(gb, "b").filter(conflicting("ga", "gb")).select("a", "b")
+    against = similar_sets(sets, JACCARD).join(ga, "a").join(gb, "b").filter(conflicting("ga", "gb"))
+    return links_of(against, F.col("jaccard")).select("id", F.col("n_links").alias("n_conflicts"))
 
 
 @query("C06_seeded_clusters")

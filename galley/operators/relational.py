@@ -168,12 +168,16 @@ def registry_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return items(spark, folder).join(so, "source_id", "left").select("id", F.coalesce("source_role", F.lit("unknown")).alias("role"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("region_code", F.lit("")).alias("region"))
 
 
-@query("J14_within_cluster_pairs", f"WITH {IT_SQL} SELECT a.cluster_id, a.id AS item_a, b.id AS item_b FROM it a JOIN it b ON a.cluster_id = b.cluster_id AND a.id < b.id AND a.grp <> b.grp AND a.tier = 1 AND b.tier = 1")
+@query("J14_within_cluster_pairs", f"WITH {IT_SQL}, o AS (SELECT cluster_id, grp, min(id) AS id FROM it WHERE tier = 1 GROUP BY 1, 2) SELECT a.cluster_id, a.id AS item_a, b.id AS item_b FROM o a JOIN o b ON a.cluster_id = b.cluster_id AND a.grp < b.grp")
 def within_cluster_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of first-tier items of one cluster from different owners."""
-    it = items(spark, folder, "cluster_id", "grp", "tier").filter("cluster_id is not null and tier = 1")
-    a, b = (it.select("cluster_id", F.col("id").alias(f"item_{k}"), F.col("grp").alias(f"grp_{k}")) for k in "ab")
-    return a.join(b, "cluster_id").filter("item_a < item_b and grp_a <> grp_b").select("cluster_id", "item_a", "item_b")
+    """Pairs of first-tier items of one cluster from different owners, one item an owner.
+
+    Owners are as many as the registry has, so a cluster's pairs are bounded, whatever its size.
+    """
+    it = items(spark, folder, "cluster_id", "grp", "tier").filter("cluster_id is not null and tier = 1 and grp is not null")
+    one = it.groupBy("cluster_id", "grp").agg(F.min("id").alias("id"))
+    a, b = (one.select("cluster_id", F.col("id").alias(f"item_{k}"), F.col("grp").alias(f"grp_{k}")) for k in "ab")
+    return a.join(b, "cluster_id").filter("grp_a < grp_b").select("cluster_id", "item_a", "item_b")
 
 
 @query("J17_full_outer_periods", f"""WITH {PR_SQL}, m AS (SELECT source_id, CAST(floor(ts / (30*86400)) AS BIGINT) AS period, sum(coalesce(n_new, 0))::BIGINT AS n FROM pr GROUP BY 1, 2)
