@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from galley.session import shipped
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules that register queries when imported.
@@ -32,7 +34,7 @@ def _load() -> None:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
-    return dict(_QUERIES)
+    return {name: shipped(f) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

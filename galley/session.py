@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,5 +61,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once a session: their Python need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_galley_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    at = f"{tempfile.mkdtemp(prefix='galley-')}/galley.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"galley/{p.relative_to(root)}")
+    sc.addPyFile(at)  # served to the executors by the driver
+    sc._galley_shipped = True
+
+
+def shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that makes sure of the package on the executors first."""
+
+    def go(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return run(spark, folder)
+
+    return go
+
+
 def cores_env(default: int = 8) -> int:
     return int(os.environ.get("BENCH_CPUS", default))
