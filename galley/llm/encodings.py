@@ -134,7 +134,9 @@ def spans(text: str, order: tuple[tuple[str, str], ...] = HYPOTHESES) -> list[tu
 
 def lost(text: str) -> bool:
     """Whether bytes of the text were lost in a wrong encoding."""
-    body = text[:-1] if text.endswith("�") and text.count("�") == 1 else text
+    # 鈥 is what the first bytes of a typographic mark become in GBK; its last byte is lost there
+    cut = text.endswith("�") and text.count("�") == 1 and not text.endswith("鈥�")
+    body = text[:-1] if cut else text
     return _LOST.search(body) is not None
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import spread
+from galley.llm.common import keyed, spread
 from galley.llm.encodings import HYPOTHESES, lost, restore
 from galley.llm.unify import LOOKALIKES, mapping
 from galley.sources.tables import table
@@ -39,7 +39,7 @@ EPOCHS, RATE, PENALTY, SEED = 120, 0.08, 0.002, 7
 #: log odds by which the words of a segment must speak for its language against its neighbour's.
 MIXED, LABEL_PRIOR, MARGIN = 0.4, 2.5, 12.0
 #: A segment needs so many words, and so many of them no names; Chinese counts by characters.
-MIN_WORDS, MIN_PLAIN, MIN_HAN = 4, 2, 4
+MIN_WORDS, MIN_PLAIN, MIN_HAN = 5, 2, 4
 
 #: Codes and names of the languages beside the two-letter ones.
 NAMES = {
@@ -330,7 +330,7 @@ def tag(texts: DataFrame, tagger: Tagger, key: str, text: str) -> DataFrame:
 
 def _titles(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "items").filter(F.col("id").isNotNull())
-    return items.groupBy("id").agg(F.max(F.struct("title", "lang")).alias("x")).select("id", "x.title", F.col("x.lang").alias("label"))
+    return keyed(items.select("id", "title", "lang"), "id").groupBy("id").agg(F.max(F.struct("title", "lang")).alias("x")).select("id", "x.title", F.col("x.lang").alias("label"))
 
 
 def p4_segments(spark: SparkSession, folder: str) -> DataFrame:

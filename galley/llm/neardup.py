@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import spread
+from galley.llm.common import keyed, spread
 from galley.llm.encodings import DOUBTFUL, restore
 from galley.llm.unify import LOOKALIKES, mapping
 from galley.session import materialize
@@ -213,7 +213,7 @@ def similar_reps(reps: DataFrame) -> DataFrame:
 
 def members_and_links(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, rep): the record of each id and its text class; (a, b, similarity): class pairs)."""
-    once = items.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct("summary", "title")).alias("x")).select("id", "x.title", "x.summary")
+    once = keyed(items.filter(F.col("id").isNotNull()), "id").groupBy("id").agg(F.max(F.struct("summary", "title")).alias("x")).select("id", "x.title", "x.summary")
     found = materialize(records(once).withColumn("rep", F.xxhash64("text")), "dup-records")
     reps = found.groupBy("rep").agg(F.min("text").alias("text"))
     return found.select("id", "rep"), similar_reps(reps)

@@ -28,12 +28,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import spread
+from galley.llm.common import keyed, spread
 from galley.session import materialize
 from galley.sources.tables import table
 
 #: Lines of a path, and of a leaf, from which on its own ratios weigh as much as those above it.
-SMOOTHING, LEAF_SMOOTHING = 4.0, 12.0
+SMOOTHING, LEAF_SMOOTHING = 2.0, 20.0
 THRESHOLD = 0.5
 #: Letters up to which a line can be a subhead, and the share of such lines between prose that makes them content.
 SHORT, EMBEDDED = 50, 0.15
@@ -90,7 +90,11 @@ def features(line: str) -> tuple[str, str, str, int, int, int, int, str]:
     step = "t" if size < 50 else "s" if size < 85 else "m" if size < 200 else "l"
     top = f"{'h' if han else 'a'}{'-' if mark and mark.group(1) in '–—' else 'o' if mark else ''}{'#' if figure else ''}{'.' if closed else ''}{step}{'|' if separators else ''}{'!' if cue else ''}"
     skeleton = _FIGURE.sub("#", body)
-    skeleton = _FIGURE.sub("#", skeleton[:12]) if han else _NAME.sub("N", skeleton)
+    if not han:  # the first word has its capital by its place
+        first, _, rest = skeleton.partition(" ")
+        skeleton = f"{first} {_NAME.sub('N', rest)}"
+    else:
+        skeleton = skeleton[:12]
     # closing a line isn't enough for prose: there must be words between the stops
     prose = size if closed and (size >= 25 or len(_STOP.findall(body)) == 1) and not cue and separators < 2 else 0
     kind = f"{mark.group(1) if mark else ''}{'#' if figure else ''}{'.' if closed else ''}"
@@ -173,13 +177,15 @@ def boilerplate(pages: DataFrame, key: str = "id", body: str = "body") -> DataFr
     rest = [c for c in lines.columns if c not in ("top", "middle", "leaf")]
     lines = materialize(lines.select(*rest, *hashed), "page-lines")
     scores = path_scores(lines)
-    return lines.select("key", "line_no", "leaf").join(scores, "leaf").filter(F.col("score") < THRESHOLD).select("key", "line_no", "score")
+    # a short line without any sign of furniture that itself stands between prose is a subhead
+    subhead = (F.col("embedded") == 1) & (F.col("size") < SHORT) & (F.col("cue") == 0) & (F.col("separators") == 0)
+    return lines.filter(~subhead).select("key", "line_no", "leaf").join(scores, "leaf").filter(F.col("score") < THRESHOLD).select("key", "line_no", "score")
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "items").select("id", "body", "body_state")
     rows = items.filter((F.col("body_state") == "ok") & F.col("id").isNotNull() & F.col("body").isNotNull())
-    return rows.groupBy("id").agg(F.max("body").alias("body"))
+    return keyed(rows, "id").groupBy("id").agg(F.max("body").alias("body"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

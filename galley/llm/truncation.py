@@ -12,7 +12,8 @@ Three kinds of evidence are put together.
   endings is the prior. Whatever the prior, a cut falls on an ending in proportion to how
   often the corpus goes on there, which gives the odds of a cut.
 
-Marks after a cut (dots, a broken tag, half a character) are taken off first. A text that
+Marks after a cut (dots, a broken tag or reference, half a character) are taken off first; a
+broken one is proof by itself. A text that
 closes with a full stop, a question mark or the like isn't cut, nor one cut just there.
 Garbled text is restored before its end is read; where that fails it is no case.
 Null, empty and blank texts are never cases. All rows count for the statistics, and whole
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from galley.llm.common import source_key, spread
+from galley.llm.common import keyed, source_key, spread
 from galley.llm.encodings import DOUBTFUL, restore
 from galley.session import materialize
 from galley.sources.tables import table
@@ -136,7 +137,7 @@ def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sizes = HAN if han else LATIN
             keys = ["\x1f".join((["."] * size + alike)[-size:]) for size in sizes]
             word = raw[-1] if raw and raw[-1][0].isalpha() and not _HAN.match(raw[-1]) and core[-1].isalpha() else None
-            out.append((item, source, len(text.rstrip()), kind, *keys, word.lower() if word else None, bool(word and word[0].isupper()), core[-1] in ",;:，；：、（(“„«‘-–—/", bool(_QUOTED.search(core)), kind == "half"))
+            out.append((item, source, len(text.rstrip()), kind, *keys, word.lower() if word else None, bool(word and word[0].isupper()), core[-1] in ",;:，；：、（(“„«‘-–—/", bool(_QUOTED.search(core)), kind in ("half", "tag")))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _ENDING.split(", ")])
 
 
@@ -206,7 +207,7 @@ def truncated(texts: DataFrame, complete: DataFrame | None = None) -> DataFrame:
 
 def _texts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, folder, "items").select("id", "source_id", "title", "summary").filter(F.col("id").isNotNull())
-    once = items.groupBy("id").agg(F.max(F.struct("summary", source_key().alias("source"))).alias("x"))
+    once = keyed(items, "id").groupBy("id").agg(F.max(F.struct("summary", source_key().alias("source"))).alias("x"))
     texts = once.select(F.col("id").alias("item_id"), "x.source", F.col("x.summary").alias("text"))
     return texts, items.select(F.col("title").alias("text"))
 
