@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.llm.common import spread
+from galley.session import materialize
 from galley.sources.tables import table
 
 #: Hypotheses (encoding of the bytes, encoding they were read in).
@@ -194,7 +195,8 @@ def learned(items: DataFrame) -> DataFrame:
     """
     segments = fields(items).select(F.explode(F.split("text", "(?<=[.!?。]) |。")).alias("segment"))
     segments = segments.filter(F.col("segment").rlike("[^\\x00-\\x7f]") & (F.length(_key(F.col("segment"))) >= KEY_LENGTH))
-    keyed = segments.select(F.xxhash64(_key(F.col("segment"))).alias("key"), "segment", F.col("segment").rlike(DOUBTFUL).alias("odd")).distinct()
+    keyed = segments.select(F.xxhash64(_key(F.col("segment"))).alias("key"), "segment", F.col("segment").rlike(DOUBTFUL).alias("odd"))
+    keyed = materialize(keyed.distinct(), "twin-segments")  # read for either side
     garbled = keyed.filter("odd").select("key", F.col("segment").alias("bad"))
     # of the clean twins of a key one is enough, however many there are
     clean = keyed.filter("not odd").groupBy("key").agg(F.min("segment").alias("good"))

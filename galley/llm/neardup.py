@@ -29,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.llm.common import keyed, spread
@@ -104,15 +104,6 @@ def signature(words: list[str], known: dict[str, int]) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).min(0)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    parts = sig.reshape(BANDS, ROWS)
-    keys = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for j in range(ROWS):
-        keys = (keys ^ parts[:, j]) * _P
-        keys ^= keys >> np.uint64(32)
-    return keys.view(np.int64)
-
-
 def short(sig: np.ndarray) -> bytes:
     """16 bits of every hash; what agrees by chance is one in 65536."""
     return ((sig * _P) >> np.uint64(48)).astype(np.uint16).tobytes()
@@ -168,21 +159,26 @@ def records(texts: DataFrame) -> DataFrame:
 
 
 def sketches(reps: DataFrame) -> DataFrame:
-    """(rep, text, sig, bands) of (rep, text)."""
+    """(rep, sig) of (rep, text): the signature as 16-bit numbers in one binary."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for b in batches:
-            sigs = [signature(t.split(" "), known) for t in b["text"]]
-            yield pd.DataFrame({"rep": b["rep"], "sig": [short(s) for s in sigs], "bands": [band_keys(s) for s in sigs]})
+            yield pd.DataFrame({"rep": b["rep"], "sig": [short(signature(t.split(" "), known)) for t in b["text"]]})
+
+    return reps.mapInPandas(run, "rep long, sig binary")
+
 
-    return reps.mapInPandas(run, "rep long, sig binary, bands array<long>")
+def band_keys(sig: Column) -> Column:
+    """A number for each band: its place and the hashes of its rows."""
+    width = 2 * ROWS
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(sig, k * width + 1, F.lit(width))))
 
 
 def similar_reps(reps: DataFrame) -> DataFrame:
     """(a, b, similarity): the pairs of different texts (rep, text) that reach the threshold."""
     drawn = materialize(sketches(reps), "dup-sketches")
-    bands = drawn.select("rep", F.explode("bands").alias("key"))
+    bands = drawn.select("rep", F.explode(band_keys(F.col("sig"))).alias("key"))
     left, right = bands.select("key", F.col("rep").alias("a")), bands.select("key", F.col("rep").alias("b"))
     candidates = left.join(right, "key").filter("a < b").select("a", "b").distinct()
     sigs = drawn.select("rep", "sig")
@@ -213,7 +209,9 @@ def similar_reps(reps: DataFrame) -> DataFrame:
 
 def members_and_links(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, rep): the record of each id and its text class; (a, b, similarity): class pairs)."""
-    once = keyed(items.filter(F.col("id").isNotNull()), "id").groupBy("id").agg(F.max(F.struct("summary", "title")).alias("x")).select("id", "x.title", "x.summary")
+    # what is too short can't count; it is left out before anything moves
+    long = items.filter(F.col("id").isNotNull() & (F.length("summary") >= min(MIN_HAN, MIN_LATIN)))
+    once = keyed(long, "id").groupBy("id").agg(F.max(F.struct("summary", "title")).alias("x")).select("id", "x.title", "x.summary")
     found = materialize(records(once).withColumn("rep", F.xxhash64("text")), "dup-records")
     reps = found.groupBy("rep").agg(F.min("text").alias("text"))
     return found.select("id", "rep"), similar_reps(reps)

@@ -35,6 +35,8 @@ GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανικρυχ", "ABEZHIKMNOPTYX
 ARMENIAN_CHEROKEE = dict(zip("օսոցհԱᎪᎬᎢᏟᎷᎻᏢᏚᏔ", "ounghUAEICMHPSW"))
 OTHERS = dict(zip("ɑɡɩıʟ", "agiil"))
 LOOKALIKES = CYRILLIC | GREEK | ARMENIAN_CHEROKEE | OTHERS
+#: Stands behind the last character of an exploded text.
+END = "\ue0ff"
 #: Compatibility kinds that are only another form of a letter or digit.
 FORMS = ("<wide>", "<narrow>", "<font>", "<compat>", "<isolated>", "<initial>", "<medial>", "<final>", "<noBreak>")
 SPACES = "               　"
@@ -51,7 +53,7 @@ def form_of(c: str) -> str | None:
     parts = unicodedata.decomposition(c)
     if parts.startswith("<"):
         tag = parts.split()[0]
-        if tag in FORMS and (kind[0] in "LN" or "\u2e80" <= c < "\u2fe0") and c not in "№℡™":
+        if tag in FORMS and (kind[0] in "LN" or "\u2e80" <= c < "\u2fe0") and c not in "№℡™µ":
             plain = unicodedata.normalize("NFKC", c)
             if plain != c and all(unicodedata.category(x)[0] in "LNM" for x in plain):
                 return plain
@@ -101,12 +103,20 @@ def _ranges(chars) -> str:
     return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" if a != b else f"\\x{{{a:x}}}" for a, b in parts)
 
 
+#: All but the characters that most texts consist of: a quick first look.
+UNCOMMON = "[^\\x00-\\x7e\\xa1-\\xac\\xae-\\xff\\u4e00-\\u9fff\\u2012-\\u2026\\u20ac\\u3001\\u3002\\u3008-\\u3011\\uff01\\uff08\\uff09\\uff0c\\uff1a\\uff1b\\uff1f\\uff5c]"
+
+
 @lru_cache(maxsize=1)
 def suspicious() -> str:
     """A Java pattern for a text that needs the full treatment."""
     return "[" + _ranges(set(mapping()) | set(LOOKALIKES)) + "]|\\p{Mn}"
 
 
+def is_odd(text: Column) -> Column:
+    return F.coalesce(text.rlike(UNCOMMON) & text.rlike(suspicious()), F.lit(False))
+
+
 def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """(code point, form, look-alike, class) and (apart, composed); fixed by Unicode."""
     forms = mapping()
@@ -127,11 +137,11 @@ def uniform(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """
     spark = rows.sparkSession
     base = rows.select(*keys, F.col(text).alias("text"))
-    odd = F.coalesce(F.col("text").rlike(suspicious()), F.lit(False))
+    odd = is_odd(F.col("text"))
     plain = base.filter(~odd).select(*keys, "text", F.col("text").alias("uniform"))
 
     codes, pairs = tables(spark)
-    chars = base.filter(odd).dropDuplicates(keys).select(*keys, "text", F.posexplode(F.split("text", "")).alias("pos", "ch"))
+    chars = base.filter(odd).dropDuplicates(keys).select(*keys, "text", F.posexplode(F.array_append(F.split("text", ""), F.lit(END))).alias("pos", "ch"))
     chars = chars.join(F.broadcast(codes), "ch", "left")
 
     row = Window.partitionBy(*keys).orderBy("pos")
@@ -144,8 +154,10 @@ def uniform(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     size = F.sum(real.cast("int")).over(word)
     chars = chars.withColumn("swap", F.col("letter") & F.col("alike").isNotNull() & (latin | (~strange & (size > 1))))
     form = F.when(F.col("swap"), F.col("alike")).otherwise(F.coalesce("form", "ch"))
-    # several characters of one form share its place; a form that vanishes has none
+    # several characters of one form share its place; a form that vanishes has none; the end mark
+    # keeps a place for a text of invisible characters alone
     chars = chars.select(*keys, "text", "pos", F.posexplode(F.split(form, "")).alias("sub", "c")).filter(F.col("c") != "")
+    chars = chars.withColumn("c", F.when(F.col("pos") == F.length("text"), "").otherwise(F.col("c")))
     chars = chars.join(F.broadcast(codes.filter("ccc > 0").select(F.col("ch").alias("c"), "ccc")), "c", "left")
     mark = F.coalesce(F.col("ccc"), F.lit(0)) > 0
     seat = Window.partitionBy(*keys).orderBy("pos", "sub")
@@ -158,9 +170,7 @@ def uniform(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     seats = seats.withColumn("front", F.substring("apart", 1, 2)).join(F.broadcast(front), "front", "left")
     seats = seats.withColumn("c", F.coalesce("composed", F.concat("first", F.substring("apart", 3, 1_000_000)), "apart"))
     built = seats.groupBy(*keys, "text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("base", "c"))), lambda x: x["c"]), "").alias("uniform"))
-    # a text of invisible characters alone has no place left
-    gone = base.filter(odd).dropDuplicates(keys).join(built.select(*keys), keys, "left_anti").select(*keys, "text", F.lit("").alias("uniform"))
-    return plain.unionByName(built.select(*keys, "text", "uniform")).unionByName(gone)
+    return plain.unionByName(built.select(*keys, "text", "uniform"))
 
 
 def titles(items: DataFrame) -> DataFrame:
@@ -182,7 +192,7 @@ def _without_damage(rows: DataFrame) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = titles(table(spark, folder, "items").select("id", "title", "canonical_title"))
-    odd = _without_damage(rows.filter(F.col("text").rlike(suspicious())))
+    odd = _without_damage(rows.filter(is_odd(F.col("text"))))
     done = uniform(odd, ["item_id", "field"])
     return done.filter(F.col("uniform") != F.col("text")).select("item_id", "field").distinct()
 

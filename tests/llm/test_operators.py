@@ -174,12 +174,20 @@ def test_transformations_are_learned_from_twins(spark):
 
 @pytest.mark.parametrize("text, want", [
     ("Ｒｉｈｕ cоuncil", "Rihu council"), ("lässt​  Zi­ns", "lässt  Zins"), ("ﬁnds it", "finds it"), ("佩⾥⼈", "佩里人"), ("Δ β 5 ½ ① ™ № “x” （中），", None),
-    ("Привет мир", None), ("x̣̂", unicodedata.normalize("NFC", "x̣̂")), ("", None), ("​‍", ""), ("ẹ́", unicodedata.normalize("NFC", "ẹ́"))])
+    ("Привет мир", None), ("x̣̂", unicodedata.normalize("NFC", "x̣̂")), ("", None), ("Ｒ😀\ue0ff", "R😀\ue0ff"), ("​‍", ""), ("ẹ́", unicodedata.normalize("NFC", "ẹ́"))])
 def test_uniform(spark, text, want):
     got = unify.uniform(spark.createDataFrame([(1, text), (2, "plain"), (3, text)], "k int, text string"), ["k"]).collect()
     assert {r["k"]: r["uniform"] for r in got} == {1: text if want is None else want, 2: "plain", 3: text if want is None else want}
 
 
+def test_quick_look_misses_nothing():
+    import re
+
+    common = re.compile(unify.UNCOMMON)
+    odd = set(unify.mapping()) | set(unify.LOOKALIKES) | {chr(n) for n in range(0x300, 0x370)}
+    assert all(common.match(c) for c in odd)
+
+
 # ---- 8
 
 
