@@ -49,7 +49,7 @@ RARE = 300
 CHANCE = 0.12
 
 _TOKEN = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+(?:[’'-][^\W\d_一-鿿]+)*|\d+(?:[.,:]\d+)*|[^\s\w]")
-_STOPS = frozenset(".!?。！？…")
+_STOPS, _DIGITS = frozenset(".!?。！？…"), frozenset("0123456789")
 _BEFORE_ORDINAL = frozenset("am dem den der im vom zum ab bis seit".split())
 _HAN = re.compile("[一-鿿]")
 _ODD = re.compile(DOUBTFUL)
@@ -62,9 +62,17 @@ _CLOSED = re.compile(r"[.!?。！？][”“\"»›’')）\]」』]*$")
 def normal(text: str) -> tuple[list[str], list[str], bool]:
     """(tokens, the same with names and figures made alike, whether Chinese)."""
     raw = _TOKEN.findall(text)
-    han = len(_HAN.findall(text)) * 4 > len(text)
-    # the first word of a sentence has its capital by its place
-    alike = ["0" if t[0].isdigit() else "X" if t[0].isupper() and len(t) > 1 and k and raw[k - 1] not in _STOPS else t for k, t in enumerate(raw)]
+    han = len(raw) * 2 > len(text)  # Chinese has a token for nearly every character
+    alike, first = [], True
+    for t in raw:
+        c = t[0]
+        if c in _STOPS:
+            first = True
+            alike.append(t)
+            continue
+        # the first word of a sentence has its capital by its place
+        alike.append("0" if c in _DIGITS else t if first or len(t) == 1 or not c.isupper() else "X")
+        first = False
     return raw, alike, han
 
 
@@ -100,16 +108,26 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             core, mark = split_end(text)
             raw, alike, han = normal(core)
             closed = whole or mark == "dots" or bool(_CLOSED.search(core))
-            # the last word of a text that doesn't close may be cut
-            vocabulary.update([t.lower() for t in (raw if closed else raw[:-1]) if t[0].isalpha() and not _HAN.match(t)])
-            last = len(alike) - (not closed)
-            # the stop of a German ordinal ends no sentence
-            alike = ["°" if t == "." and k > 1 and alike[k - 1] == "0" and raw[k - 2] in _BEFORE_ORDINAL else t for k, t in enumerate(alike)]
+            n = len(alike)
+            last = n - (not closed)
+            # the last word of a text that doesn't close may be cut; a Chinese character is no word
+            vocabulary.update([t.lower() for t in (raw if closed else raw[:-1]) if (len(t) > 1 or t.isascii()) and t[0].isalpha()])
+            stops = []
+            for k, t in enumerate(alike):
+                if t in _STOPS:
+                    # the stop of a German ordinal ends no sentence
+                    if t == "." and k > 1 and alike[k - 1] == "0" and raw[k - 2] in _BEFORE_ORDINAL:
+                        alike[k] = "°"
+                    else:
+                        stops.append(k)
+            closing = [k - 1 for k in stops if k and k <= last and alike[k - 1] not in _STOPS]
+            if last == n and n and alike[-1] not in _STOPS:
+                closing.append(n - 1)
             for size in HAN if han else LATIN:
                 padded = ["."] * (size - 1) + alike
                 grams = list(zip(*[padded[k:] for k in range(size)]))
                 seen.update(grams[:last])
-                ends.update([grams[k] for k in range(last) if alike[k] not in _STOPS and (k + 1 == len(alike) or alike[k + 1] in _STOPS)])
+                ends.update([grams[k] for k in closing])
         if len(seen) > FLUSH:
             yield rows()
     yield rows()
