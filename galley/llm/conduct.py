@@ -47,8 +47,8 @@ FOUND, SURE = 0.25, 0.6
 LONG, STRETCH = (16, 24), (10, 14)
 #: Documents scored at once in a task.
 AT_ONCE = 200
-#: Log odds that the median feature of an offending unit must have in labelled documents.
-MARKED = 2.0
+#: Log odds of an offending unit in labelled documents, at this quantile of its words and word pairs.
+MARKED, PART = 2.0, 0.6
 
 _USER = re.compile(r"^\s*(?:[>|*#-]+\s+)?(?:\[[^\[\]]{2,24}\]|[^\s:：]{2,24}\s?[:：])\s*")
 _CUT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n")
@@ -108,6 +108,14 @@ def grams(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
 
 
+def phrases(ws: list[str]) -> list[str]:
+    """The words of a unit and pairs of neighbours; of Chinese text the longer n-grams."""
+    long = [w for w in ws if len(w) > 1 and _HAN.search(w)]
+    if len(long) * 2 > len(ws):
+        return long
+    return ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])]
+
+
 class Model:
     """Embeddings and softmax; scoring keeps the summed vectors of words it has met."""
 
@@ -212,12 +220,13 @@ def train(labelled: list[tuple[str, list[str]]]) -> Model | None:
     # features by the share of offensive and of clean documents that have them
     pos, neg = Counter(), Counter()
     for y, us in docs:
-        (pos if y else neg).update({w for u in us for w in u})
+        (pos if y else neg).update({w for u in us for w in phrases(u)})
     n_pos, n_neg = len(bad), len(docs) - len(bad)
 
     def odds(u: list[str]) -> float:
-        got = [np.log((pos[w] + 0.1) / n_pos) - np.log((neg[w] + 0.5) / n_neg) for w in u]
-        return float(np.median(got))
+        # what one document alone has may be a name: it counts for less
+        got = [np.log((max(pos[w] - 0.5, 0) + 0.1) / n_pos) - np.log((neg[w] + 0.5) / n_neg) for w in phrases(u)]
+        return float(np.quantile(got, PART))
 
     # wording that clean documents have as well is no offence: such labels are taken as wrong
     marked = {k: [odds(u) for u in docs[k][1]] for k in bad}
