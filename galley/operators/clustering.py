@@ -20,24 +20,31 @@ from galley.sources.snapshots import IT_SQL, items
 
 #: Fixed values of the pair rules.
 JACCARD, OVERLAP, OVERLAP_SIZE, NEAR_BITS, NEAR_JACCARD = 0.42, 0.68, 8, 6, 0.25
-WINDOW_H = 72
+#: Days that reports of one event may lie apart.
+WINDOW_DAYS = 3
 
 
-def similar_sets(sets: DataFrame, least: float) -> DataFrame:
+def similar_sets(sets: DataFrame, least: float, days: int | None = None) -> DataFrame:
     """(a, b, jaccard) of all pairs a < b of (id, grams) with at least this similarity.
 
-    Every set is different and has no repeated element; empty sets have no pairs.
+    With `days` the sets have a column `day` too, and a pair's days differ by no more. No
+    two sets of one day are equal, and none repeats an element; empty sets have no pairs.
     """
-    base = sets.select("id", "grams", F.size("grams").alias("n")).filter("n > 0")
-    each = base.select("id", "n", F.explode("grams").alias("gram"))
+    day = F.lit(0).cast("bigint") if days is None else F.col("day")
+    base = sets.select("id", "grams", F.size("grams").alias("n"), day.alias("day")).filter("n > 0")
+    each = base.select("id", "n", "day", F.explode("grams").alias("gram"))
     # counted before the shuffle; one row per gram
     freq = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = each.join(freq, "gram").groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("order"))
+    ranked = each.join(freq, "gram").groupBy("id", "n", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("order"))
     keep = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
-    prefix = ranked.select("id", "n", F.explode(F.slice("order", 1, keep)).alias("gram"))
-    a, b = (prefix.select("gram", F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
+    span = days or 1
+    prefix = ranked.select("id", "n", "day", F.floor(F.col("day") / span).alias("block"), F.explode(F.slice("order", 1, keep)).alias("gram"))
+    a, b = (prefix.select("gram", "block", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("day").alias(f"day_{k}")) for k in "ab")
+    if days is not None:  # a set meets those of its own stretch of days and of the two beside it
+        b = b.withColumn("block", F.explode(F.array(*[F.col("block") + k for k in (-1, 0, 1)])))
     # sizes of similar sets are close
-    pairs = a.join(b, "gram").filter(f"a < b and na >= {least} * nb - 1e-9 and nb >= {least} * na - 1e-9").select("a", "b").distinct()
+    close = f"a < b and na >= {least} * nb - 1e-9 and nb >= {least} * na - 1e-9 and abs(day_a - day_b) <= {days or 0}"
+    pairs = a.join(b, ["gram", "block"]).filter(close).select("a", "b").distinct()
     ga, gb = (base.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
     return pairs.join(ga, "a").join(gb, "b").withColumn("jaccard", text.jaccard("ga", "gb")).filter(F.col("jaccard") >= least - 1e-12).select("a", "b", "jaccard")
 
@@ -97,15 +104,20 @@ def seeded(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFrame:
 
 
 def gram_classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """((id, class) of each item, (id, grams) of one item for each different set of grams)."""
-    sets = titled(spark, folder).select("id", text.grams("t").alias("grams")).filter(F.size("grams") > 0)
-    sets = sets.withColumn("key", F.sha2(F.array_join("grams", "\u0001"), 256))
-    first = sets.groupBy("key").agg(F.min(F.struct("id", "grams")).alias("x")).select("key", "x.id", "x.grams")
-    return sets.select("id", "key").join(first.select("key", F.col("id").alias("class")), "key").select("id", "class"), first.select("id", "grams")
+    """((id, class) of each item, (id, grams, day) of one item for each set of grams and day).
+
+    The day is that of publication, or of the fetch where there is none; without either an
+    item can't be near another and isn't clustered.
+    """
+    t = titled(spark, folder).select("id", text.grams("t").alias("grams")).filter(F.size("grams") > 0)
+    days = items(spark, folder, "published_ts").select("id", F.floor(F.coalesce("published_ts", "fetched_ts") / 86400).alias("day")).filter("day is not null")
+    sets = t.join(days, "id").withColumn("key", F.sha2(F.concat_ws("\u0001", F.col("day").cast("string"), F.array_join("grams", "\u0001")), 256))
+    first = sets.groupBy("key").agg(F.min(F.struct("id", "grams", "day")).alias("x")).select("key", "x.*")
+    return sets.select("id", "key").join(first.select("key", F.col("id").alias("class")), "key").select("id", "class"), first.select("id", "grams", "day")
 
 
-_SETS = f"{IT_SQL}, {_TOK_SQL}, g AS (SELECT id, list_sort(list_distinct(toks)) AS grams FROM tok WHERE len(toks) > 0), s AS (SELECT min(id) AS id, grams FROM g GROUP BY grams), e AS (SELECT id, unnest(grams) AS gram, len(grams) AS n FROM s)"
-_PAIRS = f"{_SETS}, p AS (SELECT a.id AS a, b.id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard FROM e a JOIN e b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2)"
+_SETS = f"{IT_SQL}, {_TOK_SQL}, g AS (SELECT tok.id, list_sort(list_distinct(toks)) AS grams, CAST(floor(coalesce(it.published_ts, it.fetched_ts) / 86400) AS BIGINT) AS day FROM tok JOIN it ON it.id = tok.id WHERE len(toks) > 0 AND coalesce(it.published_ts, it.fetched_ts) IS NOT NULL), s AS (SELECT min(id) AS id, grams, day FROM g GROUP BY grams, day), e AS (SELECT id, day, unnest(grams) AS gram, len(grams) AS n FROM s)"
+_PAIRS = f"{_SETS}, p AS (SELECT a.id AS a, b.id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard FROM e a JOIN e b ON a.gram = b.gram AND a.id < b.id AND abs(a.day - b.day) <= 3 GROUP BY 1, 2)"
 
 
 @query("A29_gram_frequency", f"WITH {IT_SQL}, {_TOK_SQL} SELECT gram, count(*) AS df FROM (SELECT id, unnest(list_distinct(toks)) AS gram FROM tok) GROUP BY 1")
@@ -126,18 +138,18 @@ def links_of(pairs: DataFrame, value: Column) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("n_links"), F.max("v").alias("best"))
 
 
-@query("J13_similarity_join", f"WITH {_PAIRS}, d AS (SELECT a AS id, jaccard FROM p WHERE jaccard >= 0.42 UNION ALL SELECT b, jaccard FROM p WHERE jaccard >= 0.42), l AS (SELECT id, count(*) AS n_links, round(max(jaccard), 6) AS best FROM d GROUP BY 1) SELECT g.id, s.id AS class_id, coalesce(l.n_links, 0) AS n_links, l.best FROM g JOIN s ON s.grams = g.grams LEFT JOIN l ON l.id = s.id")
+@query("J13_similarity_join", f"WITH {_PAIRS}, d AS (SELECT a AS id, jaccard FROM p WHERE jaccard >= 0.42 UNION ALL SELECT b, jaccard FROM p WHERE jaccard >= 0.42), l AS (SELECT id, count(*) AS n_links, round(max(jaccard), 6) AS best FROM d GROUP BY 1) SELECT g.id, s.id AS class_id, coalesce(l.n_links, 0) AS n_links, l.best FROM g JOIN s ON s.grams = g.grams AND s.day = g.day LEFT JOIN l ON l.id = s.id")
 def similarity_join(spark: SparkSession, folder: str) -> DataFrame:
     """Each item with its class of equal titles, and the links of the class to similar ones."""
     members, sets = gram_classes(spark, folder)
-    links = links_of(similar_sets(sets, JACCARD), F.col("jaccard"))
+    links = links_of(similar_sets(sets, JACCARD, WINDOW_DAYS), F.col("jaccard"))
     return members.join(links.withColumnRenamed("id", "class"), "class", "left").select("id", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.round("best", 6).alias("best"))
 
 
 @query("C03_pair_rules", f"WITH {_PAIRS}, x AS (SELECT p.*, a.simhash AS ha, b.simhash AS hb FROM p JOIN it a ON a.id = p.a JOIN it b ON b.id = p.b WHERE jaccard >= 0.25), v AS (SELECT a, b, CASE WHEN jaccard >= 0.42 THEN greatest(jaccard, 0.6) WHEN bit_count(xor(ha, hb)) <= 6 THEN greatest(0.5, 1 - bit_count(xor(ha, hb)) / 12) ELSE jaccard END AS s FROM x), d AS (SELECT a AS id, s FROM v WHERE s >= 0.5 UNION ALL SELECT b, s FROM v WHERE s >= 0.5) SELECT id, count(*) AS n_links, round(max(s), 6) AS best FROM d GROUP BY 1")
 def pair_rules(spark: SparkSession, folder: str) -> DataFrame:
     """How many partners the rules on sets and fingerprints give each title, and the best similarity."""
-    pairs = similar_sets(gram_classes(spark, folder)[1], NEAR_JACCARD)
+    pairs = similar_sets(gram_classes(spark, folder)[1], NEAR_JACCARD, WINDOW_DAYS)
     prints = items(spark, folder, "simhash")
     a, b = (prints.select(F.col("id").alias(k), F.col("simhash").alias(f"h{k}")) for k in "ab")
     both = pairs.join(a, "a").join(b, "b")
@@ -151,18 +163,18 @@ def best_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """For each title its six most similar ones."""
     from pyspark.sql.window import Window
 
-    q = similar_sets(gram_classes(spark, folder)[1], JACCARD)
+    q = similar_sets(gram_classes(spark, folder)[1], JACCARD, WINDOW_DAYS)
     d = q.select(F.col("a").alias("id"), F.col("b").alias("other"), "jaccard").unionByName(q.select(F.col("b").alias("id"), F.col("a").alias("other"), "jaccard"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("jaccard", 9)), F.desc("other")))
     return d.withColumn("place", place).filter("place <= 6").select("id", "other", "place")
 
 
-@query("C08_clusters", f"WITH RECURSIVE {_PAIRS}, q AS (SELECT a, b FROM p WHERE jaccard >= 0.42), l AS (SELECT a AS x, b AS y FROM q UNION SELECT b, a FROM q), r AS (SELECT id AS v, id AS root FROM s UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.v), c AS (SELECT v, min(root) AS root FROM r GROUP BY 1), m AS (SELECT g.id, s.id AS class FROM g JOIN s ON s.grams = g.grams) SELECT m.id, c.root FROM m JOIN c ON c.v = m.class")
+@query("C08_clusters", f"WITH RECURSIVE {_PAIRS}, q AS (SELECT a, b FROM p WHERE jaccard >= 0.42), l AS (SELECT a AS x, b AS y FROM q UNION SELECT b, a FROM q), r AS (SELECT id AS v, id AS root FROM s UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.v), c AS (SELECT v, min(root) AS root FROM r GROUP BY 1), m AS (SELECT g.id, s.id AS class FROM g JOIN s ON s.grams = g.grams AND s.day = g.day) SELECT m.id, c.root FROM m JOIN c ON c.v = m.class")
 def clusters_of_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Each item with the first id of its group of similar titles."""
     members, sets = gram_classes(spark, folder)
     sets = materialize(sets, "gram-sets")
-    groups = connected(sets, similar_sets(sets, JACCARD))
+    groups = connected(sets, similar_sets(sets, JACCARD, WINDOW_DAYS))
     return members.join(groups.select(F.col("id").alias("class"), "root"), "class").select("id", "root")
 
 
@@ -171,7 +183,7 @@ def conflicts(spark: SparkSession, folder: str) -> DataFrame:
     """For each title the similar ones whose figures contradict it."""
     sets = materialize(gram_classes(spark, folder)[1], "gram-sets")
     ga, gb = (sets.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
-    against = similar_sets(sets, JACCARD).join(ga, "a").join(gb, "b").filter(conflicting("ga", "gb"))
+    against = similar_sets(sets, JACCARD, WINDOW_DAYS).join(ga, "a").join(gb, "b").filter(conflicting("ga", "gb"))
     return links_of(against, F.col("jaccard")).select("id", F.col("n_links").alias("n_conflicts"))
 
 
@@ -181,6 +193,6 @@ def seeded_clusters(spark: SparkSession, folder: str) -> DataFrame:
     members, sets = gram_classes(spark, folder)
     sets = materialize(sets, "gram-sets")
     ga, gb = (sets.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
-    links = similar_sets(sets, JACCARD).join(ga, "a").join(gb, "b").filter(~conflicting("ga", "gb"))
+    links = similar_sets(sets, JACCARD, WINDOW_DAYS).join(ga, "a").join(gb, "b").filter(~conflicting("ga", "gb"))
     groups = seeded(sets, links)
     return members.join(groups.select(F.col("id").alias("class"), "seed"), "class").select("id", "seed")

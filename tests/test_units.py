@@ -108,6 +108,10 @@ def test_similar_sets_is_exact(spark):
     got = clustering.similar_sets(spark.createDataFrame(list(sets.items()), "id string, grams array<string>"), 0.42)
     assert {(r["a"], r["b"]) for r in got.collect()} == want
     assert clustering.similar_sets(spark.createDataFrame([], "id string, grams array<string>"), 0.42).count() == 0
+    days = {i: rng.randint(-9, 30) for i in sets}
+    near = {(a, b) for a, b in want if abs(days[a] - days[b]) <= 3}
+    got = clustering.similar_sets(spark.createDataFrame([(i, g, days[i]) for i, g in sets.items()], "id string, grams array<string>, day long"), 0.42, 3)
+    assert {(r["a"], r["b"]) for r in got.collect()} == near and near
 
 
 def test_connected(spark):
