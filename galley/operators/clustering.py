@@ -38,12 +38,14 @@ def similar_sets(sets: DataFrame, least: float, days: int | None = None) -> Data
     ranked = each.join(freq, "gram").groupBy("id", "n", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("order"))
     keep = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
     span = days or 1
-    prefix = ranked.select("id", "n", "day", F.floor(F.col("day") / span).alias("block"), F.explode(F.slice("order", 1, keep)).alias("gram"))
-    a, b = (prefix.select("gram", "block", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("day").alias(f"day_{k}")) for k in "ab")
+    prefix = ranked.select("id", "n", "day", F.floor(F.col("day") / span).alias("block"), F.posexplode(F.slice("order", 1, keep)).alias("at", "gram"))
+    a, b = (prefix.select("gram", "block", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}"), F.col("day").alias(f"day_{k}")) for k in "ab")
     if days is not None:  # a set meets those of its own stretch of days and of the two beside it
         b = b.withColumn("block", F.explode(F.array(*[F.col("block") + k for k in (-1, 0, 1)])))
-    # sizes of similar sets are close
-    close = f"a < b and na >= {least} * nb - 1e-9 and nb >= {least} * na - 1e-9 and abs(day_a - day_b) <= {days or 0}"
+    # sizes of similar sets are close, and behind the first gram that two of them share there
+    # must be room for the others that they need to share
+    room = f" and least(na - ata, nb - atb) >= {least / (1 + least)} * (na + nb) - 1e-9"
+    close = f"a < b and na >= {least} * nb - 1e-9 and nb >= {least} * na - 1e-9 and abs(day_a - day_b) <= {days or 0}" + room
     pairs = a.join(b, ["gram", "block"]).filter(close).select("a", "b").distinct()
     ga, gb = (base.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
     return pairs.join(ga, "a").join(gb, "b").withColumn("jaccard", text.jaccard("ga", "gb")).filter(F.col("jaccard") >= least - 1e-12).select("a", "b", "jaccard")
@@ -109,9 +111,11 @@ def gram_classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     The day is that of publication, or of the fetch where there is none; without either an
     item can't be near another and isn't clustered.
     """
-    t = titled(spark, folder).select("id", text.grams("t").alias("grams")).filter(F.size("grams") > 0)
-    days = items(spark, folder, "published_ts").select("id", F.floor(F.coalesce("published_ts", "fetched_ts") / 86400).alias("day")).filter("day is not null")
-    sets = t.join(days, "id").withColumn("key", F.sha2(F.concat_ws("\u0001", F.col("day").cast("string"), F.array_join("grams", "\u0001")), 256))
+    it = items(spark, folder, "title", "canonical_title", "published_ts")
+    title = F.coalesce(F.nullif("canonical_title", F.lit("")), "title", F.lit(""))
+    sets = it.select("id", text.grams(title).alias("grams"), F.floor(F.coalesce("published_ts", "fetched_ts") / 86400).alias("day")).filter("size(grams) > 0 and day is not null")
+    # written once, as the tokens are the costly part and both results come from them
+    sets = materialize(sets.withColumn("key", F.sha2(F.concat_ws("\u0001", F.col("day").cast("string"), F.array_join("grams", "\u0001")), 256)), "gram-items")
     first = sets.groupBy("key").agg(F.min(F.struct("id", "grams", "day")).alias("x")).select("key", "x.*")
     return sets.select("id", "key").join(first.select("key", F.col("id").alias("class")), "key").select("id", "class"), first.select("id", "grams", "day")
 
