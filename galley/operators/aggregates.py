@@ -197,7 +197,7 @@ def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
     part = F.row_number().over(Window.partitionBy("lang", "role", "salt").orderBy("h", "id"))
     few = salted.withColumn("k", part).filter("k <= 200")
     n = F.row_number().over(Window.partitionBy("lang", "role").orderBy("h", "id"))
-    return few.withColumn("n", n).select("id", "lang", "role", "n").orderBy("n", "lang", "role").limit(200)
+    return few.withColumn("n", n.cast("bigint")).select("id", "lang", "role", "n").orderBy("n", "lang", "role").limit(200)
 
 
 @query("A28_topic_radar", f"WITH {CL_SQL}, {IT_SQL}, t AS (SELECT id, unnest(topics) AS topic FROM cl), r AS (SELECT DISTINCT it.cluster_id, s.source_role FROM it JOIN sources s ON s.id = it.source_id) SELECT t.topic, count(DISTINCT t.id) AS n_clusters, count(DISTINCT t.id) FILTER (WHERE r.source_role = 'official') AS n_official, count(DISTINCT t.id) FILTER (WHERE r.source_role IN ('reporting', 'wire')) AS n_reported FROM t LEFT JOIN r ON r.cluster_id = t.id GROUP BY 1 ORDER BY n_clusters DESC, topic LIMIT 12")

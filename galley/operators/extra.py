@@ -142,7 +142,7 @@ def bridge_key_counts(spark: SparkSession, folder: str) -> DataFrame:
     return items(spark, folder, "title").select("id", F.size(bridge_keys(subjects, events)).alias("n_keys"))
 
 
-@query("F27_relevance", f"WITH {IT_SQL}, m AS (SELECT id, len([w FOR w IN ['chip', 'sensor', 'satellite', '芯片', '卫星'] IF contains(lower(coalesce(title, '')), w)]) AS h, len([w FOR w IN ['chip', 'sensor', 'satellite', '芯片', '卫星'] IF contains(lower(coalesce(title, '') || ' ' || substr(coalesce(summary, ''), 1, 1200)), w)]) AS a FROM it) SELECT id, round(least(1.0, 0.34 * h + 0.10 * (a - h)), 6) AS strength FROM m")
+@query("F27_relevance", f"WITH {IT_SQL}, m AS (SELECT id, len([w FOR w IN ['chip', 'sensor', 'satellite', '芯片', '卫星'] IF contains(lower(coalesce(title, '')), w)]) AS h, len([w FOR w IN ['chip', 'sensor', 'satellite', '芯片', '卫星'] IF contains(lower(coalesce(title, '') || ' ' || substr(coalesce(summary, ''), 1, 1200)), w)]) AS a FROM it) SELECT id, round(least(1.0, 0.34 * h + 0.10 * (a - h)), 6)::DOUBLE AS strength FROM m")
 def topic_strength(spark: SparkSession, folder: str) -> DataFrame:
     """How strongly an item is about a topic: words of the headline weigh more than those of the text."""
     topic = ["chip", "sensor", "satellite", "芯片", "卫星"]

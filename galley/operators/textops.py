@@ -140,7 +140,7 @@ _QUALITY = f"""x AS (SELECT id, headline AS h, '' AS b, headline || ' ' AS t FRO
 q AS (SELECT id, h, t, {_words('CLICKBAIT', 'h')} AS cb, {_words('RUMOR', 't')} AS ru, {_words('ATTRIBUTION', 't')} AS att, {_words('HYPE', 'h')} AS hy, len(regexp_extract_all(h, '[！!？?]')) AS m, len(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)?')) AS f FROM x)
 SELECT id, round(greatest(0.0, least(1.0, 0.62 - least(0.30, 0.10 * cb) - least(0.28, 0.12 * ru) * CASE WHEN att > 0 THEN 0.5 ELSE 1.0 END + least(0.20, 0.07 * att) - least(0.12, 0.06 * hy)
  - CASE WHEN m >= 2 THEN 0.10 WHEN m = 1 AND regexp_matches(h, '[！!]$') THEN 0.04 ELSE 0 END - CASE WHEN regexp_matches(h, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}\\x{{1F000}}-\\x{{1F2FF}}]') THEN 0.08 ELSE 0 END
- + CASE WHEN f >= 3 THEN 0.10 WHEN f >= 1 THEN 0.04 ELSE 0 END + CASE WHEN regexp_matches(t, '[“”"「」]') THEN 0.04 ELSE 0 END - CASE WHEN len(h) < 8 THEN 0.06 ELSE 0 END - CASE WHEN len(h) > 60 THEN 0.04 ELSE 0 END - 0.05)), 6) AS quality FROM q"""
+ + CASE WHEN f >= 3 THEN 0.10 WHEN f >= 1 THEN 0.04 ELSE 0 END + CASE WHEN regexp_matches(t, '[“”"「」]') THEN 0.04 ELSE 0 END - CASE WHEN len(h) < 8 THEN 0.06 ELSE 0 END - CASE WHEN len(h) > 60 THEN 0.04 ELSE 0 END - 0.05)), 6)::DOUBLE AS quality FROM q"""
 
 
 @query("F24_content_quality", f"WITH {CL_SQL}, {_QUALITY}")

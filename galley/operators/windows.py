@@ -25,7 +25,7 @@ def top_by_topic(spark: SparkSession, folder: str) -> DataFrame:
     t = clusters(spark, folder, "topics", "rank").filter("rank is not null").select("id", F.explode(F.array_distinct("topics")).alias("topic"), "rank")
     # a group-limit is pushed below the shuffle, so each task sends at most five rows a topic
     place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("rank"), "id"))
-    return t.withColumn("place", place).filter("place <= 5").select("topic", "place", "id")
+    return t.withColumn("place", place).filter("place <= 5").select("topic", F.col("place").cast("bigint").alias("place"), "id")
 
 
 _DELTA = f"""{PR_SQL}, m AS (SELECT source_id, CAST(floor(ts / (7*86400)) AS BIGINT) AS week, sum(coalesce(n_new, 0))::BIGINT AS n FROM pr GROUP BY 1, 2),
@@ -73,7 +73,7 @@ def owner_cap(spark: SparkSession, folder: str) -> DataFrame:
     f = front(spark, folder)
     cap = F.broadcast(f.agg(F.greatest(F.lit(1), F.ceil(0.1 * F.count("*"))).alias("cap")))
     k = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("rank"), "id"))
-    return f.withColumn("k", k).join(cap, F.col("k") <= F.col("cap")).select("id", "owner", "k")
+    return f.withColumn("k", k.cast("bigint")).join(cap, F.col("k") <= F.col("cap")).select("id", "owner", "k")
 
 
 def interleave(df: DataFrame, minor: Column, order: list[Column], every: int) -> DataFrame:
@@ -88,7 +88,7 @@ def interleave(df: DataFrame, minor: Column, order: list[Column], every: int) ->
 @query("W06_interleave", f"WITH {_FRONT}, n AS (SELECT *, row_number() OVER (PARTITION BY minor ORDER BY rank DESC, id) AS n FROM f), t AS (SELECT *, CASE WHEN minor THEN n - 1 ELSE (n - 1) // 4 END AS turn FROM n) SELECT id, minor, row_number() OVER (ORDER BY turn, minor, n) AS place FROM t")
 def interleaved(spark: SparkSession, folder: str) -> DataFrame:
     # the list is the front FEED rows, whatever the size of the table
-    return interleave(front(spark, folder), F.col("minor"), [F.desc("rank"), F.col("id")], 4).select("id", "minor", "place")
+    return interleave(front(spark, folder), F.col("minor"), [F.desc("rank"), F.col("id")], 4).select("id", "minor", F.col("place").cast("bigint").alias("place"))
 
 
 @query("W07_lead_time", f"WITH {IT_SQL}, f AS (SELECT cluster_id, min(published_ts) AS first_ts, arg_min(grp, (published_ts, id)) AS first_grp FROM it WHERE cluster_id IS NOT NULL AND published_ts IS NOT NULL GROUP BY 1) SELECT it.cluster_id, f.first_grp, min(it.published_ts) - f.first_ts AS lead_s FROM it JOIN f ON f.cluster_id = it.cluster_id WHERE it.grp <> f.first_grp AND it.published_ts IS NOT NULL GROUP BY it.cluster_id, f.first_grp, f.first_ts")
@@ -143,11 +143,11 @@ def page(spark: SparkSession, folder: str) -> DataFrame:
 @query("K04_latest_forward", f"WITH {PR_SQL}, l AS (SELECT id, ts FROM pr ORDER BY ts DESC, id DESC LIMIT 60) SELECT id, ts, row_number() OVER (ORDER BY ts, id) AS place FROM l")
 def latest_forward(spark: SparkSession, folder: str) -> DataFrame:
     last = probes(spark, folder).orderBy(F.desc("ts"), F.desc("id")).limit(60).select("id", "ts")
-    return last.withColumn("place", F.row_number().over(Window.partitionBy().orderBy("ts", "id")))  # sixty rows
+    return last.withColumn("place", F.row_number().over(Window.partitionBy().orderBy("ts", "id")).cast("bigint"))  # sixty rows
 
 
 @query("K07_timeline", f"WITH {IT_SQL}, r AS (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(published_ts, fetched_ts), tier, id) AS place FROM it WHERE cluster_id IS NOT NULL) SELECT cluster_id, place, id FROM r WHERE place <= 50")
 def timeline(spark: SparkSession, folder: str) -> DataFrame:
     it = items(spark, folder, "cluster_id", "published_ts", "tier").filter("cluster_id is not null")
     place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.coalesce("published_ts", "fetched_ts"), "tier", "id"))
-    return it.withColumn("place", place).filter("place <= 50").select("cluster_id", "place", "id")
+    return it.withColumn("place", place).filter("place <= 50").select("cluster_id", F.col("place").cast("bigint").alias("place"), "id")

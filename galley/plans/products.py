@@ -55,7 +55,7 @@ def cluster_detail(spark: SparkSession, folder: str) -> DataFrame:
     so = sources(spark, folder).select(F.col("id").alias("source_id"), "owner")
     rows = it.join(F.broadcast(top), "id").join(so, "source_id", "left")  # twenty rows
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("published_ts", "fetched_ts"), "tier", "item_id"))
-    return rows.select("id", "item_id", "source_id", F.coalesce("owner", F.lit("")).alias("owner"), place.alias("place"))
+    return rows.select("id", "item_id", "source_id", F.coalesce("owner", F.lit("")).alias("owner"), place.cast("bigint").alias("place"))
 
 
 _QUESTION = "bank satellite"
@@ -116,7 +116,7 @@ def digest(spark: SparkSession, folder: str) -> DataFrame:
     # the places of a part come from its first rows only; a limit per part is pushed below the shuffle
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("rank"), "id"))
     top = cl.withColumn("part", part).withColumn("place", place).filter("place <= 12")
-    return top.filter((F.col("part") == "signal") | (F.col("place") <= 8)).select("part", "place", "id")
+    return top.filter((F.col("part") == "signal") | (F.col("place") <= 8)).select("part", F.col("place").cast("bigint").alias("place"), "id")
 
 
 @query("Q15_lead_scorecard", f"WITH {IT_SQL}, f AS (SELECT cluster_id, min(published_ts) AS first_ts, arg_min(grp, (published_ts, id)) AS first_grp FROM it WHERE cluster_id IS NOT NULL AND published_ts IS NOT NULL GROUP BY 1), l AS (SELECT it.cluster_id, f.first_grp, min(it.published_ts) - f.first_ts AS lead_s FROM it JOIN f ON f.cluster_id = it.cluster_id WHERE it.grp <> f.first_grp AND it.published_ts IS NOT NULL GROUP BY it.cluster_id, f.first_grp, f.first_ts) SELECT first_grp AS grp, count(*) AS n_led, median(lead_s)::DOUBLE AS median_lead_s FROM l GROUP BY 1")
