@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Names of round-ups, and the marks between their parts.
+DIGEST = "早报|晚报|日报|周报|晨报|晨会|午评|晚评|快讯|要闻|速览|盘点|早知道|一周回顾|news roundup|roundup|news digest|in brief|week in review|morning brief|im überblick|kurz & knapp|news kompakt|en bref|l'essentiel"
+PARTS = "[；;丨|‖]"
 #: A small lexicon of event kinds over the languages of the desk.
 EVENTS = {
     "recall": ("recalls", "ruft nach fehler", "rappelle", "召回", "retira", "recolhe"),
@@ -64,6 +67,12 @@ def quantities(text: Column) -> Column:
     return F.struct(distinct(pct).alias("pct"), distinct(F.concat(*amounts)).alias("num"), F.regexp_count(left, F.lit(PLAIN)).alias("n_plain"))
 
 
+def digest(text: Column) -> Column:
+    """Whether a title is a round-up of several events."""
+    t = F.coalesce(text, F.lit(""))
+    return F.lower(t).rlike(DIGEST) | (F.regexp_count(t, F.lit(PARTS)) >= 2)
+
+
 def bridge_keys(subjects: Column, events: Column) -> Column:
     """Every subject with every event, as keys to block on."""
     return F.flatten(F.transform(subjects, lambda s: F.transform(events, lambda e: F.concat(s, F.lit(":"), e))))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from galley.functions import text
-from galley.operators.clustering import _SETS, gram_classes
+from galley.functions import features, text
+from galley.operators.clustering import _SETS, WINDOW_DAYS, gram_classes
+from galley.operators.content import _lexicon_sql
+from galley.operators.textops import titled
 from galley.plans.catalog import query
+from galley.session import materialize
 from galley.sources.snapshots import CL_SQL, IT_SQL, PR_SQL, clusters, items, probes, sources
 from galley.sources.tables import table
 
@@ -83,6 +88,75 @@ def blocked_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(b, "gram").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 2")
 
 
+#: Most sets of one stretch of days that a task takes as its own.
+STRETCH_ROWS = 20_000
+
+
+def sharing(sets: DataFrame, days: int) -> DataFrame:
+    """(id, n_links, most) of (id, day, keys): how many sets within `days` share keys of weight two or more, and the most shared.
+
+    `keys` are structs of a number k and a weight w. The pairs grow with the square of a stretch
+    of days, so they are counted against the inverted index of the stretch and never written.
+    """
+    base = sets.select("id", "day", F.col("keys.k").alias("k"), F.col("keys.w").alias("w"), F.floor(F.col("day") / days).alias("home"))
+    largest = base.groupBy("home").count().agg(F.max("count")).first()[0] or 0
+    slices = -(-largest // STRETCH_ROWS) or 1
+    # a set meets those of its own stretch and of the two beside it; large stretches are shared out by the set's own slice
+    spread = base.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("block", F.explode(F.array(*[F.col("home") + i for i in (-1, 0, 1)])))
+    spread = spread.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("own", (F.col("home") == F.col("block")) & (F.col("own") == F.col("slice")))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        mine = np.flatnonzero(b["own"].to_numpy())
+        if len(mine):
+            n, day, ids = len(b), b["day"].to_numpy(), b["id"].to_numpy()
+            sizes = np.array([len(x) for x in b["k"]])
+            token = np.unique(np.concatenate(list(b["k"])), return_inverse=True)[1]
+            weight = np.concatenate(list(b["w"]))
+            order = np.argsort(token, kind="stable")
+            place, ends = np.repeat(np.arange(n), sizes)[order], np.cumsum(np.bincount(token))
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            for i in mine:
+                at = slice(first[i], first[i + 1])
+                shared = np.zeros(n, np.int64)
+                for t, w in zip(token[at], weight[at]):
+                    shared[place[ends[t - 1] if t else 0 : ends[t]]] += w
+                shared[i] = 0
+                shared[np.abs(day - day[i]) > days] = 0
+                found = int((shared >= 2).sum())
+                if found:
+                    out.append((ids[i], found, int(shared.max())))
+        return pd.DataFrame(out, columns=["id", "n_links", "most"])
+
+    return spread.filter("size(k) > 0").select("block", "slice", "id", "day", "own", "k", "w").groupBy("block", "slice").applyInPandas(run, "id string, n_links long, most long")
+
+
+_KEYS_SQL = f"""{_SETS}, f AS (SELECT gram, count(*) AS df FROM e GROUP BY 1 HAVING count(*) <= greatest(8, floor(0.12 * (SELECT count(*) FROM s)))),
+h AS (SELECT id, t, {_lexicon_sql('t')} AS events FROM (SELECT id, coalesce(nullif(canonical_title, ''), title, '') AS t FROM it)),
+b AS (SELECT s.id, s.day, unnest(list_distinct(regexp_extract_all(h.t, '[A-Z][a-z]+'))) AS subject, h.events FROM s JOIN h ON h.id = s.id WHERE NOT regexp_matches(lower(h.t), '{features.DIGEST.replace("'", "''")}') AND len(regexp_extract_all(h.t, '{features.PARTS}')) < 2),
+k AS (SELECT e.id, e.day, 'g:' || e.gram AS k, 1 AS w FROM e JOIN f ON f.gram = e.gram UNION ALL SELECT id, day, 'x:' || subject || ':' || unnest(events), 2 FROM b)"""
+
+
+@query("J12_blocked_links", f"WITH {_KEYS_SQL}, p AS (SELECT a.id AS a, b.id AS b, sum(a.w) AS shared FROM k a JOIN k b ON b.k = a.k AND a.id <> b.id AND abs(a.day - b.day) <= 3 GROUP BY 1, 2 HAVING sum(a.w) >= 2) SELECT a AS id, count(*) AS n_links, max(shared)::BIGINT AS most FROM p GROUP BY 1")
+def blocked_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The candidates of each title, counted: others within three days that share two grams, or a named subject and its event.
+
+    A gram counts up to 0.12 of the titles, and up to eight of few; a subject with its event weighs two.
+    Round-ups give no such keys.
+    """
+    sets = materialize(gram_classes(spark, folder)[1], "gram-sets")
+    cap = F.broadcast(sets.agg(F.greatest(F.lit(8), F.floor(0.12 * F.count("*"))).alias("cap")))
+    # no more grams can be in over 0.12 of the titles than 8.3 times the grams of a mean title: one row
+    common = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).join(cap, F.col("df") > F.col("cap")).agg(F.collect_list("gram").alias("common"))
+    numbered = lambda x, kind, w: F.transform(x, lambda k: F.struct(F.xxhash64(F.concat(F.lit(kind), k)).alias("k"), F.lit(w).alias("w")))
+    subjects = F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Z][a-z]+"), F.lit(0)))
+    names = features.bridge_keys(subjects, features.labels(F.col("t"), features.EVENTS))
+    named = titled(spark, folder).filter(~features.digest(F.col("t"))).select("id", names.alias("names")).filter("size(names) > 0")
+    both = sets.crossJoin(F.broadcast(common)).join(named, "id", "left")
+    keys = both.select("id", "day", F.concat(numbered(F.array_except("grams", "common"), "g:", 1), F.coalesce(numbered(F.col("names"), "x:", 2), F.array())).alias("keys"))
+    return sharing(keys, WINDOW_DAYS)
+
+
 @query("J19_owner_pairs", "SELECT a.id AS a, b.id AS b FROM sources a JOIN sources b ON a.owner = b.owner AND a.id < b.id")
 def owner_pairs(spark: SparkSession, folder: str) -> DataFrame:
     so = sources(spark, folder).filter("owner is not null")

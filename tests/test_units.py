@@ -114,6 +114,27 @@ def test_similar_sets_is_exact(spark):
     assert {(r["a"], r["b"]) for r in got.collect()} == near and near
 
 
+def test_sharing_has_no_fixed_cap(spark):
+    from galley.operators import extra
+
+    rng = random.Random(4)
+    # 60 sets over few keys: every key is in far more than eight sets; key 0 weighs two
+    sets = {f"s{i:02}": (rng.randint(0, 12), rng.sample(range(9), 3)) for i in range(60)}
+    weight = lambda k: 2 if k == 0 else 1
+    want = {}
+    for a, (da, ka) in sets.items():
+        found = [n for b, (db, kb) in sets.items() if a != b and abs(da - db) <= 3 and (n := sum(map(weight, set(ka) & set(kb)))) >= 2]
+        if found:
+            want[a] = (len(found), max(found))
+    df = spark.createDataFrame([(i, d, [(k, weight(k)) for k in ks]) for i, (d, ks) in sets.items()], "id string, day long, keys array<struct<k: long, w: int>>")
+    extra.STRETCH_ROWS, kept = 7, extra.STRETCH_ROWS  # several slices
+    try:
+        got = {r["id"]: (r["n_links"], r["most"]) for r in extra.sharing(df, 3).collect()}
+    finally:
+        extra.STRETCH_ROWS = kept
+    assert got == want and want
+
+
 def test_connected(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)]
     nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 102, 200]], "id long")
