@@ -27,6 +27,8 @@ PERCENT = "([0-9]+(?:\\.[0-9]+)?)\\s*(?:%|％|percent)"
 POINTS = "([0-9]+(?:\\.[0-9]+)?)\\s*(?:个)?(?:基点|basis points?|bps)"
 UNITS = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12, "万亿": 1e12, "亿": 1e8, "万": 1e4}
 PLAIN = "[0-9]+(?:\\.[0-9]+)?"
+#: A number that is no part of a word.
+PLAIN_ALONE = "(?<![\\p{L}\\p{N}_.])(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+(?:\\.[0-9]+)?)(?![\\p{L}\\p{N}_.])"
 
 
 def labels(text: Column, lexicon: dict[str, tuple[str, ...]]) -> Column:
@@ -67,6 +69,26 @@ def quantities(text: Column) -> Column:
     return F.struct(distinct(pct).alias("pct"), distinct(F.concat(*amounts)).alias("num"), F.regexp_count(left, F.lit(PLAIN)).alias("n_plain"))
 
 
+def amounts(text: Column) -> Column:
+    """The numbers of a text by kind, sorted, each once: pct:, num: and, for plain numbers that are no years, count:."""
+    t = F.coalesce(text, F.lit(""))
+    left = F.regexp_replace(F.regexp_replace(t, POINTS, " "), PERCENT, " ")
+    for unit in UNITS:
+        left = F.regexp_replace(left, f"({PLAIN})\\s*{unit}", " ")
+    for _, pattern in PERIODS:
+        left = F.regexp_replace(left, pattern, " ")
+    plain = F.transform(F.regexp_extract_all(left, F.lit(PLAIN_ALONE), F.lit(0)), lambda x: F.replace(x, F.lit(",")))
+    plain = F.filter(plain, lambda x: ~(x.rlike("^[0-9]{4}$") & x.cast("double").between(1900, 2100)))
+    q = quantities(t)
+    marked = lambda kind, x: F.transform(x, lambda v: F.concat(F.lit(kind), v.cast("double").cast("string")))
+    return F.array_sort(F.array_distinct(F.concat(marked("pct:", q["pct"]), marked("num:", q["num"]), marked("count:", plain))))
+
+
+def subjects(text: Column) -> Column:
+    """Words with a capital letter, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Z][a-z]+"), F.lit(0)))
+
+
 def digest(text: Column) -> Column:
     """Whether a title is a round-up of several events."""
     t = F.coalesce(text, F.lit(""))

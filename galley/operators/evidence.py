@@ -8,13 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.functions import text
+from galley.functions import features, text
 from galley.operators.textops import _TOKENS
 from galley.plans.catalog import query
 from galley.sources.snapshots import IT_SQL, items, sources
 
 #: Similarity from which a text supports a claim, two texts are related, and how a contained text counts.
 SUPPORT, RELATED, CONTAINED = 0.38, 0.26, 0.82
+#: Fixed value: similarity from which different figures contradict each other.
+FIGURES = 0.30
 #: Pairs of opposite words.
 OPPOSITES = (
     (("上涨", "增长", "上升", "increase", "increased", "rises", "rose"), ("下跌", "下降", "减少", "decrease", "decreased", "falls", "fell")),
@@ -56,6 +58,38 @@ def claim_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("cluster_id", "item_id", "grp", "role", F.round("s", 6).alias("similarity"), relation.alias("relation"))
 
 
+def contradicting(it: DataFrame) -> DataFrame:
+    """(cluster_id, item_id, n_opposed, n_figures): how many items of other owners in its cluster contradict each item.
+
+    `it` has id, cluster_id, source_id, grp and title; an item without an owner group counts for its
+    source. Titles are related if they are similar or name the same subject. Related titles contradict
+    each other by opposite words, else by figures of which none is shared. Equal titles of one owner
+    fall together before the pairs; items without a title have nothing to contradict.
+    """
+    owned = it.filter("cluster_id is not null and title <> ''").select("id", "cluster_id", F.coalesce(F.nullif("grp", F.lit("")), "source_id", F.lit("")).alias("owner"), "title")
+    low = F.lower("title")
+
+    def sides(k: int) -> Column:
+        return sum((F.when(low.rlike("|".join(pair[k])), 2**n).otherwise(0) for n, pair in enumerate(OPPOSITES)), F.lit(0))
+
+    once = owned.groupBy("cluster_id", "owner", "title").agg(F.count("*").alias("n"))
+    full = once.select("cluster_id", "owner", "title", "n", text.grams("title").alias("g"), features.amounts(F.col("title")).alias("f"), features.subjects(F.col("title")).alias("s"), sides(0).alias("up"), sides(1).alias("down"))
+    a, b = (full.select("cluster_id", *[F.col(c).alias(f"{c}_{k}") for c in ("owner", "title", "n", "g", "f", "s", "up", "down")]) for k in "ab")
+    against = F.col("up_a").bitwiseAND(F.col("down_b")).bitwiseOR(F.col("down_a").bitwiseAND(F.col("up_b"))) != 0
+    figures = (F.size("f_a") > 0) & (F.size("f_b") > 0) & ~F.arrays_overlap("f_a", "f_b")
+    pairs = a.join(b, "cluster_id").filter("owner_a < owner_b").filter(against | figures).withColumn("like", similar(F.col("g_a"), F.col("g_b")))
+    pairs = pairs.withColumn("why", F.when((F.col("like") < RELATED) & ~F.arrays_overlap("s_a", "s_b"), None).when(against, "opposed").when(figures & (F.col("like") >= FIGURES), "figures")).filter("why is not null")
+    ends = pairs.select("cluster_id", "why", F.explode(F.array(*[F.struct(F.col(f"owner_{x}").alias("owner"), F.col(f"title_{x}").alias("title"), F.col(f"n_{y}").alias("n")) for x, y in ("ab", "ba")])).alias("x"))
+    found = ends.groupBy("cluster_id", "x.owner", "x.title").agg(*[F.sum(F.when(F.col("why") == w, F.col("x.n")).otherwise(0)).alias(f"n_{w}") for w in ("opposed", "figures")])
+    return owned.join(found, ["cluster_id", "owner", "title"]).select("cluster_id", F.col("id").alias("item_id"), "n_opposed", "n_figures")
+
+
+@query("J14_contradictions")
+def contradictions(spark: SparkSession, folder: str) -> DataFrame:
+    """The items that items of other owners in their cluster contradict."""
+    return contradicting(items(spark, folder, "cluster_id", "grp", "title"))
+
+
 _G = _TOKENS.replace("(t, '", "(title, '").replace("(t,", "(title,")
 _CLAIM_SQL = f"""{IT_SQL}, e AS (SELECT it.cluster_id, it.id AS item_id, it.grp, coalesce(s.source_role, 'reporting') AS role, it.title, it.tier, list_distinct({_G}) AS g FROM it LEFT JOIN sources s ON s.id = it.source_id WHERE it.cluster_id IS NOT NULL AND it.title IS NOT NULL),
 c AS (SELECT * FROM (SELECT cluster_id, item_id AS claim_item, title AS claim, g AS grams, row_number() OVER (PARTITION BY cluster_id ORDER BY tier, len(title) DESC, item_id) AS n FROM e) WHERE n = 1),

@@ -182,6 +182,18 @@ def test_bands_and_scores(spark):
     assert one(spark, "震惊！！网传", F.round(scoring.content_quality(F.col("a"), F.lit(""), F.lit(0)), 4)) == pytest.approx(0.62 - 0.1 - 0.12 - 0.1 - 0.06 - 0.05)
 
 
+def test_contradictions_of_all_items(spark):
+    rows = [
+        ("1", "c", "s1", "A", 1, "Exports from Rokpas rise 35.4% as demand returns, rose"), ("2", "c", "s2", "B", 3, "Exports from Rokpas fell 12.1% as demand returns"),
+        ("3", "c", "s2", "B", 2, "Exports from Rokpas up 35.4% as demand returns"), ("4", "c", "s3", None, 2, "Exports from Rokpas up 12.1% as demand returns"),
+        ("5", "c", "s3", None, 2, "Exports from Rokpas up 12.1% as demand returns"), ("6", "c", "s4", None, 1, "Quite another thing with 7 ducks"),
+        ("7", "d", "s1", "A", 1, "Exports from Rokpas fell 9% as demand returns"), ("8", "c", "s5", "", 1, None), ("9", "c", "s1", "A", 2, "Rokpas council approves plan 12.1%"), ("10", "c", "s2", "B", 2, "Judge blocks Rokpas 12.1%")]
+    df = spark.createDataFrame(rows, "id string, cluster_id string, source_id string, grp string, tier int, title string")
+    got = {r["item_id"]: (r["n_opposed"], r["n_figures"]) for r in evidence.contradicting(df).collect()}
+    # 1 against 2 by words, against 4 and 5 by figures; 3 against 4 and 5 (a second report of B), 9 against 10 by subject
+    assert got == {"1": (1, 2), "2": (1, 0), "3": (0, 2), "4": (0, 2), "5": (0, 2), "9": (1, 0), "10": (1, 0)}
+
+
 def test_representatives():
     assert evidence.representatives(["Bank raises rates again", "Bank raises rates again today", "Court fines bank"]) == ["Bank raises rates again", "Court fines bank"]
 
