@@ -20,10 +20,20 @@ from galley.sources.snapshots import IT_SQL, items
 
 #: Fixed values of the pair rules.
 JACCARD, OVERLAP, OVERLAP_SIZE, NEAR_BITS, NEAR_JACCARD = 0.42, 0.68, 8, 6, 0.25
+#: Similarity by the pair rules from which two titles are linked.
+LINKED = 0.5
 #: Days that reports of one event may lie apart.
 WINDOW_DAYS = 3
 
 
+def rare_first(base: DataFrame) -> DataFrame:
+    """(id, n, day, order) of (id, grams, n, day): the grams from rare to common."""
+    each = base.select("id", "n", "day", F.explode("grams").alias("gram"))
+    # counted before the shuffle; one row per gram
+    freq = each.groupBy("gram").agg(F.count("*").alias("df"))
+    return each.join(freq, "gram").groupBy("id", "n", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("order"))
+
+
 def similar_sets(sets: DataFrame, least: float, days: int | None = None) -> DataFrame:
     """(a, b, jaccard) of all pairs a < b of (id, grams) with at least this similarity.
 
@@ -32,10 +42,7 @@ def similar_sets(sets: DataFrame, least: float, days: int | None = None) -> Data
     """
     day = F.lit(0).cast("bigint") if days is None else F.col("day")
     base = sets.select("id", "grams", F.size("grams").alias("n"), day.alias("day")).filter("n > 0")
-    each = base.select("id", "n", "day", F.explode("grams").alias("gram"))
-    # counted before the shuffle; one row per gram
-    freq = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = each.join(freq, "gram").groupBy("id", "n", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("order"))
+    ranked = rare_first(base)
     keep = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
     span = days or 1
     prefix = ranked.select("id", "n", "day", F.floor(F.col("day") / span).alias("block"), F.posexplode(F.slice("order", 1, keep)).alias("at", "gram"))
@@ -51,11 +58,42 @@ def similar_sets(sets: DataFrame, least: float, days: int | None = None) -> Data
     return pairs.join(ga, "a").join(gb, "b").withColumn("jaccard", text.jaccard("ga", "gb")).filter(F.col("jaccard") >= least - 1e-12).select("a", "b", "jaccard")
 
 
+def contained_sets(sets: DataFrame, least: float, size: int, days: int) -> DataFrame:
+    """(a, b, overlap) of all pairs a < b of (id, grams, day) of which the smaller set, of `size` grams or more, has this share of its grams in the other.
+
+    The smaller set must have one of its n - ceil(least n) + 1 rarest grams in the other, anywhere
+    there. As in `similar_sets` no gram is capped.
+    """
+    base = sets.select("id", "grams", F.size("grams").alias("n"), "day").filter(F.col("n") >= size)
+    ranked = rare_first(base).withColumn("block", F.floor(F.col("day") / days))
+    keep = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
+    small = ranked.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("day").alias("dx"), "block", F.explode(F.slice("order", 1, keep)).alias("gram"))
+    large = ranked.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("day").alias("dy"), F.col("block").alias("home"), F.explode("order").alias("gram"))
+    large = large.select("y", "ny", "dy", "gram", F.explode(F.array(*[F.col("home") + k for k in (-1, 0, 1)])).alias("block"))
+    met = small.join(large, ["gram", "block"]).filter(f"x <> y and nx <= ny and abs(dx - dy) <= {days}")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    ga, gb = (base.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
+    return pairs.join(ga, "a").join(gb, "b").withColumn("overlap", text.overlap("ga", "gb")).filter(F.col("overlap") >= least - 1e-12).select("a", "b", "overlap")
+
+
 def similarity(j: Column, over: Column, least: Column, bits: Column) -> Column:
     """The cascade of pair rules: plain similarity, containment of a long title, near fingerprints."""
     return F.when(j >= JACCARD, F.greatest(j, F.lit(0.6))).when((over >= OVERLAP) & (least >= OVERLAP_SIZE), F.greatest(0.9 * over, F.lit(0.55))).when((bits <= NEAR_BITS) & (j >= NEAR_JACCARD), F.greatest(F.lit(0.5), 1 - bits / 12)).otherwise(j)
 
 
+def cascade(sets: DataFrame, prints: DataFrame) -> DataFrame:
+    """(a, b, s) of the pairs of (id, grams, day) that the pair rules give LINKED or more; `prints` has (id, simhash).
+
+    The rules that need the desk's lexicon of entities (rescue, bridge) aren't among them.
+    """
+    pairs = similar_sets(sets, NEAR_JACCARD, WINDOW_DAYS).select("a", "b").unionByName(contained_sets(sets, OVERLAP, OVERLAP_SIZE, WINDOW_DAYS).select("a", "b")).distinct()
+    full = sets.join(prints.select("id", "simhash"), "id", "left")
+    a, b = (full.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}"), F.col("simhash").alias(f"h{k}")) for k in "ab")
+    bits = F.when((F.col("ha") != 0) & (F.col("hb") != 0), text.hamming("ha", "hb")).otherwise(64)
+    s = similarity(text.jaccard("ga", "gb"), text.overlap("ga", "gb"), F.least(F.size("ga"), F.size("gb")), bits)
+    return pairs.join(a, "a").join(b, "b").withColumn("s", s).filter(F.col("s") >= LINKED - 1e-12).select("a", "b", "s")
+
+
 def connected(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFrame:
     """(node, root): the smallest node of each connected group of (a, b) links.
 
@@ -197,6 +235,51 @@ def seeded_clusters(spark: SparkSession, folder: str) -> DataFrame:
     members, sets = gram_classes(spark, folder)
     sets = materialize(sets, "gram-sets")
     ga, gb = (sets.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
-    links = similar_sets(sets, JACCARD, WINDOW_DAYS).join(ga, "a").join(gb, "b").filter(~conflicting("ga", "gb"))
+    links = cascade(sets, items(spark, folder, "simhash")).join(ga, "a").join(gb, "b").filter(~conflicting("ga", "gb"))
     groups = seeded(sets, links)
     return members.join(groups.select(F.col("id").alias("class"), "seed"), "class").select("id", "seed")
+
+
+_CASCADE = f"""{_SETS}, p AS (SELECT a.id AS a, b.id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.gram = b.gram AND a.id < b.id AND abs(a.day - b.day) <= 3 GROUP BY 1, 2),
+x AS (SELECT p.a, p.b, k / (na + nb - k) AS j, k / least(na, nb) AS o, least(na, nb) AS least_n, CASE WHEN coalesce(a.simhash, 0) = 0 OR coalesce(b.simhash, 0) = 0 THEN 64 ELSE bit_count(xor(a.simhash, b.simhash)) END AS h FROM p JOIN it a ON a.id = p.a JOIN it b ON b.id = p.b),
+q AS (SELECT * FROM (SELECT a, b, CASE WHEN j >= 0.42 THEN greatest(j, 0.6) WHEN o >= 0.68 AND least_n >= 8 THEN greatest(0.9 * o, 0.55) WHEN h <= 6 AND j >= 0.25 THEN greatest(0.5, 1 - h / 12) ELSE j END AS s FROM x) WHERE s >= 0.5),
+d AS (SELECT a AS id, b AS other, s FROM q UNION ALL SELECT b, a, s FROM q)"""
+
+
+def cascade_links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, sets, pairs): the classes of equal titles and the pairs of them that the rules link."""
+    members, sets = gram_classes(spark, folder)
+    sets = materialize(sets, "gram-sets")
+    return members, sets, cascade(sets, items(spark, folder, "simhash"))
+
+
+@query("C03_cascade_links", f"WITH {_CASCADE} SELECT id, count(*) AS n_links, round(max(s), 6) AS best FROM d GROUP BY 1")
+def linked_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """How many partners the rules on sets, containment and fingerprints give each title, and the best similarity."""
+    return links_of(cascade_links(spark, folder)[2], F.col("s")).withColumn("best", F.round("best", 6))
+
+
+@query("J13_cascade_join", f"WITH {_CASCADE}, l AS (SELECT id, count(*) AS n_links, round(max(s), 6) AS best FROM d GROUP BY 1) SELECT g.id, s.id AS class_id, coalesce(l.n_links, 0) AS n_links, l.best FROM g JOIN s ON s.grams = g.grams AND s.day = g.day LEFT JOIN l ON l.id = s.id")
+def cascade_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Each item with its class of equal titles, and the links of the class by the pair rules."""
+    members, _, pairs = cascade_links(spark, folder)
+    return members.join(links_of(pairs, F.col("s")).withColumnRenamed("id", "class"), "class", "left").select("id", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.round("best", 6).alias("best"))
+
+
+@query("C05_cascade_candidates", f"WITH {_CASCADE}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, other DESC) AS place FROM d) SELECT id, other, place FROM r WHERE place <= 6")
+def cascade_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """For each title the six most similar ones by the pair rules."""
+    from pyspark.sql.window import Window
+
+    q = cascade_links(spark, folder)[2]
+    d = q.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "s"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "s"))).alias("x")).select("x.*")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("s", 9)), F.desc("other")))
+    return d.withColumn("place", place).filter("place <= 6").select("id", "other", F.col("place").cast("bigint").alias("place"))
+
+
+@query("C08_cascade_clusters", f"WITH RECURSIVE {_CASCADE}, r AS (SELECT id AS v, id AS root FROM s UNION SELECT d.other, r.root FROM r JOIN d ON d.id = r.v), c AS (SELECT v, min(root) AS root FROM r GROUP BY 1), m AS (SELECT g.id, s.id AS class FROM g JOIN s ON s.grams = g.grams AND s.day = g.day) SELECT m.id, c.root FROM m JOIN c ON c.v = m.class")
+def cascade_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Each item with the first id of its group of titles that the pair rules link."""
+    members, sets, pairs = cascade_links(spark, folder)
+    groups = connected(sets, pairs)
+    return members.join(groups.select(F.col("id").alias("class"), "root"), "class").select("id", "root")

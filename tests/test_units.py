@@ -135,6 +135,27 @@ def test_sharing_has_no_fixed_cap(spark):
     assert got == want and want
 
 
+def test_cascade_has_containment(spark):
+    rng = random.Random(6)
+    sets = {f"r{i:03}": (sorted(rng.sample("abcdefghijklmnopqrstuvwxyz", rng.choice((5, 8, 9, 22, 25)))), rng.randint(-4, 6)) for i in range(80)}
+    prints = {i: rng.choice((None, 0, 7, 1 << 40)) for i in sets}
+
+    def rule(a, b):
+        (ga, da), (gb, db) = sets[a], sets[b]
+        both, least = len(set(ga) & set(gb)), min(len(ga), len(gb))
+        j, over = both / len(set(ga) | set(gb)), both / least
+        h = bin(prints[a] ^ prints[b]).count("1") if prints[a] and prints[b] else 64
+        if abs(da - db) > 3:
+            return 0
+        return max(j, 0.6) if j >= 0.42 else max(0.9 * over, 0.55) if over >= 0.68 and least >= 8 else max(0.5, 1 - h / 12) if h <= 6 and j >= 0.25 else j
+
+    want = {(a, b): round(rule(a, b), 9) for a, b in itertools.combinations(sorted(sets), 2) if rule(a, b) >= 0.5}
+    df = spark.createDataFrame([(i, g, d) for i, (g, d) in sets.items()], "id string, grams array<string>, day long")
+    got = clustering.cascade(df, spark.createDataFrame(list(prints.items()), "id string, simhash long"))
+    assert {(r["a"], r["b"]): round(r["s"], 9) for r in got.collect()} == want
+    assert any(len(set(sets[a][0]) & set(sets[b][0])) / len(set(sets[a][0]) | set(sets[b][0])) < 0.42 and s >= 0.612 for (a, b), s in want.items())
+
+
 def test_connected(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)]
     nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 102, 200]], "id long")
