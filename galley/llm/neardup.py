@@ -41,7 +41,8 @@ from galley.sources.tables import table
 SHINGLE_WORDS, SHINGLE_HAN = 5, 10
 MIN_LATIN, MIN_HAN = 240, 120
 THRESHOLD = 0.33
-BANDS, ROWS = 40, 4
+#: A pair at the threshold becomes a candidate with probability 1 - (1 - THRESHOLD**ROWS)**BANDS = 0.9999.
+BANDS, ROWS = 80, 2
 HASHES = BANDS * ROWS
 #: Hashes compared at a time, and the probability of dropping a pair that reaches the threshold.
 BATCH, MISS = 32, 0.001

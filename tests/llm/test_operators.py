@@ -70,6 +70,18 @@ def test_near_duplicates_against_all_pairs(spark):
     assert "short" not in reps and len(linked) <= len(want)
 
 
+def test_pairs_near_the_threshold_are_candidates(spark):
+    rows = []
+    for n in range(200):
+        words = [f"w{n}x{i}" for i in range(120)]
+        other = [f"{w}e" if i % 10 == 5 and i < 110 else w for i, w in enumerate(words)]  # eleven edits, each breaks five shingles
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    a, b = (neardup.shingles(t.split(" ")) for _, t in rows[:2])
+    assert neardup.THRESHOLD < len(a & b) / len(a | b) < 0.36
+    got = {(r["a"], r["b"]) for r in neardup.similar_reps(spark.createDataFrame(rows, "rep long, text string")).collect()}
+    assert got <= {(2 * n, 2 * n + 1) for n in range(200)} and len(got) >= 198
+
+
 def test_pruning_keeps_what_it_must():
     rng = np.random.default_rng(5)
     for s in (0.45, 0.6, 0.8):
