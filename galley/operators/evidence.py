@@ -17,6 +17,8 @@ from galley.sources.snapshots import IT_SQL, items, sources
 SUPPORT, RELATED, CONTAINED = 0.38, 0.26, 0.82
 #: Fixed value: similarity from which different figures contradict each other.
 FIGURES = 0.30
+#: Fixed value: similarity of what two texts are about, from which it is the same.
+SAME_SUBJECT = 0.48
 #: Pairs of opposite words.
 OPPOSITES = (
     (("上涨", "增长", "上升", "increase", "increased", "rises", "rose"), ("下跌", "下降", "减少", "decrease", "decreased", "falls", "fell")),
@@ -41,6 +43,20 @@ def opposed(a: Column, b: Column) -> Column:
     return out
 
 
+def subject(t: Column) -> Column:
+    """What a text is about: without the words of direction, longest first, and without numbers."""
+    words = sorted({w for pair in OPPOSITES for side in pair for w in side}, key=len, reverse=True)
+    masked = F.coalesce(t, F.lit(""))
+    for w in words:
+        masked = F.regexp_replace(masked, f"(?i){w}", " ")
+    return F.regexp_replace(masked, "[0-9]+(?:[.,][0-9]+)?", " ")
+
+
+def same_subject(a: Column, b: Column) -> Column:
+    """Whether two texts are about the same, whatever they say of it; by plain similarity, as a short text lies inside many."""
+    return text.jaccard(text.grams(subject(a)), text.grams(subject(b))) >= SAME_SUBJECT
+
+
 def lead_claims(spark: SparkSession, folder: str) -> DataFrame:
     """(cluster_id, claim_item, claim, grams): the title that stands for each cluster: best tier, then longest."""
     it = items(spark, folder, "cluster_id", "title", "tier").filter("cluster_id is not null and title is not null")
@@ -48,14 +64,19 @@ def lead_claims(spark: SparkSession, folder: str) -> DataFrame:
     return it.groupBy("cluster_id").agg(best.alias("x")).select("cluster_id", F.col("x.id").alias("claim_item"), F.col("x.title").alias("claim"), text.grams("x.title").alias("grams"))
 
 
-def claim_evidence(spark: SparkSession, folder: str) -> DataFrame:
+def relation(claim: Column, title: Column, s: Column, gated: bool = False) -> Column:
+    """How a text of similarity `s` bears on a claim; gated, opposite words refute only what is about the same and leave the rest unclear."""
+    against = F.when(same_subject(claim, title), "refute").otherwise("unknown") if gated else F.lit("refute")
+    return F.when(s < RELATED, F.lit(None)).when(opposed(claim, title), against).when(s >= SUPPORT, "support").otherwise("unknown")
+
+
+def claim_evidence(spark: SparkSession, folder: str, gated: bool = False) -> DataFrame:
     """Each item of a cluster held against the cluster's lead claim: (cluster_id, item_id, grp, role, similarity, relation)."""
     it = items(spark, folder, "cluster_id", "title", "grp").filter("cluster_id is not null and title is not null")
     role = sources(spark, folder).select(F.col("id").alias("source_id"), F.col("source_role").alias("role"))
     each = it.join(role, "source_id", "left").select("cluster_id", F.col("id").alias("item_id"), "grp", F.coalesce("role", F.lit("reporting")).alias("role"), "title", text.grams("title").alias("g"))
     both = each.join(lead_claims(spark, folder), "cluster_id").withColumn("s", similar(F.col("grams"), F.col("g")))
-    relation = F.when(F.col("s") < RELATED, F.lit(None)).when(opposed(F.col("claim"), F.col("title")), "refute").when(F.col("s") >= SUPPORT, "support").otherwise("unknown")
-    return both.select("cluster_id", "item_id", "grp", "role", F.round("s", 6).alias("similarity"), relation.alias("relation"))
+    return both.select("cluster_id", "item_id", "grp", "role", F.round("s", 6).alias("similarity"), relation(F.col("claim"), F.col("title"), F.col("s"), gated).alias("relation"))
 
 
 def contradicting(it: DataFrame) -> DataFrame:
@@ -111,7 +132,23 @@ def relations(spark: SparkSession, folder: str) -> DataFrame:
 @query("A13_claim_status", f"WITH {_CLAIM_SQL}, g AS (SELECT cluster_id, count(*) FILTER (WHERE relation = 'refute') AS n_refute, count(*) FILTER (WHERE relation = 'support') AS n_support, count(*) FILTER (WHERE relation = 'unknown') AS n_unknown, count(DISTINCT CASE WHEN relation = 'support' AND role IN ('reporting', 'wire') THEN grp END) AS independent_groups, count(*) FILTER (WHERE relation = 'support' AND role <> 'official') AS n_other FROM ev GROUP BY 1) SELECT cluster_id, n_support, n_refute, n_unknown, independent_groups, CASE WHEN n_refute > 0 THEN 'disputed' WHEN independent_groups >= 2 THEN 'independently_reported' WHEN n_support > 0 AND n_other = 0 THEN 'official_statement' ELSE 'single_report' END AS status FROM g")
 def claim_status(spark: SparkSession, folder: str) -> DataFrame:
     """The status of each claim from its supporting, opposing and unclear sources."""
-    ev = claim_evidence(spark, folder)
+    return status_of(claim_evidence(spark, folder))
+
+
+@query("F32_subject_relations")
+def subject_relations(spark: SparkSession, folder: str) -> DataFrame:
+    """As F32_relations, but only a text about the same subject refutes a claim."""
+    return claim_evidence(spark, folder, True).filter("relation is not null").select("cluster_id", "item_id", "relation")
+
+
+@query("A13_subject_status")
+def subject_status(spark: SparkSession, folder: str) -> DataFrame:
+    """As A13_claim_status, over the relations of texts about the same subject."""
+    return status_of(claim_evidence(spark, folder, True))
+
+
+def status_of(ev: DataFrame) -> DataFrame:
+    """The status of each claim from its evidence."""
     # per cluster and owner first, then plain sums
     own = ev.groupBy("cluster_id", "grp").agg(*[F.count_if(F.col("relation") == r).alias(f"n_{r}") for r in ("support", "refute", "unknown")], F.max(F.coalesce((F.col("relation") == "support") & F.col("role").isin("reporting", "wire"), F.lit(False))).alias("own"), F.count_if((F.col("relation") == "support") & (F.col("role") != "official")).alias("n_other"))
     g = own.groupBy("cluster_id").agg(*[F.sum(f"n_{r}").alias(f"n_{r}") for r in ("support", "refute", "unknown")], F.count_if(F.col("own") & F.col("grp").isNotNull()).alias("independent_groups"), F.sum("n_other").alias("n_other"))

@@ -215,6 +215,15 @@ def test_contradictions_of_all_items(spark):
     assert got == {"1": (1, 2), "2": (1, 0), "3": (0, 2), "4": (0, 2), "5": (0, 2), "9": (1, 0), "10": (1, 0)}
 
 
+def test_only_the_same_subject_is_refuted(spark):
+    rows = [("公司收入增长20%", "公司收入下降20%", "refute"), ("居民消费价格上涨2%", "工业生产者出厂价格下降2%", "unknown"),
+            ("Exports of chips rose 5%", "Exports of chips fell 7%", "refute"), ("Exports of chips rose", "Judge blocks merger; steel fell", "unknown")]
+    df = spark.createDataFrame(rows, "a string, b string, want string")
+    got = df.select("want", evidence.relation(F.col("a"), F.col("b"), F.lit(0.3), True).alias("got"), evidence.relation(F.col("a"), F.col("b"), F.lit(0.3)).alias("plain")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    assert got[1]["plain"] == got[3]["plain"] == "refute"
+
+
 def test_representatives():
     assert evidence.representatives(["Bank raises rates again", "Bank raises rates again today", "Court fines bank"]) == ["Bank raises rates again", "Court fines bank"]
 
