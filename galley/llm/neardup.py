@@ -1,11 +1,11 @@
 """Near-duplicate records by sequential Bayesian verification.
 
 1. Word-for-word copies (after normal form) fall together first; one of each goes on.
-2. A record is the set of its five-word shingles (Chinese: ten characters), sketched by
-   HASHES min-hashes. Records that agree in all ROWS hashes of a band are candidates.
-3. Signatures of candidates are compared batch by batch. After each batch a pair is dropped if
-   the posterior probability that its similarity reaches the threshold, given the matches so
-   far, is under the chosen miss probability.
+2. A record is the set of its five-word shingles (Chinese: ten characters). Its min-hashes are
+   cut into BANDS bands of ROWS; records that agree in all hashes of a band are candidates.
+3. Signatures of candidates (SIGNATURE other min-hashes, a byte of each) are compared batch by
+   batch. After each batch a pair is dropped if the posterior probability that its similarity
+   reaches the threshold, given the matches so far, is under the chosen miss probability.
 4. The surviving pairs are verified exactly on their shingles.
 
 Reordered, inserted and omitted sentences leave most shingles whole; reports of one fixed
@@ -13,10 +13,13 @@ wording share few, as their names, dates and figures break the shingles. TESTDAT
 texts that share clearly more than half of their wording: with one or two edits a sentence that
 is a shingle similarity of THRESHOLD and more.
 
-Band keys are joined by value: a key shared by many records costs as many pairs as come out of
-it, and adaptive execution splits it. No bucket, partner or candidate is capped. Copies are
-joined in at the end, only where all pairs are asked for. Summaries shorter than MIN_LATIN or
-MIN_HAN letters aren't records; null titles count as empty.
+Band keys are sorted within hash partitions and read as runs. A run of more than HOT records is
+not paired in that task: its records go, with their signatures, into blocks of about HOT, every
+pair of blocks is a group of its own, and only pairs that survive the pruning come out. No
+bucket, partner or candidate is capped. Copies are joined in at the end, only where all pairs
+are asked for (p2_found; p2_groups is the form that grows with the records). Summaries shorter
+than MIN_LATIN or MIN_HAN letters aren't records; null titles count as empty; of different texts
+under one id that of the greatest fingerprint counts.
 """
 
 from __future__ import annotations
@@ -29,23 +32,27 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import keyed, spread
+from galley.llm.common import spread
 from galley.llm.encodings import DOUBTFUL, restore
 from galley.llm.unify import LOOKALIKES, mapping
+from galley.operators.clustering import connected
 from galley.session import materialize
 from galley.sources.tables import table
 
 SHINGLE_WORDS, SHINGLE_HAN = 5, 10
 MIN_LATIN, MIN_HAN = 240, 120
 THRESHOLD = 0.33
-#: A pair at the threshold becomes a candidate with probability 1 - (1 - THRESHOLD**ROWS)**BANDS = 0.9999.
-BANDS, ROWS = 80, 2
-HASHES = BANDS * ROWS
-#: Hashes compared at a time, and the probability of dropping a pair that reaches the threshold.
-BATCH, MISS = 32, 0.001
+#: A pair at the threshold becomes a candidate with probability 1 - (1 - THRESHOLD**ROWS)**BANDS = 0.99.
+BANDS, ROWS = 126, 3
+#: Hashes of a signature, those compared at a time, and the probability of dropping a pair that reaches the threshold.
+SIGNATURE, BATCH, MISS = 96, 32, 0.001
+#: Records of one band key that are paired within a task; more are paired block by block.
+HOT = 512
+#: Bits of a band key; others that fall together by chance are pruned.
+KEY_BITS = 40
 SEED = 13
 
 _TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+(?:[.,]\d+)*")
@@ -75,15 +82,15 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
 @lru_cache(maxsize=1)
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    a = rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+    n = BANDS * ROWS + SIGNATURE
+    return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def signature(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """The min-hashes of the shingles of a text. `known` keeps the numbers of words."""
+def shingle_codes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """The shingles of a text as numbers, each once. `known` keeps the numbers of words."""
     if len(known) > 500_000:
         known.clear()
     codes = []
@@ -99,28 +106,47 @@ def signature(words: list[str], known: dict[str, int]) -> np.ndarray:
     mixed = np.zeros(n, np.uint64)
     for j in range(min(k, len(h))):
         mixed = mixed * _P + h[j : j + n]
-    mixed = np.unique(mixed ^ (mixed >> np.uint64(29)))
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _P
+    return np.unique((mixed >> np.uint64(32)).astype(np.uint32))
+
+
+def min_hashes(codes: np.ndarray, part: slice) -> np.ndarray:
     a, b = _coefficients()
-    x = mixed[:, None] * a + b
-    return (x ^ (x >> np.uint64(31))).min(0)
+    least = None
+    for lo in range(0, len(codes), 4096):  # a very long text takes no more room than a page
+        x = (codes[lo : lo + 4096, None] * a[part] + b[part]).min(0)
+        least = x if least is None else np.minimum(least, x)
+    return least
 
 
-def short(sig: np.ndarray) -> bytes:
-    """16 bits of every hash; what agrees by chance is one in 65536."""
-    return ((sig * _P) >> np.uint64(48)).astype(np.uint16).tobytes()
+def signature(codes: np.ndarray) -> bytes:
+    """A byte of each of the hashes that no band uses; what agrees by chance is one in 256."""
+    h = min_hashes(codes, slice(BANDS * ROWS, None)).astype(np.uint64)
+    return ((h * _P) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def band_keys(codes: np.ndarray) -> np.ndarray:
+    """A number for each band: its place and the hashes of its rows."""
+    h = min_hashes(codes, slice(0, BANDS * ROWS)).reshape(BANDS, ROWS).astype(np.uint64)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = (key ^ h[:, r]) * _P
+        key ^= key >> np.uint64(31)
+    return ((key * _P) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
 @lru_cache(maxsize=8)
 def least_matches(threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, ...]:
     """For each number of batches compared, the fewest matches with which a pair goes on.
 
-    With a uniform prior the similarity given m of n matches is Beta(m + 1, n - m + 1).
+    The prior of the similarity is uniform; a hash agrees if the pair shares it, or by chance.
     """
     s = (np.arange(4000) + 0.5) / 4000
+    agree = s + (1 - s) / 256
     out = []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in range(BATCH, SIGNATURE + 1, BATCH):
         for m in range(n + 1):
-            logp = m * np.log(s) + (n - m) * np.log1p(-s)
+            logp = m * np.log(agree) + (n - m) * np.log1p(-agree)
             p = np.exp(logp - logp.max())
             if p[s >= threshold].sum() / p.sum() >= miss:
                 out.append(m)
@@ -129,7 +155,7 @@ def least_matches(threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int
 
 
 def survives(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs (rows of 16-bit signatures) pass all batches; a pair is dropped at once."""
+    """Which pairs (rows of signatures) pass all batches; a pair is dropped at once."""
     alive = np.arange(len(a))
     matches = np.zeros(len(a), int)
     for k, least in enumerate(least_matches()):
@@ -141,10 +167,15 @@ def survives(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _matrix(signatures: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), SIGNATURE)
+
+
 def records(texts: DataFrame) -> DataFrame:
-    """(id, text): normal form of (id, title, summary), long enough summaries only."""
+    """(id, rep, text, sig): normal form of (id, title, summary), long enough summaries only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
         for b in batches:
             out = []
             for i, title, summary in zip(b["id"], b["title"], b["summary"]):
@@ -152,46 +183,135 @@ def records(texts: DataFrame) -> DataFrame:
                 if len(summary) >= (MIN_HAN if han else MIN_LATIN):
                     words = tokens(f"{title or ''}\n{summary}")
                     if words:
-                        out.append((i, " ".join(words)))
-            yield pd.DataFrame(out, columns=["id", "text"])
+                        out.append((i, " ".join(words), signature(shingle_codes(words, known))))
+            yield pd.DataFrame(out, columns=["id", "text", "sig"])
 
-    rows = texts.filter(F.length("summary") >= min(MIN_HAN, MIN_LATIN)).select("id", "title", "summary")
-    return spread(rows).mapInPandas(run, "id string, text string")
+    # what is too short can't count; it is left out before anything moves
+    rows = texts.filter(F.col("id").isNotNull() & (F.length("summary") >= min(MIN_HAN, MIN_LATIN))).select("id", "title", "summary")
+    return spread(rows).mapInPandas(run, "id string, text string, sig binary").select("id", F.xxhash64("text").alias("rep"), "text", "sig")
 
 
-def sketches(reps: DataFrame) -> DataFrame:
-    """(rep, sig) of (rep, text): the signature as 16-bit numbers in one binary."""
+def bands(reps: DataFrame) -> DataFrame:
+    """(key, rep): the band keys of (rep, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for b in batches:
-            yield pd.DataFrame({"rep": b["rep"], "sig": [short(signature(t.split(" "), known)) for t in b["text"]]})
+            for lo in range(0, len(b), 500):
+                part = b.iloc[lo : lo + 500]
+                keys = [band_keys(shingle_codes(t.split(" "), known)) for t in part["text"]]
+                yield pd.DataFrame({"key": np.concatenate(keys), "rep": np.repeat(part["rep"].to_numpy(), BANDS)})
 
-    return reps.mapInPandas(run, "rep long, sig binary")
+    return reps.select("rep", "text").mapInPandas(run, "key long, rep long")
 
 
-def band_keys(sig: Column) -> Column:
-    """A number for each band: its place and the hashes of its rows."""
-    width = 2 * ROWS
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(sig, k * width + 1, F.lit(width))))
+def run_pairs(key: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """(pairs x 2): all pairs of records of equal key; keys are sorted."""
+    out, at = [np.zeros((0, 2), np.int64)], np.flatnonzero(key[1:] == key[:-1])
+    step = 1
+    while len(at):
+        out.append(np.stack([rep[at], rep[at + step]], 1))
+        step += 1
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+    pairs = np.concatenate(out)
+    return np.stack([pairs.min(1), pairs.max(1)], 1)
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """(a, b, key) of (key, rep): pairs of runs of up to HOT records (key null), members of longer ones (b null).
+
+    A run is looked at as a whole, wherever batches end; no more than HOT of its rows are held.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rep, hot = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        pairs: list[np.ndarray] = []
+
+        def frame(some: list[np.ndarray]) -> pd.DataFrame:
+            both = np.unique(np.concatenate(some), axis=0)
+            return pd.DataFrame({"a": both[:, 0], "b": pd.array(both[:, 1], "Int64"), "key": pd.array([None] * len(both), "Int64")})
+
+        def members(k: np.ndarray, r: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"a": r, "b": pd.array([None] * len(r), "Int64"), "key": pd.array(k, "Int64")})
+
+        for b in batches:
+            key, rep = np.r_[key, b["key"].to_numpy()], np.r_[rep, b["rep"].to_numpy()]
+            if hot is not None:  # the rest of a run that is known to be long
+                n = int(np.searchsorted(key, hot, "right"))
+                if n:
+                    yield members(key[:n], rep[:n])
+                if n == len(key):
+                    key, rep = key[:0], rep[:0]
+                    continue
+                key, rep, hot = key[n:], rep[n:], None
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[starts, len(key)])
+            last = starts[-1]
+            long = np.repeat(sizes > HOT, sizes)
+            whole = np.arange(len(key)) < last
+            if (long & whole).any():
+                yield members(key[long & whole], rep[long & whole])
+            short = ~long & whole
+            pairs.append(run_pairs(key[short], rep[short]))
+            if sizes[-1] > HOT:
+                hot = key[-1]
+                yield members(key[last:], rep[last:])
+                key, rep = key[:0], rep[:0]
+            else:
+                key, rep = key[last:], rep[last:]
+            if sum(map(len, pairs)) > 200_000:
+                yield frame(pairs)
+                pairs = []
+        pairs.append(run_pairs(key, rep))
+        yield frame(pairs)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, key long")
+
+
+def hot_pairs(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b): the pairs of (key, rep), many of a key, that survive the pruning; in blocks of about HOT."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"))
+    rows = members.join(sizes, "key").join(sigs, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "sig")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        mine = group["own"].to_numpy() == group["i"].to_numpy()
+        same = group["i"].iloc[0] == group["j"].iloc[0]
+        left, right = (group[mine], group) if same else (group[mine], group[~mine])
+        out = []
+        if len(left) and len(right):
+            sl, sr, rl, rr = _matrix(left["sig"]), _matrix(right["sig"]), left["rep"].to_numpy(), right["rep"].to_numpy()
+            for k in range(len(rl)):
+                ok = survives(np.broadcast_to(sl[k], sr.shape), sr) & ((rl[k] < rr) if same else (rl[k] != rr))
+                if ok.any():
+                    out.append(np.stack([np.minimum(rl[k], rr[ok]), np.maximum(rl[k], rr[ok])], 1))
+        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def similar_reps(reps: DataFrame) -> DataFrame:
-    """(a, b, similarity): the pairs of different texts (rep, text) that reach the threshold."""
-    drawn = materialize(sketches(reps), "dup-sketches")
-    bands = drawn.select("rep", F.explode(band_keys(F.col("sig"))).alias("key"))
-    left, right = bands.select("key", F.col("rep").alias("a")), bands.select("key", F.col("rep").alias("b"))
-    candidates = left.join(right, "key").filter("a < b").select("a", "b").distinct()
-    sigs = drawn.select("rep", "sig")
+    """(a, b, similarity): the pairs of different texts (rep, text, sig) that reach the threshold."""
+    sigs = reps.select("rep", "sig")
+    met = materialize(paired(bands(reps)), "dup-met")
+    # partitioned by one of the two, for the join that follows
+    candidates = met.filter("b is not null").select("a", "b").repartition("a").distinct()
     judged = candidates.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                sa, sb = (np.frombuffer(b"".join(b[c]), np.uint16).reshape(len(b), HASHES) for c in ("sa", "sb"))
-                yield b.loc[survives(sa, sb), ["a", "b"]]
+                yield b.loc[survives(_matrix(b["sa"]), _matrix(b["sb"])), ["a", "b"]]
 
     alive = judged.mapInPandas(prune, "a long, b long")
+    hot = met.filter("key is not null").select("key", F.col("a").alias("rep"))
+    if not hot.isEmpty():
+        alive = alive.unionByName(hot_pairs(hot, sigs)).distinct()
     full = alive.join(reps.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(reps.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,12 +330,9 @@ def similar_reps(reps: DataFrame) -> DataFrame:
 
 def members_and_links(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, rep): the record of each id and its text class; (a, b, similarity): class pairs)."""
-    # what is too short can't count; it is left out before anything moves
-    long = items.filter(F.col("id").isNotNull() & (F.length("summary") >= min(MIN_HAN, MIN_LATIN)))
-    once = keyed(long, "id").groupBy("id").agg(F.max(F.struct("summary", "title")).alias("x")).select("id", "x.title", "x.summary")
-    found = materialize(records(once).withColumn("rep", F.xxhash64("text")), "dup-records")
-    reps = found.groupBy("rep").agg(F.min("text").alias("text"))
-    return found.select("id", "rep"), similar_reps(reps)
+    found = materialize(records(items), "dup-records")
+    reps = found.groupBy("rep").agg(F.min("text").alias("text"), F.min("sig").alias("sig"))
+    return found.groupBy("id").agg(F.max("rep").alias("rep")), similar_reps(reps)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,34 +344,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return across.unionByName(copies).select(F.least("x", "y").alias("item_id_a"), F.greatest("x", "y").alias("item_id_b"))
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, class): the smallest node reachable over the links, by label spreading.
-
-    Each round takes the smallest label among neighbours and jumps to the label's own label,
-    so the rounds grow with the logarithm of a chain. Nothing is collected but one count.
-    """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "dup-links")
-    labels = materialize(nodes.select("rep", F.col("rep").alias("class")), "dup-labels")
-    for _ in range(64):
-        near = both.join(labels.select(F.col("rep").alias("b"), "class"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("class").alias("near"))
-        step = labels.join(near, "rep", "left").select("rep", F.col("class").alias("old"), F.least("class", F.coalesce("near", "class")).alias("class"))
-        jump = labels.select(F.col("rep").alias("class"), F.col("class").alias("far"))
-        moved = step.join(jump, "class", "left").select("rep", "old", F.least("class", F.coalesce("far", "class")).alias("class"))
-        moved = materialize(moved, "dup-labels")
-        changed = moved.filter("class <> old").limit(1).count()
-        labels = moved.select("rep", "class")
-        if not changed:
-            break
-    return labels
-
-
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     """(item_id, class_id, n_links): each record's group of near-duplicates and its links to other texts."""
     members, links = members_and_links(table(spark, folder, "items").select("id", "title", "summary"))
     links = materialize(links, "dup-pairs")
-    labels = components(members.select("rep").distinct(), links)
+    # texts without a link are a class of their own and take no part in the rounds
+    linked = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    labels = connected(linked, links, "rep").withColumnRenamed("root", "class")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named = members.join(labels, "rep").join(degree, "rep", "left")
+    named = members.join(labels, "rep", "left").join(degree, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     names = named.groupBy("class").agg(F.min("id").alias("class_id"))
     return named.join(names, "class").select(F.col("id").alias("item_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

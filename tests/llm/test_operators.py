@@ -70,28 +70,79 @@ def test_near_duplicates_against_all_pairs(spark):
     assert "short" not in reps and len(linked) <= len(want)
 
 
-def test_pairs_near_the_threshold_are_candidates(spark):
+def _sketched(spark, rows):
+    reps = [(i, t, neardup.signature(neardup.shingle_codes(t.split(" "), {}))) for i, t in rows]
+    return spark.createDataFrame(reps, "rep long, text string, sig binary")
+
+
+def _near_threshold(n_pairs):
     rows = []
-    for n in range(200):
+    for n in range(n_pairs):
         words = [f"w{n}x{i}" for i in range(120)]
         other = [f"{w}e" if i % 10 == 5 and i < 110 else w for i, w in enumerate(words)]  # eleven edits, each breaks five shingles
         rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    return rows
+
+
+def test_pairs_near_the_threshold_are_candidates(spark):
+    rows = _near_threshold(200)
     a, b = (neardup.shingles(t.split(" ")) for _, t in rows[:2])
     assert neardup.THRESHOLD < len(a & b) / len(a | b) < 0.36
-    got = {(r["a"], r["b"]) for r in neardup.similar_reps(spark.createDataFrame(rows, "rep long, text string")).collect()}
-    assert got <= {(2 * n, 2 * n + 1) for n in range(200)} and len(got) >= 198
+    got = {(r["a"], r["b"]) for r in neardup.similar_reps(_sketched(spark, rows)).collect()}
+    assert got <= {(2 * n, 2 * n + 1) for n in range(200)} and len(got) >= 196
+    assert 1 - (1 - neardup.THRESHOLD**neardup.ROWS) ** neardup.BANDS >= 0.989
+
+
+def test_hot_band_keys_lose_nothing(spark, monkeypatch):
+    rows = _near_threshold(30)
+    stem = " ".join(f"s{i}" for i in range(90))
+    rows += [(1000 + n, f"{stem} " + " ".join(f"e{n}x{i}" for i in range(10))) for n in range(60)]  # sixty that share most keys
+    reps = _sketched(spark, rows)
+    want = {(r["a"], r["b"]) for r in neardup.similar_reps(reps).collect()}
+    assert len(want) >= 60 * 59 // 2 + 28
+    key, rep = np.repeat([3, 5, 9], [7, 25, 4]), np.arange(36)
+    monkeypatch.setattr(neardup, "HOT", 8)
+    met = neardup.paired(spark.createDataFrame(list(zip(key.tolist(), rep.tolist())), "key long, rep long")).collect()
+    assert {(r["a"], r["b"]) for r in met if r["key"] is None} == {p for part in (range(7), range(32, 36)) for p in itertools.combinations(part, 2)}
+    assert {(r["key"], r["a"]) for r in met if r["b"] is None} == {(5, k) for k in range(7, 32)}
+    members = spark.createDataFrame([(5, 1000 + n) for n in range(60)], "key long, rep long")
+    got = [(r["a"], r["b"]) for r in neardup.hot_pairs(members, reps.select("rep", "sig")).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(itertools.combinations(range(1000, 1060), 2))
+
+
+def test_runs_are_the_same_wherever_batches_end(spark):
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 60, 900))
+    rows = spark.createDataFrame([(int(k), n) for n, k in enumerate(key)], "key long, rep long").coalesce(1)
+    want = {p for k in set(key) for p in itertools.combinations(np.flatnonzero(key == k).tolist(), 2)}
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert {(r["a"], r["b"]) for r in neardup.paired(rows).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_pruning_keeps_what_it_must():
     rng = np.random.default_rng(5)
     for s in (0.45, 0.6, 0.8):
-        a = rng.integers(0, 60_000, (3000, neardup.HASHES)).astype(np.uint16)
-        b = np.where(rng.random(a.shape) < s, a, a + 1)
+        a = rng.integers(0, 256, (3000, neardup.SIGNATURE)).astype(np.uint8)
+        b = np.where(rng.random(a.shape) < s, a, rng.integers(0, 256, a.shape).astype(np.uint8))
         assert neardup.survives(a, b).mean() > 0.99
-    b = np.where(rng.random(a.shape) < 0.05, a, a + 1)
+    b = np.where(rng.random(a.shape) < 0.05, a, rng.integers(0, 256, a.shape).astype(np.uint8))
     assert neardup.survives(a, b).mean() < 0.02
 
 
+def test_groups_of_a_long_chain(spark, dirty):
+    words = [f"c{i}" for i in range(1500)]
+    chain = spark.createDataFrame([(f"k{n:03}", None, " ".join(words[n * 20 : n * 20 + 60])) for n in range(70)], "id string, title string, summary string")
+    members, links = neardup.members_and_links(chain)
+    from galley.operators.clustering import connected
+
+    got = connected(members.select("rep"), links, "rep")
+    assert got.select("root").distinct().count() == 1
+
+
 # ---- 3
 
 
