@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from galley.llm.common import spread
 from galley.llm.encodings import DOUBTFUL, restore
-from galley.llm.unify import LOOKALIKES, mapping
+from galley.llm.unify import LOOKALIKES, UNCOMMON, mapping
 from galley.operators.clustering import connected
 from galley.session import materialize
 from galley.sources.tables import table
@@ -58,6 +58,7 @@ SEED = 13
 _TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+(?:[.,]\d+)*")
 _HAN = re.compile("[一-鿿]")
 _ODD = re.compile(DOUBTFUL)
+_UNUSUAL = re.compile(UNCOMMON)
 _CLEAN = {ord(k): v for k, v in mapping().items()} | {ord(k): v for k, v in LOOKALIKES.items()}
 
 
@@ -65,8 +66,9 @@ def tokens(text: str) -> list[str]:
     """The words of a text in normal form; Chinese by characters."""
     if _ODD.search(text):
         text, _ = restore(text)
-    text = unicodedata.normalize("NFC", text.translate(_CLEAN)).casefold()
-    return _TOKEN.findall(text)
+    if _UNUSUAL.search(text):
+        text = unicodedata.normalize("NFC", text.translate(_CLEAN))
+    return _TOKEN.findall(text.casefold())
 
 
 def shingle_size(words: list[str]) -> int:
