@@ -4,7 +4,9 @@ Every document is cut into lines and sentences. A unit is the average of the emb
 its words and their character n-grams (of Chinese text the 1- to 3-grams of characters), fed
 to a linear softmax; embeddings and softmax are trained jointly in numpy. Misspelt and
 disguised words share most n-grams with the plain ones; spaced-out letters, digits for
-letters, look-alikes and invisible characters are undone first and both forms are used.
+letters, look-alikes and invisible characters are undone first. As an offence may follow other
+text without a stop, overlapping stretches of long units are scored as well, from running sums
+of the same word vectors.
 
 Labels are given to whole documents while one line makes the offence, and some labels are
 wrong. So the offending units are found in rounds: first those whose features mark labelled
@@ -12,12 +14,9 @@ documents, then those that the model trained so far scores highest. Documents wh
 no unit bears out are left out of the next round, as are units of clean documents that the
 model is sure about.
 
-Ordinary text is shown as well: units of BACKGROUND documents without a label count as clean,
-but for those that the model trained so far finds offensive.
-
-The training set is bounded: at most MAX_DOCS labelled documents of each label and CLEAN_UNITS
-units of a clean one, and BACKGROUND documents, all picked by a hash. Scoring covers all documents and whole texts.
-Null, empty and blank texts score 0.
+The training set is bounded: at most MAX_DOCS labelled documents of each offensive label and
+MAX_CLEAN clean ones, picked by a hash, with all their units. Scoring covers all documents and
+whole texts. Null, empty and blank texts score 0.
 """
 
 from __future__ import annotations
@@ -27,6 +26,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,19 +34,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.llm.common import spread
-from galley.llm.unify import LOOKALIKES, mapping
+from galley.llm.unify import LOOKALIKES, UNCOMMON, mapping
 from galley.sources.tables import table
 
 LABELS = ("ok", "abusive", "hateful", "sexual")
-MAX_DOCS, CLEAN_UNITS, BACKGROUND = 1_000, 12, 2_000
-BUCKETS, DIMS, EPOCHS, ROUNDS, BATCH, RATE, SEED = 1 << 17, 16, 8, 3, 512, 0.25, 11
+MAX_DOCS, MAX_CLEAN = 1_000, 5_000
+BUCKETS, DIMS, ROUNDS, BATCH, RATE, SEED = 1 << 17, 16, 3, 512, 0.25, 11
+#: Passes over the training rows in the rounds that look for the offending units, and in the last one.
+EPOCHS, LAST_EPOCHS = 4, 8
 THRESHOLD = 0.5
 #: Score from which a document counts as offensive; a stretch of a long unit must be surer.
 FOUND, SURE = 0.25, 0.6
-#: A unit of more words (Chinese: more characters) is also scored in stretches of so many.
-LONG, STRETCH = (16, 24), (10, 14)
-#: Documents scored at once in a task.
-AT_ONCE = 200
+#: A unit of more words (Chinese: more n-grams) is also scored in overlapping stretches of so many.
+LONG, STRETCH = (16, 72), (10, 42)
+#: Words scored at once in a task.
+AT_ONCE = 50_000
 #: Log odds of an offending unit in labelled documents, at this quantile of its words and word pairs.
 MARKED, PART = 2.0, 0.6
 
@@ -55,18 +57,29 @@ _CUT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n")
 _WORD = re.compile(r"[一-鿿]+|[^\W\d_一-鿿]+|\d+")
 _HAN = re.compile("[一-鿿]")
 _SPACED = re.compile(r"\b(?:[^\W_][ .*_·\-]){2,}[^\W_]\b")
-_HAN_SPACED = re.compile(r"(?<=[一-鿿])[\s.*_·\-|~+]+(?=[一-鿿])")
+_HAN_SPACED = re.compile(r"(?<=[一-鿿])(?:[^\S\n]|[.*_·\-|~+])+(?=[一-鿿])")
+_SPECIAL = re.compile(r"[^\W\d_][0-9@$!|*]|[0-9@$!|*][^\W\d_]")
+_UNUSUAL = re.compile(UNCOMMON)
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "€": "e", "!": "i", "|": "l"})
 _MIXED = re.compile(r"(?=\S*[^\W\d_])(?=\S*[0-9@$!|*])[^\W_一-鿿][^\s一-鿿]*[^\W_一-鿿]|[@$][^\W_一-鿿]+")
 _CLEAN = {ord(k): v for k, v in mapping().items()} | {ord(k): v for k, v in LOOKALIKES.items()}
 
 
 def undisguised(text: str) -> str:
-    """The text with spaced-out, digit-for-letter and look-alike spellings undone."""
-    out = unicodedata.normalize("NFC", text.translate(_CLEAN)).lower()
-    out = _HAN_SPACED.sub("", out)
+    """The text with spaced-out, digit-for-letter and look-alike spellings undone; lines stay lines."""
+    out = text
+    if _UNUSUAL.search(out):
+        out = unicodedata.normalize("NFC", out.translate(_CLEAN))
+    out = out.lower()
+    if not out.isascii():
+        out = _HAN_SPACED.sub("", out)
     out = _SPACED.sub(lambda m: re.sub(r"[ .*_·\-]", "", m.group()), out)
-    out = _MIXED.sub(lambda m: m.group().translate(_LEET).replace("*", ""), out)
+    if _SPECIAL.search(out):
+        # only words with such a sign beside a letter need the closer look
+        out = "\n".join(
+            " ".join(_MIXED.sub(lambda m: m.group().translate(_LEET).replace("*", ""), w) if _SPECIAL.search(w) else w for w in line.split(" ")) if _SPECIAL.search(line) else line
+            for line in out.split("\n")
+        )
     return re.sub(r"([^\W\d_])\1{2,}", r"\1", out)
 
 
@@ -75,13 +88,12 @@ def units(text: str | None) -> list[str]:
     return [u for line in _CUT.split(text or "") if (u := _USER.sub("", line).strip())]
 
 
-def words(unit: str) -> list[str]:
-    plain = undisguised(unit)
+def _words(plain: str) -> list[str]:
     out: list[str] = []
     for w in _WORD.findall(plain):
         if _HAN.match(w):
             framed = f"<{w}>"
-            out += [framed[k : k + n] for n in (1, 2, 3) for k in range(len(framed) - n + 1)]
+            out += [framed[k : k + n] for k in range(len(framed)) for n in (1, 2, 3) if k + n <= len(framed)]
         elif w[0].isdigit():
             out.append("#")
         else:
@@ -89,14 +101,14 @@ def words(unit: str) -> list[str]:
     return out
 
 
-def stretches(unit: str) -> list[str]:
-    """Overlapping stretches of a long unit, as an offence may follow other text without a stop."""
-    han = len(_HAN.findall(unit)) * 2 > len(unit)
-    parts = list(unit) if han else unit.split()
-    if len(parts) <= LONG[han]:
-        return []
-    size = STRETCH[han]
-    return [("" if han else " ").join(parts[k : k + size]) for k in range(0, len(parts) - size // 2, size // 2)]
+def words(unit: str) -> list[str]:
+    return _words(undisguised(unit))
+
+
+def unit_words(text: str | None) -> list[list[str]]:
+    """The words of each unit of a text that has any; disguises are undone in all units at once."""
+    us = units(text)
+    return [w for line in undisguised("\n".join(us)).split("\n") if (w := _words(line))] if us else []
 
 
 def grams(word: str) -> list[int]:
@@ -123,96 +135,138 @@ class Model:
         self.table, self.out, self.bias = table_, out, bias
         self.known: dict[str, int] = {}
         self.sums = np.zeros((1024, DIMS + 1), np.float32)
+        self.han = np.zeros(1024, np.uint8)
 
     def _row(self, word: str) -> int:
         at = self.known.get(word)
         if at is None:
-            if len(self.known) >= 400_000:
-                self.known.clear()
             at = self.known[word] = len(self.known)
             if at >= len(self.sums):
                 self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+                self.han = np.concatenate([self.han, np.zeros_like(self.han)])
             ids = grams(word)
             self.sums[at, :DIMS] = self.table[ids].sum(0)
             self.sums[at, DIMS] = len(ids)
+            self.han[at] = _HAN.search(word) is not None
         return at
 
-    def score(self, texts: list[list[str]]) -> np.ndarray:
-        """(units x labels) probabilities of units given as words."""
+    def _softmax(self, sums: np.ndarray) -> np.ndarray:
+        z = sums[:, :DIMS] / sums[:, DIMS:] @ self.out + self.bias
+        z = np.exp(z - z.max(1, keepdims=True))
+        return z / z.sum(1, keepdims=True)
+
+    def rows(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of the words of all units, place of each unit's end)."""
         if len(self.known) > 350_000:
             self.known.clear()
-        flat, starts = [], []
+        known, flat, ends = self.known, [], []
         for ws in texts:
-            starts.append(len(flat))
-            flat += [self._row(w) for w in ws] or [self._row("#")]
+            flat += [k if (k := known.get(w)) is not None else self._row(w) for w in ws]
+            ends.append(len(flat))
+        return np.array(flat, np.int64), np.array(ends, np.int64)
+
+    def score(self, texts: list[list[str]]) -> np.ndarray:
+        """(units x labels) probabilities of units given as words, none of them empty."""
         if not texts:
             return np.zeros((0, len(LABELS)), np.float32)
-        sums = np.add.reduceat(self.sums[flat], starts, axis=0)
-        z = sums[:, :DIMS] / sums[:, DIMS:] @ self.out + self.bias
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+        flat, ends = self.rows(texts)
+        return self._softmax(np.add.reduceat(self.sums[flat], np.r_[0, ends[:-1]], axis=0))
+
+    def worst(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each unit the highest score of it and its stretches, and the label of that one."""
+        flat, ends = self.rows(texts)
+        begins = np.r_[0, ends[:-1]]
+        n = ends - begins
+        han = (np.add.reduceat(self.han[flat], begins, dtype=np.int64) * 2 > n).astype(int)
+        # a long unit is summed in half stretches: two of them that follow each other are a stretch
+        half = np.array(STRETCH)[han] // 2
+        blocks = np.where(n > np.array(LONG)[han], -(-n // half), 1)
+        first = np.cumsum(blocks) - blocks
+        own = np.repeat(np.arange(len(n)), blocks)
+        within = np.arange(len(own)) - first[own]
+        sums = np.add.reduceat(self.sums[flat], begins[own] + half[own] * within, axis=0)
+        paired = np.flatnonzero(within < blocks[own] - 1)
+        p = self._softmax(np.concatenate([np.add.reduceat(sums, first, axis=0), sums[paired] + sums[paired + 1]]))
+        own = np.r_[np.arange(len(n)), own[paired]]
+        worst = 1 - p[:, 0]
+        worst[len(n) :][worst[len(n) :] < SURE] = 0
+        order = np.lexsort((worst, own))
+        at = order[np.flatnonzero(np.r_[own[order][1:] != own[order][:-1], True])]
+        return worst[at], p[at, 1:].argmax(1) + 1
+
 
+class Bags:
+    """Units of words as numbers, with the n-grams of every word."""
 
-def fit(rows: list[tuple[list[int], int]], rng: np.random.Generator) -> Model:
-    """Trains on (buckets, label) units by AdaGrad; rare labels weigh more."""
-    size = np.array([len(b) for b, _ in rows])
-    flat = np.concatenate([np.array(b, np.int64) for b, _ in rows])
+    def __init__(self, docs: list[list[list[str]]]):
+        index: dict[str, int] = {}
+        self.units = [[np.array([index.setdefault(w, len(index)) for w in u], np.int64) for u in us] for us in docs]
+        parts = [grams(w) for w in index]
+        self.n_grams = np.array([len(g) for g in parts])
+        self.gram, self.gram_end = np.concatenate([np.array(g, np.int64) for g in parts]), np.cumsum(self.n_grams)
+
+
+def fit(bags: Bags, rows: list[tuple[int, int, int]], rng: np.random.Generator, epochs: int) -> Model:
+    """Trains on (document, unit, label) by AdaGrad; rare labels weigh more."""
+    each = [bags.units[k][j] for k, j, _ in rows]
+    flat, size = np.concatenate(each), np.array([len(ws) for ws in each])
     ends = np.cumsum(size)
-    label = np.array([y for _, y in rows])
+    gram, gram_end, n_grams = bags.gram, bags.gram_end, bags.n_grams
+    label = np.array([y for _, _, y in rows])
     count = np.bincount(label, minlength=len(LABELS))
     weight = np.sqrt(count.max() / np.maximum(count, 1))[label].astype(np.float32)
     emb = ((rng.random((BUCKETS, DIMS)) - 0.5) / DIMS).astype(np.float32)
     out, bias = np.zeros((DIMS, len(LABELS)), np.float32), np.zeros(len(LABELS), np.float32)
     ge, go, gb = np.full(BUCKETS, 1e-4, np.float32), np.full_like(out, 1e-4), np.full_like(bias, 1e-4)
     gold = np.eye(len(LABELS), dtype=np.float32)[label]
-    for _ in range(EPOCHS):
+
+    def ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), BATCH):
             part = order[lo : lo + BATCH]
             n = size[part]
-            ids = np.concatenate([flat[ends[k] - size[k] : ends[k]] for k in part])
+            # vectors of the words of the batch, each once, from those of their n-grams
+            met, inverse = np.unique(flat[ranges(ends[part] - n, n)], return_inverse=True)
+            m = n_grams[met]
+            ids = gram[ranges(gram_end[met] - m, m)]
+            of_word = np.add.reduceat(emb[ids], np.r_[0, np.cumsum(m)[:-1]], axis=0)
             starts = np.r_[0, np.cumsum(n)[:-1]]
-            mean = np.add.reduceat(emb[ids], starts, axis=0) / n[:, None]
+            total = np.add.reduceat(m[inverse], starts)
+            mean = np.add.reduceat(of_word[inverse], starts, axis=0) / total[:, None]
             z = mean @ out + bias
             z = np.exp(z - z.max(1, keepdims=True))
             delta = (z / z.sum(1, keepdims=True) - gold[part]) * weight[part][:, None] / len(part)
-            back = (delta @ out.T) / n[:, None]
+            back = np.repeat((delta @ out.T) / total[:, None], n, axis=0)
             d_out, d_bias = mean.T @ delta, delta.sum(0)
             go += d_out**2
             gb += d_bias**2
             out -= RATE * d_out / np.sqrt(go)
             bias -= RATE * d_bias / np.sqrt(gb)
-            # gradients of repeated buckets are summed before the step
-            uniq, inverse = np.unique(ids, return_inverse=True)
-            spreaded = np.repeat(back, n, axis=0)
-            grad = np.stack([np.bincount(inverse, spreaded[:, d], len(uniq)) for d in range(DIMS)], 1).astype(np.float32)
+            # gradients of repeated words, then of repeated buckets, are summed before the step
+            by_word = np.stack([np.bincount(inverse, back[:, d], len(met)) for d in range(DIMS)], 1)
+            uniq, place = np.unique(ids, return_inverse=True)
+            spreaded = np.repeat(by_word, m, axis=0)
+            grad = np.stack([np.bincount(place, spreaded[:, d], len(uniq)) for d in range(DIMS)], 1).astype(np.float32)
             ge[uniq] += (grad**2).mean(1)
             emb[uniq] -= RATE * grad / np.sqrt(ge[uniq])[:, None]
     return Model(emb, out, bias)
 
 
 def train(labelled: list[tuple[str, list[str]]]) -> Model | None:
-    """A model from (text, labels of its annotators); None if there is nothing to learn from.
-
-    A text without labels is background.
-    """
-    rng = np.random.default_rng(SEED)
+    """A model from (text, labels of its annotators); None if there is nothing to learn from."""
     docs: list[tuple[int, list[list[str]]]] = []
-    loose: set[int] = set()
     for text, labels in sorted((t or "", sorted(x)) for t, x in labelled):
         votes = Counter(LABELS.index(x) for x in labels if x in LABELS)
-        if labels and not votes:
+        if not votes:
             continue
-        top = votes.most_common() or [(0, 1)]
-        if len(top) > 1 and top[0][1] == top[1][1] and len(votes) > 1 and 0 in votes:
+        top = votes.most_common()
+        if len(top) > 1 and top[0][1] == top[1][1] and 0 in votes:
             continue  # annotators disagree on whether there is an offence
-        us = [w for u in units(text) if (w := words(u))]
-        if top[0][0] == 0 and len(us) > CLEAN_UNITS:
-            us = [us[k] for k in sorted(rng.choice(len(us), CLEAN_UNITS, replace=False))]
-        if us:
+        if us := unit_words(text):
             docs.append((top[0][0], us))
-            if not labels:
-                loose.add(len(docs) - 1)
     bad = [k for k, (y, _) in enumerate(docs) if y]
     if not bad or len(bad) == len(docs):
         return None
@@ -232,7 +286,7 @@ def train(labelled: list[tuple[str, list[str]]]) -> Model | None:
     marked = {k: [odds(u) for u in docs[k][1]] for k in bad}
     chosen = {k: [int(np.argmax(marked[k]))] for k in bad if max(marked[k]) >= MARKED}
     skip: set[tuple[int, int]] = set()
-    buckets: dict[tuple[int, int], list[int]] = {(k, j): [g for w in u for g in grams(w)] for k, (_, us) in enumerate(docs) for j, u in enumerate(us)}
+    bags = Bags([us for _, us in docs])
     model = None
     for turn in range(ROUNDS):
         rows = []
@@ -241,13 +295,14 @@ def train(labelled: list[tuple[str, list[str]]]) -> Model | None:
                 continue
             for j in range(len(us)):
                 if (k, j) not in skip:
-                    rows.append((buckets[k, j], y if y and j in chosen[k] else 0))
-        model = fit(rows, np.random.default_rng(SEED + turn))
+                    rows.append((k, j, y if y and j in chosen[k] else 0))
+        model = fit(bags, rows, np.random.default_rng(SEED + turn), LAST_EPOCHS if turn == ROUNDS - 1 else EPOCHS)
         if turn == ROUNDS - 1:
             break
         chosen, skip = {}, set()
+        scores = np.split(1 - model.score([u for _, us in docs for u in us])[:, 0], np.cumsum([len(us) for _, us in docs])[:-1])
         for k, (y, us) in enumerate(docs):
-            p = 1 - model.score(us)[:, 0]
+            p = scores[k]
             if y:
                 able = [j for j in range(len(us)) if marked[k][j] >= MARKED]
                 picked = [j for j in able if p[j] > THRESHOLD] or [j for j in able if p[j] == max(p[able]) > 0.2]
@@ -256,51 +311,49 @@ def train(labelled: list[tuple[str, list[str]]]) -> Model | None:
                 skip |= {(k, j) for j in able if j not in picked and p[j] > 0.3}
             else:
                 # only wording that isn't common in clean text can be an offence that has no label
-                skip |= {(k, j) for j in range(len(us)) if p[j] > (0.6 if k in loose else 0.8) and odds(us[j]) >= MARKED}
+                skip |= {(k, j) for j in range(len(us)) if p[j] > 0.8 and odds(us[j]) >= MARKED}
         if not chosen:
             break
     return model
 
 
 def training_rows(documents: DataFrame, labels: DataFrame) -> list[tuple[str, list[str]]]:
-    """At most MAX_DOCS labelled documents of each kind with all their labels."""
+    """At most MAX_DOCS labelled documents of each offence and MAX_CLEAN clean ones, with all their labels."""
     voted = labels.filter(F.col("label").isin(*LABELS)).groupBy("doc_id").agg(F.collect_list("label").alias("labels"))
-    kind = F.array_max("labels")
-    picked = voted.withColumn("kind", F.when(F.array_contains("labels", "ok") & (F.size(F.array_distinct("labels")) == 1), "ok").otherwise(kind))
-    parts = [picked.filter(F.col("kind") == k).orderBy(F.xxhash64("doc_id")).limit(MAX_DOCS * (2 if k == "ok" else 1)) for k in LABELS]
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)
+    # a document counts for its most frequent label; of ties for one that is no "ok"
+    picked = voted.withColumn("kind", F.array_max(F.transform(F.array(*[F.lit(x) for x in LABELS]), lambda x: F.struct(F.size(F.filter("labels", lambda y: y == x)).alias("n"), (x != "ok").alias("bad"), x.alias("label"))))["label"])
+    parts = [picked.filter(F.col("kind") == k).orderBy(F.xxhash64("doc_id")).limit(MAX_CLEAN if k == "ok" else MAX_DOCS) for k in LABELS]
+    chosen = reduce(DataFrame.unionByName, parts).select("doc_id", "labels")
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = [(r["text"], r["labels"]) for r in texts.select("text", "labels").collect()]
-    # a share that leaves about twice the wanted number is cheaper to order than all
-    rest = documents.select("doc_id", "text").filter(F.length("text") > 0)
-    total = rest.count()
-    share = max(1, int(total // (2 * BACKGROUND)))
-    few = rest.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(share)) == 0).join(F.broadcast(chosen), "doc_id", "left_anti")
-    return rows + [(r["text"], []) for r in few.orderBy(F.xxhash64("doc_id")).limit(BACKGROUND).select("text").collect()]
+    return [(r["text"], r["labels"]) for r in texts.select("text", "labels").collect()]
 
 
 def _worst(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """For each text the highest score of its units and stretches, and the label of that one."""
-    flat, owner, part = [], [], []
-    for k, t in enumerate(texts):
-        for u in units(t) if model else ():
-            for n, x in enumerate([u, *stretches(u)]):
-                if w := words(x):
-                    flat.append(w)
-                    owner.append(k)
-                    part.append(n > 0)
     best, kind = np.zeros(len(texts)), np.zeros(len(texts), int)
-    if flat:
-        p = model.score(flat)
-        own = np.array(owner)
-        worst = 1 - p[:, 0]
-        worst = np.where(np.array(part) & (worst < SURE), 0, worst)
-        order = np.lexsort((worst, own))
-        at = order[np.flatnonzero(np.r_[own[order][1:] != own[order][:-1], True])]
-        best[own[at]] = worst[at]
-        kind[own[at]] = p[at, 1:].argmax(1) + 1
+    flat: list[list[str]] = []
+    owner: list[int] = []
+
+    def flush() -> None:
+        if flat:
+            own = np.array(owner)
+            p, label = model.worst(flat)
+            order = np.lexsort((p, own))
+            at = order[np.flatnonzero(np.r_[own[order][1:] != own[order][:-1], True])]
+            at = at[p[at] > best[own[at]]]
+            best[own[at]], kind[own[at]] = p[at], label[at]
+            flat.clear(), owner.clear()
+
+    n = 0
+    for k, t in enumerate(texts):
+        for w in unit_words(t) if model else ():
+            flat.append(w)
+            owner.append(k)
+            n += len(w)
+            if n > AT_ONCE:
+                flush()
+                n = 0
+    flush()
     return best, kind
 
 
@@ -311,11 +364,7 @@ def score(documents: DataFrame, model: Model | None, key: str = "doc_id", text:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*shared.value) if shared.value else None
         for b in batches:
-            # few documents at a time: their n-grams take many times the room of the text
-            if not len(b):
-                continue
-            parts = [_worst(m, list(b["text"].iloc[k : k + AT_ONCE])) for k in range(0, len(b), AT_ONCE)]
-            best, kind = (np.concatenate(x) for x in zip(*parts))
+            best, kind = _worst(m, list(b["text"]))
             label = [LABELS[k] if s >= FOUND else "ok" for k, s in zip(kind, best)]
             yield pd.DataFrame({"key": b["key"], "score": best, "label": label})
 
