@@ -1,21 +1,24 @@
 """Records spoilt by a wrong character encoding: finding them and restoring the text.
 
-1. Twins. Segments (a title, each sentence of a summary) are keyed by their ASCII letters
-   and digits. A segment with doubtful characters is joined with clean segments of the same
-   key: the same words, one of them garbled.
-2. Inference. Between equal ASCII characters the runs of other characters stand in the same
-   order; each pair (garbled run, clean run) is held against the hypotheses "these bytes are
-   X, read as Y". The hypotheses that explain runs are the learned transformations, with
-   their support.
-3. Application. The learned transformations, best supported first, are tried on every
-   doubtful record. A stretch counts as garbled if its bytes under Y form valid text in X
-   with characters that occur in such texts. UTF-8 is so redundant that a stretch that fits
-   is evidence by itself, so hypotheses without a twin are tried too, after the learned ones.
-   Text whose bytes were lost (replacement characters, runs of question marks) is found by
-   these marks, and restored where a clean twin exists.
-
-Nulls and empty texts are never cases. A lone replacement character at the very end is the
-mark of a cut text, not of a wrong encoding. Whole texts are scanned, however long.
+1. Twins. Text is a row of ASCII stretches with runs of other characters between them. The key
+   of a run is what stands around it, stripped of all but ASCII letters and digits: the last
+   SIDE before it and the first SIDE behind it, so garbled and clean twins have the same keys.
+2. Inference. The run of a doubtful text, read back by a hypothesis "these bytes are X, read as
+   Y", must be the clean run of another text at the same key: that aligns the two character by
+   character. The hypotheses that explain runs are the learned transformations, with the number
+   of different keys as support. Marks of lost bytes (question marks between letters) are
+   learned in the same way: clean twins have another character there.
+3. Application. Only what was learned is applied to the doubtful records, best supported first:
+   a stretch counts as garbled if its bytes under Y form valid text in X with characters that
+   occur in such texts. A transformation without a twin is used only if the collection bears it
+   out by the redundancy of UTF-8: LONG_STRETCH sequences in a row that fit it and no other one
+   fits better. Replacement characters, private and control ones are no text in any encoding and
+   need no twin. `learned` gives the support of either way.
+
+Joins are on hashes of (key, restored run), so a key seen in a third of all texts costs one row
+a task and gives no pairs. Nulls and empty texts are never cases. A lone replacement character
+at the very end is the mark of a cut text, not of a wrong encoding. Whole texts are scanned,
+however long.
 """
 
 from __future__ import annotations
@@ -39,8 +42,12 @@ HYPOTHESES = (
     ("utf-8", "cp1251"), ("utf-8", "cp1250"), ("utf-8", "koi8_r"), ("utf-8", "cp1254"), ("gbk", "latin-1"), ("gbk", "cp1252"),
     ("gbk", "mac_roman"), ("gbk", "cp437"),
 )
-#: ASCII letters and digits that a twin key must have at least.
-KEY_LENGTH = 16
+#: ASCII letters and digits on each side of a run that make its key, and those it must have in all.
+SIDE, KEY_LENGTH = 6, 6
+#: Different keys at which twins must bear a transformation out; sequences in a row that do so without a twin.
+SUPPORT, LONG_STRETCH = 1, 4
+#: Different runs that a task keeps before it hands them on.
+FLUSH = 200_000
 
 # UTF-8 sequences of characters that such texts hold: Latin letters and signs, typographic
 # marks, currency, Chinese characters and punctuation.
@@ -53,7 +60,14 @@ _HAN = re.compile("[一-鿿]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 #: Characters that make a text worth a look beside Chinese ones.
 DOUBTFUL = "[^\\x00-\\x7f -ÿŒœ‐-…€　-〿一-鿿＀-￯]|[ÂÃâ¡-ÿ][\u0080-¿Ā-˿‐-™]|[\u0080-ÿ]{3}|\\?\\?|[A-Za-z]\\?[A-Za-z]|[\u0080-\u009f]"
-_LOST = re.compile("[\ufffd\ue000-\uf8ff]|[\u0080-\u009f]|[0-9A-Za-zÀ-ɏ一-鿿]\\?[A-Za-zÀ-ɏ一-鿿]|\\?{4,}|\\?{2,}[0-9一-鿿]|[一-鿿]\\?{2,}[0-9一-鿿]")
+#: Marks of lost bytes: those that are no text anywhere, and question marks where a character should be.
+MARKS = {
+    "replaced": re.compile("[\ufffd\ue000-\uf8ff\u0080-\u009f]"),
+    "question": re.compile("[0-9A-Za-zÀ-ɏ一-鿿]\\?[A-Za-zÀ-ɏ一-鿿]|\\?{4,}|\\?{2,}[0-9一-鿿]|[一-鿿]\\?{2,}[0-9一-鿿]"),
+}
+_RUN = re.compile("(?:[^\x00-\x7f]|\\?)+")
+_STRIP = re.compile("[^A-Za-z0-9]+")
+_ODD = re.compile(DOUBTFUL)
 _BROKEN = re.compile("[^\\x00-\\x7f\\u4e00-\\u9fff]*[\\ufffd\\ue000-\\uf8ff\\x80-\\x9f][^\\x00-\\x7f]*")
 
 
@@ -91,25 +105,25 @@ def _one_byte(text: str, real: str, wrong: str) -> list[tuple[int, int, str]]:
 
 def _as_gbk(text: str) -> list[tuple[int, int, str]]:
     """Stretches of UTF-8 that was read as GBK. Chinese text needs three characters in a row."""
-    raw, starts = bytearray(), []
+    whole = text.encode("gbk", "replace")
+    chinese = _UTF8_HAN.search(whole) is not None
+    if not chinese and len(_LATIN.findall(text)) <= len(_HAN.findall(text)):
+        return []
+    starts = []
     for k, c in enumerate(text):
-        try:
-            b = c.encode("gbk")
-        except UnicodeEncodeError:
-            b = b"\x00"
-        starts += [k] * len(b)
-        raw += b
-    whole, spans = bytes(raw), []
-    for m in _UTF8_HAN.finditer(whole):
-        spans.append((starts[m.start()], starts[m.end() - 1] + 1, m.group().decode("utf-8", "replace")))
-    if not spans and len(_LATIN.findall(text)) > len(_HAN.findall(text)):
+        starts += [k] * (1 if c < "\x80" else len(c.encode("gbk", "replace")))
+    found = []
+    if chinese:
+        for m in _UTF8_HAN.finditer(whole):
+            found.append((starts[m.start()], starts[m.end() - 1] + 1, m.group().decode("utf-8", "replace")))
+    else:
         # in Latin text one or two odd characters between letters are enough
         for m in _UTF8.finditer(whole):
             s, e = starts[m.start()], starts[m.end() - 1] + 1
             around = text[max(0, s - 1) : s] + text[e : e + 1]
             if e - s <= 3 and not _HAN.search(around):
-                spans.append((s, e, m.group().decode("utf-8", "replace")))
-    return spans
+                found.append((s, e, m.group().decode("utf-8", "replace")))
+    return found
 
 
 def spans(text: str, order: tuple[tuple[str, str], ...] = HYPOTHESES) -> list[tuple[int, int, str, str]]:
@@ -133,27 +147,27 @@ def spans(text: str, order: tuple[tuple[str, str], ...] = HYPOTHESES) -> list[tu
     return best
 
 
-def lost(text: str) -> bool:
-    """Whether bytes of the text were lost in a wrong encoding."""
+def lost(text: str, marks: tuple[str, ...] = tuple(MARKS)) -> bool:
+    """Whether bytes of the text were lost in a wrong encoding, by marks of these kinds."""
     # 鈥 is what the first bytes of a typographic mark become in GBK; its last byte is lost there
     cut = text.endswith("�") and text.count("�") == 1 and not text.endswith("鈥�")
     body = text[:-1] if cut else text
-    return _LOST.search(body) is not None
+    return any(MARKS[m].search(body) for m in marks)
 
 
 def restore(text: str, order: tuple[tuple[str, str], ...] = HYPOTHESES) -> tuple[str, str]:
-    """(text with its explained stretches restored, names of the transformations used)."""
+    """(text with its explained stretches restored, names of the transformations used).
+
+    Text may have gone through wrong encodings several times; every step takes bytes away.
+    """
     names = []
-    for _ in range(3):  # text may have gone through a wrong encoding more than once
-        found = spans(text, order)
-        if not found:
-            break
+    while found := spans(text, order):
         out, at = [], 0
         for s, e, r, name in found:
             out += [text[at:s], r]
             at = e
         new = "".join([*out, text[at:]])
-        if new == text:
+        if len(new.encode()) >= len(text.encode()):
             break
         text = new
         names.append(found[0][3])
@@ -173,14 +187,6 @@ def is_garbled(text: str | None, order: tuple[tuple[str, str], ...] = HYPOTHESES
     return bool(text) and (lost(text) or bool(spans(text, order)))
 
 
-def _key(text: F.Column) -> F.Column:
-    return F.lower(F.regexp_replace(text, "[^A-Za-z0-9]", ""))
-
-
-def _doubtful(text: F.Column) -> F.Column:
-    return text.rlike(DOUBTFUL) | text.rlike("[一-鿿]")
-
-
 def fields(items: DataFrame) -> DataFrame:
     """(item_id, field, text): the titles and summaries of all items."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("title", "summary")])
@@ -188,100 +194,201 @@ def fields(items: DataFrame) -> DataFrame:
     return rows.filter(F.length("text") > 0)
 
 
-def learned(items: DataFrame) -> DataFrame:
-    """(real, wrong, support): the transformations that explain runs of twin segments.
+def keyed_runs(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, key) of the runs of other than ASCII characters; the key is '' where little stands around."""
+    at = [(m.start(), m.end()) for m in _RUN.finditer(text)]
+    ends = [0, *[e for _, e in at]]
+    parts = [_STRIP.sub("", text[b:e]).lower() for b, e in zip(ends, [*[s for s, _ in at], len(text)])]
+    out, left = [], ""
+    for k, (s, e) in enumerate(at):
+        left = (left + parts[k])[-SIDE:]
+        right, j = parts[k + 1], k + 2
+        while len(right) < SIDE and j < len(parts):
+            right += parts[j]
+            j += 1
+        right = right[:SIDE]
+        out.append((s, e, f"{left}|{right}" if len(left) + len(right) >= KEY_LENGTH else ""))
+    return out
 
-    The number of rows is bounded by the number of hypotheses.
-    """
-    segments = fields(items).select(F.explode(F.split("text", "(?<=[.!?。]) |。")).alias("segment"))
-    segments = segments.filter(F.col("segment").rlike("[^\\x00-\\x7f]") & (F.length(_key(F.col("segment"))) >= KEY_LENGTH))
-    keyed = segments.select(F.xxhash64(_key(F.col("segment"))).alias("key"), "segment", F.col("segment").rlike(DOUBTFUL).alias("odd"))
-    keyed = materialize(keyed.distinct(), "twin-segments")  # read for either side
-    garbled = keyed.filter("odd").select("key", F.col("segment").alias("bad"))
-    # of the clean twins of a key one is enough, however many there are
-    clean = keyed.filter("not odd").groupBy("key").agg(F.min("segment").alias("good"))
-    twins = garbled.join(clean, "key")
-
-    def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
-        for b in batches:
-            for bad, good in zip(b["bad"], b["good"]):
-                counts.update(explained(bad, good))
-        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["real", "wrong", "n"])
 
-    found = twins.mapInPandas(infer, "real string, wrong string, n long")
-    return found.groupBy("real", "wrong").agg(F.sum("n").alias("support"))
+def read_back(run: str, real: str, wrong: str) -> str | None:
+    """The run before the transformation, if all of it fits."""
+    if wrong == "gbk":
+        try:
+            return run.encode("gbk").decode("utf-8")
+        except UnicodeError:
+            return None
+    table_ = _bytes_of(wrong)
+    if not all(c in table_ for c in run):
+        return None
+    raw = bytes(table_[c] for c in run)
+    if not (_UTF8 if real == "utf-8" else _GBK).fullmatch(raw):
+        return None
+    try:
+        return raw.decode(real)
+    except UnicodeError:
+        return None
+
+
+def origins(run: str) -> list[tuple[str, str]]:
+    """(what the run may have been, names of the transformations that lead there), several steps included."""
+    out, todo = [], [(run, "")]
+    while todo:
+        now, names = todo.pop()
+        for real, wrong in HYPOTHESES:
+            y = read_back(now, real, wrong)
+            if y and len(y.encode()) < len(now.encode()):
+                out.append((y, f"{names} {real}/{wrong}".strip()))
+                todo.append(out[-1])
+    return out
 
 
-def runs(text: str) -> list[str]:
-    return re.findall("[^\x00-\x7f]+", text)
+_EVIDENCE = "kind string, item_id string, field string, text string, key string, run string, name string, n long"
 
 
-def explained(bad: str, good: str) -> Counter:
-    """The hypotheses that turn the clean runs of `good` into those of `bad`, with their counts."""
-    out: Counter = Counter()
-    a, b = runs(bad), runs(good)
-    if len(a) == len(b):
-        for x, y in zip(a, b):
-            if x == y:
-                continue
-            for real, wrong in HYPOTHESES:
-                try:
-                    if y.encode(real).decode(wrong) == x:
-                        out[real, wrong] += 1
-                        break
-                except UnicodeError:
-                    continue
-    return out
+def evidence(items: DataFrame) -> DataFrame:
+    """One reading of all texts: doubtful ones (kind s), and of their runs what twins could tell.
 
+    c: clean runs with their keys; y: possible originals of a doubtful run with the names of the
+    transformations; m: kinds of marks of lost bytes at a key; o: long stretches that fit a transformation.
+    """
 
-def learned_order(items: DataFrame) -> tuple[tuple[str, str], ...]:
-    """The hypotheses, those with twins first, by their support."""
-    support = {(r["real"], r["wrong"]): r["support"] for r in learned(items).collect()}
-    return tuple(sorted(HYPOTHESES, key=lambda h: (-support.get(h, 0), HYPOTHESES.index(h))))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, str, str, str]] = set()
+        own: Counter = Counter()
 
+        def rows(texts: list[tuple], last: bool) -> pd.DataFrame:
+            out = list(texts)
+            if last or len(seen) > FLUSH:
+                out += [(k, None, None, None, key, r, name, None) for k, key, r, name in seen]
+                seen.clear()
+            if last:
+                out += [("o", None, None, None, None, None, name, n) for name, n in own.items()]
+            return pd.DataFrame(out, columns=[c.split()[0] for c in _EVIDENCE.split(", ")])
 
-def found_fields(items: DataFrame) -> DataFrame:
-    """(item_id, field, text, restored, transformation): the garbled fields of the items.
+        for b in batches:
+            texts = []
+            for item, field, text in zip(b["item_id"], b["field"], b["text"]):
+                odd = _ODD.search(text) is not None or _HAN.search(text) is not None and bool(_as_gbk(text))
+                if odd:
+                    texts.append(("s", item, field, text, None, None, None, None))
+                    for _, _, r, name in spans(text):
+                        if name.startswith("utf-8") and len(r) >= LONG_STRETCH:
+                            own[name] += 1
+                for s, e, key in keyed_runs(text):
+                    if not key:
+                        continue
+                    piece = text[s:e]
+                    if not odd:
+                        seen.add(("c", key, piece, ""))
+                    else:
+                        for y, names in origins(piece):
+                            seen.add(("y", key, y, names))
+                        around = text[max(0, s - 1) : e + 1]
+                        for name, mark in MARKS.items():
+                            if mark.search(around):
+                                seen.add(("m", key, "", name))
+            yield rows(texts, False)
+        yield rows([], True)
+
+    # text of ASCII letters without a question mark has no runs
+    rows = fields(items).filter(F.col("text").rlike("[^\\x00-\\x7f]|\\?"))
+    return materialize(spread(rows).mapInPandas(run, _EVIDENCE), "encoding-evidence")
+
+
+def learned(seen: DataFrame) -> DataFrame:
+    """(name, twin_support, own_support): transformations and kinds of marks, borne out by so many keys or long stretches.
+
+    The number of rows is bounded by the number of hypotheses.
+    """
+    clean = seen.filter("kind = 'c'").select("key", "run")
+    at = seen.filter("kind = 'y'").select("key", "run", "name").distinct()
+    # a transformation of several steps bears out each of them
+    told = at.join(clean.distinct(), ["key", "run"]).select("key", F.explode(F.array_distinct(F.split("name", " "))).alias("name"))
+    marks = seen.filter("kind = 'm'").select("key", "name").distinct().join(clean.select("key").distinct(), "key")
+    twins = told.distinct().unionByName(marks.select("key", "name")).groupBy("name").agg(F.count("*").alias("twin_support"), F.lit(0).cast("long").alias("own_support"))
+    own = seen.filter("kind = 'o'").groupBy("name").agg(F.lit(0).cast("long").alias("twin_support"), F.sum("n").alias("own_support"))
+    return twins.unionByName(own).groupBy("name").agg(F.sum("twin_support").alias("twin_support"), F.sum("own_support").alias("own_support"))
+
+
+def in_use(seen: DataFrame) -> tuple[tuple[tuple[str, str], ...], tuple[str, ...]]:
+    """(the learned transformations, best supported first; the learned marks)."""
+    known = {r["name"]: (r["twin_support"], r["own_support"]) for r in learned(seen).filter((F.col("twin_support") >= SUPPORT) | (F.col("own_support") > 0)).collect()}
+    order = [h for h in HYPOTHESES if "/".join(h) in known]
+    order.sort(key=lambda h: known["/".join(h)], reverse=True)  # stable: ties as listed
+    return tuple(order), tuple(m for m in MARKS if m == "replaced" or m in known)
+
+
+def found_fields(seen: DataFrame) -> DataFrame:
+    """(item_id, field, text, restored, transformation) of the evidence: the garbled fields.
 
-    `restored` is null where nothing could be restored by a transformation.
+    `restored` is the text as far as transformations restore it; null where they do nothing.
     """
-    order = learned_order(items)
-    rows = fields(items).filter(_doubtful(F.col("text")))
+    order, marks = in_use(seen)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for item, field, text in zip(b["item_id"], b["field"], b["text"]):
                 fixed, names = restore(text, order)
-                gone = lost(text if not names else fixed)
+                gone = lost(text if not names else fixed, marks)
                 if names or gone:
-                    out.append((item, field, text, fixed if names and not gone else None, names or "lost"))
+                    out.append((item, field, text, fixed if names else None, f"{names} lost".strip() if gone else names))
             yield pd.DataFrame(out, columns=["item_id", "field", "text", "restored", "transformation"])
 
-    return spread(rows).mapInPandas(scan, "item_id string, field string, text string, restored string, transformation string")
+    rows = seen.filter("kind = 's'").select("item_id", "field", "text")
+    return rows.mapInPandas(scan, "item_id string, field string, text string, restored string, transformation string")
+
+
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "items").select("id", "title", "summary")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    items = table(spark, folder, "items").select("id", "title", "summary")
-    return found_fields(items).select("item_id", "field").distinct()
+    return found_fields(evidence(_items(spark, folder))).select("item_id", "field").distinct()
+
+
+def p6_mappings(spark: SparkSession, folder: str) -> DataFrame:
+    """(transformation, twin_support, own_support, used): what was learned, and by which way."""
+    out = learned(evidence(_items(spark, folder)))
+    used = (F.col("twin_support") >= SUPPORT) | (F.col("own_support") > 0)
+    return out.select(F.col("name").alias("transformation"), "twin_support", "own_support", used.alias("used"))
 
 
 def p6_restored(spark: SparkSession, folder: str) -> DataFrame:
     """(item_id, field, restored, how): the garbled fields, restored where possible.
 
-    What no transformation restores is taken from a clean twin of the same field and ASCII key.
+    Where bytes were lost, each run takes the one clean run that twins have at its key; the field
+    is restored if that can be done for all of them. Of repeated ids the greatest text counts.
     """
-    items = table(spark, folder, "items").select("id", "title", "summary")
-    bad = found_fields(items).dropDuplicates(["item_id", "field"])
-    bad = bad.withColumn("k", _key(F.col("text")))
-    key = F.when(F.length("k") >= KEY_LENGTH, F.xxhash64("field", "k")).otherwise(-F.xxhash64("item_id", "field"))
-    clean = fields(items).filter(~F.col("text").rlike(DOUBTFUL)).withColumn("k", _key(F.col("text"))).filter(F.length("k") >= KEY_LENGTH)
-    clean = clean.groupBy(F.xxhash64("field", "k").alias("key")).agg(F.min("text").alias("twin"))
-    joined = bad.withColumn("key", key).join(clean, "key", "left")
-    how = F.when(F.col("restored").isNotNull(), F.col("transformation")).when(F.col("twin").isNotNull(), "twin").otherwise("none")
-    return joined.select("item_id", "field", F.coalesce("restored", "twin").alias("restored"), how.alias("how"))
+    seen = evidence(_items(spark, folder))
+    bad = found_fields(seen).groupBy("item_id", "field").agg(F.max(F.struct("text", "restored", "transformation")).alias("x")).select("item_id", "field", "x.*")
+    bad = materialize(bad, "encoding-found")
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for item, field, text in zip(b["item_id"], b["field"], b["text"]):
+                at = 0
+                for n, (s, e, key) in enumerate(keyed_runs(text)):
+                    broken = any(m.search(text[max(0, s - 1) : e + 1]) for m in MARKS.values())
+                    out.append((item, field, n, text[at:s], text[s:e], key if broken else None, broken))
+                    at = e
+                out.append((item, field, 1 << 30, text[at:], "", None, False))
+            yield pd.DataFrame(out, columns=["item_id", "field", "n", "before", "run", "key", "broken"])
+
+    half = bad.filter("transformation like '%lost'").select("item_id", "field", F.coalesce("restored", "text").alias("text"))
+    cut = half.mapInPandas(pieces, "item_id string, field string, n long, before string, run string, key string, broken boolean")
+    clean = seen.filter("kind = 'c'").groupBy("key").agg(F.min("run").alias("good"), (F.min("run") == F.max("run")).alias("one")).filter("one").select("key", "good")
+    # runs without a key don't meet in the join
+    cut = cut.withColumn("key", F.coalesce("key", F.concat(F.lit("\u0000"), "item_id", F.col("n").cast("string")))).join(clean, "key", "left")
+    piece = F.struct("n", F.concat("before", F.when(F.col("broken"), F.coalesce("good", "run")).otherwise(F.col("run"))).alias("t"))
+    whole = cut.groupBy("item_id", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["t"]), "").alias("by_twin"), F.max((F.col("broken") & F.col("good").isNull()).cast("int")).alias("open"))
+    joined = bad.join(whole.filter("open = 0").drop("open"), ["item_id", "field"], "left")
+    gone = F.col("transformation").endswith("lost")
+    how = F.when(~gone, F.col("transformation")).when(F.col("by_twin").isNotNull(), F.concat_ws(" ", F.nullif(F.trim(F.expr("left(transformation, length(transformation) - 4)")), F.lit("")), F.lit("twin"))).otherwise("none")
+    return joined.select("item_id", "field", F.when(gone, F.col("by_twin")).otherwise(F.col("restored")).alias("restored"), how.alias("how"))
 
 
 SQL: dict[str, str] = {}
-QUERIES = {"p6_found": p6_found, "p6_restored": p6_restored}
+QUERIES = {"p6_found": p6_found, "p6_mappings": p6_mappings, "p6_restored": p6_restored}

@@ -225,11 +225,35 @@ def test_clean_text_is_no_case(text):
     assert not encodings.is_garbled(text)
 
 
+CLEAN = [f"Le régulateur de Town{k} enquête sur les ventes de pompes à chaleur" for k in range(8)]
+SCHEMA = "id string, title string, summary string"
+
+
 def test_transformations_are_learned_from_twins(spark):
-    clean = [f"Le régulateur de Town{k} enquête sur les ventes de pompes à chaleur" for k in range(8)]
-    rows = [(f"g{k}", "x", t) for k, t in enumerate(clean)] + [(f"b{k}", "x", t.encode().decode("cp437")) for k, t in enumerate(clean[:4])]
-    got = encodings.learned(spark.createDataFrame(rows, "id string, title string, summary string")).orderBy(F.desc("support")).first()
-    assert (got["real"], got["wrong"]) == ("utf-8", "cp437") and got["support"] >= 4
+    rows = [(f"g{k}", "x", t) for k, t in enumerate(CLEAN)] + [(f"b{k}", "x", t.encode().decode("cp437")) for k, t in enumerate(CLEAN[:4])]
+    got = encodings.learned(encodings.evidence(spark.createDataFrame(rows, SCHEMA))).orderBy(F.desc("twin_support"), "name").first()
+    assert got["name"] == "utf-8/cp437" and got["twin_support"] >= 4
+
+
+def test_rows_come_from_what_twins_taught(spark):
+    bad = [("b", "x", CLEAN[0].encode().decode("cp437")), ("q", "x", CLEAN[1].replace("é", "?").replace("ê", "?")), ("r", CLEAN[2].encode().decode("cp437"), "x")]
+    other = [("n", "x", "Ein anderer Titel über Bälle")]
+    twins = [(f"g{k}", "x", t) for k, t in enumerate(CLEAN)]
+
+    def found(rows):
+        return {(r["item_id"], r["field"]) for r in encodings.found_fields(encodings.evidence(spark.createDataFrame(rows, SCHEMA))).collect()}
+
+    assert found(bad + twins + other) == {("b", "summary"), ("q", "summary"), ("r", "title")}
+    assert found(bad + other) == set()
+
+
+def test_lost_bytes_come_back_from_twins(spark, tmp_path):
+    rows = [(f"g{k}", "x", t) for k, t in enumerate(CLEAN)]
+    rows += [("b", "x", CLEAN[0].replace("é", "�")), ("q", "x", CLEAN[1].replace("ê", "?")), ("z", "x", "Rien de tel n’est l� pour lui"), ("t", "x", CLEAN[3].encode().decode("cp1252").encode().decode("cp1252"))]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/items.parquet")
+    got = {r["item_id"]: r for r in encodings.p6_restored(spark, str(tmp_path)).collect()}
+    assert {k: r["restored"] for k, r in got.items()} == {"b": CLEAN[0], "q": CLEAN[1], "z": None, "t": CLEAN[3]}
+    assert (got["b"]["how"], got["z"]["how"]) == ("twin", "none")
 
 
 # ---- 7
