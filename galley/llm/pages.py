@@ -10,10 +10,16 @@ pages. A leaf seen on few pages is smoothed towards the path above it. The ratio
 into one score per path, and lines on paths above the threshold are content:
 
 * prose: share of a path's text that lies in sentences closed by a full stop or the like;
-* separators and labels: signs of menus, tags and credits per text;
-* embedding: share of a path's lines that stand between lines of prose. Subheads and list
-  lines have no full stop but stand there; menus and link lists stand together;
-* spread: a wording found on many pages that is no prose is furniture of the page.
+* separators: signs of menus, tags and credits per line;
+* apart: share of a path's closed lines that are the last of a page, or stand alone behind its
+  text. Rights and imprint lines are sentences too, but stand in footers;
+* embedding: share of a path's lines that stand between lines of prose. Subheads and list lines
+  have no full stop but stand there; menus and link lists stand together;
+* leading: of a path's lines outside the prose, the share that stand right before it and not
+  behind it. A subhead belongs to what follows; adverts and prompts trail a report or interrupt
+  it, but don't open it.
+
+No list of words is used: what a line says counts only through its path.
 
 Blank lines count for line numbers and are never cases. A null or empty body has no lines.
 Whole bodies are used; every page counts for the statistics.
@@ -33,10 +39,14 @@ from galley.session import materialize
 from galley.sources.tables import table
 
 #: Lines of a path, and of a leaf, from which on its own ratios weigh as much as those above it.
-SMOOTHING, LEAF_SMOOTHING = 2.0, 20.0
+SMOOTHING, LEAF_SMOOTHING = 2.0, 8.0
 THRESHOLD = 0.5
-#: Letters up to which a line can be a subhead, and the share of such lines between prose that makes them content.
-SHORT, EMBEDDED = 50, 0.15
+#: Letters up to which a line can be a subhead, and the embedding and leading that make such lines content.
+SHORT, EMBEDDED, LEADING = 50, 0.2, 0.25
+#: What counts for leading where a path has no lines outside the prose.
+UNTOLD = 0.02
+#: Share of closed lines in the midst of prose, below which they count for less; weight of a separator.
+AMIDST, SEPARATOR = 0.4, 0.6
 
 _WRAP = re.compile(r"^\s*(?:<\w+[^<>]*>\s*)*|\s*(?:</\w+>\s*)*$")
 _MARK = re.compile(r"^([•‣▪·*»>–—-]|\d{1,2}[.)])\s+")
@@ -44,69 +54,43 @@ _END = re.compile(r"[.!?。！？…][”“\"»’)）」]*$")
 _STOP = re.compile(r"[.!?。！？]")
 _HAN = re.compile("[一-鿿]")
 _SEPARATORS = re.compile(r"\s[|·>/•]\s|\s{2,}\S")
+_HAN_GAP = re.compile(r"(?<=[一-鿿])\s(?=[一-鿿])")
 _NAME = re.compile(r"\b[A-ZÀ-Þ][\w’'-]*")
 _FIGURE = re.compile(r"\d+(?:[.,:]\d+)*")
-#: Words that announce page furniture, as a reader of these languages knows them.
-CUES = re.compile(
-    r"""(?xi)
-    cookie | javascript | newsletter | \bapp\b | podcast | subscri | subscrib | sign\ up | \blog\ in\b | inbox | briefing | advert | sponsor
-    | \btags?\b\s*: | ^photo\b | ^by\s | ^reporting\ by | \bediting\ by\b | \bstaff$ | ^published\b | last\ updated | comments?$ | share\ this | follow\ this
-    | read\ more | related\ stories | more\ on\ this | most\ read | you\ may\ also | listen\ to\ this | back\ to\ top | all\ rights | ©
-    | reproduced\ without | external\ sites | copy\ link | support\ our | manage\ preferences | (accept|reject)\ all | your\ choices | ^terms\ of | imprint | ^ad\b | you\ agree | stimmen\ sie\ zu | vous\ acceptez | usted\ acepta | você\ concorda | 您同意
-    | anzeige | gesponsert | nachdruck | alle\ rechte | haftet\ nicht | abonn | bestellen | kostenlos\ testen | redaktion | schlagw | kommentare?$ | artikel\ (teilen|anh)
-    | lesen\ sie | mehr\ zum\ thema | meistgelesen | das\ könnte\ sie | nach\ oben | thema\ folgen | einstellungen | akzeptieren | ^nur\ notwendige | ablehnen | ^stand:\s | ^von\s | ^foto
-    | ^bild: | ^text: | datenschutz\s·
-    | publicité | sponsorisé | droits\ réservés | reproduction\ interdite | responsable\ (des|de)\ sit | mots-clés | la\ rédaction | ^rédaction | ^édition\s: | commentaires?$ | partager | suivre\ ce
-    | à\ lire\ aussi | sur\ le\ même\ sujet | les\ plus\ lus | notre\ sélection | haut\ de\ page | écouter\ l | téléchargez | recevez | ^tout\ (accepter|refuser) | gérer\ mes | ^par\s | ^publié | mis\ à\ jour
-    | publicidad | patrocinad | derechos\ reservados | prohibida\ la | s[ií]tios\ externos | etiquetas | redacción | ^edición: | coment[aá]ri?os?$ | compartir | seguir\ este | lea\ también | más\ sobre
-    | más\ leíd | le\ puede\ interesar | volver\ arriba | ^escuchar | descargue | reciba | ^aceptar | ^rechazar | suscr | inicie\ sesión | ^por\s | ^publicado | actualizad
-    | publicidade | direitos\ reservados | reprodução\ proibida | sites\ externos | redação | ^edição: | partilhar | compartilhar | leia\ também | mais\ sobre | mais\ lidas | recomendado
-    | voltar\ ao\ topo | ^ouvir | baixe | receba | ^aceitar | ^recusar | assin(e|ante) | gerir\ pref | atualizad
-    | 广告 | 推广 | 版权 | 转载 | 许可 | 不承担责任 | 标签 | ^编辑 | 责任编辑 | 校对 | 记者\s | ^来源 | 来源： | 摄$ | 图： | ^图片 | 评论 | 分享 | 收藏 | 相关阅读 | 延伸阅读 | 更多报道 | 热门排行 | 猜你喜欢
-    | 返回顶部 | 收听 | 客户端 | 公众号 | 早报 | 登录 | 注册 | 会员 | 隐私条款 | 偏好设置 | ^全部接受 | ^拒绝 | 脚本 | 纠错 | 关于我们
-    """
-)
-
-
-RIGHTS = re.compile(r"(?i)^©|^copyright ©|rights reserved|rechte vorbehalten|droits réservés|derechos reservados|direitos reservados|^版权所有")
-
-
 def bare(line: str) -> str:
     """The line without markup around it and without indent."""
     return _WRAP.sub("", line).strip().replace("­", "")
 
 
-def features(line: str) -> tuple[str, str, str, int, int, int, int, str]:
-    """(upper path, middle path, leaf path, letters, letters in sentences, separators, cue, kind) of a bare line."""
+def features(line: str) -> tuple[str, str, str, int, int, int, str]:
+    """(upper path, middle path, leaf path, letters, letters in sentences, separators, kind) of a bare line."""
     han = len(_HAN.findall(line)) * 4 > len(line)
     size = max(1, len(line)) * (3 if han else 1)  # a Chinese character says as much as three letters
     mark = _MARK.match(line)
     body = line[mark.end() :] if mark else line
     closed = bool(_END.search(body))
     separators = len(_SEPARATORS.findall(body))
-    # a closed sentence may well be a report about adverts or cookies
-    cue = bool((RIGHTS if closed and not separators else CUES).search(body)) and size < 400
+    if han and not closed:  # Chinese puts a space only between the parts of a label or credit
+        separators += len(_HAN_GAP.findall(body))
     figure = bool(re.match(r"\d", body))
     step = "t" if size < 50 else "s" if size < 85 else "m" if size < 200 else "l"
-    top = f"{'h' if han else 'a'}{'-' if mark and mark.group(1) in '–—' else 'o' if mark else ''}{'#' if figure else ''}{'.' if closed else ''}{step}{'|' if separators else ''}{'!' if cue else ''}"
+    top = f"{'h' if han else 'a'}{'-' if mark and mark.group(1) in '–—' else 'o' if mark else ''}{'#' if figure else ''}{'.' if closed else ''}{step}{'|' if separators else ''}"
     skeleton = _FIGURE.sub("#", body)
     if not han:  # the first word has its capital by its place
         first, _, rest = skeleton.partition(" ")
         skeleton = f"{first} {_NAME.sub('N', rest)}"
-    else:
-        skeleton = skeleton[:12]
     # closing a line isn't enough for prose: there must be words between the stops
-    prose = size if closed and (size >= 25 or len(_STOP.findall(body)) == 1) and not cue and separators < 2 else 0
+    prose = size if closed and (size >= 25 or len(_STOP.findall(body)) == 1) and separators < 2 else 0
     kind = f"{mark.group(1) if mark else ''}{'#' if figure else ''}{'.' if closed else ''}"
-    middle = f"{top}/{body[-2:] if han else skeleton.split(' ')[0][:12]}"
-    return top, middle, f"{middle}/{skeleton[:60]}", size, prose, separators, int(cue), kind
+    middle = f"{top}/{body[-2:] if han else skeleton.split(' ')[0]}"
+    return top, middle, f"{middle}/{skeleton}", size, prose, separators, kind
 
 
-def lines_of(pages: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
-    """(key, line_no, top, middle, leaf, size, prose, separators, cue, embedded) of every line that isn't blank.
+_LINE = "key string, line_no long, top string, middle string, leaf string, size int, prose int, separators int, embedded int, opens int, trails int, apart int"
 
-    `embedded` tells whether the nearest lines of another path before and after are prose.
-    """
+
+def lines_of(pages: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
+    """(key, line_no, top, middle, leaf, size, prose, separators, embedded, opens, trails, apart) of every line that isn't blank."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -117,41 +101,49 @@ def lines_of(pages: DataFrame, key: str = "id", body: str = "body") -> DataFrame
                 rows = []
                 for no, line in enumerate(text.split("\n"), 1):
                     if line.strip():
-                        clean = bare(line)
-                        rows.append((page, no, *features(clean)))
-                out += _embed(rows)
-            yield pd.DataFrame(out, columns=["key", "line_no", "top", "middle", "leaf", "size", "prose", "separators", "cue", "embedded"])
+                        rows.append((page, no, *features(bare(line))))
+                out += _placed(rows)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _LINE.split(", ")])
 
     rows = pages.select(F.col(key).alias("key"), F.col(body).alias("body")).filter(F.length("body") > 0)
-    return spread(rows).mapInPandas(run, "key string, line_no long, top string, middle string, leaf string, size int, prose int, separators int, cue int, embedded int")
+    return spread(rows).mapInPandas(run, _LINE)
 
 
-def _embed(rows: list[tuple]) -> list[tuple]:
-    """Replaces each line's kind by whether it stands between prose.
+def _placed(rows: list[tuple]) -> list[tuple]:
+    """Replaces each line's kind by its place: between prose, right before the first, behind the last; closed, but the last or alone behind the text.
 
-    Runs of lines of one kind are taken together; lines with signs of furniture are passed over.
+    Runs of lines of one kind are taken together; lines with separators are passed over.
     """
 
-    def passes(order: Iterator[int]) -> dict[int, bool]:
-        seen, prose, last = {}, False, None
+    def passes(order: Iterator[int]) -> tuple[dict[int, bool], dict[int, bool]]:
+        seen, any_seen, prose, last, some = {}, {}, False, None, False
         for k in order:
             r = rows[k]
-            if last is not None and r[9] != last[9]:
+            if last is not None and r[8] != last[8]:
                 prose = last[6] > 0
-            seen[k] = prose
-            if not r[8] and not r[7]:
+            seen[k], any_seen[k] = prose, some
+            some = some or r[6] > 0
+            if not r[7]:
                 last = r
-        return seen
+        return seen, any_seen
 
     n = len(rows)
-    before, after = passes(range(n)), passes(range(n - 1, -1, -1))
-    return [(*r[:9], int(after[k] and before[k])) for k, r in enumerate(rows)]
+    (before, ever_before), (after, ever_after) = passes(range(n)), passes(range(n - 1, -1, -1))
+    prose = [r[6] > 0 for r in rows]
+    touches = [p and (k > 0 and prose[k - 1] or k + 1 < n and prose[k + 1]) for k, p in enumerate(prose)]
+    last_touching = max((k for k in range(n) if touches[k]), default=-1)
+    out = []
+    for k, r in enumerate(rows):
+        # the last closed line, and those before it that stand alone behind the text
+        apart = prose[k] and ever_before[k] and (not ever_after[k] or k > last_touching)
+        out.append((*r[:8], int(before[k] and after[k]), int(after[k] and not ever_before[k]), int(ever_before[k] and not ever_after[k]), int(apart)))
+    return out
 
 
 def path_scores(lines: DataFrame) -> DataFrame:
     """(leaf, score): the fused and smoothed ratios of every leaf path."""
-    what = ("n", "size", "prose", "separators", "cue", "embedded")
-    leaf = lines.groupBy("top", "middle", "leaf").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in what[1:]])
+    what = ("n", "size", "prose", "separators", "embedded", "opens", "trails", "apart", "closed")
+    leaf = lines.groupBy("top", "middle", "leaf").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in what[1:-1]], F.sum((F.col("prose") > 0).cast("int")).alias("closed"))
     middle = leaf.groupBy("middle").agg(*[F.sum(c).alias(f"middle_{c}") for c in what])
     # the paths at the top are few: script x marker x ending x length step x signs
     top = leaf.groupBy("top").agg(*[F.sum(c).alias(f"top_{c}") for c in what])
@@ -164,9 +156,13 @@ def path_scores(lines: DataFrame) -> DataFrame:
             out = weight * F.col(f"{level}{part}") / F.col(f"{level}{of}") + (1 - weight) * out
         return out
 
-    signs = F.least(F.lit(1.0), ratio("separators", "n") / 2 + ratio("cue", "n"))
-    short = F.when(F.col("size") / F.col("n") < SHORT, F.least(F.lit(1.0), ratio("embedded", "n") / EMBEDDED * THRESHOLD)).otherwise(0.0)
-    return both.select("leaf", (F.greatest(ratio("prose", "size"), short) - signs).alias("score"))
+    one = F.lit(1.0)
+    signs = F.least(one, ratio("separators", "n") * SEPARATOR)
+    amidst = F.when(F.col("closed") > 0, F.least(one, (1 - ratio("apart", "closed")) / AMIDST)).otherwise(1.0)
+    leading = (ratio("opens", "n") + UNTOLD) / (ratio("opens", "n") + ratio("trails", "n") + 2 * UNTOLD)
+    place = F.least(one, ratio("embedded", "n") / EMBEDDED, leading / LEADING)
+    short = F.when(F.col("size") / F.col("n") < SHORT, place).otherwise(0.0)
+    return both.select("leaf", (F.greatest(ratio("prose", "size") * amidst, short) - signs).alias("score"))
 
 
 def boilerplate(pages: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
@@ -177,9 +173,7 @@ def boilerplate(pages: DataFrame, key: str = "id", body: str = "body") -> DataFr
     rest = [c for c in lines.columns if c not in ("top", "middle", "leaf")]
     lines = materialize(lines.select(*rest, *hashed), "page-lines")
     scores = path_scores(lines)
-    # a short line without any sign of furniture that itself stands between prose is a subhead
-    subhead = (F.col("embedded") == 1) & (F.col("size") < SHORT) & (F.col("cue") == 0) & (F.col("separators") == 0)
-    return lines.filter(~subhead).select("key", "line_no", "leaf").join(scores, "leaf").filter(F.col("score") < THRESHOLD).select("key", "line_no", "score")
+    return lines.select("key", "line_no", "leaf").join(scores, "leaf").filter(F.col("score") < THRESHOLD).select("key", "line_no", "score")
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
