@@ -3,8 +3,9 @@ accents, joined letters, invisible characters and unusual spaces.
 
 Texts that hold a character outside the regular ones are exploded to positioned code
 points, joined with the broadcast mapping table (its size is fixed by Unicode), marks are
-ordered by their combining class behind their base, composed again with the table of
-compositions, and put together. Texts of regular characters pass through unchanged.
+ordered by their combining class behind their base and composed with it one by one by the table
+of pairs, passing over those that don't compose and what these block; parts of Hangul syllables
+are composed by their numbers. Texts of regular characters pass through unchanged.
 
 The mapping is built by rule from the Unicode data of the interpreter; only the
 look-alike letters are listed. Look-alikes are replaced only inside a word that also holds
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from galley.llm.common import keyed
 from galley.llm.encodings import garbled_mask
 from galley.sources.tables import table
 
@@ -78,20 +80,23 @@ def mapping() -> dict[str, str]:
 
 @lru_cache(maxsize=1)
 def compositions() -> dict[str, str]:
-    """Base followed by marks in canonical order, to the one composed character."""
+    """A character and the mark behind it, to the one composed character; Hangul is left out."""
     out = {}
-    for n in range(0xC0, 0x2000):
-        c = chr(n)
-        apart = unicodedata.normalize("NFD", c)
-        if len(apart) > 1 and unicodedata.normalize("NFC", apart) == c:
-            out[apart] = c
-            for k in range(2, len(apart)):  # a part composed already, the rest as marks
-                front = unicodedata.normalize("NFC", apart[:k])
-                if len(front) == 1:
-                    out[front + apart[k:]] = c
+    for n in range(0xC0, 0x110000):
+        if 0x3400 <= n < 0xE000 or 0xF900 <= n < 0xFB00:  # ideographs, syllables, surrogates
+            continue
+        parts = unicodedata.decomposition(c := chr(n)).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", c) == c:
+            out["".join(chr(int(p, 16)) for p in parts)] = c
     return out
 
 
+@lru_cache(maxsize=1)
+def marks() -> dict[str, int]:
+    """The combining class of every mark that has one."""
+    return {c: k for n in range(0x300, 0x1F000) if (k := unicodedata.combining(c := chr(n)))}
+
+
 def _ranges(chars) -> str:
     """A character class for a regular expression of Java and Python alike."""
     numbers, parts = sorted(map(ord, chars)), []
@@ -110,24 +115,53 @@ UNCOMMON = "[^\\x00-\\x7e\\xa1-\\xac\\xae-\\xff\\u4e00-\\u9fff\\u2012-\\u2026\\u
 @lru_cache(maxsize=1)
 def suspicious() -> str:
     """A Java pattern for a text that needs the full treatment."""
-    return "[" + _ranges(set(mapping()) | set(LOOKALIKES)) + "]|\\p{Mn}"
+    return "[" + _ranges(set(mapping()) | set(LOOKALIKES) | set(marks())) + "\\x{1161}-\\x{11c2}]|\\p{Mn}"
 
 
 def is_odd(text: Column) -> Column:
     return F.coalesce(text.rlike(UNCOMMON) & text.rlike(suspicious()), F.lit(False))
 
 
-def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(code point, form, look-alike, class) and (apart, composed); fixed by Unicode."""
-    forms = mapping()
-    marks = [c for n in range(0x300, 0x20F1) if unicodedata.combining(c := chr(n))]
+def codes(spark: SparkSession) -> DataFrame:
+    """(code point, form, look-alike, class); fixed by Unicode."""
+    forms, classes = mapping(), marks()
     # composed letters are taken apart, so that their marks take part in the ordering
     apart = {c: unicodedata.normalize("NFD", c) for c in compositions().values()}
-    known = sorted(set(forms) | set(LOOKALIKES) | set(marks) | set(apart))
-    rows = [(c, unicodedata.normalize("NFD", forms[c]) if c in forms else apart.get(c), LOOKALIKES.get(c), unicodedata.combining(c)) for c in known]
-    codes = spark.createDataFrame(pd.DataFrame(rows, columns=["ch", "form", "alike", "ccc"]), "ch string, form string, alike string, ccc int")
-    pairs = spark.createDataFrame(pd.DataFrame(list(compositions().items()), columns=["apart", "composed"]), "apart string, composed string")
-    return codes, pairs
+    known = sorted(set(forms) | set(LOOKALIKES) | set(classes) | set(apart))
+    rows = [(c, unicodedata.normalize("NFD", forms[c]) if c in forms else apart.get(c), LOOKALIKES.get(c), classes.get(c, 0)) for c in known]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["ch", "form", "alike", "ccc"]), "ch string, form string, alike string, ccc int")
+
+
+def _between(c: Column, low: int, high: int) -> Column:
+    return F.coalesce(F.ascii(c).between(low, high), F.lit(False))
+
+
+def _composed(seat: Column) -> Column:
+    """A base and its marks (class, c) in canonical order, as composed text."""
+    pairs = compositions()
+    known = F.map_from_arrays(*[F.split(F.lit("\u0001".join(x)), "\u0001") for x in (pairs.keys(), pairs.values())])
+
+    def hangul(first: Column, then: Column) -> Column:
+        a, b = F.ascii(first), F.ascii(then)
+        pair = 0xAC00 + ((a - 0x1100) * 21 + (b - 0x1161)) * 28
+        number = F.when(_between(first, 0x1100, 0x1112) & _between(then, 0x1161, 0x1175), pair)
+        number = number.when(_between(first, 0xAC00, 0xD7A3) & ((a - 0xAC00) % 28 == 0) & _between(then, 0x11A8, 0x11C2), a + b - 0x11A7)
+        return F.decode(F.unhex(F.hex(number)), "UTF-16BE")
+
+    def add(state: Column, x: Column) -> Column:
+        first = (state["base"] == "") & (state["rest"] == "") & (x["ccc"] == 0)
+        free = (state["base"] != "") & ((state["rest"] == "") | (state["last"] < x["ccc"]))
+        one = F.when(free, F.coalesce(F.try_element_at(known, F.concat(state["base"], x["c"])), hangul(state["base"], x["c"])))
+        base = F.when(first, x["c"]).otherwise(F.coalesce(one, state["base"]))
+        stays = first | one.isNotNull()
+        return F.struct(
+            base.alias("base"),
+            F.when(stays, state["rest"]).otherwise(F.concat(state["rest"], x["c"])).alias("rest"),
+            F.when(stays, state["last"]).otherwise(x["ccc"]).alias("last"),
+        )
+
+    start = F.struct(F.lit("").alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+    return F.aggregate(seat, start, add, lambda state: F.concat(state["base"], state["rest"]))
 
 
 def uniform(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -135,14 +169,15 @@ def uniform(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
     Other columns are ignored, whatever their names.
     """
-    spark = rows.sparkSession
     base = rows.select(*keys, F.col(text).alias("text"))
     odd = is_odd(F.col("text"))
     plain = base.filter(~odd).select(*keys, "text", F.col("text").alias("uniform"))
 
-    codes, pairs = tables(spark)
-    chars = base.filter(odd).dropDuplicates(keys).select(*keys, "text", F.posexplode(F.array_append(F.split("text", ""), F.lit(END))).alias("pos", "ch"))
-    chars = chars.join(F.broadcast(codes), "ch", "left")
+    table_ = codes(rows.sparkSession)
+    # a text becomes hundreds of rows: the few bytes are spread over all tasks first
+    each = keyed(base.filter(odd), *keys).dropDuplicates(keys)
+    chars = each.select(*keys, "text", F.posexplode(F.array_append(F.split("text", ""), F.lit(END))).alias("pos", "ch"))
+    chars = chars.join(F.broadcast(table_), "ch", "left")
 
     row = Window.partitionBy(*keys).orderBy("pos")
     letter = F.col("ch").rlike("\\p{L}|\\p{Mn}|\\p{Cf}") & ~F.col("ch").rlike("\\p{IsHan}")
@@ -158,17 +193,15 @@ def uniform(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     # keeps a place for a text of invisible characters alone
     chars = chars.select(*keys, "text", "pos", F.posexplode(F.split(form, "")).alias("sub", "c")).filter(F.col("c") != "")
     chars = chars.withColumn("c", F.when(F.col("pos") == F.length("text"), "").otherwise(F.col("c")))
-    chars = chars.join(F.broadcast(codes.filter("ccc > 0").select(F.col("ch").alias("c"), "ccc")), "c", "left")
-    mark = F.coalesce(F.col("ccc"), F.lit(0)) > 0
+    chars = chars.join(F.broadcast(table_.filter("ccc > 0").select(F.col("ch").alias("c"), "ccc")), "c", "left").withColumn("ccc", F.coalesce("ccc", F.lit(0)))
+    # a mark sits with its base, the parts of a Hangul syllable with the first one
     seat = Window.partitionBy(*keys).orderBy("pos", "sub")
-    chars = chars.withColumn("base", F.sum(F.when(mark, 0).otherwise(1)).over(seat))
-    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("ccc", F.lit(0)).alias("ccc"), "pos", "sub", "c")))
-    seats = chars.groupBy(*keys, "text", "base").agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("apart"))
-    # composed as a whole, else the base with its first mark
-    seats = seats.join(F.broadcast(pairs), "apart", "left")
-    front = pairs.select(F.col("apart").alias("front"), F.col("composed").alias("first"))
-    seats = seats.withColumn("front", F.substring("apart", 1, 2)).join(F.broadcast(front), "front", "left")
-    seats = seats.withColumn("c", F.coalesce("composed", F.concat("first", F.substring("apart", 3, 1_000_000)), "apart"))
+    before = F.lag("c").over(seat)
+    follows = _between(F.col("c"), 0x1161, 0x1175) & _between(before, 0x1100, 0x1112) | _between(F.col("c"), 0x11A8, 0x11C2) & (_between(before, 0x1161, 0x1175) | _between(before, 0xAC00, 0xD7A3))
+    chars = chars.withColumn("follows", follows).withColumn("base", F.sum(F.when((F.col("ccc") > 0) | F.col("follows"), 0).otherwise(1)).over(seat))
+    ordered = F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", "c")))
+    seats = chars.groupBy(*keys, "text", "base").agg(ordered.alias("seat"))
+    seats = seats.withColumn("c", F.when(F.size("seat") == 1, F.col("seat")[0]["c"]).otherwise(_composed(F.col("seat"))))
     built = seats.groupBy(*keys, "text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("base", "c"))), lambda x: x["c"]), "").alias("uniform"))
     return plain.unionByName(built.select(*keys, "text", "uniform"))
 

@@ -267,6 +267,17 @@ def test_uniform(spark, text, want):
     assert {r["k"]: r["uniform"] for r in got} == {1: text if want is None else want, 2: "plain", 3: text if want is None else want}
 
 
+def test_composition_is_that_of_unicode(spark):
+    rng = random.Random(8)
+    bases, marks = "aeiouyscnE\u00e1\u00ea\u1ec7\u304b", "\u0300\u0301\u0302\u0303\u0308\u0323\u0331\u0332\u0327\u0328\u0345\u3099\u05b0"
+    texts = ["\u00e1\u0332", "\u1ec7\u0332", "\u1112\u1161\u11ab", "\ud55c\u11ab", "\ud558\u11ab x", "\u1112\u1161\u0301\u11ab", "\u0301a", "a\u0301\u0301", "a\u0345\u0301", "\u1161\u11ab", "\u0958"]
+    texts += ["".join(rng.choice(bases) + "".join(rng.choices(marks, k=rng.randrange(5))) for _ in range(rng.randrange(1, 6))) for _ in range(500)]
+    got = unify.uniform(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), ["k"]).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["uniform"] == unicodedata.normalize("NFC", texts[r["k"]]), ascii(texts[r["k"]])
+
+
 def test_quick_look_misses_nothing():
     import re
 
