@@ -11,8 +11,9 @@ The model is trained in numpy on clean samples of known language and on pairs of
 joined as headlines join them, from which the transitions are learned. At most MAX_SAMPLES
 samples per language are used; scoring covers all rows.
 
-Text is repaired (wrong encodings) and brought to uniform characters before it is read.
-A null, empty or blank text, and one without letters, has no language.
+Text is repaired (wrong encodings) and brought to uniform characters before it is read. Where
+bytes were lost, the damaged runs stand as words of their own, and a tagger reads them that was
+shown the samples with such damage too, so that it learns what that leaves of each language. A null, empty or blank text, and one without letters, has no language.
 """
 
 from __future__ import annotations
@@ -50,6 +51,11 @@ NAMES = {
 
 _TOKEN = re.compile(r"[一-鿿㐀-䶿]+|[^\W\d_]+(?:[’'-][^\W\d_]+)*")
 _HAN = re.compile("[一-鿿㐀-䶿]")
+#: Runs of characters that are left where bytes were lost; they stand as words of LOST.
+_DAMAGE = re.compile(r"(?:[^\x00-\x7f]|\?)*(?:[\ufffd\ue000-\uf8ff\x80-\x9f]|\?\?)(?:[^\x00-\x7f]|\?)*")
+LOST = "\ufffd"
+#: Ways in which samples are damaged for training: how they are encoded and read.
+DAMAGES = (("utf-8", "ascii"), ("utf-8", "gbk"), ("gbk", "utf-8"), ("ascii", "ascii"))
 
 
 def label_language(label: str | None) -> str | None:
@@ -83,14 +89,39 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
+def damaged_tokens(text: str) -> list[str]:
+    """The words of a text in which bytes were lost; a damaged run is a word of as many LOST."""
+    out, at = [], 0
+    for m in _DAMAGE.finditer(text):
+        out += [*tokens(text[at : m.start()]), LOST * len(m.group())]
+        at = m.end()
+    return out + tokens(text[at:])
+
+
+def words_of(text: str | None) -> tuple[list[str], bool]:
+    """(the words of a text as a tagger reads it, whether bytes were lost)."""
+    fixed = readable(text) if text else ""
+    gone = bool(fixed) and lost(fixed)
+    return damaged_tokens(fixed) if gone else tokens(fixed), gone
+
+
+def damaged(text: str) -> list[str]:
+    """What wrong encodings that lose bytes make of a text, where they lose any."""
+    out = []
+    for real, wrong in DAMAGES:
+        raw = text.encode(real, "replace")
+        out.append(raw.decode(wrong, "replace"))
+    return [t for t in dict.fromkeys(out) if t != text and lost(t)]
+
+
 def word_features(word: str) -> list[str]:
     """Features of one word; a run of Chinese characters is one word."""
     if _HAN.match(word):
         return ["script=han"]
+    if LOST in word:
+        return ["shape=lost", f"lost={min(len(word), 12).bit_length()}"]
     low = word.lower()
     shape = "upper" if word.isupper() and len(word) > 1 else "name" if word[0].isupper() else "lower"
-    if "�" in word:
-        return ["shape=lost"]
     out = ["bias", "shape=" + shape, "w=" + low]
     for n in (1, 2, 3, 4):
         if len(low) > n:
@@ -106,8 +137,19 @@ class Tagger:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, start: np.ndarray, step: np.ndarray, lexicon: dict[str, np.ndarray]):
         self.index, self.weights, self.start, self.step, self.lexicon = index, weights, start, step, lexicon
+        self.for_damage: Tagger = self
         self.cache: dict[str, np.ndarray] = {}
 
+    def state(self) -> list[tuple]:
+        """What makes this tagger and the one for damaged text, to be sent to the executors."""
+        return [(t.index, t.weights, t.start, t.step, t.lexicon) for t in (self, self.for_damage)]
+
+    @staticmethod
+    def of(state: list[tuple]) -> Tagger:
+        out, other = (Tagger(*x) for x in state)
+        out.for_damage = other
+        return out
+
     def emission(self, word: str) -> np.ndarray:
         got = self.cache.get(word)
         if got is None:
@@ -166,7 +208,13 @@ def forward_backward(emit: np.ndarray, size: np.ndarray, start: np.ndarray, step
 
 
 def train(samples: list[tuple[str, str]]) -> Tagger:
-    """A tagger from (language, text) pairs; deterministic."""
+    """A tagger from (language, text) pairs, with one for damaged text; deterministic."""
+    out = _train(samples, False)
+    out.for_damage = _train(samples, True)
+    return out
+
+
+def _train(samples: list[tuple[str, str]], with_damage: bool) -> Tagger:
     rng = np.random.default_rng(SEED)
     texts = [(lang, tokens(readable(text))) for lang, text in sorted(samples) if lang in LANGS]
     texts = [(lang, words) for lang, words in texts if words]
@@ -177,6 +225,9 @@ def train(samples: list[tuple[str, str]]) -> Tagger:
     lexicon = {w: next(iter(langs)) for w, langs in seen.items() if len(langs) == 1}
 
     sequences = [(words, [LANGS.index(lang)] * len(words)) for lang, words in texts]
+    for lang, text in sorted(samples):
+        if with_damage and lang in LANGS:
+            sequences += [(words, [LANGS.index(lang)] * len(words)) for t in damaged(text) if (words := words_of(t)[0])]
     for _ in range(int(MIXED * len(texts))):  # headlines in two languages
         (la, a), (lb, b) = (texts[k] for k in rng.integers(0, len(texts), 2))
         sequences.append((a + b, [LANGS.index(la)] * len(a) + [LANGS.index(lb)] * len(b)))
@@ -256,7 +307,7 @@ def segments(words: list[str], prob: np.ndarray, emit: np.ndarray, label: str |
     def counts(run: list) -> bool:
         y, a, b = run
         if LANGS[y] == "zh":
-            return sum(len(w) for w in words[a:b] if _HAN.match(w)) >= MIN_HAN
+            return sum(len(w) for w in words[a:b] if _HAN.match(w) or LOST in w) >= MIN_HAN
         return b - a >= MIN_WORDS and sum(words[k][0].islower() and prob[k, y] > 0.7 for k in range(a, b)) >= MIN_PLAIN
 
     def margin(run: list, other: int) -> float:
@@ -282,24 +333,17 @@ def segments(words: list[str], prob: np.ndarray, emit: np.ndarray, label: str |
     return [tuple(x) for x in out]
 
 
-_JUNK = re.compile(r"[^\x00-\x7f]|\?")
-
-
 def languages_of(tagger: Tagger, texts: list[str | None], labels: list[str | None] | None = None) -> list[list[tuple[str, int, int, float]]]:
-    """The segments of each text; of text whose bytes were lost, the language before the damage."""
-    words, damaged = [], []
-    for t in texts:
-        fixed = readable(t) if t else ""
-        gone = bool(fixed) and lost(fixed)
-        # in Chinese text nearly every character is hit, in Latin text one here and there
-        broken = gone and len(_JUNK.findall(fixed)) > 0.35 * len(re.sub(r"[\d\s.,%]", "", fixed))
-        damaged.append(broken)
-        words.append([] if broken else tokens(fixed))
+    """The segments of each text."""
+    read = [words_of(t) for t in texts]
     named = labels or [None] * len(texts)
-    out = []
-    for w, p, broken, label in zip(words, tagger.marginals(words), damaged, named):
-        emit = np.array([tagger.emission(x) for x in w]) if w else np.zeros((0, len(LANGS)))
-        out.append([("zh", 0, 1, 0.9)] if broken else segments(w, p, emit, label))
+    out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+    for model, which in ((tagger, False), (tagger.for_damage, True)):
+        at = [k for k, (_, gone) in enumerate(read) if gone == which]
+        for k, p in zip(at, model.marginals([read[k][0] for k in at])):
+            words = read[k][0]
+            emit = np.array([model.emission(x) for x in words]) if words else np.zeros((0, len(LANGS)))
+            out[k] = segments(words, p, emit, named[k])
     return out
 
 
@@ -312,20 +356,29 @@ def tagger_for(samples: DataFrame) -> Tagger:
     return train(picked)
 
 
-def tag(texts: DataFrame, tagger: Tagger, key: str, text: str) -> DataFrame:
-    """(key, segment, lang, confidence, words): the segments of each text, numbered from 1."""
-    shared = texts.sparkSession.sparkContext.broadcast((tagger.index, tagger.weights, tagger.start, tagger.step, tagger.lexicon))
+def tag(texts: DataFrame, tagger: Tagger, key: str, text: str, label: str) -> DataFrame:
+    """(key, segment, lang, confidence, words, first, differs): the segments of each text, numbered from 1.
+
+    `first` marks the first segment of its language; `differs` tells whether the label names no
+    language of the text, or the text has several.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(tagger.state())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Tagger(*shared.value)
+        model = Tagger.of(shared.value)
         for b in batches:
             out = []
-            for k, segs in zip(b["key"], languages_of(model, list(b["text"]))):
-                out += [(k, n, lang, conf, e - s) for n, (lang, s, e, conf) in enumerate(segs, 1)]
-            yield pd.DataFrame(out, columns=["key", "segment", "lang", "confidence", "words"])
+            named_all = [label_language(x) for x in b["label"]]
+            for k, named, segs in zip(b["key"], named_all, languages_of(model, list(b["text"]), named_all)):
+                langs = list(dict.fromkeys(s[0] for s in segs))
+                differs, met = named not in langs or len(langs) > 1, set()
+                for n, (lang, s, e, conf) in enumerate(segs, 1):
+                    out.append((k, n, lang, conf, e - s, lang not in met, differs))
+                    met.add(lang)
+            yield pd.DataFrame(out, columns=["key", "segment", "lang", "confidence", "words", "first", "differs"])
 
-    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    return spread(rows).mapInPandas(run, "key string, segment int, lang string, confidence double, words int")
+    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).filter(F.length("text") > 0)
+    return spread(rows).mapInPandas(run, "key string, segment int, lang string, confidence double, words int, first boolean, differs boolean")
 
 
 def _titles(spark: SparkSession, folder: str) -> DataFrame:
@@ -333,29 +386,17 @@ def _titles(spark: SparkSession, folder: str) -> DataFrame:
     return keyed(items.select("id", "title", "lang"), "id").groupBy("id").agg(F.max(F.struct("title", "lang")).alias("x")).select("id", "x.title", F.col("x.lang").alias("label"))
 
 
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    return tag(_titles(spark, folder), tagger_for(table(spark, folder, "lang_samples")), "id", "title", "label")
+
+
 def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
     """(item_id, segment, lang, confidence) of every title, mixed or not."""
-    tagger = tagger_for(table(spark, folder, "lang_samples"))
-    return tag(_titles(spark, folder), tagger, "id", "title").select(F.col("key").alias("item_id"), "segment", "lang", F.round("confidence", 4).alias("confidence"))
+    return _segments(spark, folder).select(F.col("key").alias("item_id"), "segment", "lang", F.round("confidence", 4).alias("confidence"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    tagger = tagger_for(table(spark, folder, "lang_samples"))
-    shared = spark.sparkContext.broadcast((tagger.index, tagger.weights, tagger.start, tagger.step, tagger.lexicon))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Tagger(*shared.value)
-        for b in batches:
-            out = []
-            named_all = [label_language(x) for x in b["label"]]
-            for item, named, segs in zip(b["id"], named_all, languages_of(model, list(b["title"]), named_all)):
-                langs = dict.fromkeys(s[0] for s in segs)
-                if langs and (named not in langs or len(langs) > 1):
-                    out += [(item, lang) for lang in langs]
-            yield pd.DataFrame(out, columns=["item_id", "lang"])
-
-    rows = _titles(spark, folder).filter(F.length("title") > 0)
-    return spread(rows).mapInPandas(run, "item_id string, lang string")
+    return _segments(spark, folder).filter("differs and first").select(F.col("key").alias("item_id"), "lang")
 
 
 SQL: dict[str, str] = {}

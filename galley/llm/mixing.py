@@ -5,7 +5,8 @@ into blocks of BLOCK tokens. The mixture has as many slots as the scarcest sourc
 the largest number for which every source fills its share with at most `max_repeats` uses of
 each of its blocks, so that the shares meet their targets. Each output shard draws how many
 slots every source gets, multinomially from what each source has left (so that the totals
-are met exactly), and the slots of a source, numbered through all shards, are mapped to its
+are met exactly): the driver draws for at most GROUPS groups of shards, the executors for the
+shards of each group. The slots of a source, numbered through all shards, are mapped to its
 blocks by a pseudorandom permutation of each round through the source. Blocks are joined to
 slots by (source, index).
 
@@ -20,6 +21,7 @@ source may be shorter. Sources are compared trimmed and in lower case.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +36,9 @@ from galley.llm.tokens import encode
 from galley.session import materialize
 from galley.sources.tables import table
 
-BLOCK, SHARD_BLOCKS, MAX_SHARDS = 512, 64, 4096
+BLOCK, SHARD_BLOCKS = 512, 64
+#: Groups of shards for which the driver draws; slots that a task makes at a time.
+GROUPS, AT_ONCE = 512, 100_000
 #: Texts of a source that fall into one bucket of the running sums, about.
 BUCKET_DOCS, SEED = 20_000, 17
 
@@ -94,25 +98,26 @@ def planned(sources: list[Source]) -> list[Source]:
     return sources
 
 
-def draws(sources: list[Source], seed: int = SEED) -> list[tuple[int, str, int, int, int, int]]:
-    """(shard, source, first slot, slots, first place in the shard, blocks of the source).
+def drawn(rng: np.random.Generator, left: np.ndarray, size: int) -> np.ndarray:
+    """How many of `size` slots each source gets, by its share of what is left and no more than that."""
+    n = np.zeros_like(left)
+    while (short := size - int(n.sum())) > 0:
+        room = left - n
+        n += np.minimum(rng.multinomial(short, room / room.sum()), room)
+    return n
 
-    Each shard draws from what is left of every source; the shards grow where there would be
-    more than MAX_SHARDS of them, so the list is bounded.
-    """
+
+def groups(sources: list[Source], seed: int = SEED) -> list[tuple[int, list[int], list[int]]]:
+    """(first shard, slots by source, first slot of each source) of at most GROUPS groups of whole shards."""
     left = np.array([s.slots for s in sources], np.int64)
-    size = max(SHARD_BLOCKS, math.ceil(left.sum() / MAX_SHARDS)) if left.sum() else SHARD_BLOCKS
-    rng, first, shard, out = np.random.default_rng(seed), np.zeros(len(sources), np.int64), 0, []
-    while left.sum():
-        n = rng.multivariate_hypergeometric(left, min(size, int(left.sum())), method="marginals")
-        place = 0
-        for k, s in enumerate(sources):
-            if n[k]:
-                out.append((shard, s.name, int(first[k]), int(n[k]), place, s.blocks))
-                place += int(n[k])
+    shards = -(-int(left.sum()) // SHARD_BLOCKS)
+    each = max(1, -(-shards // GROUPS))
+    rng, first, out = np.random.default_rng(seed), np.zeros(len(sources), np.int64), []
+    for shard in range(0, shards, each):
+        n = drawn(rng, left, min(each * SHARD_BLOCKS, int(left.sum())))
+        out.append((shard, n.tolist(), first.tolist()))
         first += n
         left -= n
-        shard += 1
     return out
 
 
@@ -135,22 +140,47 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-def slots(spark: SparkSession, drawn: list[tuple]) -> DataFrame:
+def _number(text: str) -> int:
+    return zlib.crc32(text.encode()) * 0x9E3779B97F4A7C15 % 2**63
+
+
+def slots(spark: SparkSession, sources: list[Source], seed: int = SEED) -> DataFrame:
     """(shard, place, source, block): every slot with the block that fills it."""
-    rows = spark.createDataFrame(drawn or [], "shard int, source string, first long, n long, at int, n_blocks long")
-    each = rows.select("shard", "source", "first", "at", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    each = each.select("shard", (F.col("at") + F.col("j")).cast("int").alias("place"), "source", (F.col("first") + F.col("j")).alias("k"), "n_blocks")
-    # within a shard the sources are mixed
-    sizes = rows.groupBy("shard").agg(F.sum("n").alias("size"))
-    each = each.join(F.broadcast(sizes), "shard").withColumn("key", F.xxhash64("source", F.floor(F.col("k") / F.col("n_blocks")))).withColumn("shard_key", F.xxhash64("shard"))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = groups(sources, seed)
+    if not rows:
+        return spark.createDataFrame([], "shard long, place int, source string, block long")
+    names, blocks = [s.name for s in sources], np.array([max(1, s.blocks) for s in sources], np.int64)
+
+    def frame(shard: list[np.ndarray], source: list[np.ndarray], k: list[np.ndarray], place: list[np.ndarray], size: list[np.ndarray]) -> pd.DataFrame:
+        at, own, index, where, of = (np.concatenate(x) for x in (shard, source, k, place, size))
+        # the slots of a source go through its blocks in rounds, each in an order of its own
+        rounds, which = np.unique(np.stack([own, index // blocks[own]], 1), axis=0, return_inverse=True)
+        keys = np.array([_number(f"{names[j]}/{r}") for j, r in rounds], np.int64)[which.ravel()]
+        starts = np.unique(at, return_inverse=True)
+        shard_keys = np.array([_number(f"shard {n}") for n in starts[0]], np.int64)[starts[1].ravel()]
+        return pd.DataFrame({"shard": at, "place": permuted(where, of, shard_keys), "source": np.array(names, object)[own], "block": permuted(index % blocks[own], blocks[own], keys)})
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            block = permuted((b["k"] % b["n_blocks"]).to_numpy(), b["n_blocks"].to_numpy(), b["key"].to_numpy())
-            where = permuted(b["place"].to_numpy(), b["size"].to_numpy(), b["shard_key"].to_numpy())
-            yield pd.DataFrame({"shard": b["shard"], "place": where, "source": b["source"], "block": block})
-
-    return each.mapInPandas(place, "shard int, place int, source string, block long")
+            for shard, n, first in zip(b["shard"], b["n"], b["first"]):
+                rng, left, upto = np.random.default_rng([seed, int(shard)]), np.array(n, np.int64), np.array(first, np.int64)
+                parts: list[list[np.ndarray]] = [[], [], [], [], []]
+                while left.sum():
+                    size = min(SHARD_BLOCKS, int(left.sum()))
+                    got = drawn(rng, left, size)
+                    own = np.repeat(np.arange(len(got)), got)
+                    j = np.arange(size) - np.repeat(np.cumsum(got) - got, got)
+                    for part, x in zip(parts, (np.full(size, shard), own, upto[own] + j, np.arange(size), np.full(size, size))):
+                        part.append(x)
+                    left, upto, shard = left - got, upto + got, shard + 1
+                    if len(parts[0]) * SHARD_BLOCKS >= AT_ONCE:
+                        yield frame(*parts)
+                        parts = [[], [], [], [], []]
+                if parts[0]:
+                    yield frame(*parts)
+
+    each = spark.createDataFrame(rows, "shard long, n array<long>, first array<long>").repartition(min(len(rows), spark.sparkContext.defaultParallelism))
+    return each.mapInPandas(fill, "shard long, place int, source string, block long")
 
 
 def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k") -> tuple[DataFrame, DataFrame]:
@@ -164,7 +194,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k
     blocks = materialize(blocks, "mix-blocks")
     have = {r["source"]: r for r in totals.collect()}
     sources = planned([Source(n, t, m, have[n]["n_tokens"] if n in have else 0, have[n]["n_blocks"] if n in have else 0) for n, (t, m) in sorted(wanted.items())])
-    filled = slots(spark, draws(sources)).join(blocks, ["source", "block"]).select("shard", "place", "source", "block", "n_tokens", "ids")
+    filled = slots(spark, sources).join(blocks, ["source", "block"]).select("shard", "place", "source", "block", "n_tokens", "ids")
 
     plan = spark.createDataFrame([(s.name, s.target, s.repeats, int(s.tokens), int(s.blocks), int(s.slots)) for s in sources], PLAN)
     used = filled.groupBy("source").agg(F.sum("n_tokens").alias("tokens_used"), F.count("*").alias("blocks_used"))

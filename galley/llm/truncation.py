@@ -15,7 +15,8 @@ Three kinds of evidence are put together.
 Marks after a cut (dots, a broken tag or reference, half a character) are taken off first; a
 broken one is proof by itself. A text that
 closes with a full stop, a question mark or the like isn't cut, nor one cut just there.
-Garbled text is restored before its end is read; where that fails it is no case.
+Garbled text is restored before its end is read; where its end stays garbled, the ending tells
+nothing and only length and source count.
 Null, empty and blank texts are never cases. All rows count for the statistics, and whole
 texts are read.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galley.llm.common import keyed, source_key, spread
-from galley.llm.encodings import DOUBTFUL, restore
+from galley.llm.encodings import DOUBTFUL, is_garbled, restore
 from galley.session import materialize
 from galley.sources.tables import table
 
@@ -43,6 +44,8 @@ FLUSH = 400_000
 #: Rate of sentence ends among words, likelihood ratios of a word cut in the middle (lower case, name).
 ENDS, MID_WORD, MID_NAME = 1 / 15, 400.0, 15.0
 SURE_CUT, SURE_END = 0.05, 0.5
+#: Probability of an ending that can't be read.
+BLURRED = 0.5
 #: Words below a trie node per use of it as a word, from which it counts as no word.
 RARE = 300
 #: Cuts that fall on an ending, per cut that doesn't.
@@ -133,7 +136,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield rows()
 
 
-_ENDING = "item_id string, source string, size long, kind string, long string, short string, last string, name boolean, open boolean, quoted boolean, sure boolean"
+_ENDING = "item_id string, source string, size long, kind string, long string, short string, last string, name boolean, open boolean, quoted boolean, sure boolean, blurred boolean"
 
 
 def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,21 +144,20 @@ def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for item, source, text in zip(b["item_id"], b["source"], b["text"]):
+            blurred = False
             if _ODD.search(text):
                 text, _ = restore(text)
-                if _ODD.search(text[-12:-1]):
-                    continue  # garbled beyond repair where it ends
+                blurred = is_garbled(text[-12:-1])
             core, kind = split_end(text)
             if not core or _CLOSED.search(core) and kind != "half":
                 continue
-            _, alike, han = normal(core)
-            raw = _TOKEN.findall(core[-60:])
+            raw, alike, han = normal(core)
             if not alike:
                 continue
             sizes = HAN if han else LATIN
             keys = ["\x1f".join((["."] * size + alike)[-size:]) for size in sizes]
             word = raw[-1] if raw and raw[-1][0].isalpha() and not _HAN.match(raw[-1]) and core[-1].isalpha() else None
-            out.append((item, source, len(text.rstrip()), kind, *keys, word.lower() if word else None, bool(word and word[0].isupper()), core[-1] in ",;:，；：、（(“„«‘-–—/", bool(_QUOTED.search(core)), kind in ("half", "tag")))
+            out.append((item, source, len(text.rstrip()), kind, *keys, word.lower() if word else None, bool(word and word[0].isupper()), core[-1] in ",;:，；：、（(“„«‘-–—/", bool(_QUOTED.search(core)), kind in ("half", "tag") and not blurred, blurred))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _ENDING.split(", ")])
 
 
@@ -181,8 +183,10 @@ def truncated(texts: DataFrame, complete: DataFrame | None = None) -> DataFrame:
     stats = counts.filter(F.col("kind") == "e").select(F.xxhash64("key").alias("k"), "n", "n_end")
     words = counts.filter(F.col("kind") == "w").select(F.col("key").alias("word"), "n")
     # the trie: each node is a prefix with the number of words below it
-    longer = words.filter(F.length("word") > 1)
-    nodes = longer.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(24)) - 1), lambda k: F.substring("word", 1, k))).alias("last"), "n")
+    # only at depths where a text has its last word; there are as many as words have lengths
+    depths = [r["depth"] for r in endings.filter(F.col("last").isNotNull()).select(F.length("last").alias("depth")).distinct().collect()]
+    depth = F.filter(F.array(*[F.lit(d) for d in sorted(depths)]) if depths else F.array().cast("array<int>"), lambda k: k < F.length("word"))
+    nodes = words.select(F.explode(F.transform(depth, lambda k: F.substring("word", F.lit(1), k))).alias("last"), "n")
     below = nodes.groupBy("last").agg(F.sum("n").alias("n_below"))
     known = words.select(F.col("word").alias("last"), F.col("n").alias("n_word"))
 
@@ -199,8 +203,8 @@ def truncated(texts: DataFrame, complete: DataFrame | None = None) -> DataFrame:
     end = F.when(F.col("open"), F.lit(0.002)).otherwise(F.least(F.lit(0.995), F.greatest(F.lit(0.002), _half_ratio(F.col("e1"), F.col("n1"), short, 2.0))))
     # a word cut before an ellipsis has been counted itself
     other = F.coalesce("n_word", F.lit(0)) - F.when(F.col("kind") == "dots", 1).otherwise(0)
-    mid = F.coalesce(F.col("n_below") > RARE * F.greatest(other, F.lit(0)), F.lit(False))
-    end = F.when(F.col("quoted"), F.greatest(end, F.lit(0.9))).otherwise(end)
+    mid = ~F.col("blurred") & F.coalesce(F.col("n_below") > RARE * F.greatest(other, F.lit(0)), F.lit(False))
+    end = F.when(F.col("blurred"), F.lit(BLURRED)).when(F.col("quoted"), F.greatest(end, F.lit(0.9))).otherwise(end)
     rows = rows.withColumn("end", end).withColumn("mid", mid)
     looks_cut = F.col("sure") | F.col("mid") & ~F.col("name") | (F.col("end") < SURE_CUT)
     looks_whole = ~looks_cut & (F.col("end") > SURE_END)

@@ -31,6 +31,17 @@ def test_cut_texts(spark):
     assert {"tag", "half"} <= found
 
 
+def test_long_words_and_garbled_ends(spark):
+    long = "Donaudampfschifffahrtsgesellschaftskapitänsmützenabzeichenverordnungsentwurf"
+    whole = [f"Die Stadt {n} beriet am Abend über den {long} der Kammer {k}." for k, n in enumerate(["Alder", "Birke", "Ceder", "Dunes"] * 90)]
+    rows = [(f"w{i}", "a", t) for i, t in enumerate(whole)]
+    rows += [("cut", "b", whole[0][: whole[0].index(long) + 70]), ("early", "b", whole[1][: whole[1].index(long) + 26])]
+    rows += [("garbled", "c", "Die Stadt Alder beriet am Abend über die M�tze der K�mm�r"), ("fine", "c", whole[2])]
+    got = truncation.truncated(spark.createDataFrame(rows, "item_id string, source string, text string")).collect()
+    assert {r["item_id"] for r in got if r["odds"] > 1} == {"cut", "early"} and all(r["mid"] for r in got if r["item_id"] in ("cut", "early"))
+    assert [r["end"] for r in got if r["item_id"] == "garbled"] == [truncation.BLURRED]
+
+
 @pytest.mark.parametrize("text, want", [("Go on...", ("Go on", "dots")), ("x [...]", ("x", "dots")), ("vis<a href=", ("vis", "tag")), ("caf�", ("caf", "half")), ("done.", ("done.", "")), ("a &#82", ("a", "tag"))])
 def test_split_end(text, want):
     assert truncation.split_end(text) == want
@@ -184,6 +195,18 @@ def test_labels(label, want):
     assert languages.label_language(label) == want
 
 
+def test_the_language_before_the_damage():
+    import duckdb
+
+    rows = duckdb.sql("select lang, text from '/root/testdata/sf0.01/lang_samples.parquet' order by sample_id").fetchall()
+    tagger = languages.train([r for k, r in enumerate(rows) if k % 4])
+    cases = [(lang, t) for k, (lang, text) in enumerate(rows) if not k % 4 for t in languages.damaged(text)]
+    got = languages.languages_of(tagger, [t for _, t in cases])
+    for langs in (("zh",), ("de", "fr", "es", "pt")):
+        right = [{s[0] for s in g} == {lang} for g, (lang, _) in zip(got, cases) if lang in langs]
+        assert len(right) > 20 and np.mean(right) >= 0.85
+
+
 # ---- 5
 
 
@@ -325,6 +348,23 @@ def test_permutation():
             assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key))) == list(range(n))
 
 
+def test_draws_meet_the_totals(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUPS", 7)
+    monkeypatch.setattr(mixing, "AT_ONCE", 300)
+    sources = [mixing.Source("a", 0.5, 2, 0, 400, 800), mixing.Source("b", 0.4, 9, 0, 71, 637), mixing.Source("none", 0.1, 1, 0, 0, 0), mixing.Source("c", 0.1, 1, 0, 163, 163)]
+    groups = mixing.groups(sources)
+    assert len(groups) <= 7 and [sum(g[1][k] for g in groups) for k in range(4)] == [800, 637, 0, 163]
+    got = mixing.slots(spark, sources).collect()
+    assert len(got) == 1600 == len({(r["shard"], r["place"]) for r in got})
+    sizes = np.bincount([r["shard"] for r in got])
+    assert (sizes == 64).all() and len(sizes) == 25
+    for s in sources:
+        uses = np.bincount([r["block"] for r in got if r["source"] == s.name], minlength=max(1, s.blocks))
+        assert uses.sum() == s.slots and uses.max() - uses.min() <= 1
+    mixed = [len({r["source"] for r in got if r["shard"] == n}) for n in range(25)]
+    assert min(mixed) >= 2
+
+
 def test_blocks_hold_all_tokens(spark):
     docs = [(i, f"s{i % 2}", "word " * (i % 50) + "end") for i in range(200)] + [(900, "s0", None), (901, "s1", "")]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string")
