@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,11 +33,14 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = N
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is used.
+    Where that setting is missing a temporary folder serves a session on one machine; executors
+    of a cluster don't share one, so there the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     global _OWN
     if _OWN is None:
         _OWN = "file://" + tempfile.mkdtemp(prefix="galley-")
@@ -46,19 +50,33 @@ def shared_dir(spark: SparkSession) -> str:
 _OWN: str | None = None
 
 
+def file_system(spark: SparkSession, at: str) -> tuple[Any, Any]:
+    """(the Hadoop file system of a path, the path)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` as a parquet table into the shared folder and reads it back.
 
     It cuts the lineage, is compressed and columnar, and survives the loss of any
-    executor. The folder is removed when the session ends.
+    executor. The folder is removed when the session ends, or by `release`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/galley/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    where = hadoop.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    at = f"{shared_dir(spark)}/galley/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    fs, path = file_system(spark, at)
+    fs.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._galley_at = at
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Removes a table written by `materialize` that nothing reads any more."""
+    if at := getattr(df, "_galley_at", None):
+        fs, path = file_system(df.sparkSession, at)
+        fs.delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -14,12 +14,9 @@ from pyspark.sql import functions as F
 
 from galley.plans.catalog import query
 from galley.session import materialize, shared_dir
-from galley.sources.snapshots import IT_SQL, PR_SQL, source_key
+from galley.sources.snapshots import source_key
 from galley.sources.tables import table
-
-#: Look-back of late rows; the window of the batch pipeline.
-WATERMARK = "72 hours"
-
+from galley.streaming.state import StateTable
 
 def read(spark: SparkSession, folder: str, name: str, per_batch: int = 64) -> DataFrame:
     """A table as a stream of its files; a table of one file is picked out of its folder."""
@@ -40,10 +37,14 @@ def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def run_batches(stream: DataFrame, name: str, each) -> None:
-    """Drives a stream, handing every micro-batch to `each(batch, number)`; exactly once by the number."""
+def run_batches(stream: DataFrame, name: str, each, durable: bool = False) -> None:
+    """Drives a stream, handing every micro-batch to `each(batch, number)`.
+
+    A batch may come again after a break; `each` writes it with its number into a StateTable,
+    which takes a number once. A durable job goes on where its last run ended.
+    """
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/galley/stream-{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/galley/stream-{name}" + ("" if durable else f"-{uuid.uuid4().hex}")
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
 
 
@@ -52,9 +53,20 @@ def timed(items: DataFrame) -> DataFrame:
     return items.withColumn("at", F.timestamp_seconds("fetched_ts")).withColumn("published_ts", F.when(F.col("published_ts") > F.col("fetched_ts") + 300, F.col("fetched_ts")).otherwise(F.col("published_ts")))
 
 
-def once_by_id(items: DataFrame) -> DataFrame:
-    """Append-ignore over runs: each id once, state kept for the watermark."""
-    return items.filter("id is not null and at is not null").withWatermark("at", WATERMARK).dropDuplicatesWithinWatermark(["id"])
+class OnceById:
+    """Append-ignore over runs: of every id the first row that came, however late it is."""
+
+    def __init__(self, spark: SparkSession, name: str | None = None):
+        self.state = StateTable(spark, name)
+
+    def add(self, batch: DataFrame, number: int) -> bool:
+        if self.state.done(number):
+            return False
+        new = batch.filter("id is not null").select("id").distinct()
+        return self.state.commit(number, {"ids": new.join(self.ids(), "id", "left_anti")})
+
+    def ids(self) -> DataFrame:
+        return self.state.log("ids", "id string")
 
 
 def daily_counts(probes: DataFrame) -> DataFrame:
@@ -64,26 +76,32 @@ def daily_counts(probes: DataFrame) -> DataFrame:
 
 
 class AlertLog:
-    """Once-only events: an alert fires once for each cluster, whatever repeats arrive."""
+    """Once-only events: an alert fires once for each cluster, whatever repeats arrive, and over runs if it has a name."""
+
+    def __init__(self, spark: SparkSession, name: str | None = None):
+        self.state = StateTable(spark, name)
+
+    def deliver(self, batch: DataFrame, number: int) -> int:
+        """Adds the events (alert, cluster_id) of the batch that are new; gives their number. A repeated batch delivers nothing."""
+        if self.state.done(number):
+            return 0
+        new = batch.select("alert", "cluster_id").distinct().join(self.delivered(), ["alert", "cluster_id"], "left_anti")
+        self.state.commit(number, {"alerts": new})
+        return self.state.read("alerts", ALERT).count()
+
+    def delivered(self) -> DataFrame:
+        return self.state.log("alerts", ALERT)
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.delivered = spark, None
 
-    def deliver(self, batch: DataFrame) -> int:
-        """Adds the events (alert, cluster_id) of the batch that are new; gives their number."""
-        new = batch.select("alert", "cluster_id").distinct()
-        if self.delivered is not None:
-            new = new.join(self.delivered, ["alert", "cluster_id"], "left_anti")
-        new = materialize(new, "alerts")
-        self.delivered = new if self.delivered is None else materialize(self.delivered.unionByName(new), "alerts")
-        return new.count()
+ALERT = "alert string, cluster_id string"
 
 
-@query("R03_stream_once", f"WITH {IT_SQL} SELECT id FROM it WHERE fetched_ts IS NOT NULL")
+@query("R03_stream_once", "SELECT DISTINCT id FROM items WHERE id IS NOT NULL")
 def stream_once(spark: SparkSession, folder: str) -> DataFrame:
-    """Every id once from the stream of items. All files arrive before the watermark moves."""
-    stream = once_by_id(timed(read(spark, folder, "items", 100_000).select("id", "fetched_ts", "published_ts")))
-    return run(stream.select("id"), "once")
+    """Every id once from the stream of items, over as many triggers as it takes."""
+    once = OnceById(spark)
+    run_batches(read(spark, folder, "items", 4).select("id"), "once", once.add)
+    return once.ids()
 
 
 @query("R04_stream_clamped", "SELECT count(*) AS n, count(*) FILTER (WHERE published_ts > fetched_ts + 300) AS n_clamped, count(*) FILTER (WHERE published_ts IS NULL) AS n_undated FROM items")
@@ -97,15 +115,14 @@ def stream_clamped(spark: SparkSession, folder: str) -> DataFrame:
 def once_only_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """Saved queries over micro-batches; an event is delivered once."""
     log = AlertLog(spark)
-    empty = spark.createDataFrame([], "alert string, cluster_id string")
 
     def each(batch: DataFrame, number: int) -> None:
         key = source_key()
         hits = batch.filter("cluster_id is not null").select("cluster_id", F.when(key.endswith("_forum"), "forum").when(key.endswith("_gov"), "government").alias("alert")).filter("alert is not null")
-        log.deliver(hits)
+        log.deliver(hits, number)
 
-    run_batches(read(spark, folder, "items").select("id", "source_id", "cluster_id"), "alerts", each)
-    return log.delivered if log.delivered is not None else empty
+    run_batches(read(spark, folder, "items", 4).select("id", "source_id", "cluster_id"), "alerts", each)
+    return log.delivered()
 
 
 @query("R08_tumbling_counts", "SELECT CAST(floor(ts / 86400) AS BIGINT) AS day, verdict, count(*) AS n, sum(coalesce(n_new, 0))::BIGINT AS n_new FROM source_probes GROUP BY 1, 2")

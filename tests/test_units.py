@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from galley.functions import dates, scoring, text
 from galley.operators import aggregates, clustering, evaluation, evidence, relational, windows
 from galley.plans.search import parse
+from galley.session import shared_dir
 from galley.sources import feeds
+from galley.streaming import jobs
+from galley.streaming.state import StateTable
 
 
 def one(spark, value, column, kind="string"):
@@ -234,3 +237,48 @@ def test_core_stands_alone():
 
     root = Path(__file__).resolve().parent.parent / "galley"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "galley.llm" in p.read_text()]
+
+
+# ---- state of incremental jobs
+
+
+def test_a_version_without_its_mark_is_written_anew(spark):
+    table = StateTable(spark)
+    rows = lambda *x: spark.createDataFrame([(v,) for v in x], "id string")
+    assert table.last() is None and table.read("ids", "id string").count() == 0
+    assert table.commit(0, {"ids": rows("a")}, whole=("ids",))
+    rows("half").write.parquet(f"{table.at}/v=1/ids")  # a run that broke off
+    assert table.last() == 0 and table.commit(1, {"ids": rows("b")}, whole=("ids",)) and not table.commit(1, {"ids": rows("c")})
+    assert table.commit(7, {"ids": rows("d")}, whole=("ids",)) and table.versions() == [0, 1, 7]
+    assert [r["id"] for r in table.read("ids", "id string").collect()] == ["d"]
+
+
+def test_alerts_fire_once_over_runs_and_repeats(spark):
+    name = f"alerts-{random.random()}"
+    batch = lambda *x: spark.createDataFrame([("forum", v) for v in x], jobs.ALERT)
+    assert jobs.AlertLog(spark, name).deliver(batch("c1", "c2", "c2"), 0) == 2
+    assert jobs.AlertLog(spark, name).deliver(batch("c9"), 0) == 0  # batch 0 came before
+    assert jobs.AlertLog(spark, name).deliver(batch("c2", "c3"), 1) == 1
+    assert {r["cluster_id"] for r in jobs.AlertLog(spark, name).delivered().collect()} == {"c1", "c2", "c3"}
+
+
+def test_every_id_once_over_triggers_with_late_rows(spark, tmp_path):
+    for n in range(6):  # one file a trigger; the last one holds rows that are a year late
+        rows = [(f"i{n}", 10**9 + n * 86_400), ("again", 10**9), (None, 1), (f"late{n}", 10**9 - 365 * 86_400)]
+        spark.createDataFrame(rows, "id string, fetched_ts long").coalesce(1).write.parquet(f"{tmp_path}/items.parquet", mode="append")
+    once = jobs.OnceById(spark)
+    jobs.run_batches(jobs.read(spark, str(tmp_path), "items", 1), "once", once.add)
+    got = [r["id"] for r in once.ids().collect()]
+    assert len(once.state.versions()) == 6 and sorted(got) == sorted({"again", *[f"i{n}" for n in range(6)], *[f"late{n}" for n in range(6)]})
+
+
+def test_a_cluster_must_name_its_folder(spark):
+    class Named:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda *a: None)}))
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Named())
