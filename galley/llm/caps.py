@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galley.llm.common import source_key
-from galley.session import materialize
+from galley.session import materialize, release
 from galley.sources.tables import table
+from galley.streaming.state import StateTable
 
 #: Batches into which a stored collection is cut, by arrival, to be fed to the state.
 BATCHES = 3
@@ -79,40 +80,53 @@ def keep_best(records: DataFrame, cap: int) -> DataFrame:
 
 
 class CapState:
-    """The kept records and cutoffs of all contributors, and the log of displaced records.
+    """The kept records of all contributors, the cutoffs and the log of displaced records.
 
-    `add` takes a batch (contributor, score, record) whose records are new to the state.
-    The tables of the state are written into the shared folder after each batch.
+    `add` takes a batch (contributor, score, record) whose records are new to the state, and its
+    number; a number that was added already changes nothing. With a name the state stays in the
+    shared folder, and a later run goes on with it.
     """
 
-    def __init__(self, spark: SparkSession, cap: int):
+    def __init__(self, spark: SparkSession, cap: int, name: str | None = None):
         self.spark, self.cap = spark, int(cap)
-        self.kept: DataFrame | None = None
-        self.cutoffs: DataFrame | None = None
-        self.displaced: list[DataFrame] = []
-
-    def add(self, batch: DataFrame) -> None:
-        batch = batch.select("contributor", F.col("score").cast("double").alias("score"), "record")
-        if self.cutoffs is None:
-            rows = batch
-        else:
-            judged = batch.join(self.cutoffs, "contributor", "left")
+        self.state = StateTable(spark, name)
+
+    def add(self, batch: DataFrame, number: int | None = None) -> bool:
+        last = self.state.last()
+        number = (-1 if last is None else last) + 1 if number is None else number
+        if self.state.done(number):
+            return False
+        rows = batch.select("contributor", F.col("score").cast("double").alias("score"), "record")
+        behind = None
+        if last is not None:
+            judged = rows.join(self.cutoffs(), "contributor", "left")
             score, cut = F.coalesce("score", F.lit(float("-inf"))), F.coalesce("cut_score", F.lit(float("-inf")))
-            behind = F.coalesce((score < cut) | ((score == cut) & (F.col("record") > F.col("cut_record"))), F.lit(False))
-            judged = materialize(judged.select("contributor", "score", "record", behind.alias("behind")), "cap-judged")
-            self.displaced.append(judged.filter("behind").select("contributor", "score", "record"))
+            out = F.coalesce((score < cut) | ((score == cut) & (F.col("record") > F.col("cut_record"))), F.lit(False))
+            judged = materialize(judged.select("contributor", "score", "record", out.alias("behind")), "cap-judged")
+            behind = judged.filter("behind").select("contributor", "score", "record")
             rows = judged.filter("not behind").drop("behind").unionByName(self.kept)
         done = materialize(keep_best(rows, self.cap), "cap-merged")
-        self.kept = done.filter("kept").drop("kept")
-        self.displaced.append(done.filter("not kept").drop("kept"))
-        worst = self.kept.groupBy("contributor").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("score", F.lit(float("-inf"))).alias("s"))).alias("low"))
+        displaced = done.filter("not kept").drop("kept")
+        self.state.commit(number, {"kept": done.filter("kept").drop("kept"), "displaced": displaced if behind is None else displaced.unionByName(behind)}, whole=("kept",))
+        for temporary in (done, *([] if behind is None else [judged])):
+            release(temporary)
+        return True
+
+    @property
+    def kept(self) -> DataFrame:
+        return self.state.read("kept", KEPT)
+
+    def cutoffs(self) -> DataFrame:
+        """(contributor, cut_score, cut_record): the worst kept record of each full contributor."""
+        kept = self.kept.withColumn("s", F.coalesce("score", F.lit(float("-inf"))))
+        worst = kept.groupBy("contributor").agg(F.count("*").alias("n"), F.min("s").alias("low"))
         # the worst record: the lowest score, and of its ties the greatest id
-        low = self.kept.join(worst.filter(F.col("n") >= self.cap), "contributor").filter(F.coalesce("score", F.lit(float("-inf"))) == F.col("low.s"))
-        self.cutoffs = low.groupBy("contributor").agg(F.max("score").alias("cut_score"), F.max("record").alias("cut_record"))
+        low = kept.join(worst.filter(F.col("n") >= self.cap), "contributor").filter(F.col("s") == F.col("low"))
+        return low.groupBy("contributor").agg(F.max("score").alias("cut_score"), F.max("record").alias("cut_record"))
 
     def log(self) -> DataFrame:
         """All displaced records: (contributor, score, record)."""
-        return reduce(DataFrame.unionByName, self.displaced) if self.displaced else self.spark.createDataFrame([], KEPT)
+        return self.state.log("displaced", KEPT)
 
 
 def ranked_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,7 +158,7 @@ def displaced_items(spark: SparkSession, folder: str, share: float = 0.02, batch
     arrived = F.coalesce("arrived", F.lit(-(2**62)))
     number = reduce(lambda a, b: a + F.when(arrived > F.lit(b), 1).otherwise(0), bounds, F.lit(0))
     for k in range(len(bounds) + 1):
-        state.add(rows.filter(number == k))
+        state.add(rows.filter(number == k), k)
     return state.log()
 
 

@@ -173,6 +173,20 @@ def test_caps_against_sorting(spark):
         assert len(lost) == len(set(lost)) == len(rows) - len(want)
 
 
+def test_cap_state_outlives_its_run(spark):
+    import uuid
+
+    name = f"caps-{uuid.uuid4().hex}"
+    batches = [[("a", float(10 * n + k), f"r{n}{k}") for k in range(5)] for n in range(4)]
+    for n, rows in enumerate(batches):  # a new handle every time, as in a new run
+        state = caps.CapState(spark, 3, name)
+        assert state.add(spark.createDataFrame(rows, caps.KEPT), n)
+        assert not state.add(spark.createDataFrame([("a", 999.0, "again")], caps.KEPT), n)
+    state = caps.CapState(spark, 3, name)
+    assert {r["record"] for r in state.kept.collect()} == {"r34", "r33", "r32"}
+    assert state.log().count() == 17 == state.log().select("record").distinct().count()
+
+
 # ---- 4
 
 
