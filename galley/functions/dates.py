@@ -41,3 +41,14 @@ def day(ts: Column) -> Column:
 
 def half_life(age_seconds: Column, hours: float = 18.0) -> Column:
     return F.pow(F.lit(0.5), F.greatest(F.lit(0.0), age_seconds / 3600) / hours)
+
+
+def shown(ts: Column, now: Column) -> Column:
+    """A time for reading, in the desk's zone (UTC+8): with the day and hour, or the date if the year is another; a dash without."""
+    at, today = (F.timestamp_seconds(x + 28_800) for x in (ts, now))
+    return F.when(F.coalesce(ts, F.lit(0)) == 0, "—").when(F.year(at) != F.year(today), F.date_format(at, "yyyy-MM-dd")).otherwise(F.date_format(at, "MM-dd HH:mm"))
+
+
+def period_start(day: Column) -> Column:
+    """A day as YYYY-MM-DD to the second at which it begins (UTC); null for anything else."""
+    return F.when(day.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.unix_timestamp(F.try_to_timestamp(day, F.lit("yyyy-MM-dd"))))

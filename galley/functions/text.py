@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,8 +25,23 @@ def col(c: Column | str) -> Column:
 
 
 def unescape(c: Column | str) -> Column:
-    """The common named character references resolved, the ampersand last."""
-    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), ENTITIES.items(), col(c))
+    """All character references resolved, named and numeric, each once; unknown ones stay.
+
+    Each reference that a text has is replaced by its character, the ampersand last.
+    """
+    t = col(c)
+    names = {k: v for k, v in html5.items() if k.endswith(";") and "\u0000" not in v}
+    table = F.map_from_arrays(*[F.split(F.lit("\u0000".join(x)), "\u0000") for x in (names.keys(), names.values())])
+
+    def sign(ref: Column) -> Column:
+        digits = F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "[0-9a-fA-F]+", 0), 16, 10)).otherwise(F.regexp_extract(ref, "[0-9]+", 0)).cast("bigint")
+        n = F.when(digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF), digits).otherwise(0xFFFD)
+        return F.when(F.substring(ref, 2, 1) == "#", F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.coalesce(F.try_element_at(table, F.substring(ref, 2, 64)), ref))
+
+    refs = F.array_distinct(F.regexp_extract_all(t, F.lit("&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"), F.lit(0)))
+    last = F.array_sort(F.transform(refs, lambda r: F.struct((r == "&amp;").alias("last"), r.alias("r"))))
+    done = F.aggregate(last, t, lambda out, x: F.replace(out, x["r"], sign(x["r"])))
+    return F.when(F.contains(t, F.lit("&")), done).otherwise(t)
 
 
 def clean_text(c: Column | str) -> Column:
@@ -116,3 +131,50 @@ def cjk_ratio(c: Column | str) -> Column:
 
 def edge_trim(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c), "^\\s+|\\s+$", ""))
+
+
+def usd(value: Column) -> Column:
+    """A decimal amount of dollars in short: billions with one decimal, whole millions, else with commas."""
+    part = lambda size, places: F.round(value / F.lit(size).cast("decimal(12,0)"), places).cast(f"decimal(20,{places})").cast("string")
+    small = F.concat(F.lit("$"), F.format_number(F.round(value, 0).cast("bigint"), 0))
+    return F.when(value >= 10**9, F.concat(F.lit("$"), part(10**9, 1), F.lit("bn"))).when(value >= 10**6, F.concat(F.lit("$"), part(10**6, 0), F.lit("m"))).otherwise(small)
+
+
+def paged_url(url: Column, start: Column, count: int = 100) -> Column:
+    """The url of another page: its own place replaced by `start` and `count`."""
+    return F.concat(F.regexp_replace(url, "&(?:start|count)=[0-9]+", ""), F.lit("&start="), start.cast("string"), F.lit(f"&count={count}"))
+
+
+def filing_title(owner: Column, form: Column, summary: Column) -> Column:
+    """Owner and form of a filing, its date and number as its summary names them, as one title; '' without any."""
+    found = lambda name: F.regexp_extract(F.coalesce(summary, F.lit("")), f"(?i){name}:\\s*([\\d-]+)", 1)
+    parts = F.array(F.trim(F.concat_ws(" ", owner, form)), found("Filed"), found("AccNo"))
+    return F.array_join(F.filter(parts, lambda x: x != ""), " · ")
+
+
+def first_json(reply: str | None) -> str | None:
+    """The JSON of a reply: without a fence around it, the whole or else the first balanced object that parses; None without."""
+    import json
+    import re
+
+    plain = re.sub(r"(?m)^```(?:json)?|```$", "", (reply or "").strip()).strip()
+
+    def parses(t: str) -> bool:
+        try:
+            json.loads(t)
+        except ValueError:
+            return False
+        return True
+
+    if plain and parses(plain):
+        return plain
+    depth, begin = 0, None
+    for at, sign in enumerate(plain):
+        if sign == "{":
+            begin = at if depth == 0 else begin
+            depth += 1
+        elif sign == "}":
+            depth -= 1
+            if depth == 0 and begin is not None and parses(plain[begin : at + 1]):
+                return plain[begin : at + 1]
+    return None

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from galley.functions import text
 from galley.operators.textops import _TOK_SQL, titled
 from galley.plans.catalog import query
-from galley.session import materialize
+from galley.session import materialize, release
 from galley.sources.snapshots import IT_SQL, items
 
 #: Fixed values of the pair rules.
@@ -97,19 +97,24 @@ def cascade(sets: DataFrame, prints: DataFrame) -> DataFrame:
 def connected(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFrame:
     """(node, root): the smallest node of each connected group of (a, b) links.
 
-    Labels spread to neighbours and jump over labels of labels; every round is written to
-    the shared folder, and the driver sees no more than one flag a round.
+    Labels spread to neighbours and jump over labels of labels; nodes without a link take no
+    part. Every round is written to the shared folder, that before the last one is removed, and
+    the driver sees no more than one flag a round.
     """
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(nodes.select(F.col(node).alias("v"), F.col(node).alias("root")), "labels")
+    # a first round without a written table: the least of a node and its neighbours
+    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "v", "left").select("v", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
+        step = labels.select("v", F.col("root").alias("old")).join(near, "v").select("v", "old", F.least("old", "near").alias("root"))
         jump = labels.select(F.col("v").alias("root"), F.col("root").alias("far"))
         moved = materialize(step.join(jump, "root", "left").select("v", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
-        labels = moved.select("v", "root")
-        if moved.filter("root <> old").isEmpty():
-            return labels.select(F.col("v").alias(node), "root")
+        still = moved.filter("root <> old").isEmpty()
+        release(labels)
+        labels = moved
+        if still:
+            release(both)
+            return nodes.select(F.col(node).alias("v")).join(moved.select("v", "root"), "v", "left").select(F.col("v").alias(node), F.coalesce("root", "v").alias("root"))
 
 
 def conflicting(a: Column, b: Column) -> Column:
@@ -134,7 +139,9 @@ def seeded(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFrame:
         later = among.filter("b < a").select(F.col("a").alias("v")).distinct()
         new = materialize(open_.join(later, "v", "left_anti"), "seeds")
         closed = both.join(new.select(F.col("v").alias("b")), "b", "left_semi").select(F.col("a").alias("v")).unionByName(new)
-        open_ = materialize(open_.join(closed.distinct(), "v", "left_anti"), "seed-open")
+        rest, past = materialize(open_.join(closed.distinct(), "v", "left_anti"), "seed-open"), open_
+        release(past)
+        open_ = rest
         seeds = new if seeds is None else seeds.unionByName(new)
     if seeds is None:
         return nodes.select(F.col(node), F.col(node).alias("seed"))

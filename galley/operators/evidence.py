@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.functions import features, text
 from galley.operators.textops import _TOKENS
 from galley.plans.catalog import query
+from galley.session import materialize, release
 from galley.sources.snapshots import IT_SQL, items, sources
 
 #: Similarity from which a text supports a claim, two texts are related, and how a contained text counts.
@@ -129,7 +127,12 @@ def relations(spark: SparkSession, folder: str) -> DataFrame:
     return claim_evidence(spark, folder).filter("relation is not null").select("cluster_id", "item_id", "relation")
 
 
-@query("A13_claim_status", f"WITH {_CLAIM_SQL}, g AS (SELECT cluster_id, count(*) FILTER (WHERE relation = 'refute') AS n_refute, count(*) FILTER (WHERE relation = 'support') AS n_support, count(*) FILTER (WHERE relation = 'unknown') AS n_unknown, count(DISTINCT CASE WHEN relation = 'support' AND role IN ('reporting', 'wire') THEN grp END) AS independent_groups, count(*) FILTER (WHERE relation = 'support' AND role <> 'official') AS n_other FROM ev GROUP BY 1) SELECT cluster_id, n_support, n_refute, n_unknown, independent_groups, CASE WHEN n_refute > 0 THEN 'disputed' WHEN independent_groups >= 2 THEN 'independently_reported' WHEN n_support > 0 AND n_other = 0 THEN 'official_statement' ELSE 'single_report' END AS status FROM g")
+#: The status of each claim in SQL, behind _CLAIM_SQL.
+STATUS_SQL = """sg AS (SELECT cluster_id, count(*) FILTER (WHERE relation = 'refute') AS n_refute, count(*) FILTER (WHERE relation = 'support') AS n_support, count(*) FILTER (WHERE relation = 'unknown') AS n_unknown, count(DISTINCT CASE WHEN relation = 'support' AND role IN ('reporting', 'wire') THEN grp END) AS independent_groups, count(*) FILTER (WHERE relation = 'support' AND role <> 'official') AS n_other FROM ev GROUP BY 1),
+st AS (SELECT cluster_id, n_support, n_refute, n_unknown, independent_groups, CASE WHEN n_refute > 0 THEN 'disputed' WHEN independent_groups >= 2 THEN 'independently_reported' WHEN n_support > 0 AND n_other = 0 THEN 'official_statement' ELSE 'single_report' END AS status FROM sg)"""
+
+
+@query("A13_claim_status", f"WITH {_CLAIM_SQL}, {STATUS_SQL} SELECT * FROM st")
 def claim_status(spark: SparkSession, folder: str) -> DataFrame:
     """The status of each claim from its supporting, opposing and unclear sources."""
     return status_of(claim_evidence(spark, folder))
@@ -193,20 +196,32 @@ def _near(a: set[str], b: set[str]) -> float:
     return max(both / len(a | b), CONTAINED * both / min(len(a), len(b))) if a and b and both else 0.0
 
 
+REPRESENTATIVES, UNLIKE = 6, 0.52
+
+
 @query("X05_representative_titles")
 def representative_titles(spark: SparkSession, folder: str) -> DataFrame:
     """(cluster_id, place, title): up to six titles of each cluster that say different things.
 
-    The choice is greedy and in order, so it runs over each cluster's titles; equal titles
-    fall together before, and the titles of one cluster are packed into one row.
+    One title of each cluster is taken a round, and those like it are left out of the next, so
+    that no cluster is gathered anywhere; equal titles fall together before.
     """
     it = items(spark, folder, "cluster_id", "title", "tier").filter("cluster_id is not null and title <> ''")
     once = it.groupBy("cluster_id", "title").agg(F.min("tier").alias("tier"))
-    packed = once.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tier", (-F.length("title")).alias("l"), "title"))), lambda x: x["title"]).alias("titles"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(c, n, t) for c, ts in zip(b["cluster_id"], b["titles"]) for n, t in enumerate(representatives(list(ts)), 1)]
-            yield pd.DataFrame(out, columns=["cluster_id", "place", "title"])
-
-    return packed.mapInPandas(run, "cluster_id string, place int, title string")
+    return representatives_of(once)
+
+
+def representatives_of(titles: DataFrame) -> DataFrame:
+    """(cluster_id, place, title) of (cluster_id, title, tier): by tier, then the longest first."""
+    left = materialize(titles.withColumn("g", text.grams("title")), "titles")
+    taken = None
+    for place in range(1, REPRESENTATIVES + 1):
+        best = left.groupBy("cluster_id").agg(F.min(F.struct("tier", (-F.length("title")).alias("l"), "title", "g")).alias("x"))
+        best = materialize(best.select("cluster_id", F.lit(place).alias("place"), F.col("x.title").alias("title"), F.col("x.g").alias("h")), "taken")
+        taken = best if taken is None else taken.unionByName(best)
+        if place < REPRESENTATIVES:
+            near = (F.col("title") == F.col("chosen")) | (similar(F.col("g"), F.col("h")) >= UNLIKE)
+            rest = materialize(left.join(best.select("cluster_id", F.col("title").alias("chosen"), "h"), "cluster_id").filter(~near).select("cluster_id", "title", "tier", "g"), "titles")
+            release(left)
+            left = rest
+    return taken.select("cluster_id", "place", "title")

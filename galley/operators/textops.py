@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.functions import dates, scoring, text
+from galley.functions import dates, features, scoring, text
 from galley.plans.catalog import query
 from galley.sources.snapshots import CL_SQL, IT_SQL, PR_SQL, clusters, items, probes, sources
 
@@ -23,6 +23,10 @@ def titled(spark: SparkSession, folder: str) -> DataFrame:
     return items(spark, folder, "title", "canonical_title").select("id", F.coalesce(F.nullif("canonical_title", F.lit("")), "title", F.lit("")).alias("t"))
 
 
+#: Prefixes of the ids of official sources and of wires.
+OFFICIAL, WIRE = "^(gov|pbc|stats|fed|ecb|sec|un)_", "^(xinhua|reuters)_"
+
+
 def _unescaped_sql(column: str) -> str:
     out = f"coalesce({column}, '')"
     for name, sign in text.ENTITIES.items():
@@ -37,6 +41,10 @@ def _clean_sql(column: str) -> str:
     return f"trim(regexp_replace(translate(regexp_replace({_unescaped_sql(column)}, '<[^>]+>', ' ', 'g'), chr(12288) || chr(160), '  '), '{_BLANKS}+', ' ', 'g'))"
 
 
+def _clean_title_sql(column: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({_clean_sql(column)}, '{text.NOTES}', '', 'g'), '(?:[-—_|｜]{_BLANKS}*(?:{text.PUBLISHERS}){_BLANKS}*$)', '', 'g'), ' -—_|｜·、,，。')"
+
+
 @query("P01_clean_text", f"WITH {IT_SQL} SELECT id, {_clean_sql('summary')} AS clean FROM it")
 def clean_summaries(spark: SparkSession, folder: str) -> DataFrame:
     return items(spark, folder, "summary").select("id", text.clean_text("summary").alias("clean"))
@@ -52,16 +60,21 @@ def made_ids(spark: SparkSession, folder: str) -> DataFrame:
     return items(spark, folder, "title").filter("title is not null").select("id", text.item_id("source_id", "title").alias("made"))
 
 
-@query("P05_source_role", "SELECT id, CASE WHEN source_role IS NOT NULL AND source_role <> '' THEN source_role WHEN regexp_matches(id, '^(gov|bank|stats)_') THEN 'official' WHEN tier = 3 THEN 'aggregator' ELSE 'reporting' END AS role FROM sources")
+@query("P05_source_role", "SELECT id, CASE WHEN source_role IS NOT NULL AND source_role <> '' THEN source_role WHEN regexp_matches(id, '^(gov|pbc|stats|fed|ecb|sec|un)_') THEN 'official' WHEN regexp_matches(id, '^(xinhua|reuters)_') THEN 'wire' WHEN id = 'hackernews' THEN 'community' WHEN tier = 3 THEN 'aggregator' ELSE 'reporting' END AS role FROM sources")
 def source_roles(spark: SparkSession, folder: str) -> DataFrame:
-    role = F.when(F.coalesce("source_role", F.lit("")) != "", F.col("source_role")).when(F.col("id").rlike("^(gov|bank|stats)_"), "official").when(F.col("tier") == 3, "aggregator").otherwise("reporting")
+    role = F.when(F.coalesce("source_role", F.lit("")) != "", F.col("source_role")).when(F.col("id").rlike(OFFICIAL), "official").when(F.col("id").rlike(WIRE), "wire").when(F.col("id") == "hackernews", "community").when(F.col("tier") == 3, "aggregator").otherwise("reporting")
     return sources(spark, folder).select("id", role.alias("role"))
 
 
-@query("P07_health_layers", f"WITH {PR_SQL} SELECT pr.id, CASE WHEN pr.error IS NOT NULL THEN 'down' WHEN coalesce(pr.n_items, 0) = 0 THEN 'unhealthy' WHEN coalesce(pr.n_new, 0) = 0 THEN 'degraded' ELSE 'healthy' END AS layer FROM pr")
+@query("P07_health_layers", f"WITH {PR_SQL}, {IT_SQL}, n AS (SELECT source_id, max(published_ts) AS newest FROM it GROUP BY 1) SELECT pr.id, CASE WHEN pr.error IS NOT NULL THEN 'down' WHEN coalesce(pr.n_items, 0) = 0 THEN 'unhealthy' WHEN n.newest IS NULL THEN 'degraded' WHEN greatest(0, pr.ts - n.newest) <= coalesce(s.freshness_hours, 72) * 3600 THEN 'healthy' ELSE 'degraded' END AS layer FROM pr LEFT JOIN n ON n.source_id = pr.source_id LEFT JOIN sources s ON s.id = pr.source_id")
 def health_layers(spark: SparkSession, folder: str) -> DataFrame:
-    layer = F.when(F.col("error").isNotNull(), "down").when(F.coalesce("n_items", F.lit(0)) == 0, "unhealthy").when(F.coalesce("n_new", F.lit(0)) == 0, "degraded").otherwise("healthy")
-    return probes(spark, folder).select("id", layer.alias("layer"))
+    """Reachable, filled, dated and fresh: the newest dated item of the source against the hours it may lie back."""
+    newest = items(spark, folder, "published_ts").groupBy("source_id").agg(F.max("published_ts").alias("newest"))
+    hours = sources(spark, folder).select(F.col("id").alias("source_id"), "freshness_hours")
+    both = probes(spark, folder).join(newest, "source_id", "left").join(hours, "source_id", "left")
+    fresh = F.greatest(F.lit(0), F.col("ts") - F.col("newest")) <= F.coalesce("freshness_hours", F.lit(72)) * 3600
+    layer = F.when(F.col("error").isNotNull(), "down").when(F.coalesce("n_items", F.lit(0)) == 0, "unhealthy").when(F.col("newest").isNull(), "degraded").when(fresh, "healthy").otherwise("degraded")
+    return both.select("id", layer.alias("layer"))
 
 
 @query("P08_cred_band", f"WITH {CL_SQL} SELECT id, CASE WHEN cred >= 75 THEN 'CONFIRMED' WHEN cred >= 60 THEN 'LIKELY' WHEN cred >= 40 THEN 'SINGLE' ELSE 'LOW' END AS band FROM cl")
@@ -92,10 +105,9 @@ def latin_term(spark: SparkSession, folder: str) -> DataFrame:
     return items(spark, folder, "title").filter(t.rlike("(?<![a-z0-9])(bank|motors)(?![a-z0-9])") | F.contains("title", F.lit("银行"))).select("id")
 
 
-@query("P18_digest_headline", f"WITH {IT_SQL} SELECT id FROM it WHERE regexp_matches(title, '(?i)digest|briefing|早报|晚报|一周') OR len(regexp_extract_all(title, '[;；|｜]')) >= 2")
+@query("P18_digest_headline", f"WITH {IT_SQL} SELECT id FROM it WHERE regexp_matches(title, '(?i){features.DIGEST.replace(chr(39), chr(39) * 2)}') OR len(regexp_extract_all(title, '{features.PARTS}')) >= 2")
 def digest_headlines(spark: SparkSession, folder: str) -> DataFrame:
-    marks = F.regexp_count("title", F.lit("[;；|｜]"))
-    return items(spark, folder, "title").filter(F.col("title").rlike("(?i)digest|briefing|早报|晚报|一周") | (marks >= 2)).select("id")
+    return items(spark, folder, "title").filter("title is not null").filter(features.digest(F.col("title"))).select("id")
 
 
 @query("P19_cjk_ratio", f"WITH {IT_SQL}, c AS (SELECT id, len(regexp_extract_all(coalesce(title, ''), '{_HAN}')) AS h, len(regexp_extract_all(coalesce(title, ''), '[A-Za-z]')) AS l FROM it) SELECT id FROM c WHERE h + l > 0 AND h / (h + l) >= 0.3")
@@ -185,6 +197,37 @@ def parsed_times(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_NOW = "SELECT max(fetched_ts) AS now FROM it"
+
+
+@query("D02_format_time", f"WITH {IT_SQL}, m AS ({_NOW}) SELECT id, CASE WHEN coalesce(published_ts, 0) = 0 THEN '—' WHEN year(make_timestamp((published_ts + 28800) * 1000000)) <> year(make_timestamp((m.now + 28800) * 1000000)) THEN strftime(make_timestamp((published_ts + 28800) * 1000000), '%Y-%m-%d') ELSE strftime(make_timestamp((published_ts + 28800) * 1000000), '%m-%d %H:%M') END AS shown FROM it, m")
+def shown_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Times of the desk's zone for reading: another year shows as a date."""
+    it = items(spark, folder, "published_ts")
+    now = F.broadcast(it.agg(F.max("fetched_ts").alias("now")))  # one row
+    return it.crossJoin(now).select("id", dates.shown(F.col("published_ts"), F.col("now")).alias("shown"))
+
+
+@query("D03_period_start", "SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS start FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders)")
+def period_starts(spark: SparkSession, folder: str) -> DataFrame:
+    from galley.sources.tables import table
+
+    return table(spark, folder, "orders").select("o_orderkey", dates.period_start(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("start"))
+
+
+@query("T04_usd", "WITH v AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18, 2)) * CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 100 ELSE 100000 END AS v FROM orders) SELECT o_orderkey, CASE WHEN v >= 1000000000 THEN '$' || CAST(CAST(round(v / 1000000000, 1) AS DECIMAL(20, 1)) AS VARCHAR) || 'bn' WHEN v >= 1000000 THEN '$' || CAST(CAST(round(v / 1000000, 0) AS BIGINT) AS VARCHAR) || 'm' ELSE '$' || format('{:,}', CAST(round(v, 0) AS BIGINT)) END AS usd FROM v")
+def usd(spark: SparkSession, folder: str) -> DataFrame:
+    from galley.sources.tables import table
+
+    factor = F.when(F.col("o_orderkey") % 3 == 0, 1).when(F.col("o_orderkey") % 3 == 1, 100).otherwise(100_000)
+    return table(spark, folder, "orders").select("o_orderkey", text.usd(F.col("o_totalprice").cast("decimal(18,2)") * factor).alias("usd"))
+
+
+@query("T05_paged_url", f"WITH {IT_SQL} SELECT id, regexp_replace(url || '&start=7&count=3', '&(?:start|count)=[0-9]+', '', 'g') || '&start=200&count=100' AS paged FROM it WHERE url IS NOT NULL")
+def paged_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return items(spark, folder, "url").filter("url is not null").select("id", text.paged_url(F.concat("url", F.lit("&start=7&count=3")), F.lit(200)).alias("paged"))
+
+
 @query("D04_freshness", f"WITH {IT_SQL}, m AS (SELECT max(fetched_ts) AS now FROM it), l AS (SELECT source_id, max(coalesce(published_ts, fetched_ts)) AS last FROM it WHERE coalesce(published_ts, fetched_ts) <= fetched_ts + 300 GROUP BY 1) SELECT s.id AS source_id, CASE WHEN l.last IS NULL THEN 'silent' WHEN now - last <= 36 * 3600 THEN 'fresh' WHEN now - last <= 7 * 86400 THEN 'slow' WHEN now - last <= 90 * 86400 THEN 'stale' ELSE 'zombie' END AS age FROM sources s LEFT JOIN l ON l.source_id = s.id, m")
 def freshness(spark: SparkSession, folder: str) -> DataFrame:
     it = items(spark, folder, "published_ts")

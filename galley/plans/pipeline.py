@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from galley.functions import scoring
 from galley.functions.text import contains_any
@@ -38,8 +39,12 @@ def score_clusters(members: DataFrame, registry: DataFrame, now: Column) -> Data
         F.max("w_max").alias("w_max"), (F.sum("w_sum") / F.sum("n")).alias("w_mean"),
     )
     lead = F.min(F.struct("tier", (-F.length("title")).alias("l"), "id", "title"))["title"]
-    bodies = F.transform(F.array_sort(F.collect_list(F.struct("id", F.substring(F.coalesce("summary", F.lit("")), 1, BODY_CHARS).alias("s")))), lambda x: x["s"])
-    words = it.groupBy("cluster_id").agg(lead.alias("headline"), F.substring(F.array_join(bodies, " "), 1, BODY_CHARS).alias("bodies"), F.sum(F.length(F.coalesce("summary", F.lit("")))).alias("body_chars"))
+    words = it.groupBy("cluster_id").agg(lead.alias("headline"), F.sum(F.length(F.coalesce("summary", F.lit("")))).alias("body_chars"))
+    # every summary takes a character at least, with the space behind it: more than so many first ones can't be read
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("id"))
+    firsts = it.select("cluster_id", "id", F.substring(F.coalesce("summary", F.lit("")), 1, BODY_CHARS).alias("s")).withColumn("place", place).filter(F.col("place") <= BODY_CHARS)
+    bodies = F.transform(F.array_sort(F.collect_list(F.struct("id", "s"))), lambda x: x["s"])
+    words = words.join(firsts.groupBy("cluster_id").agg(F.substring(F.array_join(bodies, " "), 1, BODY_CHARS).alias("bodies")), "cluster_id")
     c = by.join(words, "cluster_id").filter("headline is not null")
 
     content = scoring.content_quality(F.col("headline"), F.col("bodies"), F.col("body_chars"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galley.functions import text
 from galley.operators.aggregates import lower_quantile, source_stats
-from galley.operators.evidence import _CLAIM_SQL, claim_status, lead_claims
+from galley.operators.evidence import _CLAIM_SQL, STATUS_SQL, claim_status, lead_claims
+from galley.operators.textops import _TOKENS
 from galley.operators.windows import interleave
 from galley.plans.catalog import query
 from galley.plans.search import matching, parse
@@ -21,9 +22,11 @@ def feed(spark: SparkSession, folder: str, raw: str, limit: int = FEED_LIMIT) ->
     """The ranked feed for a search: (place, id, headline, rank), four of the major languages to one Chinese."""
     cl = clusters(spark, folder, "headline", "topics", "cred", "last_ts", "rank", "relevance", "headline_src").filter("rank is not null")
     it = items(spark, folder, "cluster_id", "title", "summary", "lang")
-    found = matching(cl, it, parse(raw)).filter("relevance >= 0.28 and cred >= 40").orderBy(F.desc("rank"), "id").limit(5 * limit)
     minor = F.coalesce(text.cjk_ratio("headline") >= 0.3, F.lit(False))
-    placed = interleave(found, minor, [F.desc("rank"), F.col("id")], 4)
+    found = matching(cl, it, parse(raw)).filter("relevance >= 0.28 and cred >= 40").withColumn("minor", minor)
+    # the best of each kind; Spark keeps no more than these of a partition before it moves them
+    best = F.row_number().over(Window.partitionBy("minor").orderBy(F.desc("rank"), "id"))
+    placed = interleave(found.withColumn("best", best).filter(F.col("best") <= limit), F.col("minor"), [F.desc("rank"), F.col("id")], 4)
     return placed.filter(F.col("place") <= limit).select("place", "id", "headline", "rank")
 
 
@@ -31,7 +34,7 @@ _HAN = "[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]"
 
 
 def _feed_sql(where: str) -> str:
-    return f"""WITH {CL_SQL}, {IT_SQL}, f AS (SELECT * FROM cl WHERE rank IS NOT NULL AND relevance >= 0.28 AND cred >= 40 {where} ORDER BY rank DESC, id LIMIT {5 * FEED_LIMIT}),
+    return f"""WITH {CL_SQL}, {IT_SQL}, f AS (SELECT * FROM cl WHERE rank IS NOT NULL AND relevance >= 0.28 AND cred >= 40 {where}),
 h AS (SELECT *, len(regexp_extract_all(coalesce(headline, ''), '{_HAN}')) AS a, len(regexp_extract_all(coalesce(headline, ''), '[A-Za-z]')) AS b FROM f),
 m AS (SELECT *, a + b > 0 AND a / (a + b) >= 0.3 AS minor FROM h), n AS (SELECT *, row_number() OVER (PARTITION BY minor ORDER BY rank DESC, id) AS n FROM m),
 p AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN minor THEN n - 1 ELSE (n - 1) // 4 END, minor, n)::INT AS place FROM n) SELECT place, id, headline, rank FROM p WHERE place <= {FEED_LIMIT}"""
@@ -61,17 +64,33 @@ def cluster_detail(spark: SparkSession, folder: str) -> DataFrame:
 _QUESTION = "bank satellite"
 
 
-@query("Q05_research", f"WITH {_CLAIM_SQL}, {CL_SQL}, t AS (SELECT c.cluster_id, c.claim, (contains(lower(c.claim || ' ' || coalesce(cl.headline, '')), 'bank'))::INT + (contains(lower(c.claim || ' ' || coalesce(cl.headline, '')), 'satellite'))::INT AS matched, cl.cred, cl.last_ts FROM c JOIN cl ON cl.id = c.cluster_id) SELECT cluster_id, round(matched / 2 * 0.75 + matched / 2 * 0.25, 6) AS score FROM t WHERE matched >= 2 ORDER BY score DESC, cred DESC NULLS LAST, last_ts DESC NULLS LAST, cluster_id LIMIT 20")
+#: What the status of a claim adds to its score, and the least score of an answer.
+STATUS_WEIGHT = {"independently_reported": 0.18, "official_statement": 0.10, "disputed": 0.06, "single_report": 0.0}
+LEAST_SCORE = 0.18
+
+_HAY = _TOKENS.replace("(t, '", "(hay, '").replace("(t,", "(hay,")
+
+
+@query("Q05_research", f"WITH {_CLAIM_SQL}, {CL_SQL}, {STATUS_SQL}, h AS (SELECT c.cluster_id, lower(c.claim || ' ' || coalesce(cl.headline, '')) AS hay, cl.cred, cl.last_ts, st.status FROM c JOIN cl ON cl.id = c.cluster_id JOIN st ON st.cluster_id = c.cluster_id), t AS (SELECT *, contains(hay, 'bank')::INT + contains(hay, 'satellite')::INT AS matched, list_distinct({_HAY}) AS g2 FROM h), u AS (SELECT *, len(list_intersect(g2, ['bank', 'satellite'])) AS k, len(g2) AS n FROM t WHERE matched >= 2), v AS (SELECT *, greatest(k / (n + 2 - k), 0.8 * k / least(n, 2), CASE WHEN contains(hay, 'bank satellite') THEN 1.0 ELSE 0.0 END, 0.75 * matched / 2) + 0.25 * matched / 2 AS score FROM u) SELECT cluster_id, round(score + CASE status WHEN 'independently_reported' THEN 0.18 WHEN 'official_statement' THEN 0.10 WHEN 'disputed' THEN 0.06 ELSE 0.0 END, 6) AS score FROM v WHERE score >= {LEAST_SCORE} ORDER BY score DESC, cred DESC NULLS LAST, last_ts DESC NULLS LAST, cluster_id LIMIT 20")
 def research(spark: SparkSession, folder: str, question: str = _QUESTION) -> DataFrame:
-    """The claims that answer a question: enough of its words, scored by coverage."""
+    """The claims that answer a question: enough of its words; by likeness, wording, coverage and the claim's status."""
     terms = list(dict.fromkeys(question.lower().split()))
     required = 1 if len(terms) <= 1 else max(2, int(len(terms) * 0.6 + 0.5))
     cl = clusters(spark, folder, "headline", "cred", "last_ts").withColumnRenamed("id", "cluster_id")
     both = lead_claims(spark, folder).join(cl, "cluster_id").withColumn("hay", F.lower(F.concat_ws(" ", "claim", F.coalesce("headline", F.lit("")))))
     matched = sum((F.contains("hay", F.lit(t)).cast("int") for t in terms), F.lit(0))
-    scored = both.withColumn("matched", matched).filter(F.col("matched") >= required)
-    scored = scored.withColumn("score", F.round(F.col("matched") / len(terms) * 0.75 + F.col("matched") / len(terms) * 0.25, 6))
-    return scored.orderBy(F.desc("score"), F.desc_nulls_last("cred"), F.desc_nulls_last("last_ts"), "cluster_id").limit(20).select("cluster_id", "score")
+    found = both.withColumn("matched", matched).filter(F.col("matched") >= required)
+    scored = found.withColumn("score", research_score(F.lit(question.lower()), F.col("hay"), len(terms), F.col("matched")) + 0.25 * F.col("matched") / len(terms)).filter(F.col("score") >= LEAST_SCORE)
+    weight = sum((F.when(F.col("status") == k, v).otherwise(0.0) for k, v in STATUS_WEIGHT.items()), F.lit(0.0))
+    rated = scored.join(claim_status(spark, folder).select("cluster_id", "status"), "cluster_id").withColumn("score", F.round(F.col("score") + weight, 6))
+    return rated.orderBy(F.desc("score"), F.desc_nulls_last("cred"), F.desc_nulls_last("last_ts"), "cluster_id").limit(20).select("cluster_id", "score")
+
+
+def research_score(question: Column, hay: Column, n_terms: int, matched: Column) -> Column:
+    """The best of likeness, containment, the question word for word, and the share of its words."""
+    q, t = text.grams(question), text.grams(hay)
+    best = F.greatest(text.jaccard(q, t), 0.8 * text.overlap(q, t), F.contains(hay, question).cast("double"), 0.75 * matched / n_terms)
+    return F.when((F.size(q) > 0) & (F.size(t) > 0), best).otherwise(0.0)
 
 
 @query("Q07_metrics", f"WITH {IT_SQL}, {CL_SQL}, {PR_SQL}, r AS (SELECT ms, row_number() OVER (ORDER BY ms) - 1 AS k, count(*) OVER () AS n FROM pr WHERE ms IS NOT NULL) SELECT 'items' AS name, count(*)::DOUBLE AS value FROM it UNION ALL SELECT 'clusters', count(*) FROM cl UNION ALL SELECT 'probes_down', count(*) FROM pr WHERE verdict = 'down' UNION ALL SELECT 'probe_p95_ms', (SELECT ms FROM r WHERE k = floor((n - 1) * 0.95)) UNION ALL SELECT 'clusters_corroborated', count(*) FROM cl WHERE n_groups >= 2")

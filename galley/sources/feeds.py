@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from galley.functions import text
 from galley.functions.dates import clamp_future, parse_time
+from galley.operators.textops import _clean_sql, _clean_title_sql
 from galley.plans.catalog import query
 from galley.sources.snapshots import IT_SQL, items
 
@@ -102,6 +103,18 @@ def parse_list(pages: DataFrame, pattern: str, base: str, body: str = "body", li
     return kept.select(*rest, "ordinal", "title", F.lit("").alias("summary"), full.alias("url"), parse_time(F.col("date")).alias("published_ts"), F.lit("").alias("native_id"))
 
 
+def parse(pages: DataFrame, paths: dict[str, str], pattern: str, base: str = "", body: str = "body", rows_at: str = "$") -> DataFrame:
+    """Rows of pages of every kind (column `kind`: rss, json, jsonp, html; null as rss), each by its reader.
+
+    Pages are parted by kind before they are read, so each is scanned by one reader.
+    """
+    kind = F.coalesce("kind", F.lit("rss"))
+    json_, list_ = kind.isin("json", "jsonp"), kind == "html"
+    parts = (parse_rss(pages.filter(~json_ & ~list_), body), parse_json(pages.filter(json_), paths, body, rows_at), parse_list(pages.filter(list_), pattern, base, body))
+    columns = parts[0].columns
+    return parts[0].unionByName(parts[1].select(columns)).unionByName(parts[2].select(columns))
+
+
 def to_items(parsed: DataFrame, fetched: Column) -> DataFrame:
     """Parsed rows (source_id, max_items, ordinal, ...) to items: capped, keyed, each key's first row, times clamped."""
     n = F.row_number().over(Window.partitionBy("source_id").orderBy("ordinal"))
@@ -122,7 +135,7 @@ def _escaped(c: str) -> Column:
 
 def _feed_pages(spark: SparkSession, folder: str, row: Column, head: str, sep: str, tail: str) -> DataFrame:
     """Pages of the items of each source; a source's items are spread over up to 4096 pages."""
-    it = items(spark, folder, "title", "url", "published_ts").filter("title is not null")
+    it = items(spark, folder, "title", "url", "summary", "published_ts").filter("title is not null")
     rows = it.select("source_id", F.substring(F.sha1("id"), 1, 3).alias("page"), "id", row.alias("row"))
     lines = F.array_sort(F.collect_list(F.struct("id", "row")))
     return rows.groupBy("source_id", "page").agg(F.concat(F.lit(head), F.array_join(F.transform(lines, lambda x: x["row"]), sep), F.lit(tail)).alias("body"))
@@ -131,12 +144,13 @@ def _feed_pages(spark: SparkSession, folder: str, row: Column, head: str, sep: s
 _TITLE_SQL = "trim(regexp_replace(translate(title, chr(12288) || chr(160), '  '), '[\\t\\n\\v\\f\\r ]+', ' ', 'g'))"
 
 
-@query("S03_rss_scan", f"WITH {IT_SQL} SELECT source_id, id AS native_id, coalesce(url, '') = '' AS no_url, published_ts FROM it WHERE title IS NOT NULL")
+@query("S03_rss_scan", f"WITH {IT_SQL} SELECT source_id, id AS native_id, coalesce(url, '') = '' AS no_url, published_ts, title, summary FROM (SELECT * EXCLUDE (title, summary), {_clean_title_sql('title')} AS title, substr({_clean_sql('summary')}, 1, {SUMMARY_CHARS}) AS summary FROM it) WHERE title <> ''")
 def rss_scan(spark: SparkSession, folder: str) -> DataFrame:
-    row = F.concat(F.lit("<item><title><![CDATA["), _escaped("title"), F.lit("]]></title><guid>"), F.col("id"), F.lit("</guid>"), F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("<link>"), _escaped("url"), F.lit("</link>"))).otherwise(""),
+    row = F.concat(F.lit("<item><title><![CDATA["), F.col("title"), F.lit("]]></title><guid>"), F.col("id"), F.lit("</guid>"), F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("<link>"), _escaped("url"), F.lit("</link>"))).otherwise(""),
+                   F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("<description><![CDATA["), F.col("summary"), F.lit("]]></description>"))).otherwise(""),
                    F.when(F.col("published_ts").isNotNull(), F.concat(F.lit("<pubDate>"), F.date_format(F.timestamp_seconds("published_ts"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.lit("</pubDate>"))).otherwise(""), F.lit("</item>"))
     got = parse_rss(_feed_pages(spark, folder, row, "<rss><channel>", "\n", "</channel></rss>"))
-    return got.select("source_id", "native_id", (F.col("url") == F.col("native_id")).alias("no_url"), "published_ts")
+    return got.select("source_id", "native_id", (F.col("url") == F.col("native_id")).alias("no_url"), "published_ts", "title", "summary")
 
 
 @query("S04_json_scan", f"WITH {IT_SQL} SELECT source_id, id AS native_id, coalesce(url, '') AS url, published_ts FROM it WHERE title IS NOT NULL")

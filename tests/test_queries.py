@@ -6,6 +6,8 @@ from compare import database, same
 from galley.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
+#: The tables name none of the desk's entities, and may hold no contradiction.
+MAY_BE_EMPTY = {"F16_bridge_keys", "C04_event_conflicts", "J14_contradictions"}
 
 
 @pytest.fixture(scope="module")
@@ -19,5 +21,6 @@ def test_query(spark, con, name):
     sql = catalog.oracle_sql().get(name)
     if sql:
         same(df, con, sql)
-    else:
-        assert df.count() >= 0
+    else:  # tested on fixtures; here it must end, with rows where the tables can have any
+        rows = df.count()
+        assert rows > 0 or name in MAY_BE_EMPTY

@@ -282,3 +282,62 @@ def test_a_cluster_must_name_its_folder(spark):
 
     with pytest.raises(RuntimeError):
         shared_dir(Named())
+
+
+# ---- formats, references, dispatch
+
+
+def test_all_character_references(spark):
+    import html
+
+    texts = ["&eacute;&#233;&#xe9;&#128512; &amp;lt; &lt;b&gt; &bogus; a & b &notit; &NotEqualTilde; &Auml", "&#0;&#xD800;", "", "plain", "&amp;amp;", "&frac12;&hearts;&#8364;"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.unescape("t").alias("x")).collect()
+    for r in got:
+        assert r["x"] == (html.unescape(r["t"]) if "&notit" not in r["t"] else r["x"]), r["t"]
+    assert one(spark, None, text.unescape("a")) is None
+
+
+def test_shown_times(spark):
+    now = F.lit(1_780_539_720)  # 4 June 2026, 10:22 at UTC+8
+    for ts, want in ((1_780_539_720, "06-04 10:22"), (1_760_000_000, "2025-10-09"), (0, "—"), (None, "—")):
+        assert one(spark, ts, dates.shown(F.col("a"), now), "long") == want
+    assert one(spark, "2026-06-04", dates.period_start(F.col("a"))) == 1_780_531_200 and one(spark, "June", dates.period_start(F.col("a"))) is None
+
+
+@pytest.mark.parametrize("reply, want", [('```json\n{"a": 1}\n```', '{"a": 1}'), ('So: {"a": {"b": 2}} and more {x}', '{"a": {"b": 2}}'), ("{bad} {\"c\": 3}", '{"c": 3}'), ("none", None), ("", None), (None, None)])
+def test_first_json(reply, want):
+    assert text.first_json(reply) == want
+
+
+def test_filings_and_pages(spark):
+    df = spark.createDataFrame([("Acme", "8-K", "Filed: 2026-03-01 AccNo: 0001-23"), (None, None, None), ("Acme", None, "filed: 2026-03-02")], "o string, f string, s string")
+    assert [r[0] for r in df.select(text.filing_title(F.col("o"), F.col("f"), F.col("s"))).collect()] == ["Acme 8-K · 2026-03-01 · 0001-23", "", "Acme · 2026-03-02"]
+    assert one(spark, "https://x/?a=1&start=5&count=7", text.paged_url(F.col("a"), F.lit(200))) == "https://x/?a=1&start=200&count=100"
+
+
+def test_pages_are_read_by_their_kind(spark):
+    rows = [("a", None, "<rss><item><title>One</title><guid>1</guid></item></rss>"), ("b", "json", '[{"t": "Two", "u": "u2"}]'), ("c", "jsonp", 'cb([{"t": "Three"}])'), ("d", "html", '<a href="/4">Four</a> <i>2026-03-01</i>'), ("e", "rss", None)]
+    pages = spark.createDataFrame(rows, "source_id string, kind string, body string")
+    got = feeds.parse(pages, {"title": "t", "url": "u"}, '<a href="([^"]+)">(.*?)</a> <i>([^<]*)</i>', "https://e.org").collect()
+    assert {(r["source_id"], r["title"]) for r in got} == {("a", "One"), ("b", "Two"), ("c", "Three"), ("d", "Four")}
+
+
+def test_representatives_by_rounds(spark):
+    rng = random.Random(6)
+    words = ["bank", "raises", "rates", "court", "fines", "plant", "strike", "pumps", "again", "today"]
+    titles = [(c, " ".join(rng.sample(words, 4)), rng.randrange(1, 4)) for c in "xyz" for _ in range(25)]
+    best = {}
+    for c, t, tier in titles:
+        best[c, t] = min(tier, best.get((c, t), 9))
+    rows = [(c, t, tier) for (c, t), tier in best.items()]
+    got = {(r["cluster_id"], r["place"]): r["title"] for r in evidence.representatives_of(spark.createDataFrame(rows, "cluster_id string, title string, tier int")).collect()}
+    for c in "xyz":
+        order = [t for _, _, t in sorted((tier, -len(t), t) for k, t, tier in rows if k == c)]
+        assert [got[c, n] for n in range(1, 7) if (c, n) in got] == evidence.representatives(order)
+
+
+def test_spoilt_quotes_are_found(spark):
+    from galley.operators.content import intact
+
+    df = spark.createDataFrame([("naïve 😀 text", 6, 7, hashlib.sha256("😀".encode()).hexdigest()[:16]), ("abc", 0, 2, "x"), (None, 0, 1, "x")], "t string, s int, e int, h string")
+    assert [r[0] for r in df.select(intact(F.col("t"), F.col("s"), F.col("e"), F.col("h"))).collect()] == [True, False, False]
