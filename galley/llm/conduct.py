@@ -89,15 +89,20 @@ def units(text: str | None) -> list[str]:
 
 
 def _words(plain: str) -> list[str]:
+    found = _WORD.findall(plain)
+    if plain.isascii():
+        return ["#" if w[0] <= "9" else w for w in found]
     out: list[str] = []
-    for w in _WORD.findall(plain):
-        if _HAN.match(w):
+    for w in found:
+        first = w[0]
+        if "一" <= first <= "鿿":
             framed = f"<{w}>"
-            out += [framed[k : k + n] for k in range(len(framed)) for n in (1, 2, 3) if k + n <= len(framed)]
-        elif w[0].isdigit():
-            out.append("#")
+            for k in range(len(w)):
+                three = framed[k : k + 3]
+                out += (three[0], three[:2], three)
+            out += (framed[-2], framed[-2:], framed[-1])
         else:
-            out.append(w)
+            out.append("#" if first.isdigit() else w)
     return out
 
 
