@@ -57,6 +57,19 @@ def cascade(children: DataFrame, parents: DataFrame, key: str, parent_key: str)
     return children.join(parents.select(F.col(parent_key).alias(key)), key, "left_semi")
 
 
+def migrated(df: DataFrame, columns: dict[str, str], version: int) -> DataFrame:
+    """A table in the shape of a version: missing columns as nulls, types cast, others dropped; once there it stays so."""
+    have = set(df.columns)
+    return df.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in columns.items()], F.lit(version).alias("schema_version"))
+
+
+def audited(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, column, before, after): what a change of rows changed, for the audit trail; a missing row counts as null."""
+    a, b = (df.select(key, *[F.col(c).cast("string").alias(f"{side}_{c}") for c in columns]) for side, df in (("a", before), ("b", after)))
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a_{c}").alias("before"), F.col(f"b_{c}").alias("after")) for c in columns])
+    return a.join(b, key, "full").select(key, F.explode(rows).alias("x")).select(key, "x.*").filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
 # ---- registered queries
 
 @query("S11_recent_items", f"WITH {IT_SQL} SELECT id, published_ts FROM it WHERE published_ts BETWEEN (SELECT max(published_ts) - 30*86400 FROM it WHERE published_ts <= fetched_ts) AND (SELECT max(published_ts) FROM it WHERE published_ts <= fetched_ts)")
@@ -193,14 +206,6 @@ def full_outer_periods(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("source_id", "period", "before", "now", (F.col("now") - F.col("before")).alias("delta"))
 
 
-@query("J18_dictionary_join", f"WITH {IT_SQL}, d AS (SELECT name FROM sources) SELECT d.name, count(*) AS n FROM it JOIN d ON contains(lower(it.title), lower(d.name)) GROUP BY 1")
-def dictionary_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Names of the registry that titles mention: a scan of the titles against a small dictionary."""
-    names = F.broadcast(sources(spark, folder).select("name"))  # 64 rows by the registry's nature
-    it = items(spark, folder, "title").select("title")
-    return it.join(names, F.contains(F.lower("title"), F.lower("name"))).groupBy("name").agg(F.count("*").alias("n"))
-
-
 @query("J21_dense_registry", f"WITH {IT_SQL} SELECT s.id AS source_id, count(it.id) AS n_items FROM sources s LEFT JOIN it ON it.source_id = s.id GROUP BY 1")
 def dense_registry(spark: SparkSession, folder: str) -> DataFrame:
     n = items(spark, folder).groupBy("source_id").agg(F.count("*").alias("n_items"))
@@ -247,3 +252,16 @@ def check_violations(spark: SparkSession, folder: str) -> DataFrame:
 def cascade_items(spark: SparkSession, folder: str) -> DataFrame:
     """Items left after clusters of low credibility were deleted with their items."""
     return cascade(items(spark, folder, "cluster_id"), clusters(spark, folder, "cred").filter("cred >= 40"), "cluster_id", "id").select("id")
+
+
+@query("N09_audit_trail", f"WITH {CL_SQL}, s AS (SELECT id, max(updated_ts) AS now FROM clusters WHERE id IS NOT NULL GROUP BY 1), o AS (SELECT c.id, max(c.updated_ts) AS was FROM clusters c JOIN s ON s.id = c.id AND c.updated_ts < s.now GROUP BY 1), b AS (SELECT c.id, min(c.n_items) AS n_items, min(c.n_groups) AS n_groups FROM clusters c JOIN o ON o.id = c.id AND o.was = c.updated_ts GROUP BY 1) SELECT b.id, v.col AS \"column\", v.x AS before, v.y AS after FROM b JOIN cl ON cl.id = b.id, LATERAL (VALUES ('n_items', b.n_items::VARCHAR, cl.n_items::VARCHAR), ('n_groups', b.n_groups::VARCHAR, cl.n_groups::VARCHAR)) v(col, x, y) WHERE v.x IS DISTINCT FROM v.y")
+def audit_trail(spark: SparkSession, folder: str) -> DataFrame:
+    """What the current row of each cluster changed against the snapshot before it."""
+    from galley.sources.tables import table
+
+    all_ = table(spark, folder, "clusters").filter("id is not null").select("id", "updated_ts", "n_items", "n_groups")
+    now = all_.groupBy("id").agg(F.max("updated_ts").alias("now"))
+    older = all_.join(now, "id").filter("updated_ts < now")
+    was = older.groupBy("id").agg(F.max("updated_ts").alias("updated_ts"))
+    before = older.join(was, ["id", "updated_ts"]).groupBy("id").agg(F.min("n_items").alias("n_items"), F.min("n_groups").alias("n_groups"))
+    return audited(before, clusters(spark, folder, "n_items", "n_groups").join(before.select("id"), "id", "left_semi"), "id", ["n_items", "n_groups"])

@@ -67,13 +67,27 @@ def front(spark: SparkSession, folder: str) -> DataFrame:
 _FRONT = f"{CL_SQL}, top AS (SELECT id, rank, headline_src FROM cl WHERE rank IS NOT NULL ORDER BY rank DESC, id LIMIT {FEED}), f AS (SELECT t.id, t.rank, coalesce(s.owner, '') AS owner, coalesce(s.lang = 'zh', false) AS minor FROM top t LEFT JOIN (SELECT name, any_value(owner) AS owner, any_value(lang) AS lang FROM sources GROUP BY 1) s ON s.name = t.headline_src)"
 
 
-@query("W05_owner_cap", f"WITH {_FRONT}, c AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY rank DESC, id) AS k FROM f) SELECT id, owner, k FROM c WHERE k <= (SELECT greatest(1, CAST(ceil(0.1 * count(*)) AS BIGINT)) FROM f)")
+#: Share of a list that one owner may fill, and the length of the list.
+OWNER_SHARE, CAPPED = 0.30, 60
+
+
+@query("W05_owner_cap", f"WITH {_FRONT}, n AS (SELECT owner, count(*) AS n FROM f GROUP BY 1), t AS (SELECT least({CAPPED}, sum(n))::BIGINT AS target, count(*) AS owners FROM n), k AS (SELECT range AS cap FROM range(1, {FEED} + 1)), c AS (SELECT min(cap) AS cap FROM (SELECT k.cap FROM k, n, t WHERE k.cap >= greatest(1, ceil({OWNER_SHARE} * t.target), ceil(t.target / least(t.owners, t.target))) GROUP BY k.cap, t.target HAVING sum(least(n.n, k.cap)) >= t.target)), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY rank DESC, id) AS k FROM f), p AS (SELECT r.id, r.owner, r.k, row_number() OVER (ORDER BY rank DESC, id) AS place FROM r, c WHERE r.k <= c.cap) SELECT id, owner, k, place FROM p, t WHERE place <= t.target")
 def owner_cap(spark: SparkSession, folder: str) -> DataFrame:
-    """At most a tenth of the front list from one owner."""
+    """The first CAPPED rows of the front list, no owner with more than its share; the cap grows where owners are scarce.
+
+    The front list has no more than FEED rows, whatever the size of the table.
+    """
     f = front(spark, folder)
-    cap = F.broadcast(f.agg(F.greatest(F.lit(1), F.ceil(0.1 * F.count("*"))).alias("cap")))
+    n = f.groupBy("owner").agg(F.count("*").alias("n"))
+    t = n.agg(F.least(F.lit(CAPPED), F.sum("n")).alias("target"), F.count("*").alias("owners"))
+    least = F.greatest(F.lit(1), F.ceil(OWNER_SHARE * F.col("target")), F.ceil(F.col("target") / F.least("owners", "target")))
+    tried = n.crossJoin(F.broadcast(t)).withColumn("cap", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(FEED).cast("bigint")))).filter(F.col("cap") >= least)
+    fits = tried.groupBy("cap", "target").agg(F.sum(F.least("n", "cap")).alias("room")).filter("room >= target")
+    cap = F.broadcast(fits.groupBy("target").agg(F.min("cap").alias("cap")))  # one row
     k = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("rank"), "id"))
-    return f.withColumn("k", k.cast("bigint")).join(cap, F.col("k") <= F.col("cap")).select("id", "owner", "k")
+    kept = f.withColumn("k", k.cast("bigint")).crossJoin(cap).filter("k <= cap")
+    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("rank"), "id"))
+    return kept.withColumn("place", place.cast("bigint")).filter("place <= target").select("id", "owner", "k", "place")
 
 
 def interleave(df: DataFrame, minor: Column, order: list[Column], every: int) -> DataFrame:

@@ -341,3 +341,31 @@ def test_spoilt_quotes_are_found(spark):
 
     df = spark.createDataFrame([("naïve 😀 text", 6, 7, hashlib.sha256("😀".encode()).hexdigest()[:16]), ("abc", 0, 2, "x"), (None, 0, 1, "x")], "t string, s int, e int, h string")
     assert [r[0] for r in df.select(intact(F.col("t"), F.col("s"), F.col("e"), F.col("h"))).collect()] == [True, False, False]
+
+
+# ---- entities, migrations, audit
+
+
+def test_entities_by_dictionary(spark):
+    from galley.operators import entities
+
+    rows = [("co_apple", "Apple", "company", ["Apple", "苹果公司", "apple inc"], ["iphone", "shares", "ceo"], []), ("co_amazon", "Amazon", "company", ["Amazon", "亚马逊"], [], ["rainforest", "amazon river"]),
+            ("org_x", "x.ai", "lab", ["x.ai", "X AI"], [], []), ("org_wen", "文", "org", ["文"], None, None), ("none", "none", "x", None, [], [])]
+    texts = [("a", "Apple shares fall"), ("b", "An apple a day"), ("c", "Amazon opens a plant"), ("d", "The Amazon rainforest burns"), ("e", "ＡＭＡＺＯＮ plans"), ("f", "amazonian birds"), ("g", "x.ai and the X AI lab"),
+             ("h", "亚马逊宣布裁员"), ("i", "文一言"), ("j", None), ("k", ""), ("l", "苹果公司 iPhone 苹果公司"), ("m", "fox.ai")]
+    got = entities.mentions(spark.createDataFrame(texts, "id string, text string"), spark.createDataFrame(rows, entities.CATALOGUE), "id").collect()
+    assert {(r["id"], r["entity_id"]): r["hits"] for r in got} == {("a", "co_apple"): ["Apple"], ("c", "co_amazon"): ["Amazon"], ("e", "co_amazon"): ["Amazon"], ("g", "org_x"): ["x.ai", "X AI"], ("h", "co_amazon"): ["亚马逊"], ("i", "org_wen"): ["文"], ("l", "co_apple"): ["苹果公司"]}
+
+
+def test_migrations_are_idempotent(spark):
+    columns = {"id": "string", "n": "bigint", "new": "double"}
+    df = relational.migrated(spark.createDataFrame([("a", 1, "x")], "id string, n int, old string"), columns, 2)
+    again = relational.migrated(df, columns, 2)
+    assert df.schema == again.schema and again.collect() == df.collect() and df.columns == ["id", "n", "new", "schema_version"]
+
+
+def test_audit_rows(spark):
+    before = spark.createDataFrame([("a", "draft", 1), ("b", "draft", None), ("gone", "x", 3)], "id string, status string, n int")
+    after = spark.createDataFrame([("a", "published", 1), ("b", "draft", None), ("new", None, 4)], "id string, status string, n int")
+    got = {(r["id"], r["column"]): (r["before"], r["after"]) for r in relational.audited(before, after, "id", ["status", "n"]).collect()}
+    assert got == {("a", "status"): ("draft", "published"), ("gone", "status"): ("x", None), ("gone", "n"): ("3", None), ("new", "n"): (None, "4")}
