@@ -97,24 +97,32 @@ def cascade(sets: DataFrame, prints: DataFrame) -> DataFrame:
 def connected(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFrame:
     """(node, root): the smallest node of each connected group of (a, b) links.
 
-    Labels spread to neighbours and jump over labels of labels; nodes without a link take no
-    part. Every round is written to the shared folder, that before the last one is removed, and
-    the driver sees no more than one flag a round.
+    Every round each node goes into its least neighbour, if that is less than it, and two jumps
+    further; the links between what is left are contracted, so they shrink by a factor a round.
+    The order is that of hashes, so that no chain is sorted by it. Nodes without a link take no
+    part. Rounds are written to the shared folder and removed after the next; the driver sees one
+    flag a round.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    # a first round without a written table: the least of a node and its neighbours
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("root")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
-        step = labels.select("v", F.col("root").alias("old")).join(near, "v").select("v", "old", F.least("old", "near").alias("root"))
-        jump = labels.select(F.col("v").alias("root"), F.col("root").alias("far"))
-        moved = materialize(step.join(jump, "root", "left").select("v", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
-        still = moved.filter("root <> old").isEmpty()
-        release(labels)
-        labels = moved
-        if still:
-            release(both)
-            return nodes.select(F.col(node).alias("v")).join(moved.select("v", "root"), "v", "left").select(F.col("v").alias(node), F.coalesce("root", "v").alias("root"))
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("x"))
+    edges = materialize(links.filter("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.*").distinct(), "links")
+    labels = edges.select(F.col("a").alias("v")).distinct().select("v", F.col("v").alias("root"))
+    written: list[DataFrame] = []
+    while not edges.isEmpty():
+        up = edges.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("v"), F.least(order("a"), F.col("m"))["x"].alias("p"))
+        up = materialize(up, "parents")
+        for _ in range(2):
+            far = up.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            up = up.join(far, "p").select("v", F.col("q").alias("p"))
+        up = materialize(up, "parents")
+        pa, pb = (up.select(F.col("v").alias(k), F.col("p").alias(f"p{k}")) for k in "ab")
+        rest = materialize(edges.join(pa, "a").join(pb, "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "links")
+        moved = materialize(labels.join(up.select(F.col("v").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root")), "labels")
+        for past in (*written, edges):
+            release(past)
+        edges, labels, written = rest, moved, [moved, up]
+    least = labels.groupBy("root").agg(F.min("v").alias("least"))
+    named = labels.join(least, "root").select("v", "least")
+    return nodes.select(F.col(node).alias("v")).join(named, "v", "left").select(F.col("v").alias(node), F.coalesce("least", "v").alias("root"))
 
 
 def conflicting(a: Column, b: Column) -> Column:

@@ -369,3 +369,22 @@ def test_audit_rows(spark):
     after = spark.createDataFrame([("a", "published", 1), ("b", "draft", None), ("new", None, 4)], "id string, status string, n int")
     got = {(r["id"], r["column"]): (r["before"], r["after"]) for r in relational.audited(before, after, "id", ["status", "n"]).collect()}
     assert got == {("a", "status"): ("draft", "published"), ("gone", "status"): ("x", None), ("gone", "n"): ("3", None), ("new", "n"): (None, "4")}
+
+
+def test_connected_on_chains_and_stars(spark):
+    rng = random.Random(11)
+    nodes = list(range(900))
+    links = [(n, n + 1) for n in range(0, 299)] + [(300, n) for n in range(301, 500)] + [(rng.randrange(500, 800), rng.randrange(500, 800)) for _ in range(160)] + [(5, 5), (5, 4), (4, 5)]
+    parent = {n: n for n in nodes}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = clustering.connected(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["id"]: r["root"] for r in got} == {n: find(n) for n in nodes}
+    assert clustering.connected(spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([], "a long, b long")).collect()[0]["root"] == 1
