@@ -35,7 +35,7 @@ from galley.sources.tables import table
 
 LANGS = ("en", "zh", "de", "fr", "pt", "es")
 MAX_SAMPLES = 2_000
-EPOCHS, RATE, PENALTY, SEED = 120, 0.08, 0.002, 7
+EPOCHS, DAMAGE_EPOCHS, RATE, PENALTY, SEED = 120, 50, 0.08, 0.002, 7
 #: Joined samples per sample in training, log odds that a delivered label is right, and the
 #: log odds by which the words of a segment must speak for its language against its neighbour's.
 MIXED, LABEL_PRIOR, MARGIN = 0.4, 2.5, 12.0
@@ -273,7 +273,7 @@ def _train(samples: list[tuple[str, str]], with_damage: bool) -> Tagger:
 
     first = gold[:, 0].sum(0)
     moves = np.einsum("sti,stj->ij", gold[:, :-1], gold[:, 1:])
-    for t in range(1, EPOCHS + 1):
+    for t in range(1, (DAMAGE_EPOCHS if with_damage else EPOCHS) + 1):
         flat = np.add.reduceat(weights[cols], starts, axis=0)
         emit = np.zeros_like(gold)
         emit[on] = flat[where[on]]
