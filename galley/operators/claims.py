@@ -7,9 +7,8 @@ their cluster by a join, titles meet by similarity joins and by keys of entity a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from galley.functions import headlines, text
 from galley.operators.clustering import OVERLAP, OVERLAP_SIZE, NEAR_JACCARD, WINDOW_DAYS, contained_sets, links_of, seeded, similar_sets
+from galley.operators.evaluation import b_cubed, pair_counts
 from galley.operators.evidence import lead_claims, status_of
 from galley.plans.catalog import query
 from galley.session import materialize
@@ -187,3 +187,17 @@ def clustered(classes: DataFrame) -> DataFrame:
     """(id, seed) of classes of titles."""
     links = event_links(classes).filter("against is null and s >= 0.5").select("a", "b")
     return seeded(classes.select("id"), links)
+
+
+@query("Q17_event_evaluation")
+def event_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of titles against the delivered clusters: pairs and B-cubed, one row."""
+    gold = items(spark, folder, "cluster_id").filter("cluster_id is not null").select("id", F.col("cluster_id").alias("gold"))
+    return evaluated(materialize(event_clusters(spark, folder).withColumnRenamed("seed", "predicted").join(gold, "id"), "evaluated"))
+
+
+def evaluated(labelled: DataFrame) -> DataFrame:
+    """(pair_precision, pair_recall, b_precision, b_recall, b_f1) of (predicted, gold); single rows are joined."""
+    p = pair_counts(labelled).select(F.try_divide("tp", F.col("tp") + F.col("fp")).alias("pair_precision"), F.try_divide("tp", F.col("tp") + F.col("fn")).alias("pair_recall"))
+    b = b_cubed(labelled).select(F.col("precision").alias("b_precision"), F.col("recall").alias("b_recall"), F.col("f1").alias("b_f1"))
+    return p.crossJoin(b)

@@ -8,14 +8,15 @@ from pyspark.sql.window import Window
 
 from galley.functions import scoring
 from galley.functions.text import contains_any
+from galley.operators.evidence import _CLAIM_SQL, STATUS_SQL, claim_status
 from galley.operators.textops import _words
 from galley.plans.catalog import query
-from galley.sources.snapshots import IT_SQL, items, sources
+from galley.sources.snapshots import IT_SQL, PR_SQL, items, probes, source_key, sources
 
 #: Characters of all summaries of a cluster that the wording is judged by.
 BODY_CHARS = 1500
 #: Points of the signs of doubt.
-DOUBT = {"rumor": 18, "rumor_attributed": 9, "clickbait": 6, "clickbait_cap": 18, "hype": 10, "punctuation": 5, "stack": 8, "aggregators": 15, "no_independent": 10, "echo": 8, "stale": 10, "future": 12}
+DOUBT = {"disputed": 35, "degraded": 6, "rumor": 18, "rumor_attributed": 9, "clickbait": 6, "clickbait_cap": 18, "hype": 10, "punctuation": 5, "stack": 8, "aggregators": 15, "no_independent": 10, "echo": 8, "stale": 10, "future": 12}
 EDITORIAL = ("reporting", "wire", "official", "regulatory_filing")
 
 
@@ -92,9 +93,18 @@ def credibilities(spark: SparkSession, folder: str) -> DataFrame:
     return scored(spark, folder).select("cluster_id", "n_items", "n_groups", "best_tier", F.round("cred", 4).alias("cred"))
 
 
-@query("F31_doubt", f"WITH {_SCORED_SQL} SELECT cluster_id, least(100, CASE WHEN ru > 0 THEN CASE WHEN att > 0 THEN 9 ELSE 18 END ELSE 0 END + least(18, 6 * cb) + CASE WHEN hy > 0 THEN 10 ELSE 0 END + CASE WHEN m >= 2 OR em THEN 5 ELSE 0 END + CASE WHEN (ru > 0)::INT + (cb > 0)::INT + (hy > 0)::INT + (m >= 2 OR em)::INT >= 3 THEN 8 ELSE 0 END + CASE WHEN NOT ed THEN 15 WHEN n_groups = 0 AND NOT pr THEN 10 ELSE 0 END + CASE WHEN n_items >= 3 AND n_owners = 1 THEN 8 ELSE 0 END + CASE WHEN first_ts > now + 3600 THEN 12 WHEN n_items > 1 AND span > 48 THEN 10 ELSE 0 END)::INT AS doubt FROM p")
+_TROUBLED = f"""dis AS (SELECT cluster_id FROM (WITH {_CLAIM_SQL}, {STATUS_SQL} SELECT * FROM st) WHERE status = 'disputed'),
+ill AS (SELECT DISTINCT it.cluster_id FROM it JOIN (WITH {PR_SQL} SELECT lower(trim(source_id)) AS source_id FROM pr GROUP BY 1 HAVING arg_max(verdict, (ts, id)) IN ('degraded', 'unhealthy', 'down')) h ON h.source_id = it.source_id WHERE it.cluster_id IS NOT NULL)"""
+
+
+@query("F31_doubt", f"WITH {_SCORED_SQL}, {_TROUBLED} SELECT p.cluster_id, least(100, CASE WHEN dis.cluster_id IS NOT NULL THEN 35 ELSE 0 END + CASE WHEN ill.cluster_id IS NOT NULL THEN 6 ELSE 0 END + CASE WHEN ru > 0 THEN CASE WHEN att > 0 THEN 9 ELSE 18 END ELSE 0 END + least(18, 6 * cb) + CASE WHEN hy > 0 THEN 10 ELSE 0 END + CASE WHEN m >= 2 OR em THEN 5 ELSE 0 END + CASE WHEN (ru > 0)::INT + (cb > 0)::INT + (hy > 0)::INT + (m >= 2 OR em)::INT >= 3 THEN 8 ELSE 0 END + CASE WHEN NOT ed THEN 15 WHEN n_groups = 0 AND NOT pr THEN 10 ELSE 0 END + CASE WHEN n_items >= 3 AND n_owners = 1 THEN 8 ELSE 0 END + CASE WHEN first_ts > now + 3600 THEN 12 WHEN n_items > 1 AND span > 48 THEN 10 ELSE 0 END)::INT AS doubt FROM p LEFT JOIN dis ON dis.cluster_id = p.cluster_id LEFT JOIN ill ON ill.cluster_id = p.cluster_id")
 def doubts(spark: SparkSession, folder: str) -> DataFrame:
-    return scored(spark, folder).select("cluster_id", F.col("doubt").cast("int").alias("doubt"))
+    """Points against each cluster: wording, sources, times, a disputed claim, and sources whose last probe failed."""
+    disputed = claim_status(spark, folder).filter("status = 'disputed'").select("cluster_id", F.lit(DOUBT["disputed"]).alias("d"))
+    last = probes(spark, folder).groupBy(source_key().alias("source_id")).agg(F.max(F.struct("ts", "id", "verdict")).alias("x")).filter(F.col("x.verdict").isin("degraded", "unhealthy", "down"))
+    ill = items(spark, folder, "cluster_id").filter("cluster_id is not null").join(last.select("source_id"), "source_id", "left_semi").select("cluster_id", F.lit(DOUBT["degraded"]).alias("h")).distinct()
+    both = scored(spark, folder).select("cluster_id", "doubt").join(disputed, "cluster_id", "left").join(ill, "cluster_id", "left")
+    return both.select("cluster_id", F.least(F.lit(100), F.col("doubt") + F.coalesce("d", F.lit(0)) + F.coalesce("h", F.lit(0))).cast("int").alias("doubt"))
 
 
 @query("F30_blend", f"WITH {_SCORED_SQL}, r AS (SELECT cluster_id, 100 * (0.40 * (0.7 * wm + 0.3 * wa) + 0.30 * corr + 0.20 * content + 0.10 * timing) AS cred, ru, cb FROM p) SELECT cluster_id, round(greatest(0, least(100, 0.75 * cred + 0.25 * 50 - least(12.0, 4.0 * (ru + cb)))), 4) AS cred FROM r")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.plans.catalog import query
-from galley.session import materialize, shared_dir
+from galley.session import file_system, materialize, shared_dir
 from galley.sources.snapshots import source_key
 from galley.sources.tables import table
 from galley.streaming.state import StateTable
@@ -48,6 +48,42 @@ def run_batches(stream: DataFrame, name: str, each, durable: bool = False) -> No
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
 
 
+class Flight:
+    """One run of a job at a time, and a pause between runs, for whoever starts it: a schedule or a person.
+
+    The lock is a file of the shared folder that only one starter can create; what is skipped is counted.
+    A lock older than `stale` seconds is that of a run that broke off, and is taken over.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, cooldown: int = 30, stale: int = 3 * 900):
+        self.spark, self.at, self.cooldown, self.stale, self.skipped = spark, f"{shared_dir(spark)}/galley-state/flight-{name}", cooldown, stale, 0
+
+    def start(self, now: int) -> bool:
+        """Whether the run may go; if so it must end with `end`."""
+        fs, lock = file_system(self.spark, f"{self.at}/lock-{now}")
+        folder = lock.getParent()
+        fs.mkdirs(folder)
+        marks = [s.getPath().getName() for s in fs.listStatus(folder)]
+        at = lambda kind: [int(m.split("-")[1]) for m in marks if m.startswith(kind)]
+        busy = any(now - t < self.stale for t in at("lock"))
+        paused = any(0 <= now - t < self.cooldown for t in at("end"))
+        if busy or paused or not fs.createNewFile(file_system(self.spark, f"{self.at}/claim-{now // max(1, self.cooldown)}")[1]):
+            self.skipped += 1
+            return False
+        for t in at("lock"):
+            fs.delete(file_system(self.spark, f"{self.at}/lock-{t}")[1], False)
+        fs.create(lock, True).close()
+        return True
+
+    def end(self, started: int, now: int) -> None:
+        fs, folder = file_system(self.spark, self.at)
+        for s in fs.listStatus(folder):
+            if s.getPath().getName().split("-")[0] in ("end", "claim"):
+                fs.delete(s.getPath(), False)
+        fs.create(file_system(self.spark, f"{self.at}/end-{now}")[1], True).close()
+        fs.delete(file_system(self.spark, f"{self.at}/lock-{started}")[1], False)
+
+
 def timed(items: DataFrame) -> DataFrame:
     """Items with their arrival as an event time and clean times: undated stay null, future ones are clamped."""
     return items.withColumn("at", F.timestamp_seconds("fetched_ts")).withColumn("published_ts", F.when(F.col("published_ts") > F.col("fetched_ts") + 300, F.col("fetched_ts")).otherwise(F.col("published_ts")))

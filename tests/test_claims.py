@@ -120,3 +120,15 @@ def test_cards(spark):
     got = {r["cluster_id"]: r for r in evidence.status_of(found).collect()}
     assert {c: r["status"] for c, r in got.items()} == {"c": "disputed", "d": "independently_reported", "e": "official_statement", "f": "single_report"}
     assert (got["c"]["n_support"], got["c"]["n_refute"], got["c"]["n_unknown"]) == (1, 1, 1) and got["f"]["independent_groups"] == 1
+
+
+def test_gates_of_the_evaluation(spark):
+    """Linked pairs as gold: the engine's own events must reach the desk's gates."""
+    rows, gold = [], []
+    for n, (a, b, one) in enumerate([(*p, True) for p in SAME + BRIDGED] + [(*p, False) for p in OTHER + APART]):
+        rows += [(f"{n:02}a", a, f"o{n}", 0, 100 * n), (f"{n:02}b", b, f"p{n}", 0, 100 * n + 1)]
+        gold += [(f"{n:02}a", f"g{n}"), (f"{n:02}b", f"g{n}" if one else f"h{n}")]
+    members, classes = claims.titled_classes(spark.createDataFrame(rows, "id string, title string, grp string, simhash long, day long"))
+    events = members.join(claims.clustered(classes).withColumnRenamed("id", "class"), "class").select("id", "seed")
+    got = claims.evaluated(events.withColumnRenamed("seed", "predicted").join(spark.createDataFrame(gold, "id string, gold string"), "id")).first()
+    assert got["pair_precision"] >= 0.95 and got["pair_recall"] >= 0.80 and got["b_f1"] >= 0.88

@@ -388,3 +388,12 @@ def test_connected_on_chains_and_stars(spark):
     got = clustering.connected(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(links, "a long, b long")).collect()
     assert {r["id"]: r["root"] for r in got} == {n: find(n) for n in nodes}
     assert clustering.connected(spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([], "a long, b long")).collect()[0]["root"] == 1
+
+
+def test_one_run_at_a_time(spark):
+    name = f"f{random.random()}"
+    a, b = jobs.Flight(spark, name), jobs.Flight(spark, name)
+    assert a.start(1000) and not b.start(1000) and not b.start(1010) and not a.start(1900)
+    a.end(1000, 1950)
+    assert not b.start(1960) and b.start(1985) and (a.skipped, b.skipped) == (1, 3)
+    assert not a.start(1985 + 2699) and a.start(1985 + 2701)  # the run of b broke off
