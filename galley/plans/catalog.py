@@ -12,7 +12,7 @@ from galley.session import shipped
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules that register queries when imported.
-MODULES = ("galley.operators.relational", "galley.operators.aggregates", "galley.operators.windows", "galley.operators.textops", "galley.operators.clustering", "galley.operators.evaluation", "galley.operators.evidence", "galley.operators.claims", "galley.operators.entities", "galley.operators.content", "galley.operators.extra", "galley.sources.feeds", "galley.plans.products", "galley.plans.pipeline", "galley.streaming.jobs")
+MODULES = ("galley.operators.relational", "galley.operators.aggregates", "galley.operators.windows", "galley.operators.textops", "galley.operators.clustering", "galley.operators.evaluation", "galley.operators.evidence", "galley.operators.claims", "galley.operators.entities", "galley.operators.content", "galley.operators.extra", "galley.sources.feeds", "galley.plans.products", "galley.plans.pipeline", "galley.plans.scorecard", "galley.streaming.jobs")
 
 
 def query(name: str, sql: str | None = None):
