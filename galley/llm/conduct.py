@@ -134,12 +134,15 @@ def phrases(ws: list[str]) -> list[str]:
 
 
 class Model:
-    """Embeddings and softmax; scoring keeps the summed vectors of words it has met."""
+    """Embeddings and softmax; scoring keeps what the summed vectors of the words it has met give for each label.
+
+    The softmax is linear, so the labels' sums of a unit's words over the number of its n-grams are those of its mean vector.
+    """
 
     def __init__(self, table_: np.ndarray, out: np.ndarray, bias: np.ndarray):
         self.table, self.out, self.bias = table_, out, bias
         self.known: dict[str, int] = {}
-        self.sums = np.zeros((1024, DIMS + 1), np.float32)
+        self.sums = np.zeros((1024, len(LABELS) + 1), np.float32)
         self.han = np.zeros(1024, np.uint8)
 
     def _row(self, word: str) -> int:
@@ -150,13 +153,13 @@ class Model:
                 self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
                 self.han = np.concatenate([self.han, np.zeros_like(self.han)])
             ids = grams(word)
-            self.sums[at, :DIMS] = self.table[ids].sum(0)
-            self.sums[at, DIMS] = len(ids)
+            self.sums[at, :-1] = self.table[ids].sum(0) @ self.out
+            self.sums[at, -1] = len(ids)
             self.han[at] = _HAN.search(word) is not None
         return at
 
     def _softmax(self, sums: np.ndarray) -> np.ndarray:
-        z = sums[:, :DIMS] / sums[:, DIMS:] @ self.out + self.bias
+        z = sums[:, :-1] / sums[:, -1:] + self.bias
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
@@ -362,12 +365,22 @@ def _worst(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np
     return best, kind
 
 
+_LOADED: list = [None, None]
+
+
+def _loaded(value: tuple) -> Model:
+    """The model of a broadcast value; the tasks of a worker share it, and the words it has met."""
+    if _LOADED[0] is not value:
+        _LOADED[:] = [value, Model(*value)]
+    return _LOADED[1]
+
+
 def score(documents: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, label): the highest probability of an offence in any unit, and its kind."""
     shared = documents.sparkSession.sparkContext.broadcast((model.table, model.out, model.bias) if model else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Model(*shared.value) if shared.value else None
+        m = _loaded(shared.value) if shared.value else None
         for b in batches:
             best, kind = _worst(m, list(b["text"]))
             label = [LABELS[k] if s >= FOUND else "ok" for k, s in zip(kind, best)]
