@@ -99,7 +99,8 @@ _STATS_SQL = f"""{IT_SQL}, {CL_SQL}, st AS (SELECT it.source_id, count(*) AS n_i
  count(*) FILTER (WHERE it.cluster_id IS NOT NULL AND coalesce(cl.n_groups, 0) >= 2) AS n_contested,
  count(*) FILTER (WHERE it.cluster_id IS NOT NULL AND coalesce(cl.n_groups, 0) >= 2 AND cl.first_ts > 0 AND coalesce(it.published_ts, it.fetched_ts, 0) <= cl.first_ts) AS n_lead,
  count(*) FILTER (WHERE it.cluster_id IS NOT NULL AND (coalesce(cl.cred, 0) < 40 OR coalesce(cl.relevance, 0) < 0.28)) AS n_noise,
- avg(CASE WHEN it.cluster_id IS NOT NULL THEN coalesce(cl.relevance, 0) END) AS avg_rel, avg(CASE WHEN it.cluster_id IS NOT NULL THEN coalesce(cl.doubt, 0) END) AS avg_doubt
+ avg(CASE WHEN it.cluster_id IS NOT NULL THEN coalesce(cl.relevance, 0) END) AS avg_rel, avg(CASE WHEN it.cluster_id IS NOT NULL THEN coalesce(cl.doubt, 0) END) AS avg_doubt,
+ sum(CASE WHEN it.cluster_id IS NOT NULL THEN CAST(round(coalesce(cl.relevance, 0) * 1000000) AS BIGINT) END)::BIGINT AS rel_sum, sum(CASE WHEN it.cluster_id IS NOT NULL THEN CAST(round(coalesce(cl.doubt, 0) * 1000000) AS BIGINT) END)::BIGINT AS doubt_sum
  FROM it LEFT JOIN cl ON cl.id = it.cluster_id GROUP BY 1)"""
 
 
@@ -117,12 +118,15 @@ def source_stats(spark: SparkSession, folder: str) -> DataFrame:
         F.count("*").alias("n_items"), F.count("cluster_id").alias("n_clustered"), F.count_if(contested).alias("n_contested"),
         F.count_if(contested & (F.col("first_ts") > 0) & (ts <= F.col("first_ts"))).alias("n_lead"), F.count_if(noise).alias("n_noise"),
         F.avg(F.when(in_cluster, F.coalesce("relevance", F.lit(0.0)))).alias("avg_rel"), F.avg(F.when(in_cluster, F.coalesce("doubt", F.lit(0.0)))).alias("avg_doubt"),
+        *[F.sum(F.when(in_cluster, F.round(F.coalesce(c, F.lit(0.0)) * 1_000_000).cast("bigint"))).alias(f"{name}_sum") for c, name in (("relevance", "rel"), ("doubt", "doubt"))],
     )
 
 
-@query("A08_source_stats", f"WITH {_STATS_SQL} SELECT source_id, n_items, n_clustered, n_contested, n_lead, n_noise, round(avg_rel, 6) AS avg_rel, round(avg_doubt, 6) AS avg_doubt FROM st")
+@query("A08_source_stats", f"WITH {_STATS_SQL} SELECT source_id, n_items, n_clustered, n_contested, n_lead, n_noise, ((2 * rel_sum + n_clustered) // (2 * nullif(n_clustered, 0))) / 1000000 AS avg_rel, ((2 * doubt_sum + n_clustered) // (2 * nullif(n_clustered, 0))) / 1000000 AS avg_doubt FROM st")
 def source_stats_rounded(spark: SparkSession, folder: str) -> DataFrame:
-    return source_stats(spark, folder).withColumns({c: F.round(c, 6) for c in ("avg_rel", "avg_doubt")})
+    # the means are rounded in whole millionths: sums of doubles depend on their order, which shows at halves
+    mean = {f"avg_{c}": F.expr(f"((2 * {c}_sum + n_clustered) div (2 * nullif(n_clustered, 0))) / 1000000") for c in ("rel", "doubt")}
+    return source_stats(spark, folder).withColumns(mean).drop("rel_sum", "doubt_sum")
 
 
 @query("A09_source_score", f"""WITH {_STATS_SQL}, d AS (SELECT s.id AS source_id, s.source_role IN ('official', 'regulatory_filing') AS prim, coalesce(n_items, 0) AS n, coalesce(n_clustered, 0) AS c,
