@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.functions import text
+from galley.operators import tiles
 from galley.operators.textops import _TOK_SQL, titled
 from galley.plans.catalog import query
 from galley.session import materialize, release
@@ -159,18 +160,23 @@ def seeded(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFrame:
 
 
 def gram_classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """((id, class) of each item, (id, grams, day) of one item for each set of grams and day).
+    """((id, class) of each item, (id, grams, day, simhash) of one item for each set of grams and day).
 
     The day is that of publication, or of the fetch where there is none; without either an
     item can't be near another and isn't clustered.
     """
-    it = items(spark, folder, "title", "canonical_title", "published_ts")
+    it = items(spark, folder, "title", "canonical_title", "published_ts", "simhash")
     title = F.coalesce(F.nullif("canonical_title", F.lit("")), "title", F.lit(""))
-    sets = it.select("id", text.grams(title).alias("grams"), F.floor(F.coalesce("published_ts", "fetched_ts") / 86400).alias("day")).filter("size(grams) > 0 and day is not null")
+    sets = it.select("id", "simhash", text.grams(title).alias("grams"), F.floor(F.coalesce("published_ts", "fetched_ts") / 86400).alias("day")).filter("size(grams) > 0 and day is not null")
     # written once, as the tokens are the costly part and both results come from them
     sets = materialize(sets.withColumn("key", F.sha2(F.concat_ws("\u0001", F.col("day").cast("string"), F.array_join("grams", "\u0001")), 256)), "gram-items")
-    first = sets.groupBy("key").agg(F.min(F.struct("id", "grams", "day")).alias("x")).select("key", "x.*")
-    return sets.select("id", "key").join(first.select("key", F.col("id").alias("class")), "key").select("id", "class"), first.select("id", "grams", "day")
+    first = sets.groupBy("key").agg(F.min(F.struct("id", "grams", "day", "simhash")).alias("x")).select("key", "x.*")
+    return sets.select("id", "key").join(first.select("key", F.col("id").alias("class")), "key").select("id", "class"), first.select("id", "grams", "day", "simhash")
+
+
+def with_prints(sets: DataFrame, zero: bool = False) -> DataFrame:
+    """(id, grams, day, hash) for tiles; without `zero` a fingerprint of 0 counts as none."""
+    return sets.select("id", "grams", "day", (F.col("simhash") if zero else F.nullif("simhash", F.lit(0))).cast("bigint").alias("hash"))
 
 
 _SETS = f"{IT_SQL}, {_TOK_SQL}, g AS (SELECT tok.id, list_sort(list_distinct(toks)) AS grams, CAST(floor(coalesce(it.published_ts, it.fetched_ts) / 86400) AS BIGINT) AS day FROM tok JOIN it ON it.id = tok.id WHERE len(toks) > 0 AND coalesce(it.published_ts, it.fetched_ts) IS NOT NULL), s AS (SELECT min(id) AS id, grams, day FROM g GROUP BY grams, day), e AS (SELECT id, day, unnest(grams) AS gram, len(grams) AS n FROM s)"
@@ -206,13 +212,8 @@ def similarity_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("C03_pair_rules", f"WITH {_PAIRS}, x AS (SELECT p.*, a.simhash AS ha, b.simhash AS hb FROM p JOIN it a ON a.id = p.a JOIN it b ON b.id = p.b WHERE jaccard >= 0.25), v AS (SELECT a, b, CASE WHEN jaccard >= 0.42 THEN greatest(jaccard, 0.6) WHEN bit_count(xor(ha, hb)) <= 6 THEN greatest(0.5, 1 - bit_count(xor(ha, hb)) / 12) ELSE jaccard END AS s FROM x), d AS (SELECT a AS id, s FROM v WHERE s >= 0.5 UNION ALL SELECT b, s FROM v WHERE s >= 0.5) SELECT id, count(*) AS n_links, round(max(s), 6) AS best FROM d GROUP BY 1")
 def pair_rules(spark: SparkSession, folder: str) -> DataFrame:
     """How many partners the rules on sets and fingerprints give each title, and the best similarity."""
-    pairs = similar_sets(gram_classes(spark, folder)[1], NEAR_JACCARD, WINDOW_DAYS)
-    prints = items(spark, folder, "simhash")
-    a, b = (prints.select(F.col("id").alias(k), F.col("simhash").alias(f"h{k}")) for k in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    none = F.lit(0.0)
-    ruled = both.withColumn("s", similarity(F.col("jaccard"), none, none, text.hamming("ha", "hb"))).filter("s >= 0.5")
-    return links_of(ruled, F.col("s")).withColumn("best", F.round("best", 6))
+    sets = with_prints(gram_classes(spark, folder)[1], zero=True)
+    return tiles.links(sets, WINDOW_DAYS, "prints").withColumn("best", F.round("best", 6))
 
 
 @query("C05_best_candidates", f"WITH {_PAIRS}, q AS (SELECT a, b, jaccard FROM p WHERE jaccard >= 0.42), d AS (SELECT a AS id, b AS other, jaccard FROM q UNION ALL SELECT b, a, jaccard FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(jaccard, 9) DESC, other DESC) AS place FROM d) SELECT id, other, place FROM r WHERE place <= 6")

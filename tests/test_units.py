@@ -397,3 +397,84 @@ def test_one_run_at_a_time(spark):
     a.end(1000, 1950)
     assert not b.start(1960) and b.start(1985) and (a.skipped, b.skipped) == (1, 3)
     assert not a.start(1985 + 2699) and a.start(1985 + 2701)  # the run of b broke off
+
+
+# ---- links inside tiles
+
+
+def tile_rule(a, b, rule):
+    """Similarity of two (grams, day, hash) by a rule of tiles; None if it doesn't link them."""
+    (ga, da, ha), (gb, db, hb) = a, b
+    both, least = len(ga & gb), min(len(ga), len(gb))
+    j = both / len(ga | gb)
+    if abs(da - db) > 3:
+        return None
+    if rule == "figures":
+        fa, fb = ({g for g in x if g[0].isdigit()} for x in (ga, gb))
+        return j if j >= 0.42 and fa and fb and not fa & fb else None
+    if j >= 0.42 or rule == "similar":
+        return None if j < 0.42 else j if rule == "similar" else max(j, 0.6)
+    if rule == "cascade" and both / least >= 0.68 and least >= 8:
+        return max(0.9 * both / least, 0.55)
+    h = bin(ha ^ hb).count("1") if ha is not None and hb is not None else 64
+    return max(0.5, 1 - h / 12) if h <= 6 and j >= 0.25 else None
+
+
+@pytest.fixture(scope="module")
+def tile_sets():
+    rng = random.Random(12)
+    words, rare = [f"w{i}" for i in range(14)] + ["1", "2", "3%"], [f"r{i}" for i in range(60)] + ["77", "88"]
+    print_ = lambda: None if rng.random() < 0.2 else rng.choice((0, 7, 1 << 61)) ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62))
+    return {f"r{i:03}": (frozenset(rng.sample(words, rng.randint(1, 11)) + rng.sample(rare, rng.randint(0, 4))), rng.randint(-2, 6), print_()) for i in range(140)}
+
+
+@pytest.mark.parametrize("rule", ["similar", "figures", "prints", "cascade"])
+def test_tiles_find_all_links(spark, tile_sets, monkeypatch, rule):
+    """Counts, best ones and groups are those of all pairs, with days in several parts, blocks and cores of any size."""
+    from galley.operators import tiles
+
+    monkeypatch.setattr(tiles, "PACK", 9)
+    df = spark.createDataFrame([(i, sorted(g), d, h) for i, (g, d, h) in tile_sets.items()], "id string, grams array<string>, day long, hash long")
+    near = {a: {b: s for b in tile_sets if a != b and (s := tile_rule(tile_sets[a], tile_sets[b], rule)) is not None} for a in tile_sets}
+    got = {r["id"]: (r["n_links"], round(r["best"], 9)) for r in tiles.links(df, 3, rule).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {i: len(x) for i, x in near.items() if x}
+    if rule == "figures":
+        return
+    assert {i: s for i, (_, s) in got.items()} == {i: round(max(x.values()), 9) for i, x in near.items() if x}
+    places = {(r["id"], r["place"]): r["other"] for r in clustering.places(df.withColumnRenamed("hash", "simhash").transform(clustering.with_prints, True), rule).collect()}
+    assert places == {(i, n): b for i, x in near.items() for n, (b, _) in enumerate(sorted(sorted(x.items(), reverse=True), key=lambda y: -round(y[1], 9))[:6], 1)}
+    roots = {r["id"]: r["root"] for r in clustering.connected(df, tiles.chained(df, 3, rule)).collect()}
+    pairs = spark.createDataFrame([(a, b) for a, x in near.items() for b in x], "a string, b string")
+    assert roots == {r["id"]: r["root"] for r in clustering.connected(df, pairs).collect()}
+    # inside a tile, cores of none to all grams, and blocks of a few rows
+    monkeypatch.setattr(tiles, "ROWS", 7)
+    monkeypatch.setattr(tiles, "PAIRS", 40)
+    import pyarrow as pa
+
+    of_day = [(i, sorted(g), h) for i, (g, d, h) in tile_sets.items()]
+    t = pa.table({"id": [i for i, _, _ in of_day], "grams": [g for _, g, _ in of_day], "hash": pa.array([h for _, _, h in of_day], pa.int64())})
+    blob = tiles.pack((pa.scalar(0), pa.scalar(0)), t)["blob"][0].as_py()
+    (x, y), grams, ids = tiles.unpack([[blob], [blob]])
+    found = [tiles.counted(x, y, grams, ids, rule, core).sort_by("id").to_pydict() for core in (0, 6, 1000)]
+    assert found[0]["id"] == found[1]["id"] == found[2]["id"] and found[0]["n_links"] == found[1]["n_links"] == found[2]["n_links"]
+    assert found[0]["best"] == pytest.approx(found[1]["best"]) and found[0]["best"] == pytest.approx(found[2]["best"])
+
+
+@pytest.mark.parametrize("name", ["C03_pair_rules"])
+def test_alike_titles_of_a_day_move_no_pairs(spark, tmp_path, name):
+    """1500 titles of one wording, each linked with all others: over a million pairs, which mustn't be shuffled."""
+    from galley.plans import catalog
+
+    n = 1500
+    rows = [(f"i{i:05}", "s", f"Plant {i + 10} of Rokpas recalls sensors after fault was found", None, 1_700_000_000, 1_700_000_000, 1) for i in range(n)]
+    spark.createDataFrame(rows, "id string, source_id string, title string, canonical_title string, published_ts long, fetched_ts long, simhash long").write.parquet(f"{tmp_path}/items.parquet")
+    store, none = spark._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = lambda: (lambda found: [found.apply(i) for i in range(found.size())])(store.stageList(None, False, False, none, None))
+    before = {s.stageId() for s in stages()}
+    got = catalog.queries()[name](spark, str(tmp_path)).collect()
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    moved = sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before)
+    assert moved < 40 * n
+    first = got[0].asDict()
+    assert len(got) == n * (6 if "place" in first else 1)
+    assert {r["n_links"] if "n_links" in first else r["n_conflicts"] if "n_conflicts" in first else n - 1 for r in got} == {n - 1}
