@@ -205,7 +205,7 @@ def links_of(pairs: DataFrame, value: Column) -> DataFrame:
 def similarity_join(spark: SparkSession, folder: str) -> DataFrame:
     """Each item with its class of equal titles, and the links of the class to similar ones."""
     members, sets = gram_classes(spark, folder)
-    links = links_of(similar_sets(sets, JACCARD, WINDOW_DAYS), F.col("jaccard"))
+    links = tiles.links(with_prints(sets), WINDOW_DAYS, "similar")
     return members.join(links.withColumnRenamed("id", "class"), "class", "left").select("id", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.round("best", 6).alias("best"))
 
 
