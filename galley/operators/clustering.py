@@ -239,10 +239,8 @@ def clusters_of_titles(spark: SparkSession, folder: str) -> DataFrame:
 @query("C04_conflicts", f"WITH {_PAIRS}, n AS (SELECT id, [x FOR x IN grams IF regexp_matches(x, '^[0-9]')] AS n FROM s), c AS (SELECT p.a, p.b FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b WHERE jaccard >= 0.42 AND len(x.n) > 0 AND len(y.n) > 0 AND len(list_intersect(x.n, y.n)) = 0) SELECT id, count(*) AS n_conflicts FROM (SELECT a AS id FROM c UNION ALL SELECT b FROM c) GROUP BY 1")
 def conflicts(spark: SparkSession, folder: str) -> DataFrame:
     """For each title the similar ones whose figures contradict it."""
-    sets = materialize(gram_classes(spark, folder)[1], "gram-sets")
-    ga, gb = (sets.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
-    against = similar_sets(sets, JACCARD, WINDOW_DAYS).join(ga, "a").join(gb, "b").filter(conflicting("ga", "gb"))
-    return links_of(against, F.col("jaccard")).select("id", F.col("n_links").alias("n_conflicts"))
+    against = tiles.links(with_prints(gram_classes(spark, folder)[1]), WINDOW_DAYS, "figures")
+    return against.select("id", F.col("n_links").alias("n_conflicts"))
 
 
 @query("C06_seeded_clusters")
