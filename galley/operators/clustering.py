@@ -219,12 +219,16 @@ def pair_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("C05_best_candidates", f"WITH {_PAIRS}, q AS (SELECT a, b, jaccard FROM p WHERE jaccard >= 0.42), d AS (SELECT a AS id, b AS other, jaccard FROM q UNION ALL SELECT b, a, jaccard FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(jaccard, 9) DESC, other DESC) AS place FROM d) SELECT id, other, place FROM r WHERE place <= 6")
 def best_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """For each title its six most similar ones."""
+    return places(with_prints(gram_classes(spark, folder)[1]), "similar")
+
+
+def places(sets: DataFrame, rule: str) -> DataFrame:
+    """(id, other, place) of the six most similar ones of each set."""
     from pyspark.sql.window import Window
 
-    q = similar_sets(gram_classes(spark, folder)[1], JACCARD, WINDOW_DAYS)
-    d = q.select(F.col("a").alias("id"), F.col("b").alias("other"), "jaccard").unionByName(q.select(F.col("b").alias("id"), F.col("a").alias("other"), "jaccard"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("jaccard", 9)), F.desc("other")))
-    return d.withColumn("place", place).filter("place <= 6").select("id", "other", F.col("place").cast("bigint").alias("place"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), F.desc("other")))
+    ranked = tiles.best(sets, WINDOW_DAYS, rule, 6).withColumn("place", place)
+    return ranked.filter("place <= 6").select("id", "other", F.col("place").cast("bigint").alias("place"))
 
 
 @query("C08_clusters", f"WITH RECURSIVE {_PAIRS}, q AS (SELECT a, b FROM p WHERE jaccard >= 0.42), l AS (SELECT a AS x, b AS y FROM q UNION SELECT b, a FROM q), r AS (SELECT id AS v, id AS root FROM s UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.v), c AS (SELECT v, min(root) AS root FROM r GROUP BY 1), m AS (SELECT g.id, s.id AS class FROM g JOIN s ON s.grams = g.grams AND s.day = g.day) SELECT m.id, c.root FROM m JOIN c ON c.v = m.class")
