@@ -236,7 +236,7 @@ def clusters_of_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Each item with the first id of its group of similar titles."""
     members, sets = gram_classes(spark, folder)
     sets = materialize(sets, "gram-sets")
-    groups = connected(sets, similar_sets(sets, JACCARD, WINDOW_DAYS))
+    groups = connected(sets, tiles.chained(with_prints(sets), WINDOW_DAYS, "similar"))
     return members.join(groups.select(F.col("id").alias("class"), "root"), "class").select("id", "root")
 
 
