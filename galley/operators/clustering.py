@@ -274,7 +274,8 @@ def cascade_links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
 @query("C03_cascade_links", f"WITH {_CASCADE} SELECT id, count(*) AS n_links, round(max(s), 6) AS best FROM d GROUP BY 1")
 def linked_titles(spark: SparkSession, folder: str) -> DataFrame:
     """How many partners the rules on sets, containment and fingerprints give each title, and the best similarity."""
-    return links_of(cascade_links(spark, folder)[2], F.col("s")).withColumn("best", F.round("best", 6))
+    sets = with_prints(gram_classes(spark, folder)[1])
+    return tiles.links(sets, WINDOW_DAYS, "cascade").withColumn("best", F.round("best", 6))
 
 
 @query("J13_cascade_join", f"WITH {_CASCADE}, l AS (SELECT id, count(*) AS n_links, round(max(s), 6) AS best FROM d GROUP BY 1) SELECT g.id, s.id AS class_id, coalesce(l.n_links, 0) AS n_links, l.best FROM g JOIN s ON s.grams = g.grams AND s.day = g.day LEFT JOIN l ON l.id = s.id")
