@@ -288,12 +288,7 @@ def cascade_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("C05_cascade_candidates", f"WITH {_CASCADE}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, other DESC) AS place FROM d) SELECT id, other, place FROM r WHERE place <= 6")
 def cascade_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """For each title the six most similar ones by the pair rules."""
-    from pyspark.sql.window import Window
-
-    q = cascade_links(spark, folder)[2]
-    d = q.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other"), "s"), F.struct(F.col("b").alias("id"), F.col("a").alias("other"), "s"))).alias("x")).select("x.*")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("s", 9)), F.desc("other")))
-    return d.withColumn("place", place).filter("place <= 6").select("id", "other", F.col("place").cast("bigint").alias("place"))
+    return places(with_prints(gram_classes(spark, folder)[1]), "cascade")
 
 
 @query("C08_cascade_clusters", f"WITH RECURSIVE {_CASCADE}, r AS (SELECT id AS v, id AS root FROM s UNION SELECT d.other, r.root FROM r JOIN d ON d.id = r.v), c AS (SELECT v, min(root) AS root FROM r GROUP BY 1), m AS (SELECT g.id, s.id AS class FROM g JOIN s ON s.grams = g.grams AND s.day = g.day) SELECT m.id, c.root FROM m JOIN c ON c.v = m.class")
