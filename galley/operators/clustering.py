@@ -281,8 +281,9 @@ def linked_titles(spark: SparkSession, folder: str) -> DataFrame:
 @query("J13_cascade_join", f"WITH {_CASCADE}, l AS (SELECT id, count(*) AS n_links, round(max(s), 6) AS best FROM d GROUP BY 1) SELECT g.id, s.id AS class_id, coalesce(l.n_links, 0) AS n_links, l.best FROM g JOIN s ON s.grams = g.grams AND s.day = g.day LEFT JOIN l ON l.id = s.id")
 def cascade_join(spark: SparkSession, folder: str) -> DataFrame:
     """Each item with its class of equal titles, and the links of the class by the pair rules."""
-    members, _, pairs = cascade_links(spark, folder)
-    return members.join(links_of(pairs, F.col("s")).withColumnRenamed("id", "class"), "class", "left").select("id", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.round("best", 6).alias("best"))
+    members, sets = gram_classes(spark, folder)
+    links = tiles.links(with_prints(sets), WINDOW_DAYS, "cascade")
+    return members.join(links.withColumnRenamed("id", "class"), "class", "left").select("id", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.round("best", 6).alias("best"))
 
 
 @query("C05_cascade_candidates", f"WITH {_CASCADE}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, other DESC) AS place FROM d) SELECT id, other, place FROM r WHERE place <= 6")
