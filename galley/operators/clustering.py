@@ -264,13 +264,6 @@ q AS (SELECT * FROM (SELECT a, b, CASE WHEN j >= 0.42 THEN greatest(j, 0.6) WHEN
 d AS (SELECT a AS id, b AS other, s FROM q UNION ALL SELECT b, a, s FROM q)"""
 
 
-def cascade_links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, sets, pairs): the classes of equal titles and the pairs of them that the rules link."""
-    members, sets = gram_classes(spark, folder)
-    sets = materialize(sets, "gram-sets")
-    return members, sets, cascade(sets, items(spark, folder, "simhash"))
-
-
 @query("C03_cascade_links", f"WITH {_CASCADE} SELECT id, count(*) AS n_links, round(max(s), 6) AS best FROM d GROUP BY 1")
 def linked_titles(spark: SparkSession, folder: str) -> DataFrame:
     """How many partners the rules on sets, containment and fingerprints give each title, and the best similarity."""
@@ -295,6 +288,7 @@ def cascade_candidates(spark: SparkSession, folder: str) -> DataFrame:
 @query("C08_cascade_clusters", f"WITH RECURSIVE {_CASCADE}, r AS (SELECT id AS v, id AS root FROM s UNION SELECT d.other, r.root FROM r JOIN d ON d.id = r.v), c AS (SELECT v, min(root) AS root FROM r GROUP BY 1), m AS (SELECT g.id, s.id AS class FROM g JOIN s ON s.grams = g.grams AND s.day = g.day) SELECT m.id, c.root FROM m JOIN c ON c.v = m.class")
 def cascade_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Each item with the first id of its group of titles that the pair rules link."""
-    members, sets, pairs = cascade_links(spark, folder)
-    groups = connected(sets, pairs)
+    members, sets = gram_classes(spark, folder)
+    sets = materialize(sets, "gram-sets")
+    groups = connected(sets, tiles.chained(with_prints(sets), WINDOW_DAYS, "cascade"))
     return members.join(groups.select(F.col("id").alias("class"), "root"), "class").select("id", "root")

@@ -460,7 +460,7 @@ def test_tiles_find_all_links(spark, tile_sets, monkeypatch, rule):
     assert found[0]["best"] == pytest.approx(found[1]["best"]) and found[0]["best"] == pytest.approx(found[2]["best"])
 
 
-@pytest.mark.parametrize("name", ["C03_pair_rules", "J13_similarity_join", "C04_conflicts", "C05_best_candidates", "C08_clusters", "C03_cascade_links", "C05_cascade_candidates", "J13_cascade_join"])
+@pytest.mark.parametrize("name", ["C03_pair_rules", "J13_similarity_join", "C04_conflicts", "C05_best_candidates", "C08_clusters", "C03_cascade_links", "C05_cascade_candidates", "J13_cascade_join", "C08_cascade_clusters"])
 def test_alike_titles_of_a_day_move_no_pairs(spark, tmp_path, name):
     """1500 titles of one wording, each linked with all others: over a million pairs, which mustn't be shuffled."""
     from galley.plans import catalog
