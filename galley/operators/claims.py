@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.functions import headlines, text
+from galley.operators import tiles
 from galley.operators.clustering import OVERLAP, OVERLAP_SIZE, NEAR_JACCARD, WINDOW_DAYS, contained_sets, links_of, seeded, similar_sets
 from galley.operators.evaluation import b_cubed, pair_counts
 from galley.operators.evidence import lead_claims, status_of
@@ -134,15 +135,34 @@ def rare_grams(classes: DataFrame) -> DataFrame:
     return each.join(few, "gram").groupBy("id").agg(F.collect_set("gram").alias("rare"))
 
 
+def meeting(classes: DataFrame) -> DataFrame:
+    """(a, b) of the titles within WINDOW_DAYS that share a key of entity and event."""
+    keys = named(classes).join(classes.select("id", "day"), "id").withColumn("block", F.floor(F.col("day") / WINDOW_DAYS))
+    left = keys.select("key", "block", F.col("id").alias("a"), F.col("day").alias("da"))
+    right = keys.select("key", F.explode(F.array(*[F.col("block") + k for k in (-1, 0, 1)])).alias("block"), F.col("id").alias("b"), F.col("day").alias("db"))
+    return left.join(right, ["key", "block"]).filter(f"a < b and abs(da - db) <= {WINDOW_DAYS}").select("a", "b")
+
+
+def linked(classes: DataFrame) -> DataFrame:
+    """(a, b, s) of the titles that tell of one event.
+
+    Two titles with rare words, none of them in common, are in conflict unless they bridge
+    scripts, and bridged titles meet by their keys. So pairs by wording must share a rare word,
+    or one of them has none; these are found inside tiles.
+    """
+    grams = F.transform("grams", lambda g: F.when(F.array_contains("rare", g), F.concat(F.lit(tiles.MARK), g)).otherwise(g))
+    marked = classes.join(rare_grams(classes), "id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
+    near = tiles.sharing(marked.select("id", grams.alias("grams"), "day", F.lit(None).cast("bigint").alias("hash")), WINDOW_DAYS)
+    pairs = near.unionByName(meeting(classes)).distinct()
+    return ruled(classes, pairs, rare_grams(classes)).filter("against is null and s >= 0.5").select("a", "b", "s")
+
+
 def event_links(classes: DataFrame) -> DataFrame:
     """(a, b, s, against) of the titles within WINDOW_DAYS that may tell of one event."""
     sets = classes.select("id", "grams", "day")
     near = similar_sets(sets, NEAR_JACCARD, WINDOW_DAYS).select("a", "b")
     inside = contained_sets(sets, OVERLAP, OVERLAP_SIZE, WINDOW_DAYS).select("a", "b")
-    keys = named(classes).join(classes.select("id", "day"), "id").withColumn("block", F.floor(F.col("day") / WINDOW_DAYS))
-    left = keys.select("key", "block", F.col("id").alias("a"), F.col("day").alias("da"))
-    right = keys.select("key", F.explode(F.array(*[F.col("block") + k for k in (-1, 0, 1)])).alias("block"), F.col("id").alias("b"), F.col("day").alias("db"))
-    met = left.join(right, ["key", "block"]).filter(f"a < b and abs(da - db) <= {WINDOW_DAYS}").select("a", "b")
+    met = meeting(classes)
     pairs = near.unionByName(inside).unionByName(met).distinct()
     return ruled(classes, pairs, rare_grams(classes))
 
@@ -172,7 +192,7 @@ def event_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 @query("C03_event_links")
 def all_event_links(spark: SparkSession, folder: str) -> DataFrame:
     """How many titles each title is linked with, and the best similarity: all pair rules, conflicts and round-ups."""
-    links = event_links(_classes(spark, folder)[1]).filter("against is null and s >= 0.5")
+    links = linked(_classes(spark, folder)[1])
     return links_of(links, F.col("s")).withColumn("best", F.round("best", 6))
 
 
@@ -185,7 +205,7 @@ def event_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 def clustered(classes: DataFrame) -> DataFrame:
     """(id, seed) of classes of titles."""
-    links = event_links(classes).filter("against is null and s >= 0.5").select("a", "b")
+    links = linked(classes).select("a", "b")
     return seeded(classes.select("id"), links)
 
 

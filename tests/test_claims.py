@@ -132,3 +132,16 @@ def test_gates_of_the_evaluation(spark):
     events = members.join(claims.clustered(classes).withColumnRenamed("id", "class"), "class").select("id", "seed")
     got = claims.evaluated(events.withColumnRenamed("seed", "predicted").join(spark.createDataFrame(gold, "id string, gold string"), "id")).first()
     assert got["pair_precision"] >= 0.95 and got["pair_recall"] >= 0.80 and got["b_f1"] >= 0.88
+
+
+def test_links_by_rare_words_are_those_of_all_pairs(spark):
+    """Titles with rare words, without, and with bridges: the same links as from every pair of like wording."""
+    import random
+
+    rng = random.Random(5)
+    names, common = [f"Zor{chr(97 + i)}pel" for i in range(26)], "plant recalls sensors after fault found near the old port and river".split()
+    titles = [" ".join(rng.sample(names, rng.choice((0, 0, 1, 2))) + rng.sample(common, rng.randint(3, 9))) for _ in range(150)] + [t for pair in SAME + BRIDGED + APART for t in pair]
+    rows = [(f"t{n:03}", t, f"o{n % 7}", rng.choice((0, None, 9, 11)), n % 5) for n, t in enumerate(titles)]
+    _, classes = claims.titled_classes(spark.createDataFrame(rows, "id string, title string, grp string, simhash long, day long"))
+    want = {(r["a"], r["b"]): r["s"] for r in claims.event_links(classes).filter("against is null and s >= 0.5").collect()}
+    assert {(r["a"], r["b"]): r["s"] for r in claims.linked(classes).collect()} == want and len(want) > 50
