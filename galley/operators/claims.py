@@ -8,6 +8,7 @@ their cluster by a join, titles meet by similarity joins and by keys of entity a
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.functions import headlines, text
+from galley.functions.features import digest
 from galley.operators import tiles
 from galley.operators.clustering import OVERLAP, OVERLAP_SIZE, NEAR_JACCARD, WINDOW_DAYS, contained_sets, links_of, seeded, similar_sets
 from galley.operators.evaluation import b_cubed, pair_counts
@@ -102,19 +104,29 @@ def named(classes: DataFrame) -> DataFrame:
     return classes.select("id", "title").mapInPandas(run, NAMED)
 
 
+def read(classes: DataFrame) -> DataFrame:
+    """(id, read): what each title names, read once and written down for the pairs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "read": [pickle.dumps(headlines.features(t)) for t in b["title"]]})
+
+    return materialize(classes.select("id", "title").mapInPandas(run, "id string, read binary"), "read")
+
+
 def ruled(classes: DataFrame, pairs: DataFrame, rare: DataFrame) -> DataFrame:
     """(a, b, s, against) of candidate pairs: similarity by the pair rules and what speaks against one event.
 
     A round-up meets only titles of its own owner.
     """
-    full = classes.join(rare, "id", "left")
-    a, b = (full.select(*[F.col(c).alias(f"{c}_{k}" if c != "id" else k) for c in ("id", "title", "grp", "grams", "simhash", "rare")]) for k in "ab")
+    full = classes.join(read(classes), "id").join(rare, "id", "left")
+    a, b = (full.select(*[F.col(c).alias(f"{c}_{k}" if c != "id" else k) for c in ("id", "read", "grp", "grams", "simhash", "rare")]) for k in "ab")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             out = []
-            for x, y, tx, ty, ox, oy, gx, gy, hx, hy, rx, ry in zip(*(p[c] for c in ("a", "b", "title_a", "title_b", "grp_a", "grp_b", "grams_a", "grams_b", "simhash_a", "simhash_b", "rare_a", "rare_b"))):
-                fx, fy = headlines.features(tx), headlines.features(ty)
+            for x, y, tx, ty, ox, oy, gx, gy, hx, hy, rx, ry in zip(*(p[c] for c in ("a", "b", "read_a", "read_b", "grp_a", "grp_b", "grams_a", "grams_b", "simhash_a", "simhash_b", "rare_a", "rare_b"))):
+                fx, fy = pickle.loads(tx), pickle.loads(ty)
                 if (fx.digest or fy.digest) and ox != oy:
                     continue
                 gx, gy = frozenset(gx), frozenset(gy)
@@ -148,11 +160,13 @@ def linked(classes: DataFrame) -> DataFrame:
 
     Two titles with rare words, none of them in common, are in conflict unless they bridge
     scripts, and bridged titles meet by their keys. So pairs by wording must share a rare word,
-    or one of them has none; these are found inside tiles.
+    or one of them has none; these are found inside tiles. Without a common key they are linked
+    by wording or fingerprints alone, except for round-ups, which have no keys.
     """
     grams = F.transform("grams", lambda g: F.when(F.array_contains("rare", g), F.concat(F.lit(tiles.MARK), g)).otherwise(g))
     marked = classes.join(rare_grams(classes), "id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
-    near = tiles.sharing(marked.select("id", grams.alias("grams"), "day", F.lit(None).cast("bigint").alias("hash")), WINDOW_DAYS)
+    hash = F.when(digest(F.col("title")), tiles.ANY).otherwise(F.nullif("simhash", F.lit(0)))
+    near = tiles.sharing(marked.select("id", grams.alias("grams"), "day", hash.alias("hash")), WINDOW_DAYS)
     pairs = near.unionByName(meeting(classes)).distinct()
     return ruled(classes, pairs, rare_grams(classes)).filter("against is null and s >= 0.5").select("a", "b", "s")
 

@@ -367,12 +367,12 @@ def grouped(x: Sets, y: Sets, grams: pa.Array, ids: pa.Array, rule: str, core: i
     return pa.table({"a": ids.take(pa.array(np.flatnonzero(some))), "b": ids.take(pa.array(least[root][some]))})
 
 
-#: Before a gram that is rare.
-MARK = "\u0001"
+#: Before a gram that is rare; a fingerprint that asks for all pairs of a set from 0.25 on.
+MARK, ANY = "\u0001", -1
 
 
 def akin(x: Sets, y: Sets, grams: pa.Array, ids: pa.Array, rule: str = "") -> pa.Table:
-    """(a, b), a < b: pairs of similarity 0.25, or of which one holds the other, that share a marked gram or of which one has none."""
+    """(a, b), a < b: pairs by the rules of cascade that share a marked gram or of which one has none."""
     nx, ny = len(x.n), len(y.n)
     marked = np.array([g.startswith(MARK) for g in grams.to_pylist()], bool)
     plain = np.cumsum(~marked) - 1
@@ -408,7 +408,9 @@ def akin(x: Sets, y: Sets, grams: pa.Array, ids: pa.Array, rule: str = "") -> pa
         for w in range(words):
             k += np.bitwise_count(bits[0][p, w] & bits[1][q, w])
         least = np.minimum(x.n[p], y.n[q])
-        near = (5 * k >= x.n[p] + y.n[q]) | (25 * k >= 17 * least) & (least >= 8)
+        hx, hy = x.hash[p], y.hash[q]
+        alike = (np.bitwise_count((hx ^ hy).view(np.uint64)) <= BITS) & x.known[p] & y.known[q] | (hx == ANY) | (hy == ANY)
+        near = similar(k, x.n[p], y.n[q]) | (25 * k >= 17 * least) & (least >= 8) | (5 * k >= x.n[p] + y.n[q]) & alike
         out.append((x.ids[p[near]], y.ids[q[near]]))
     a, b = (np.concatenate(v) for v in zip(*out))
     return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
