@@ -252,9 +252,7 @@ def seeded_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Each item with the seed of its group: similar to it and not in conflict with it."""
     members, sets = gram_classes(spark, folder)
     sets = materialize(sets, "gram-sets")
-    ga, gb = (sets.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
-    links = cascade(sets, items(spark, folder, "simhash")).join(ga, "a").join(gb, "b").filter(~conflicting("ga", "gb"))
-    groups = seeded(sets, links)
+    groups = tiles.seeds(with_prints(sets), WINDOW_DAYS, "agreed")
     return members.join(groups.select(F.col("id").alias("class"), "seed"), "class").select("id", "seed")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galley.session import materialize
+from galley.session import materialize, release
 
 #: Sets in a pack: bounds the memory of a tile.
 PACK = 12_000
@@ -138,7 +138,8 @@ def blocks(x: Sets, y: Sets, grams: pa.Array, rule: str, core: int | None = None
     """The blocks of a tile, each with the class of every row of `y`.
 
     Rules: similar (0.42), figures (similar, figures named by both and none in common), prints
-    (similar, or fingerprints near at 0.25), cascade (those of prints, and containment).
+    (similar, or fingerprints near at 0.25), cascade (those of prints, and containment), agreed
+    (those of cascade without pairs whose figures contradict each other).
     """
     size = len(grams)
     nx, ny = len(x.n), len(y.n)
@@ -148,7 +149,7 @@ def blocks(x: Sets, y: Sets, grams: pa.Array, rule: str, core: int | None = None
     left = met.sum() - np.cumsum(met[order])
     enough = int(np.searchsorted(-left, -max(100_000, nx * ny // 100))) + 1 if met.sum() > 100_000 else 0
     picked = order[: min(CORE, enough) if core is None else core]
-    figure = np.array([g[:1] in "0123456789" and g != "" for g in grams.to_pylist()], bool) if rule == "figures" else np.zeros(size, bool)
+    figure = np.array([g[:1] in "0123456789" and g != "" for g in grams.to_pylist()], bool) if rule in ("figures", "agreed") else np.zeros(size, bool)
     place = np.full(size, -1)
     place[picked] = np.arange(len(picked))
 
@@ -180,7 +181,7 @@ def blocks(x: Sets, y: Sets, grams: pa.Array, rule: str, core: int | None = None
     me[y.ids] = np.arange(ny)
     self_y = me[x.ids]
     bands = []
-    if rule in ("prints", "cascade"):
+    if rule in ("prints", "cascade", "agreed"):
         known = np.flatnonzero(y.known)
         bands = [(b, Index((y.hash[known] >> (9 * b)) & 511, known)) for b in range(BANDS)]
 
@@ -193,9 +194,10 @@ def blocks(x: Sets, y: Sets, grams: pa.Array, rule: str, core: int | None = None
         shared = matrix[names] @ right
         both = cn[names].astype(np.float32)[:, None] + ncol[None]
         near = 71 * shared >= 21 * both
-        if rule == "figures":
+        if rule in ("figures", "agreed"):
             common = matrix[names][:, figs] @ right[figs]
-            near &= cnamed[names][:, None] & cnamed[cols][None] & (common == 0)
+            apart = cnamed[names][:, None] & cnamed[cols][None] & (common == 0)
+            near &= apart if rule == "figures" else ~apart
         # a class of one, the set itself
         mine = col[names]
         alone = np.zeros(len(names), bool)
@@ -221,9 +223,10 @@ def blocks(x: Sets, y: Sets, grams: pa.Array, rule: str, core: int | None = None
                 p, q = np.repeat(asks[part], count[part]), idx.rows[spread(begin[part], count[part])]
                 close = np.bitwise_count((x.hash[rows[p]] ^ y.hash[q]).view(np.uint64)) <= BITS
                 found.append(p[close] * ny + q[close])
-        if rule == "cascade":
+        if rule in ("cascade", "agreed"):
             least = np.minimum(cn[names].astype(np.float32)[:, None], ncol[None])
-            hr, hc = np.nonzero((25 * shared >= 17 * least) & (least >= 8) & ~near)
+            held = (25 * shared >= 17 * least) & (least >= 8) & ~near
+            hr, hc = np.nonzero(held & ~apart if rule == "agreed" else held)
             members = np.argsort(local, kind="stable")
             starts = np.searchsorted(local[members], np.arange(len(names) + 1))
             count = starts[hr + 1] - starts[hr]
@@ -239,17 +242,18 @@ def blocks(x: Sets, y: Sets, grams: pa.Array, rule: str, core: int | None = None
         mx, my = x.n[rows[p]], y.n[q]
         j_true = own / (mx + my - own)
         linked, s = similar(own, mx, my), j_true
-        if rule == "figures":
+        if rule in ("figures", "agreed"):
             flat, of = flat[figure[x.gram[flat]]], of[figure[x.gram[flat]]]
             begin, count = index.count(x.gram[flat])
             same, _ = distinct(np.repeat(of, count) * ny + index.rows[spread(begin, count)])
-            apart = common[xc, yc] == 0
+            apart = apart[xc, yc]
             apart[np.searchsorted(keys, same)] = False
-            linked &= cnamed[cx[rows[p]]] & cnamed[cy[q]] & apart
+        if rule == "figures":
+            linked &= apart
         elif rule != "similar":
             s = np.where(linked, np.maximum(j_true, 0.6), 0.0)
             least = np.minimum(mx, my)
-            if rule == "cascade":
+            if rule != "prints":
                 held = ~linked & (25 * own >= 17 * least) & (least >= 8)
                 s[held] = np.maximum(0.9 * (own[held] / least[held]), 0.55)
                 linked |= held
@@ -258,6 +262,8 @@ def blocks(x: Sets, y: Sets, grams: pa.Array, rule: str, core: int | None = None
             s[alike] = np.maximum(0.5, 1 - h[alike] / 12)
             linked |= alike
             j = np.maximum(j, 0.6)
+            if rule == "agreed":
+                linked &= ~apart
         linked &= q != self_y[rows[p]]
         yield Block(rows, local, (r, cols[c], j), p, q, s, linked, near[xc, yc]), cy
 
@@ -367,6 +373,85 @@ def grouped(x: Sets, y: Sets, grams: pa.Array, ids: pa.Array, rule: str, core: i
     return pa.table({"a": ids.take(pa.array(np.flatnonzero(some))), "b": ids.take(pa.array(least[root][some]))})
 
 
+def earliest(x: Sets, y: Sets, grams: pa.Array, ids: pa.Array, rule: str, core: int | None = None) -> pa.Table:
+    """(id, other): the least of the sets that each in x is linked with, where that is less than it."""
+    place = np.empty(len(ids), np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    rank, least, first = place[y.ids], None, np.full(len(x.n), len(ids))
+    for b, cy in blocks(x, y, grams, rule, core):
+        if least is None:
+            least = np.full(int(cy.max()) + 1, len(ids))
+            np.minimum.at(least, cy, rank)
+        r, c, _ = b.near
+        top = np.full(len(b.rows), len(ids))
+        np.minimum.at(top, r, least[c])
+        each = top[b.cls]
+        np.minimum.at(each, b.x[b.linked], rank[b.y[b.linked]])
+        first[b.rows] = each
+    some = first < place[x.ids]
+    named = np.argsort(place)
+    return pa.table({"id": ids.take(pa.array(x.ids[some])), "other": ids.take(pa.array(named[first[some]]))})
+
+
+#: Links to smaller ids that a set hands on from a tile; of a set with more only the fact is known. Rows of links resolved at once.
+MANY, RESOLVED = 16, 1_000_000
+
+
+def smaller(x: Sets, y: Sets, grams: pa.Array, ids: pa.Array, rule: str, core: int | None = None) -> pa.Table:
+    """(id, other): the smaller ones that each in x is linked with; null for other where these are more than MANY."""
+    size = len(ids)
+    place = np.empty(size, np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(size)
+    rank_x, rank, out, members = place[x.ids], place[y.ids], [], None
+    for b, cy in blocks(x, y, grams, rule, core):
+        if members is None:
+            members = np.sort(cy * size + rank)
+            least = np.full(int(cy.max()) + 1, size)
+            np.minimum.at(least, cy, rank)
+        own = rank_x[b.rows]
+        r, c, _ = b.near
+        last = np.full(int(b.cls.max()) + 1, -1)
+        np.maximum.at(last, b.cls, own)
+        some = least[c] < last[r]
+        of_class = Index(r[some], c[some])
+        begin, count = of_class.count(b.cls)
+        row, c = np.repeat(np.arange(len(b.rows)), count), of_class.rows[spread(begin, count)]
+        begin = np.searchsorted(members, c * size)
+        count = np.searchsorted(members, c * size + own[row]) - begin
+        single = b.linked & ~b.counted
+        p, q = b.x[single], rank[b.y[single]]
+        p, q = p[q < own[p]], q[q < own[p]]
+        many = np.bincount(row, weights=count, minlength=len(b.rows)) + np.bincount(p, minlength=len(b.rows)) > MANY
+        few = ~many[row]
+        row, begin, count = row[few], begin[few], count[few]
+        p, q = p[~many[p]], q[~many[p]]
+        out.append((b.rows[np.concatenate([np.repeat(row, count), p, np.flatnonzero(many)])], np.concatenate([members[spread(begin, count)] % size, q, np.full(many.sum(), -1)])))
+    who, other = (np.concatenate(v) for v in zip(*out))
+    named = np.argsort(place)
+    return pa.table({"id": ids.take(pa.array(x.ids[who])), "other": ids.take(pa.array(named[other], mask=other < 0))})
+
+
+def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id) of the seeds among the sets with smaller partners, as far as (id, other) of one task tell."""
+    t = pa.Table.from_batches(batches, pa.schema([("id", pa.string()), ("other", pa.string())])).combine_chunks()
+    both = pa.chunked_array([*t["id"].chunks, *t["other"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    code = both.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    a, b = code[: len(t)], code[len(t) :]
+    state = np.zeros(len(both.dictionary) + 1, np.int8)  # open, seed, closed; the last one, of which nothing is known, stays open
+    behind = np.zeros(len(state), bool)
+    behind[a] = True
+    while True:
+        blocked = np.zeros(len(state), bool)
+        blocked[a[state[b] == 0]] = True
+        blocked[-1] = True
+        new = np.flatnonzero((state == 0) & ~blocked)
+        if not len(new):
+            break
+        state[new] = 1
+        state[a[state[b] == 1]] = 2
+    yield from pa.table({"id": both.dictionary.take(pa.array(np.flatnonzero((state == 1) & behind)))}).to_batches()
+
+
 #: Before a gram that is rare; a fingerprint that asks for all pairs of a set from 0.25 on.
 MARK, ANY = "\u0001", -1
 
@@ -416,19 +501,27 @@ def akin(x: Sets, y: Sets, grams: pa.Array, ids: pa.Array, rule: str = "") -> pa
     return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
 
 
-def tiles(sets: DataFrame, days: int, both: bool = True) -> DataFrame:
-    """(day, p, q, sides) of (id, grams, day, hash): a part of a day's sets against one part of each of the days around, or of those from it on."""
-    spark = sets.sparkSession
-    # one row a day
+def packed(sets: DataFrame) -> DataFrame:
+    """(day, part, blob) of (id, grams, day, hash), one row a part; written down."""
     many = sets.groupBy("day").agg(F.ceil(F.count("*") / PACK).alias("parts"))
     split = sets.join(many, "day").select("id", "grams", "day", "hash", F.pmod(F.xxhash64("id"), "parts").alias("part"))
-    packs = materialize(split.groupBy("day", "part").applyInArrow(pack, "day long, part long, blob binary"), "packs")
-    names = packs.select("day", "part")
-    home, other = names.select("day", F.col("part").alias("p")), names.select(F.col("day").alias("d"), F.col("part").alias("q"))
+    return materialize(split.groupBy("day", "part").applyInArrow(pack, "day long, part long, blob binary"), "packs")
+
+
+def tiles(packs: DataFrame, days: int, both: bool = True, against: DataFrame | None = None) -> DataFrame:
+    """(day, p, q, sides) of packs: a part of a day's sets against one part of each of the days around, or of those from it on.
+
+    The other side are the same packs, or those of `against`.
+    """
+    spark = packs.sparkSession
+    around = packs if against is None else against
+    home, other = packs.select("day", F.col("part").alias("p")), around.select(F.col("day").alias("d"), F.col("part").alias("q"))
     other = other.select("d", "q", F.explode(F.sequence(F.col("d") - days, F.col("d") + (days if both else 0))).alias("day"))
     met = other.join(home, "day")
-    wanted = met.select("day", "p", "q", "d", F.col("q").alias("part"), F.lit(1).alias("side")).unionByName(met.select("day", "p", "q", F.col("day").alias("d"), F.col("p").alias("part"), F.lit(0).alias("side")).distinct())
-    full = wanted.join(packs.withColumnRenamed("day", "d"), ["d", "part"]).select("day", "p", "q", F.struct("side", "blob").alias("s"))
+    wanted = met.select("day", "p", "q", "d", F.col("q").alias("part"), F.lit(1).alias("side"))
+    own = met.select("day", "p", "q", F.col("day").alias("d"), F.col("p").alias("part"), F.lit(0).alias("side")).distinct()
+    of = lambda names, blobs: names.join(blobs.withColumnRenamed("day", "d"), ["d", "part"]).select("day", "p", "q", F.struct("side", "blob").alias("s"))
+    full = of(wanted.unionByName(own), packs) if against is None else of(wanted, around).unionByName(of(own, packs))
     # a number of its own, as tasks with few bytes aren't short here
     tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return full.repartition(tasks, "day", "p", "q").groupBy("day", "p", "q").agg(F.collect_list("s").alias("sides")).select("sides")
@@ -436,6 +529,11 @@ def tiles(sets: DataFrame, days: int, both: bool = True) -> DataFrame:
 
 def over(sets: DataFrame, days: int, work: Callable[..., pa.Table], rule: str, schema: str, both: bool = True) -> DataFrame:
     """What `work` makes of all tiles of (id, grams, day, hash)."""
+    return worked(tiles(packed(sets), days, both), work, rule, schema)
+
+
+def worked(met: DataFrame, work: Callable[..., pa.Table], rule: str, schema: str) -> DataFrame:
+    """What `work` makes of tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -444,7 +542,7 @@ def over(sets: DataFrame, days: int, work: Callable[..., pa.Table], rule: str, s
                 (x, y), grams, ids = unpack(blobs)
                 yield from work(x, y, grams, ids, rule).to_batches()
 
-    return tiles(sets, days, both).mapInArrow(run, schema)
+    return met.mapInArrow(run, schema)
 
 
 def links(sets: DataFrame, days: int, rule: str) -> DataFrame:
@@ -466,3 +564,46 @@ def chained(sets: DataFrame, days: int, rule: str) -> DataFrame:
 def sharing(sets: DataFrame, days: int) -> DataFrame:
     """(a, b) of the pairs of (id, grams, day, hash) that `akin` finds."""
     return over(sets, days, akin, "", "a string, b string")
+
+
+def seeds(sets: DataFrame, days: int, rule: str) -> DataFrame:
+    """(id, seed) of (id, grams, day, hash): groups around seeds, as `clustering.seeded` has them, without a table of links.
+
+    Every round looks at the open sets of the least ids: those whose smaller open partners are all
+    closed are seeds, and close their partners among all. The first rounds take few sets, so the
+    seeds of large groups close these before their sets meet each other. A set with many smaller
+    partners waits for the next round. A closed set may still find a smaller seed while open sets
+    are less than its own.
+    """
+    left = materialize(sets.select("id", "grams", "day", "hash", F.lit(None).cast("string").alias("seed")), "seeds-left")
+    none = F.col("seed").isNull()
+    done, share = [], 64
+    while True:
+        n, low = left.filter(none).agg(F.count("*"), F.min("id")).first()
+        if not n:
+            done.append(left.select("id", "seed"))
+            break
+        done.append(left.filter(F.col("seed") < low).select("id", "seed"))
+        left = left.filter(none | (F.col("seed") > low))
+        some = left.filter(none).select("id", "grams", "day", "hash")
+        if share > 1:  # up to about one of `share`; any bound gives the same seeds
+            marks = sorted(r[0] for r in some.filter(F.pmod(F.xxhash64("id"), F.lit(-(-n // 2000))) == 0).select("id").collect())
+            if marks:
+                some = some.filter(F.col("id") <= marks[len(marks) // share])
+            share //= 8
+        mine = packed(some)
+        links = materialize(worked(tiles(mine, days), smaller, rule, "id string, other string"), "seeds-links")
+        new = some.join(links.select("id").distinct(), "id", "left_anti")
+        if links.count() <= RESOLVED:
+            new = new.unionByName(some.join(links.coalesce(1).mapInArrow(resolved, "id string"), "id", "left_semi"))
+        new = materialize(new, "seeds-new")
+        release(mine)
+        release(links)
+        done.append(new.select("id", F.col("id").alias("seed")))
+        rest = left.join(new.select("id"), "id", "left_anti")
+        theirs, packs = packed(new), packed(rest.select("id", "grams", "day", "hash"))
+        hits = worked(tiles(packs, days, against=theirs), earliest, rule, "id string, other string").groupBy("id").agg(F.min("other").alias("other"))
+        left = materialize(rest.join(hits, "id", "left").withColumn("seed", F.least("seed", "other")).drop("other"), "seeds-left")
+        release(theirs)
+        release(packs)
+    return reduce(DataFrame.unionByName, done)

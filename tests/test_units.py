@@ -478,3 +478,37 @@ def test_alike_titles_of_a_day_move_no_pairs(spark, tmp_path, name):
     first = got[0].asDict()
     assert len(got) == n * (6 if "place" in first else 1)
     assert {r["n_links"] if "n_links" in first else r["n_conflicts"] if "n_conflicts" in first else n - 1 for r in got} == {n - 1}
+
+
+def test_seeds_of_tiles_are_those_of_all_links(spark, tile_sets, monkeypatch):
+    """Sets taken one by one in the order of ids, against rounds over days in several parts."""
+    from galley.operators import tiles
+
+    monkeypatch.setattr(tiles, "PACK", 9)
+    df = spark.createDataFrame([(i, sorted(g), d, h) for i, (g, d, h) in tile_sets.items()], "id string, grams array<string>, day long, hash long")
+    want: dict[str, str] = {}
+    for a in sorted(tile_sets):
+        figures = lambda i: {g for g in tile_sets[i][0] if g[0].isdigit()}
+        agreed = lambda b: tile_rule(tile_sets[a], tile_sets[b], "cascade") is not None and not (figures(a) and figures(b) and not figures(a) & figures(b))
+        want[a] = next((b for b in sorted(want) if want[b] == b and agreed(b)), a)
+    assert {r["id"]: r["seed"] for r in tiles.seeds(df, 3, "agreed").collect()} == want and 5 < len(set(want.values())) < len(want)
+    assert tiles.seeds(df.limit(0), 3, "agreed").count() == 0
+    for name, least in (("MANY", 0), ("RESOLVED", 0)):  # sets that wait, and links that are too many for one task
+        monkeypatch.setattr(tiles, name, least)
+        assert {r["id"]: r["seed"] for r in tiles.seeds(df, 3, "agreed").collect()} == want
+
+
+def test_seeds_of_alike_titles_move_no_pairs(spark, tmp_path):
+    """1500 titles of one wording and figure: a group around the first of them, and no shuffle of its million links."""
+    from galley.plans import catalog
+
+    n = 1500
+    rows = [(f"i{i:05}", "s", f"Plant 7 of Rokpas{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} recalls sensors after fault was found", None, 1_700_000_000, 1_700_000_000, 1) for i in range(n)]
+    spark.createDataFrame(rows, "id string, source_id string, title string, canonical_title string, published_ts long, fetched_ts long, simhash long").write.parquet(f"{tmp_path}/items.parquet")
+    store, none = spark._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = lambda: (lambda found: [found.apply(i) for i in range(found.size())])(store.stageList(None, False, False, none, None))
+    before = {s.stageId() for s in stages()}
+    got = catalog.queries()["C06_seeded_clusters"](spark, str(tmp_path)).collect()
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    moved = sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before)
+    assert moved < 60 * n and len(got) == n and {r["seed"] for r in got} == {"i00000"}
