@@ -11,8 +11,11 @@ import hashlib
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.functions import headlines, text
@@ -163,14 +166,172 @@ def linked(classes: DataFrame) -> DataFrame:
     or one of them has none; these are found inside tiles. Without a common key they are linked
     by wording or fingerprints alone, except for round-ups, which have no keys.
     """
-    grams = F.transform("grams", lambda g: F.when(F.array_contains("rare", g), F.concat(F.lit(tiles.MARK), g)).otherwise(g))
-    marked = classes.join(rare_grams(classes), "id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
+    grams, marked = marked_grams(classes)
     hash = F.when(digest(F.col("title")), tiles.ANY).otherwise(F.nullif("simhash", F.lit(0)))
     near = tiles.sharing(marked.select("id", grams.alias("grams"), "day", hash.alias("hash")), WINDOW_DAYS)
     pairs = near.unionByName(meeting(classes)).distinct()
     return ruled(classes, pairs, rare_grams(classes)).filter("against is null and s >= 0.5").select("a", "b", "s")
 
 
+def marked_grams(classes: DataFrame) -> tuple[Column, DataFrame]:
+    """The grams of classes with a mark before rare ones, as a column of the classes given back."""
+    grams = F.transform("grams", lambda g: F.when(F.array_contains("rare", g), F.concat(F.lit(tiles.MARK), g)).otherwise(g))
+    return grams, classes.join(rare_grams(classes), "id", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
+
+
+REASONS = ("figures", "entities", "events", "objects", "words")
+_BITS = {kind: {label: 1 << n for n, label in enumerate(names)} for kind, names in (("entities", headlines.ENTITIES), ("events", headlines.EVENTS), ("wide", headlines.EVENTS_BROAD), ("objects", headlines.OBJECTS), ("currencies", headlines.CURRENCIES))}
+
+
+def noted(classes: DataFrame) -> DataFrame:
+    """(id, note): what a title names, as numbers, with its owner and day."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            notes = []
+            for t, grp, day in zip(b["title"], b["grp"], b["day"]):
+                f = headlines.features(t)
+                masks = [sum(bits[label] for label in getattr(f, kind)) for kind, bits in _BITS.items()]
+                notes.append(pickle.dumps((*masks, f.cjk, f.latin, f.digest, int(day), grp, tuple(f.numbers), tuple(sorted(f.periods)))))
+            yield pd.DataFrame({"id": b["id"], "note": notes})
+
+    return classes.select("id", "title", "grp", "day").mapInPandas(run, "id string, note binary")
+
+
+class Named:
+    """What the titles of one side of a tile name, as arrays. Codes are common to both sides."""
+
+    def __init__(self, s: tiles.Sets, figure: np.ndarray, codes: dict, fill: int):
+        read = [pickle.loads(v) for v in s.note]
+        column = lambda k, kind: np.array([r[k] for r in read], kind)
+        self.entities, self.events, self.wide, self.objects, self.currencies = (column(k, np.int64) for k in range(5))
+        self.cjk, self.latin, self.digest, self.day = column(5, bool), column(6, bool), column(7, bool), column(8, np.int64)
+        code = lambda v: codes.setdefault(v, len(codes))
+        self.grp = np.array([code(r[9]) for r in read], np.int64)
+        self.numbers = self.table([[code(n) for n in r[10]] for r in read], fill)
+        self.periods = np.array([code(("periods", r[11])) for r in read], np.int64)
+        own = figure[s.gram]
+        ends = np.searchsorted(s.row[own], np.arange(len(s.n) + 1))
+        found = s.gram[own]
+        self.figures = self.table([found[a:b] for a, b in zip(ends[:-1], ends[1:])], fill)
+
+    @staticmethod
+    def table(lists: list, fill: int) -> np.ndarray:
+        out = np.full((len(lists), max(1, max(map(len, lists), default=1))), fill, np.int64)
+        for n, v in enumerate(lists):
+            out[n, : len(v)] = v
+        return out
+
+
+def _clash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of two tables of codes both have some, but none in common; the tables are filled with different negatives."""
+    out = (a[:, 0] >= 0) & (b[:, 0] >= 0)
+    at = np.flatnonzero(out)
+    out[at] = ~(a[at][:, :, None] == b[at][:, None, :]).any((1, 2))
+    return out
+
+
+def opposed(x: tiles.Sets, y: tiles.Sets, grams: pa.Array, ids: pa.Array, rule: str = "") -> pa.Table:
+    """(id, against, n): of the titles of both sides, how many like ones can't be the same event, each pair looked at once.
+
+    Shared grams are counted by a product of matrices over the grams that aren't rare, and one by
+    one where a rare gram is shared. Titles that only a bridge links are never in conflict.
+    """
+    every = grams.to_pylist()
+    marked = np.array([g.startswith(tiles.MARK) for g in every], bool)
+    figure = np.array([headlines._FIGURE.fullmatch(g.removeprefix(tiles.MARK)) is not None for g in every], bool)
+    codes: dict = {}
+    fx, fy = Named(x, figure, codes, -1), Named(y, figure, codes, -2)
+    periods = {n: frozenset(v[1]) for v, n in codes.items() if isinstance(v, tuple)}
+    nx, ny = len(x.n), len(y.n)
+    plain = np.cumsum(~marked) - 1
+    has = []
+    for s in (x, y):
+        m = np.zeros((len(s.n), int((~marked).sum()) or 1), np.float32)
+        own = ~marked[s.gram]
+        m[s.row[own], plain[s.gram[own]]] = 1
+        has.append(m)
+    right = np.ascontiguousarray(has[1].T)
+    rare_x, rare_y = marked[x.gram], marked[y.gram]
+    index = tiles.Index(y.gram[rare_y], y.row[rare_y])
+    with_rare = [np.bincount(s.row[r], minlength=len(s.n)) > 0 for s, r in ((x, rare_x), (y, rare_y))]
+    row, gram = x.row[rare_x], x.gram[rare_x]
+    place = np.empty(len(ids), np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    px, py, day = place[x.ids], place[y.ids], fx.day[0]
+    lx, ly = x.n.astype(np.float32), y.n.astype(np.float32)
+    same_day = fy.day == day
+    nought = np.zeros((nx + ny) * len(REASONS), np.int64)
+    step = max(1, 4_000_000 // ny)
+    known: dict[tuple[int, int], bool] = {}
+
+    def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pairs, back = np.unique(a * len(codes) + b, return_inverse=True)
+        out = np.zeros(len(pairs), bool)
+        for n, v in enumerate(pairs.tolist()):
+            k = divmod(v, len(codes))
+            if k not in known:
+                known[k] = headlines.different_periods(periods[k[0]], periods[k[1]])
+            out[n] = known[k]
+        return out[back.ravel()]
+
+    for lo in range(0, nx, step):
+        rows = slice(lo, min(lo + step, nx))
+        k = has[0][rows] @ right
+        flat = slice(*np.searchsorted(row, (rows.start, rows.stop)))
+        begin, count = index.count(gram[flat])
+        keys, times = tiles.distinct((np.repeat(row[flat], count) - lo) * ny + index.rows[tiles.spread(begin, count)])
+        k.reshape(-1)[keys] += times
+        least = np.minimum(lx[rows, None], ly[None])
+        near = (6 * k >= lx[rows, None] + ly[None]) | (25 * k >= 17 * least) & (least >= 8)
+        near &= (px[rows, None] < py[None]) | ~same_day[None]
+        at = np.flatnonzero(near)
+        for part in range(0, len(at), 1_000_000):
+            cell = at[part : part + 1_000_000]
+            p, q = cell // ny + lo, cell % ny
+            either = fx.digest[p] | fy.digest[q]
+            own = ~either | (fx.grp[p] == fy.grp[q])
+            cell, p, q, either = cell[own], p[own], q[own], either[own]
+            both, n = k.reshape(-1)[cell].astype(np.int64), x.n[p] + y.n[q]
+            less = np.minimum(x.n[p], y.n[q])
+            alike = (np.bitwise_count((x.hash[p] ^ y.hash[q]).view(np.uint64)) <= tiles.BITS) & x.known[p] & y.known[q]
+            linked = tiles.similar(both, x.n[p], y.n[q]) | (25 * both >= 17 * less) & (less >= 8) | (5 * both >= n) & alike
+            entities, events = fx.entities[p] & fy.entities[q], fx.events[p] & fy.events[q]
+            acts = (fx.events[p] & fy.events[q]) | (fx.wide[p] & fy.wide[q])
+            # rewritten titles; round-ups have no keys to meet by
+            new = np.flatnonzero(~linked & (fx.cjk[p] == fy.cjk[q]) & (entities != 0) & (acts != 0) & (~either | (5 * both >= n)))
+            linked[new] = ~differ(fx.periods[p[new]], fy.periods[q[new]]) & ~_clash(fx.numbers[p[new]], fy.numbers[q[new]])
+            some = np.flatnonzero(linked)
+            cell, p, q, either, entities, events = cell[some], p[some], q[some], either[some], entities[some], events[some]
+            across = fx.cjk[p] & fy.latin[q] | fy.cjk[q] & fx.latin[p]
+            apart = lambda kind, u, v: (getattr(fx, kind)[u] != 0) & (getattr(fy, kind)[v] != 0) & (getattr(fx, kind)[u] & getattr(fy, kind)[v] == 0)
+            figures = np.zeros(len(p), bool)
+            for kind, which in (("numbers", np.flatnonzero(across)), ("figures", np.flatnonzero(~across))):
+                figures[which] = _clash(getattr(fx, kind)[p[which]], getattr(fy, kind)[q[which]])
+            shared = np.zeros(len(p), bool)
+            if len(keys):
+                shared = keys[np.minimum(np.searchsorted(keys, cell), len(keys) - 1)] == cell
+            words = with_rare[0][p] & with_rare[1][q] & ~shared
+            met = np.flatnonzero(words & across & ~either & (entities != 0) & (events != 0))
+            u, v = p[met], q[met]
+            words[met] = differ(fx.periods[u], fy.periods[v]) | apart("objects", u, v) | apart("currencies", u, v) | _clash(fx.numbers[u], fy.numbers[v])
+            why = np.select([figures, apart("entities", p, q), apart("events", p, q), apart("objects", p, q), words], range(len(REASONS)), -1)
+            told = why >= 0
+            p, q, why = p[told], q[told], why[told]
+            nought += np.bincount(np.concatenate([p, nx + q]) * len(REASONS) + np.tile(why, 2), minlength=len(nought))
+    found = np.flatnonzero(nought)
+    who = np.concatenate([x.ids, y.ids])[found // len(REASONS)]
+    return pa.table({"id": ids.take(pa.array(who)), "against": pa.array(REASONS).take(pa.array(found % len(REASONS))), "n": pa.array(nought[found])})
+
+
+def opposing(classes: DataFrame) -> DataFrame:
+    """(id, against, n): of each title the like ones within WINDOW_DAYS that can't be the same event; pairs stay inside tiles."""
+    grams, marked = marked_grams(classes)
+    sets = marked.select("id", grams.alias("grams"), "day", F.nullif("simhash", F.lit(0)).alias("hash")).join(noted(classes), "id")
+    each = tiles.over(sets, WINDOW_DAYS, opposed, "", "id string, against string, n long", both=False)
+    return each.groupBy("id", "against").agg(F.sum("n").alias("n"))
+
+
 def event_links(classes: DataFrame) -> DataFrame:
     """(a, b, s, against) of the titles within WINDOW_DAYS that may tell of one event."""
     sets = classes.select("id", "grams", "day")
@@ -198,9 +359,7 @@ def bridge_keys(spark: SparkSession, folder: str) -> DataFrame:
 @query("C04_event_conflicts")
 def event_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     """For each title the like ones that can't be the same event, by reason."""
-    against = event_links(_classes(spark, folder)[1]).filter("against is not null and s >= 0.5")
-    ends = against.select(F.explode(F.array("a", "b")).alias("id"), "against")
-    return ends.groupBy("id", "against").agg(F.count("*").alias("n"))
+    return opposing(_classes(spark, folder)[1])
 
 
 @query("C03_event_links")

@@ -41,13 +41,14 @@ class Sets:
     n: np.ndarray
     hash: np.ndarray
     known: np.ndarray
+    note: list[bytes]
 
 
 def pack(key: tuple, t: pa.Table) -> pa.Table:
     """One row of a day's part: ids, grams by number with their dictionary, fingerprints."""
     grams = t["grams"].combine_chunks()
     coded = grams.flatten().dictionary_encode()
-    lists = {"id": t["id"].combine_chunks(), "n": grams.value_lengths(), "code": coded.indices, "gram": coded.dictionary, "hash": t["hash"].combine_chunks()}
+    lists = {"id": t["id"].combine_chunks(), "n": grams.value_lengths(), "code": coded.indices, "gram": coded.dictionary, "hash": t["hash"].combine_chunks()} | {c: t[c].combine_chunks() for c in t.column_names if c == "note"}
     batch = pa.table({k: pa.array([v], pa.list_(v.type)) if len(v) == 0 else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in lists.items()})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -71,7 +72,8 @@ def unpack(sides: list[list[bytes]]) -> tuple[list[Sets], pa.Array, pa.Array]:
             parts.append((id_no[i : i + len(n)], gram_no[g : g + m][flat(t, "code").to_numpy()], n, h.fill_null(0).to_numpy(zero_copy_only=False), h.is_valid().to_numpy(zero_copy_only=False)))
             g, i = g + m, i + len(n)
         who, gram, n, h, known = (np.concatenate(x) for x in zip(*parts))
-        out.append(Sets(who.astype(np.int64), np.repeat(np.arange(len(n)), n), gram.astype(np.int64), n, h, known))
+        note = [v for t in side if "note" in t.column_names for v in flat(t, "note").to_pylist()]
+        out.append(Sets(who.astype(np.int64), np.repeat(np.arange(len(n)), n), gram.astype(np.int64), n, h, known, note))
     return out, grams.dictionary, ids.dictionary
 
 
@@ -502,9 +504,9 @@ def akin(x: Sets, y: Sets, grams: pa.Array, ids: pa.Array, rule: str = "") -> pa
 
 
 def packed(sets: DataFrame) -> DataFrame:
-    """(day, part, blob) of (id, grams, day, hash), one row a part; written down."""
+    """(day, part, blob) of (id, grams, day, hash), with a note of bytes or without, one row a part; written down."""
     many = sets.groupBy("day").agg(F.ceil(F.count("*") / PACK).alias("parts"))
-    split = sets.join(many, "day").select("id", "grams", "day", "hash", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    split = sets.join(many, "day").select("id", "grams", "day", "hash", *(c for c in sets.columns if c == "note"), F.pmod(F.xxhash64("id"), "parts").alias("part"))
     return materialize(split.groupBy("day", "part").applyInArrow(pack, "day long, part long, blob binary"), "packs")
 
 

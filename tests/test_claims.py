@@ -145,3 +145,30 @@ def test_links_by_rare_words_are_those_of_all_pairs(spark):
     _, classes = claims.titled_classes(spark.createDataFrame(rows, "id string, title string, grp string, simhash long, day long"))
     want = {(r["a"], r["b"]): r["s"] for r in claims.event_links(classes).filter("against is null and s >= 0.5").collect()}
     assert {(r["a"], r["b"]): r["s"] for r in claims.linked(classes).collect()} == want and len(want) > 50
+
+
+def test_conflicts_inside_tiles_are_those_of_all_pairs(spark, monkeypatch):
+    """Counts by reason, with days in several parts, round-ups, figures, entities and rare words."""
+    import random
+    from collections import Counter
+
+    from galley.operators import tiles
+
+    monkeypatch.setattr(tiles, "PACK", 9)
+    rng = random.Random(8)
+    names, common = [f"Zor{chr(97 + i)}pel" for i in range(12)], "plant recalls iPhone sensors after fault found near old port Apple Microsoft launches fined 12 14% 苹果公司 发布".split()
+    titles = [" ".join(rng.sample(names, rng.choice((0, 0, 1, 2))) + rng.sample(common, rng.randint(4, 11))) + rng.choice(("", "", "", "; a; b")) for _ in range(150)] + [t for pair in SAME + BRIDGED + APART + OTHER for t in pair]
+    rows = [(f"t{n:03}", t, f"o{n % 3}", rng.choice((0, None, 9, 11)), n % 5) for n, t in enumerate(titles)]
+    _, classes = claims.titled_classes(spark.createDataFrame(rows, "id string, title string, grp string, simhash long, day long"))
+    want = Counter()
+    for r in claims.event_links(classes).filter("against is not null and s >= 0.5").collect():
+        want[r["a"], r["against"]] += 1
+        want[r["b"], r["against"]] += 1
+    assert {(r["id"], r["against"]): r["n"] for r in claims.opposing(classes).collect()} == want
+    assert {why for _, why in want} == set(claims.REASONS)
+
+
+@pytest.mark.parametrize("t", ["Apple Launches new iPhone", "ＡＰＰＬＥ 苹果公司", "Tesla recallſ cars in the uK", "ENTRÉE EN BOURSE", "mıcrosoft probe", "", "Börsengang VERSCHOBEN"])
+def test_possible_labels_are_all_that_match(t):
+    for kind, patterns in headlines._NAMES.items():
+        assert {label for label, p in patterns.items() if p.search(t)} <= set(headlines.possible(t, kind))
