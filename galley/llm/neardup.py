@@ -29,6 +29,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -57,13 +58,18 @@ SEED = 13
 
 _TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+(?:[.,]\d+)*")
 _HAN = re.compile("[一-鿿]")
-_ODD = re.compile(DOUBTFUL)
+#: Texts of these letters only have no doubtful or unusual ones.
+_PLAIN, _PLAIN_TOKEN = re.compile("[\x00->@-~]*"), re.compile("[a-z0-9]+(?:[.,][0-9]+)*")
+#: As a place may begin only with a question mark, behind a letter, or with a letter that isn't plain, others are passed at once.
+_ODD = re.compile("(?=[?\x7f-\U0010ffff])(?:" + DOUBTFUL.replace("|[A-Za-z]\\?", "|(?<=[A-Za-z])\\?") + ")")
 _UNUSUAL = re.compile(UNCOMMON)
 _CLEAN = {ord(k): v for k, v in mapping().items()} | {ord(k): v for k, v in LOOKALIKES.items()}
 
 
 def tokens(text: str) -> list[str]:
     """The words of a text in normal form; Chinese by characters."""
+    if _PLAIN.fullmatch(text):
+        return _PLAIN_TOKEN.findall(text.lower())
     if _ODD.search(text):
         text, _ = restore(text)
     if _UNUSUAL.search(text):
@@ -72,7 +78,7 @@ def tokens(text: str) -> list[str]:
 
 
 def shingle_size(words: list[str]) -> int:
-    han = sum(1 for w in words if len(w) == 1 and _HAN.match(w))
+    han = sum(1 for w in words if "一" <= w <= "鿿" and len(w) == 1)
     return SHINGLE_HAN if 2 * han > len(words) else SHINGLE_WORDS
 
 
@@ -81,6 +87,12 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
 
 
+@lru_cache(maxsize=256)
+def _shingles_of(text: str) -> set[tuple[str, ...]]:
+    """The shingles of a text in normal form; its pairs come near each other."""
+    return shingles(text.split(" "))
+
+
 @lru_cache(maxsize=1)
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
@@ -95,28 +107,59 @@ def shingle_codes(words: list[str], known: dict[str, int]) -> np.ndarray:
     """The shingles of a text as numbers, each once. `known` keeps the numbers of words."""
     if len(known) > 500_000:
         known.clear()
-    codes = []
-    for w in words:
-        c = known.get(w)
-        if c is None:
-            raw = w.encode()
-            c = known[w] = (zlib.crc32(raw) << 32 | zlib.adler32(raw)) * 0x9E3779B97F4A7C15 % 2**64
-        codes.append(c)
-    h = np.array(codes, np.uint64)
+    for w in set(words).difference(known):
+        raw = w.encode()
+        known[w] = (zlib.crc32(raw) << 32 | zlib.adler32(raw)) * 0x9E3779B97F4A7C15 % 2**64
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = shingle_size(words)
     n = max(1, len(h) - k + 1)
     mixed = np.zeros(n, np.uint64)
     for j in range(min(k, len(h))):
-        mixed = mixed * _P + h[j : j + n]
+        mixed *= _P
+        mixed += h[j : j + n]
     mixed = (mixed ^ (mixed >> np.uint64(29))) * _P
-    return np.unique((mixed >> np.uint64(32)).astype(np.uint32))
+    codes = np.sort((mixed >> np.uint64(32)).astype(np.uint32))
+    first = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=first[1:])
+    return codes[first]
+
+
+def shingle_lists(texts: list[list[str]], known: dict[str, int]) -> list[np.ndarray]:
+    """The numbers of `shingle_codes` for many texts at once; one that a text repeats may come again."""
+    if len(known) > 500_000:
+        known.clear()
+    for w in set().union(*texts).difference(known):
+        raw = w.encode()
+        known[w] = (zlib.crc32(raw) << 32 | zlib.adler32(raw)) * 0x9E3779B97F4A7C15 % 2**64
+    lens = [len(words) for words in texts]
+    total = sum(lens)
+    h = np.zeros(total + SHINGLE_HAN, np.uint64)
+    h[:total] = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.uint64, total)
+    of_size, out, at = {}, [], 0
+    for words, n in zip(texts, lens):
+        k = shingle_size(words)
+        if n < k:
+            out.append(shingle_codes(words, known))
+        else:
+            if k not in of_size:
+                mixed = np.zeros(total, np.uint64)
+                for j in range(k):
+                    mixed *= _P
+                    mixed += h[j : j + total]
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * _P
+                of_size[k] = (mixed >> np.uint64(32)).astype(np.uint32)
+            out.append(of_size[k][at : at + n - k + 1])
+        at += n
+    return out
 
 
 def min_hashes(codes: np.ndarray, part: slice) -> np.ndarray:
-    a, b = _coefficients()
+    a, b = (x[part] for x in _coefficients())
     least = None
     for lo in range(0, len(codes), 4096):  # a very long text takes no more room than a page
-        x = (codes[lo : lo + 4096, None] * a[part] + b[part]).min(0)
+        x = codes[lo : lo + 4096, None] * a
+        x += b
+        x = x.min(0)
         least = x if least is None else np.minimum(least, x)
     return least
 
@@ -127,14 +170,14 @@ def signature(codes: np.ndarray) -> bytes:
     return ((h * _P) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def band_keys(codes: np.ndarray) -> np.ndarray:
-    """A number for each band: its place and the hashes of its rows."""
-    h = min_hashes(codes, slice(0, BANDS * ROWS)).reshape(BANDS, ROWS).astype(np.uint64)
+def band_keys(*texts: np.ndarray) -> np.ndarray:
+    """A number for each band of the texts, one text after another: its place and the hashes of its rows."""
+    h = np.stack([min_hashes(codes, slice(0, BANDS * ROWS)) for codes in texts]).reshape(-1, BANDS, ROWS).astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
-        key = (key ^ h[:, r]) * _P
+        key = (key ^ h[:, :, r]) * _P
         key ^= key >> np.uint64(31)
-    return ((key * _P) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+    return ((key * _P) >> np.uint64(64 - KEY_BITS)).astype(np.int64).ravel()
 
 
 @lru_cache(maxsize=8)
@@ -185,8 +228,10 @@ def records(texts: DataFrame) -> DataFrame:
                 if len(summary) >= (MIN_HAN if han else MIN_LATIN):
                     words = tokens(f"{title or ''}\n{summary}")
                     if words:
-                        out.append((i, " ".join(words), signature(shingle_codes(words, known))))
-            yield pd.DataFrame(out, columns=["id", "text", "sig"])
+                        out.append((i, words))
+            for lo in range(0, len(out), 500):
+                ids, texts = zip(*out[lo : lo + 500])
+                yield pd.DataFrame({"id": ids, "text": [" ".join(words) for words in texts], "sig": [signature(codes) for codes in shingle_lists(texts, known)]})
 
     # what is too short can't count; it is left out before anything moves
     rows = texts.filter(F.col("id").isNotNull() & (F.length("summary") >= min(MIN_HAN, MIN_LATIN))).select("id", "title", "summary")
@@ -201,8 +246,8 @@ def bands(reps: DataFrame) -> DataFrame:
         for b in batches:
             for lo in range(0, len(b), 500):
                 part = b.iloc[lo : lo + 500]
-                keys = [band_keys(shingle_codes(t.split(" "), known)) for t in part["text"]]
-                yield pd.DataFrame({"key": np.concatenate(keys), "rep": np.repeat(part["rep"].to_numpy(), BANDS)})
+                keys = band_keys(*shingle_lists([t.split(" ") for t in part["text"]], known))
+                yield pd.DataFrame({"key": keys, "rep": np.repeat(part["rep"].to_numpy(), BANDS)})
 
     return reps.select("rep", "text").mapInPandas(run, "key long, rep long")
 
@@ -231,7 +276,9 @@ def paired(rows: DataFrame) -> DataFrame:
         pairs: list[np.ndarray] = []
 
         def frame(some: list[np.ndarray]) -> pd.DataFrame:
-            both = np.unique(np.concatenate(some), axis=0)
+            both = np.concatenate(some)
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            both = both[np.r_[True, (both[1:] != both[:-1]).any(1)]] if len(both) else both
             return pd.DataFrame({"a": both[:, 0], "b": pd.array(both[:, 1], "Int64"), "key": pd.array([None] * len(both), "Int64")})
 
         def members(k: np.ndarray, r: np.ndarray) -> pd.DataFrame:
@@ -320,7 +367,7 @@ def similar_reps(reps: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for x, y, ta, tb in zip(b["a"], b["b"], b["ta"], b["tb"]):
-                sa, sb = shingles(ta.split(" ")), shingles(tb.split(" "))
+                sa, sb = _shingles_of(ta), _shingles_of(tb)
                 both = len(sa & sb)
                 j = both / (len(sa) + len(sb) - both)
                 if j >= THRESHOLD:

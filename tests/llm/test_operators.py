@@ -431,3 +431,17 @@ def test_undisguised(raw, plain):
 
 def test_fixture_has_all_tables():
     assert len(fixture.items()) > 60
+
+
+def test_shingles_of_many_texts_are_those_of_each():
+    texts = [t.split(" ") for t in ("a", "a b", "a b c d e", "a b a b a b a b a b", " ".join("一二三"), " ".join("一二三四五六七八九十" * 3), "the plant in Rokpas recalls 3.5 pumps")]
+    many = neardup.shingle_lists(texts, {})
+    each = [neardup.shingle_codes(t, {}) for t in texts]
+    assert [set(c.tolist()) for c in many] == [set(c.tolist()) for c in each]
+    assert neardup.band_keys(*many).tolist() == [k for c in each for k in neardup.band_keys(c).tolist()]
+    assert [neardup.signature(c) for c in many] == [neardup.signature(c) for c in each]
+
+
+@pytest.mark.parametrize("text, want", [("Plant A_b pays 3.5,7 and 1, don't", ["plant", "a", "b", "pays", "3.5,7", "and", "1", "don", "t"]), ("Ein Werk für 2,5", ["ein", "werk", "für", "2,5"]), ("", []), ("x" * 3 + "?", ["xxx"])])
+def test_words_of_plain_and_other_texts(text, want):
+    assert neardup.tokens(text) == want
