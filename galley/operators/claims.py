@@ -328,6 +328,7 @@ def opposing(classes: DataFrame) -> DataFrame:
     """(id, against, n): of each title the like ones within WINDOW_DAYS that can't be the same event; pairs stay inside tiles."""
     grams, marked = marked_grams(classes)
     sets = marked.select("id", grams.alias("grams"), "day", F.nullif("simhash", F.lit(0)).alias("hash")).join(noted(classes), "id")
+    sets = materialize(sets, "noted")  # read twice
     each = tiles.over(sets, WINDOW_DAYS, opposed, "", "id string, against string, n long", both=False)
     return each.groupBy("id", "against").agg(F.sum("n").alias("n"))
 
