@@ -259,7 +259,10 @@ def opposed(x: tiles.Sets, y: tiles.Sets, grams: pa.Array, ids: pa.Array, rule:
     place = np.empty(len(ids), np.int64)
     place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
     px, py, day = place[x.ids], place[y.ids], fx.day[0]
-    lx, ly = x.n.astype(np.float32), y.n.astype(np.float32)
+    # shared grams from which two sizes are looked at: 0.2, or a long title contained by 0.68
+    sizes, of_size = np.unique(x.n, return_inverse=True)
+    least = np.minimum(sizes[:, None], y.n[None])
+    enough = np.minimum(-(-(sizes[:, None] + y.n[None]) // 6), np.where(least >= 8, -(-17 * least // 25), 1 << 20)).astype(np.float32)
     same_day = fy.day == day
     nought = np.zeros((nx + ny) * len(REASONS), np.int64)
     step = max(1, 4_000_000 // ny)
@@ -282,8 +285,7 @@ def opposed(x: tiles.Sets, y: tiles.Sets, grams: pa.Array, ids: pa.Array, rule:
         begin, count = index.count(gram[flat])
         keys, times = tiles.distinct((np.repeat(row[flat], count) - lo) * ny + index.rows[tiles.spread(begin, count)])
         k.reshape(-1)[keys] += times
-        least = np.minimum(lx[rows, None], ly[None])
-        near = (6 * k >= lx[rows, None] + ly[None]) | (25 * k >= 17 * least) & (least >= 8)
+        near = k >= enough[of_size[rows]]
         near &= (px[rows, None] < py[None]) | ~same_day[None]
         at = np.flatnonzero(near)
         for part in range(0, len(at), 1_000_000):
